@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe
+from . import bpe, dedup
 from .common import table
 
 
@@ -25,5 +25,27 @@ def op9_bpe_transducer(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-QUERIES = {"op9_bpe_transducer": op9_bpe_transducer}
-SQL: dict[str, str] = {}
+def op10_min_max_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return dedup.near_duplicates(table(spark, sf_dir, "documents"))
+
+
+QUERIES = {"op10_min_max_dedup": op10_min_max_dedup, "op9_bpe_transducer": op9_bpe_transducer}
+#: Words of a text as DuckDB has them.
+WORDS = r"list_filter(regexp_split_to_array({0}, '[\x20\x09-\x0D]+'), lambda w: w <> '')"
+LOWER = "translate(coalesce({0}, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+
+SQL: dict[str, str] = {
+    "op10_min_max_dedup": f"""
+with recursive w as (select doc_id, {WORDS.format(LOWER.format("text"))} as w from documents),
+s as (select doc_id, case when len(w) >= 3 then list_distinct(list_transform(range(1, len(w) - 1), lambda i: concat_ws(' ', w[i], w[i + 1], w[i + 2])))
+             when len(w) > 0 then [array_to_string(w, ' ')] else [] end as s from w),
+e as (select doc_id, len(s) as n, unnest(s) as x from s),
+j as (select a.doc_id as a, b.doc_id as b, any_value(a.n) + any_value(b.n) as n, count(*) as c from e a join e b on a.x = b.x and a.doc_id < b.doc_id group by 1, 2),
+l as (select a, b from j where 100 * c >= 85 * (n - c)),
+bi as (select a, b from l union select b, a from l),
+r as (select a as doc_id, b as to_id from bi union select r.doc_id, bi.b from r join bi on r.to_id = bi.a),
+m as (select doc_id, min(to_id) as m from r group by 1)
+select s.doc_id, len(s.s) as n_shingles, least(s.doc_id, coalesce(m.m, s.doc_id)) as component_id,
+       s.doc_id = least(s.doc_id, coalesce(m.m, s.doc_id)) as kept
+from s left join m using (doc_id)""",
+}
