@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, dedup
+from . import bpe, dedup, quality
 from .common import table
 
 
@@ -29,12 +29,35 @@ def op10_min_max_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return dedup.near_duplicates(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {"op10_min_max_dedup": op10_min_max_dedup, "op9_bpe_transducer": op9_bpe_transducer}
+def op2_line_frequency(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality.judge(table(spark, sf_dir, "documents")).drop("boilerplate")
+
+
+QUERIES = {"op2_line_frequency": op2_line_frequency, "op10_min_max_dedup": op10_min_max_dedup, "op9_bpe_transducer": op9_bpe_transducer}
 #: Words of a text as DuckDB has them.
 WORDS = r"list_filter(regexp_split_to_array({0}, '[\x20\x09-\x0D]+'), lambda w: w <> '')"
 LOWER = "translate(coalesce({0}, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
 
 SQL: dict[str, str] = {
+    "op2_line_frequency": rf"""
+with d as (select doc_id, source, coalesce(text, '') as t, {WORDS.format("coalesce(text, '')")} as w,
+       list_filter(string_split(coalesce(text, ''), chr(10)), lambda l: regexp_matches(l, '[^\x20\x09-\x0D]')) as raw from documents),
+g as (select doc_id, w, list_transform(range(1, len(w) - 3), lambda i: w[i:i + 4]) as g from d),
+gu as (select doc_id, unnest(g) as x, unnest(range(1, len(g) + 1)) as i from g),
+gr as (select doc_id, i from gu qualify count(*) over (partition by doc_id, x) > 1),
+gc as (select doc_id, sum(least(5, coalesce(i - p, 5))) as n from (select doc_id, i, lag(i) over (partition by doc_id order by i) as p from gr) group by 1),
+ln as (select doc_id, source, list_transform(raw, lambda l: {WORDS.format("l")}) as lw from d),
+ls as (select doc_id, source, unnest(lw) as ws from ln),
+lx as (select doc_id, source, lower(array_to_string(ws, ' ')) as line, len(ws) as n, list_max(list_transform(ws, lambda x: {{'n': length(x), 'w': lower(x)}})) as longest from ls),
+k as (select doc_id, list_slice(list_reverse_sort(list_distinct(list(longest))), 1, 3) as key from lx group by 1),
+f as (select source, line from lx join k using (doc_id) group by 1, 2 having count(distinct key) > 20 and 2 * count(distinct key) >= count(distinct doc_id)),
+r as (select doc_id, sum(n) as n from lx join f on lx.line = f.line and lx.source is not distinct from f.source group by 1),
+b as (select d.doc_id, len(d.w) as n_words, length(regexp_replace(t, '[\x20\x09-\x0D]+', '', 'g')) as word_chars,
+       length(regexp_replace(t, '[^#*$%&|<>]+', '', 'g')) as n_symbols, len(raw) - len(list_distinct(raw)) as n_dup_lines,
+       coalesce(gc.n, 0)::bigint as n_repeat_words, coalesce(r.n, 0)::bigint as removed_words
+       from d left join gc using (doc_id) left join r using (doc_id)),
+c as (select *, n_words < 10 or 100 * n_repeat_words > 20 * n_words as base_failed from b)
+select *, not base_failed and not (removed_words > 0 and (n_words - removed_words < 10 or 100 * (n_words - removed_words) < 30 * n_words)) as kept from c""",
     "op10_min_max_dedup": f"""
 with recursive w as (select doc_id, {WORDS.format(LOWER.format("text"))} as w from documents),
 s as (select doc_id, case when len(w) >= 3 then list_distinct(list_transform(range(1, len(w) - 1), lambda i: concat_ws(' ', w[i], w[i + 1], w[i + 2])))
