@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, dedup, quality
+from . import bpe, dedup, fingerprint, quality
 from .common import table
 
 
@@ -33,7 +33,20 @@ def op2_line_frequency(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.judge(table(spark, sf_dir, "documents")).drop("boilerplate")
 
 
-QUERIES = {"op2_line_frequency": op2_line_frequency, "op10_min_max_dedup": op10_min_max_dedup, "op9_bpe_transducer": op9_bpe_transducer}
+def op1_order_min_hash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    made = fingerprint.with_successor(table(spark, sf_dir, "documents"))
+    return made.select(
+        "doc_id",
+        "n_chars",
+        F.sha2(F.col("edited").cast("binary"), 256).alias("edited_sha256"),
+        "fingerprint",
+        "edited_fingerprint",
+        "near_edited",
+        "near_next",
+    )
+
+
+QUERIES = {"op1_order_min_hash": op1_order_min_hash, "op2_line_frequency": op2_line_frequency, "op10_min_max_dedup": op10_min_max_dedup, "op9_bpe_transducer": op9_bpe_transducer}
 #: Words of a text as DuckDB has them.
 WORDS = r"list_filter(regexp_split_to_array({0}, '[\x20\x09-\x0D]+'), lambda w: w <> '')"
 LOWER = "translate(coalesce({0}, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
