@@ -24,7 +24,7 @@ from .common import arrow_map, per_worker
 PRE_TOKEN = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
 WHITE = regex.compile(r"[\t-\r \x85\xa0  -     　]+")
 #: Entries of the memo of chunks; it is emptied when full, so a worker's memory is bounded.
-MEMO = 250_000
+MEMO = 200_000
 #: The tokenizer file is sent to the executors; larger files are refused.
 MAX_FILE = 64 << 20
 
@@ -74,25 +74,20 @@ class Merges:
         self.window = 4 * self.lookahead
 
     def apply(self, parts: list[str]) -> list[str]:
-        rank = self.rank.get
-        while len(parts) > 1:
-            best, at = None, None
-            for pair in zip(parts, parts[1:]):
-                r = rank(pair)
-                if r is not None and (best is None or r < best):
-                    best, at = r, pair
-            if at is None:
-                return parts
-            a, b = at
-            out, i, n = [], 0, len(parts)
-            while i < n:
-                if i + 1 < n and parts[i] == a and parts[i + 1] == b:
-                    out.append(a + b)
-                    i += 2
-                else:
-                    out.append(parts[i])
-                    i += 1
-            parts = out
+        """The lowest-ranked pair first, the leftmost among equals, until no pair is in the list."""
+        rank, none = self.rank.get, len(self.rank)
+        ranks = [rank(pair, none) for pair in zip(parts, parts[1:])]
+        while ranks:
+            best = min(ranks)
+            if best == none:
+                break
+            i = ranks.index(best)
+            parts[i] += parts.pop(i + 1)
+            del ranks[i]
+            if i:
+                ranks[i - 1] = rank((parts[i - 1], parts[i]), none)
+            if i < len(ranks):
+                ranks[i] = rank((parts[i], parts[i + 1]), none)
         return parts
 
 
@@ -117,6 +112,11 @@ class Transducer:
                 self.buffer = self.buffer[end:]
         return out
 
+    def whole(self, symbols: list[str]) -> list[int]:
+        """A pre-token that fits in the buffer."""
+        self.buffer = symbols
+        return self.finish()
+
     def finish(self) -> list[int]:
         if not self.buffer:
             return []
@@ -138,6 +138,7 @@ class Encoder:
         self.pre = regex.compile(PRE_TOKEN)
         self.bytes = byte_symbols()
         self.memo: dict[str, bytes] = {}
+        self.words: dict[str, list[int]] = {}
 
     def chunk(self, text: str) -> bytes:
         """Ids of a run without white space, packed; a special token's string inside it is that token."""
@@ -147,10 +148,17 @@ class Encoder:
                 ids.append(self.special[part])
                 continue
             part = unicodedata.normalize("NFC", part).replace("Σ", "σ").lower()
-            for word in self.pre.findall(part):
-                run = Transducer(self.merges)
-                symbols = [self.bytes[b] for b in word.encode()]
-                ids += run.feed(symbols) + run.finish()
+            for word in (part,) if part.isalpha() and part.isascii() else self.pre.findall(part):
+                made = self.words.get(word)
+                if made is None:
+                    run = Transducer(self.merges)
+                    symbols = list(map(self.bytes.__getitem__, word.encode()))
+                    made = run.feed(symbols) + run.finish() if len(symbols) > self.merges.window else run.whole(symbols)
+                    if len(word) < 40:
+                        if len(self.words) >= MEMO:
+                            self.words.clear()
+                        self.words[word] = made
+                ids += made
         return array("I", ids).tobytes()
 
     def encode(self, text: str) -> bytes:
