@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, dedup, fingerprint, lattice, quality
+from . import bpe, dedup, fingerprint, langid, lattice, quality
 from .common import table
 
 
@@ -50,7 +50,11 @@ def op6_subword_lattice(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lattice.score(table(spark, sf_dir, "documents"), tokenizer_path("piece_bpe_32k.model"))
 
 
-QUERIES = {"op6_subword_lattice": op6_subword_lattice, "op1_order_min_hash": op1_order_min_hash, "op2_line_frequency": op2_line_frequency, "op10_min_max_dedup": op10_min_max_dedup, "op9_bpe_transducer": op9_bpe_transducer}
+def op3_crf_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return langid.identify(table(spark, sf_dir, "documents"))
+
+
+QUERIES = {"op3_crf_language": op3_crf_language, "op6_subword_lattice": op6_subword_lattice, "op1_order_min_hash": op1_order_min_hash, "op2_line_frequency": op2_line_frequency, "op10_min_max_dedup": op10_min_max_dedup, "op9_bpe_transducer": op9_bpe_transducer}
 #: Words of a text as DuckDB has them.
 WORDS = r"list_filter(regexp_split_to_array({0}, '[\x20\x09-\x0D]+'), lambda w: w <> '')"
 LOWER = "translate(coalesce({0}, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
