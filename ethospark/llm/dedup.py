@@ -26,13 +26,15 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import arrow_map, checkpointed
+from .common import arrow_map, checkpointed, partitions
 
 BANDS, PER_BAND = 20, 2
 #: Similarity as a percentage, and words in a shingle.
 PERCENT, WIDTH = 85, 3
 #: Buckets with at most this many comparisons are compared pair by pair.
-COMPARISONS = 300
+COMPARISONS = 1000
+#: Members of a hub that are looked at, about, before its members' differences are put in order.
+SAMPLE = 32
 #: Ids are sent to all executors only up to this number (8 bytes each); beyond, the texts are joined.
 SENT_IDS = 1_000_000
 
@@ -114,20 +116,25 @@ def linked(a: np.ndarray, b: np.ndarray, common: int | None = None) -> bool:
     return 100 * common >= PERCENT * (len(a) + len(b) - common)
 
 
-def difference_keys(own: np.ndarray, hub: np.ndarray, is_linked: bool) -> tuple[np.ndarray, np.ndarray]:
+def difference_keys(
+    own: np.ndarray, hub: np.ndarray, is_linked: bool, common: np.ndarray
+) -> tuple[np.ndarray, np.ndarray]:
     """The elements of the symmetric difference D of a member and its hub by which further links are found.
 
     A link of u and v means |D_u ^ D_v| <= 3/37 (|u| + |v|), so they share more than
     (|D_u| + |D_v| - 3/37 (|u| + |v|)) / 2 elements of their differences. With v not linked to the hub,
     |D_v| > 3/37 (|v| + |hub|), hence more than (|D_u| + 3/37 (|hub| - |u|)) / 2: two sets that share so many have
-    a common element among the first few of each in any fixed order. Added elements, which are rare, come first.
+    a common element among the first few of each in any order that is fixed for the hub. Rare elements come first:
+    those added to the hub, those removed, at last those that ``common`` lists as frequent among its members.
     If u is not linked and v is, |D_v| >= |D_u| - 3/37 (|u| + |v|) and |v| <= |u| / 0.85 leave |D_u| - 3/17 |u|.
     Returned: the elements for a partner that isn't linked, and those beyond them for one that is.
     """
     added = np.setdiff1d(own, hub, assume_unique=True)
     removed = np.setdiff1d(hub, own, assume_unique=True)
-    d = len(added) + len(removed)
-    order = np.concatenate([added[np.argsort(mixed(added))], removed[np.argsort(mixed(removed))]])
+    whole = np.concatenate([added, removed])
+    d = len(whole)
+    late = np.repeat([0, 1], [len(added), len(removed)]) + 2 * np.isin(whole, common)
+    order = whole[np.lexsort((mixed(whole), late))]
     least = (37 * d + 3 * (len(hub) - len(own))) // 74 + 1
     half = min(d, max(0, d - max(1, least) + 1))
     if is_linked:
@@ -136,24 +143,59 @@ def difference_keys(own: np.ndarray, hub: np.ndarray, is_linked: bool) -> tuple[
     return order[:half], order[half : max(half, d - least + 1)]
 
 
+def frequent_differences(sample: DataFrame, texts: DataFrame) -> DataFrame:
+    """b, common: elements in the differences of at least a quarter of a hub's sampled members.
+
+    They only order the elements of a difference, so the sample decides about work and not about results.
+    """
+    kind = dict(sample.dtypes)["b"]
+
+    def run(b, text_a, text_b):
+        out = []
+        with np.errstate(over="ignore"):
+            for x, y in zip(text_a, text_b):
+                out.append(np.setxor1d(shingles(x), shingles(y), assume_unique=True).astype(np.int64))
+        return b, out
+
+    d = arrow_map(with_texts(sample, texts).select("b", "text_a", "text_b"), run, f"b {kind}, d array<bigint>")
+    n = sample.groupBy("b").agg(F.count("*").alias("n"))
+    return (
+        d.select("b", F.explode("d").alias("e"))
+        .groupBy("b", "e")
+        .agg(F.count("*").alias("c"))
+        .filter("c > 1")
+        .join(n, "b")
+        .filter("4 * c >= n")
+        .groupBy("b")
+        .agg(F.collect_list("e").alias("common"))
+    )
+
+
+def with_texts(pairs: DataFrame, texts: DataFrame) -> DataFrame:
+    return pairs.join(texts.select(F.col("id").alias("a"), F.col("text").alias("text_a")), "a").join(
+        texts.select(F.col("id").alias("b"), F.col("text").alias("text_b")), "b"
+    )
+
+
 def compare(pairs: DataFrame, texts: DataFrame) -> DataFrame:
-    """Confirm pairs (a, b, hub) on full sets: a, b, linked, and for hub rows the keys of a's difference."""
+    """Confirm pairs (a, b, hub, common) on full sets: a, b, linked, and for hub rows the keys of a's difference."""
     kind = dict(pairs.dtypes)["a"]
-    joined = (
-        pairs.join(texts.select(F.col("id").alias("a"), F.col("text").alias("text_a")), "a")
-        .join(texts.select(F.col("id").alias("b"), F.col("text").alias("text_b")), "b")
-        .select("a", "b", "hub", F.xxhash64("b").alias("salt"), "text_a", "text_b")
+    joined = with_texts(pairs, texts).select(
+        "a", "b", "hub", F.xxhash64("b").alias("salt"), "common", "text_a", "text_b"
     )
 
-    def run(a, b, hub, salt, text_a, text_b):
+    def run(a, b, hub, salt, common, text_a, text_b):
         found, half, rest, last, set_b = [], [], [], None, None
         with np.errstate(over="ignore"):
-            for is_hub, s, x, y in zip(hub, salt, text_a, text_b):
+            for is_hub, s, c, x, y in zip(hub, salt, common, text_a, text_b):
                 if y != last or set_b is None:
                     last, set_b = y, shingles(y)
                 set_a = shingles(x)
                 found.append(linked(set_a, set_b))
-                keys = difference_keys(set_a, set_b, found[-1]) if is_hub else (set_b[:0], set_b[:0])
+                keys = (set_b[:0], set_b[:0])
+                if is_hub:
+                    late = np.array(c or [], np.int64).astype(np.uint64)
+                    keys = difference_keys(set_a, set_b, found[-1], late)
                 for out, k in zip((half, rest), keys):
                     out.append(mixed(k ^ np.array([s], np.int64).astype(np.uint64)).astype(np.int64))
         return a, b, found, half, rest
@@ -162,68 +204,70 @@ def compare(pairs: DataFrame, texts: DataFrame) -> DataFrame:
 
 
 def links(reps: DataFrame, docs: DataFrame) -> DataFrame:
-    """All confirmed links (a, b) between classes, or enough of them to connect what they connect."""
+    """Confirmed links (a, b) between classes that connect whatever all links connect."""
+    n_parts = partitions(reps.sparkSession)
     rows = reps.select("id", F.explode("bands").alias("key"))
     full = rows.groupBy("key").agg(F.count("*").alias("n")).filter("n > 1")
     rows = checkpointed(rows.join(full, "key"))
-    score = rows.groupBy("id").agg(F.sum("n").alias("score"))
-    score = checkpointed(score)
-    many = score.count()
+    score = checkpointed(rows.groupBy("id").agg(F.sum("n").alias("score")))
     wanted = score.select("id")
     texts = checkpointed(
-        docs.join(F.broadcast(wanted) if many <= SENT_IDS else wanted, "id", "left_semi").select("id", "text")
+        docs.join(F.broadcast(wanted) if score.count() <= SENT_IDS else wanted, "id", "left_semi").select("id", "text")
     )
     rows = rows.select("key", "id", F.lit(True).alias("open"), F.lit(True).alias("half"))
-    edges: list[DataFrame] = []
-    seen = None
+    edges = seen = None
     while True:
-        scored = rows.join(score, "id")
         stats = (
-            scored.groupBy("key")
+            rows.join(score, "id")
+            .groupBy("key")
             .agg(
                 F.count_if(F.expr("open and half")).alias("n_half"),
                 F.count_if(F.expr("open and not half")).alias("n_rest"),
                 F.count_if(F.expr("not open")).alias("n_shut"),
                 F.max_by("id", F.struct("score", "id")).alias("hub"),
             )
-            .withColumn("work", F.expr("n_half * (n_half - 1) / 2 + (n_half + n_rest) * n_shut"))
+            .selectExpr("key", "hub", "n_half + n_rest + n_shut as n", "n_half * (n_half - 1) / 2 + (n_half + n_rest) * n_shut as work")
             .filter("work > 0")
         )
-        tagged = checkpointed(rows.join(stats.select("key", "hub", "work"), "key"))
+        tagged = checkpointed(rows.join(stats, "key"))
         small, large = tagged.filter(F.col("work") <= COMPARISONS), tagged.filter(F.col("work") > COMPARISONS)
-        x, y = small.alias("x"), small.alias("y")
-        pairs = x.join(
-            y,
-            F.expr(
-                "x.key = y.key and ((x.open and x.half and y.open and y.half and x.id < y.id)"
-                " or (x.open and not y.open and x.id <> y.id))"
-            ),
-        ).select(F.expr("least(x.id, y.id)").alias("a"), F.expr("greatest(x.id, y.id)").alias("b"), F.lit(False).alias("hub"))
-        stars = large.filter("id <> hub").select(F.col("id").alias("a"), F.col("hub").alias("b"), F.lit(True).alias("hub"))
-        todo = pairs.distinct().unionByName(stars.distinct())
-        if seen is not None:  # a hub met before has nothing new to say
-            todo = todo.join(seen, ["a", "b", "hub"], "left_anti")
-        done = checkpointed(compare(todo, texts))
-        edges.append(done.filter("linked").select("a", "b"))
-        stars_done = done.filter("size(half) + size(rest) > 0")
-        if stars_done.isEmpty():
-            break
-        told = stars_done.select("a", "b", F.lit(True).alias("hub"))
-        seen = told if seen is None else seen.unionByName(told)
-        rows = stars_done.select(
+        pairs = (
+            small.alias("x")
+            .join(
+                small.alias("y"),
+                F.expr(
+                    "x.key = y.key and ((x.open and x.half and y.open and y.half and x.id < y.id)"
+                    " or (x.open and not y.open and x.id <> y.id))"
+                ),
+            )
+            .select(F.expr("least(x.id, y.id)").alias("a"), F.expr("greatest(x.id, y.id)").alias("b"))
+            .distinct()
+            .select("a", "b", F.lit(False).alias("hub"), F.lit(None).cast("array<bigint>").alias("common"))
+        )
+        stars = large.filter("id <> hub").groupBy(F.col("id").alias("a"), F.col("hub").alias("b")).agg(F.max("n").alias("n"))
+        if seen is not None:  # what a hub met before has nothing new to say
+            stars = stars.join(seen, ["a", "b"], "left_anti")
+        stars = checkpointed(stars)
+        if stars.isEmpty():
+            edges = more(edges, compare(pairs, texts).filter("linked").select("a", "b"))
+            return edges.distinct()
+        sample = stars.filter(F.expr(f"pmod(xxhash64(a), greatest(1, n div {SAMPLE})) = 0"))
+        common = frequent_differences(sample.select("a", "b"), texts)
+        told = stars.join(common, "b", "left").select("a", "b", F.lit(True).alias("hub"), "common")
+        done = checkpointed(compare(pairs.unionByName(told), texts))
+        edges = more(edges, done.filter("linked").select("a", "b")).coalesce(n_parts)
+        seen = more(seen, stars.select("a", "b")).coalesce(n_parts)
+        element = lambda half: lambda k: F.struct(k.alias("key"), F.lit(half).alias("half"))
+        rows = done.filter("size(half) + size(rest) > 0").select(
             F.col("a").alias("id"),
             (~F.col("linked")).alias("open"),
-            F.explode(
-                F.concat(
-                    F.transform("half", lambda k: F.struct(k.alias("key"), F.lit(True).alias("half"))),
-                    F.transform("rest", lambda k: F.struct(k.alias("key"), F.lit(False).alias("half"))),
-                )
-            ).alias("e"),
-        ).select("e.key", "id", "open", "e.half")
-    out = edges[0]
-    for e in edges[1:]:
-        out = out.unionByName(e)
-    return out.distinct()
+            F.explode(F.concat(F.transform("half", element(True)), F.transform("rest", element(False)))).alias("e"),
+        )
+        rows = rows.select("e.key", "id", "open", "e.half")
+
+
+def more(have: DataFrame | None, new: DataFrame) -> DataFrame:
+    return checkpointed(new if have is None else have.unionByName(new))
 
 
 def components(edges: DataFrame) -> DataFrame:
