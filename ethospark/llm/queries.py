@@ -5,8 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, dedup, fingerprint, langid, lattice, quality
-from .common import table
+from . import bpe, dedup, fingerprint, langid, lattice, quality, secrets
+from .common import span_digest, table
 
 
 def tokenizer_path(name: str) -> str:
@@ -54,7 +54,23 @@ def op3_crf_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     return langid.identify(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {"op3_crf_language": op3_crf_language, "op6_subword_lattice": op6_subword_lattice, "op1_order_min_hash": op1_order_min_hash, "op2_line_frequency": op2_line_frequency, "op10_min_max_dedup": op10_min_max_dedup, "op9_bpe_transducer": op9_bpe_transducer}
+def counted_spans(made: DataFrame, kinds: tuple[str, ...]) -> DataFrame:
+    """doc_id, n_<kind> for the rules' kinds, the digest of their spans, all spans as text."""
+    base = F.filter("spans", lambda s: s["kind"].isin(*kinds))
+    count = lambda kind: F.size(F.filter("base", lambda s: s["kind"] == kind)).cast("long")
+    return made.withColumn("base", base).select(
+        "doc_id",
+        *[count(k).alias(f"n_{k}") for k in kinds],
+        F.sha2(span_digest("base").cast("binary"), 256).alias("base_sha256"),
+        span_digest("spans").alias("spans"),
+    )
+
+
+def op4_secret_network(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return counted_spans(secrets.scan(table(spark, sf_dir, "documents")), ("assign", "access", "hex"))
+
+
+QUERIES = {"op4_secret_network": op4_secret_network, "op3_crf_language": op3_crf_language, "op6_subword_lattice": op6_subword_lattice, "op1_order_min_hash": op1_order_min_hash, "op2_line_frequency": op2_line_frequency, "op10_min_max_dedup": op10_min_max_dedup, "op9_bpe_transducer": op9_bpe_transducer}
 #: Words of a text as DuckDB has them.
 WORDS = r"list_filter(regexp_split_to_array({0}, '[\x20\x09-\x0D]+'), lambda w: w <> '')"
 LOWER = "translate(coalesce({0}, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
