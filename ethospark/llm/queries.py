@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, dedup, fingerprint, langid, lattice, pii, quality, secrets
+from . import bpe, dedup, fingerprint, langid, lattice, packing, pii, quality, secrets, urls
 from .common import span_digest, table
 
 
@@ -74,7 +74,19 @@ def op5_weak_supervision(spark: SparkSession, sf_dir: str) -> DataFrame:
     return counted_spans(pii.spans(table(spark, sf_dir, "documents")), pii.RULES)
 
 
-QUERIES = {"op5_weak_supervision": op5_weak_supervision, "op4_secret_network": op4_secret_network, "op3_crf_language": op3_crf_language, "op6_subword_lattice": op6_subword_lattice, "op1_order_min_hash": op1_order_min_hash, "op2_line_frequency": op2_line_frequency, "op10_min_max_dedup": op10_min_max_dedup, "op9_bpe_transducer": op9_bpe_transducer}
+def op7_length_buckets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.pack(table(spark, sf_dir, "documents"))
+
+
+#: Fixed rules of the query.
+URL_RULES = [("block", "net/"), ("allow", "example.net/en/"), ("block", "example.com/de/"), ("allow", "org/fr/")]
+
+
+def op8_url_regression(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return urls.judge(table(spark, sf_dir, "pages"), URL_RULES)
+
+
+QUERIES = {"op7_length_buckets": op7_length_buckets, "op8_url_regression": op8_url_regression, "op5_weak_supervision": op5_weak_supervision, "op4_secret_network": op4_secret_network, "op3_crf_language": op3_crf_language, "op6_subword_lattice": op6_subword_lattice, "op1_order_min_hash": op1_order_min_hash, "op2_line_frequency": op2_line_frequency, "op10_min_max_dedup": op10_min_max_dedup, "op9_bpe_transducer": op9_bpe_transducer}
 #: Words of a text as DuckDB has them.
 WORDS = r"list_filter(regexp_split_to_array({0}, '[\x20\x09-\x0D]+'), lambda w: w <> '')"
 LOWER = "translate(coalesce({0}, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
