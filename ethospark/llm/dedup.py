@@ -318,3 +318,9 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
         F.col("component").alias("component_id"),
         F.coalesce(F.col("id") == F.col("component"), F.col("id").isNull()).alias("kept"),
     )
+
+
+def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """The documents that stand for their groups, with all their columns."""
+    gone = near_duplicates(docs, id_col, text_col).filter(~F.col("kept")).select(F.col(id_col).alias("_gone"))
+    return docs.join(gone, docs[id_col] == gone["_gone"], "left_anti")
