@@ -5,6 +5,7 @@ from __future__ import annotations
 import tempfile
 
 import pyarrow as pa
+from pyspark import StorageLevel
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -17,19 +18,46 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def checkpointed(df: DataFrame) -> DataFrame:
-    """Cut the lineage through the cluster's shared checkpoint folder (one is made only where none is configured)."""
+def checkpointed(df: DataFrame, shrink: int = 1) -> DataFrame:
+    """Cut the lineage through the cluster's shared checkpoint folder (one is made only where none is configured).
+
+    ``shrink``: write so many times fewer files than there are shuffle partitions, for tables much smaller than the
+    data; a file costs the executors more than its few rows do.
+    """
     spark = df.sparkSession
     sc = spark.sparkContext
     if sc._jsc.sc().getCheckpointDir().isEmpty():
         sc.setCheckpointDir(sc.getConf().get("spark.checkpoint.dir") or tempfile.mkdtemp(prefix="ethospark-"))
+    if shrink > 1:
+        df = df.coalesce(max(1, partitions(spark) // shrink))
     return df.checkpoint()
 
 
+def stored(df: DataFrame) -> DataFrame:
+    """Compute once and keep on the executors' disks; a lost part is computed again from its short lineage."""
+    df = df.persist(StorageLevel.DISK_ONLY)
+    df.count()
+    return df
+
+
+#: Rows that may be sent to all executors; tables are counted before, and larger ones are joined by a shuffle.
+SENT_ROWS = 1_000_000
+
+
+def sent_if_small(df: DataFrame, weight: str = "1") -> DataFrame:
+    """A broadcast hint if the table, its rows weighted, is under ``SENT_ROWS``."""
+    n = df.agg(F.sum(F.expr(weight)).alias("n")).first()["n"] or 0
+    return F.broadcast(df) if n <= SENT_ROWS else df
+
+
 def partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
 
+#: Rows of a batch that become Python objects at a time.
+ROWS = 1000
+
+
 def arrow_map(df: DataFrame, fn, schema: str) -> DataFrame:
     """``fn(list of columns as Python lists) -> list of columns``, batch by batch. Strings arrive as UTF-8 bytes."""
     names = T._parse_datatype_string(schema).names
@@ -37,15 +65,15 @@ def arrow_map(df: DataFrame, fn, schema: str) -> DataFrame:
 
     def run(batches):
         for batch in batches:
-            if not batch.num_rows:
-                continue
-            columns = [
-                (c.cast(pa.binary()) if pa.types.is_string(c.type) else c).to_pylist() for c in batch.columns
-            ]
-            made = fn(*columns)
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(v, type=t) for v, t in zip(made, out, strict=True)], names=names
-            )
+            for at in range(0, batch.num_rows, ROWS):
+                part = batch.slice(at, ROWS)
+                columns = [
+                    (c.cast(pa.binary()) if pa.types.is_string(c.type) else c).to_pylist() for c in part.columns
+                ]
+                made = fn(*columns)
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array(v, type=t) for v, t in zip(made, out, strict=True)], names=names
+                )
 
     return df.mapInArrow(run, schema)
 
@@ -54,9 +82,9 @@ _KEPT: dict = {}
 
 
 def per_worker(key, build):
-    """What ``build`` makes, kept by a Python worker between its tasks (the last few keys only)."""
+    """What ``build`` makes, kept by a Python worker between its tasks (the last two keys only)."""
     if key not in _KEPT:
-        while len(_KEPT) >= 4:
+        while len(_KEPT) >= 2:
             _KEPT.pop(next(iter(_KEPT)))
         _KEPT[key] = build()
     return _KEPT[key]

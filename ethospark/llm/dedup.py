@@ -26,7 +26,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import arrow_map, checkpointed, partitions
+from .common import arrow_map, checkpointed, sent_if_small, stored
 
 BANDS, PER_BAND = 20, 2
 #: Similarity as a percentage, and words in a shingle.
@@ -35,8 +35,9 @@ PERCENT, WIDTH = 85, 3
 COMPARISONS = 1000
 #: Members of a hub that are looked at, about, before its members' differences are put in order.
 SAMPLE = 32
-#: Ids are sent to all executors only up to this number (8 bytes each); beyond, the texts are joined.
-SENT_IDS = 1_000_000
+
+#: Tables of ids are written in so many times fewer files than the shuffles have partitions.
+WIDE, SMALL = 4, 16
 
 _A = np.uint64(0x9E3779B97F4A7C15)
 _B = np.uint64(0xC2B2AE3D27D4EB4F)
@@ -205,14 +206,13 @@ def compare(pairs: DataFrame, texts: DataFrame) -> DataFrame:
 
 def links(reps: DataFrame, docs: DataFrame) -> DataFrame:
     """Confirmed links (a, b) between classes that connect whatever all links connect."""
-    n_parts = partitions(reps.sparkSession)
     rows = reps.select("id", F.explode("bands").alias("key"))
     full = rows.groupBy("key").agg(F.count("*").alias("n")).filter("n > 1")
-    rows = checkpointed(rows.join(full, "key"))
-    score = checkpointed(rows.groupBy("id").agg(F.sum("n").alias("score")))
+    rows = checkpointed(rows.join(full, "key"), WIDE)
+    score = checkpointed(rows.groupBy("id").agg(F.sum("n").alias("score")), SMALL)
     wanted = score.select("id")
-    texts = checkpointed(
-        docs.join(F.broadcast(wanted) if score.count() <= SENT_IDS else wanted, "id", "left_semi").select("id", "text")
+    texts = stored(
+        docs.join(sent_if_small(wanted), "id", "left_semi").select("id", "text")
     )
     rows = rows.select("key", "id", F.lit(True).alias("open"), F.lit(True).alias("half"))
     edges = seen = None
@@ -229,7 +229,7 @@ def links(reps: DataFrame, docs: DataFrame) -> DataFrame:
             .selectExpr("key", "hub", "n_half + n_rest + n_shut as n", "n_half * (n_half - 1) / 2 + (n_half + n_rest) * n_shut as work")
             .filter("work > 0")
         )
-        tagged = checkpointed(rows.join(stats, "key"))
+        tagged = checkpointed(rows.join(stats, "key"), WIDE)
         small, large = tagged.filter(F.col("work") <= COMPARISONS), tagged.filter(F.col("work") > COMPARISONS)
         pairs = (
             small.alias("x")
@@ -247,16 +247,19 @@ def links(reps: DataFrame, docs: DataFrame) -> DataFrame:
         stars = large.filter("id <> hub").groupBy(F.col("id").alias("a"), F.col("hub").alias("b")).agg(F.max("n").alias("n"))
         if seen is not None:  # what a hub met before has nothing new to say
             stars = stars.join(seen, ["a", "b"], "left_anti")
-        stars = checkpointed(stars)
+        stars = checkpointed(stars, SMALL)
         if stars.isEmpty():
-            edges = more(edges, compare(pairs, texts).filter("linked").select("a", "b"))
+            done = stored(compare(pairs, texts))
+            edges = more(edges, done.filter("linked").select("a", "b"))
+            for kept in (done, texts):
+                kept.unpersist()
             return edges.distinct()
         sample = stars.filter(F.expr(f"pmod(xxhash64(a), greatest(1, n div {SAMPLE})) = 0"))
         common = frequent_differences(sample.select("a", "b"), texts)
         told = stars.join(common, "b", "left").select("a", "b", F.lit(True).alias("hub"), "common")
-        done = checkpointed(compare(pairs.unionByName(told), texts))
-        edges = more(edges, done.filter("linked").select("a", "b")).coalesce(n_parts)
-        seen = more(seen, stars.select("a", "b")).coalesce(n_parts)
+        done = stored(compare(pairs.unionByName(told), texts))
+        edges = more(edges, done.filter("linked").select("a", "b"))
+        seen = more(seen, stars.select("a", "b"))
         element = lambda half: lambda k: F.struct(k.alias("key"), F.lit(half).alias("half"))
         rows = done.filter("size(half) + size(rest) > 0").select(
             F.col("a").alias("id"),
@@ -267,29 +270,31 @@ def links(reps: DataFrame, docs: DataFrame) -> DataFrame:
 
 
 def more(have: DataFrame | None, new: DataFrame) -> DataFrame:
-    return checkpointed(new if have is None else have.unionByName(new))
+    return checkpointed(new if have is None else have.unionByName(new), SMALL)
 
 
 def components(edges: DataFrame) -> DataFrame:
     """id, component: the least id that can be reached, for every id that occurs in a link (a, b)."""
-    edges = checkpointed(edges)
+    edges = checkpointed(edges, SMALL)
     labels = edges.select(F.col("a").alias("id")).union(edges.select("b")).distinct().select("id", F.col("id").alias("label"))
-    labels = checkpointed(labels)
+    labels = checkpointed(labels, SMALL)
     while not edges.isEmpty():
         both = edges.select(F.col("a").alias("u"), F.col("b").alias("v")).union(edges.select("b", "a"))
         both = both.union(both.select("u", "u"))
-        chosen = checkpointed(both.groupBy("u").agg(F.min_by("v", F.xxhash64("v")).alias("to")))
+        chosen = checkpointed(both.groupBy("u").agg(F.min_by("v", F.xxhash64("v")).alias("to")), SMALL)
         edges = checkpointed(
             edges.join(chosen.select(F.col("u").alias("a"), F.col("to").alias("p")), "a")
             .join(chosen.select(F.col("u").alias("b"), F.col("to").alias("q")), "b")
             .filter("p <> q")
             .select(F.least("p", "q").alias("a"), F.greatest("p", "q").alias("b"))
-            .distinct()
+            .distinct(),
+            SMALL,
         )
         labels = checkpointed(
             labels.join(chosen.select(F.col("u").alias("label"), "to"), "label", "left").select(
                 "id", F.coalesce("to", "label").alias("label")
-            )
+            ),
+            SMALL,
         )
     least = labels.groupBy("label").agg(F.min("id").alias("component"))
     return labels.join(least, "label").select("id", "component")
@@ -298,11 +303,12 @@ def components(edges: DataFrame) -> DataFrame:
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per document: id, n_shingles, component_id, kept."""
     own = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
-    made = checkpointed(sketch(own, "id", "text"))
+    made = stored(sketch(own, "id", "text"))
     some = made.filter("n_shingles > 0")
     signature = ["n_shingles", "sig_a", "sig_b"]
     reps = checkpointed(
-        some.filter("id is not null").groupBy(*signature).agg(F.min("id").alias("id"), F.first("bands").alias("bands"))
+        some.filter("id is not null").groupBy(*signature).agg(F.min("id").alias("id"), F.first("bands").alias("bands")),
+        WIDE,
     )
     found = components(links(reps.select("id", "bands"), own))
     classes = reps.join(found, "id", "left").select(*signature, F.coalesce("component", "id").alias("component"))
@@ -323,4 +329,4 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The documents that stand for their groups, with all their columns."""
     gone = near_duplicates(docs, id_col, text_col).filter(~F.col("kept")).select(F.col(id_col).alias("_gone"))
-    return docs.join(gone, docs[id_col] == gone["_gone"], "left_anti")
+    return docs.join(sent_if_small(checkpointed(gone, SMALL)), F.col(id_col) == F.col("_gone"), "left_anti")

@@ -23,7 +23,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import SPACES, checkpointed
+from .common import SPACES, checkpointed, sent_if_small
 
 #: Fixed values of the base rules.
 MIN_WORDS, MAX_REPEATED, WINDOW = 10, 20, 5
@@ -161,9 +161,22 @@ def judge(
 def clean_documents(
     docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", host_col: str = "source", max_docs: int = MAX_DOCS
 ) -> DataFrame:
-    """The kept documents with all their columns and without their boilerplate lines."""
-    others = tuple(c for c in docs.columns if c != id_col)
-    out = judge(docs, id_col, text_col, host_col, max_docs, others).filter("kept")
+    """The kept documents with all their columns and without their boilerplate lines.
+
+    Texts are not shuffled for it: what is rejected or changed comes back by id and text hash.
+    """
+    print_of = F.xxhash64(text_col, F.col(text_col).isNull())
+    judged = judge(docs.withColumn("_print", print_of), id_col, text_col, host_col, max_docs, ("_print", host_col))
+    changed = judged.filter(~F.col("kept") | (F.size("boilerplate") > 0)).select(
+        F.col(id_col).alias("_id"), "_print", F.col(host_col).alias("_host"), F.col("kept").alias("_kept"), "boilerplate"
+    )
+    changed = checkpointed(changed.distinct(), 4)
+    same = (
+        F.col(id_col).eqNullSafe(F.col("_id"))
+        & (print_of == F.col("_print"))
+        & F.col(host_col).eqNullSafe(F.col("_host"))
+    )
+    out = docs.join(sent_if_small(changed, "1 + size(boilerplate)"), same, "left").filter(F.coalesce("_kept", F.lit(True)))
     line_hash = lambda line: F.xxhash64(
         F.lower(F.array_join(F.filter(F.split(line, SPACES, -1), lambda w: w != ""), " "))
     )
