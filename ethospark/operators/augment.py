@@ -40,12 +40,13 @@ def flipped_labels(labels: DataFrame, parameter: str) -> DataFrame:
 
 
 def flipped_line(line: Column, parameter: str) -> Column:
-    """A label line's text after a flip, six decimals; lines with fewer than five fields stay as they are."""
+    """A label line's text after a flip, with six decimals; lines with fewer than five fields stay as they are."""
     part = F.split(F.trim(line), r"\s+")
     axis = {"flip_h": 1, "flip_v": 2}.get(parameter)
     if axis is None:
         return line
-    fields = [part[0], *[F.format_string("%.6f", 1 - part[i].cast("double")) if i == axis else part[i] for i in (1, 2)], part[3], part[4]]
+    value = lambda i: 1 - part[i].cast("double") if i == axis else part[i].cast("double")
+    fields = [part[0], *[F.format_string("%.6f", value(i)) for i in (1, 2, 3, 4)]]
     return F.when(F.size(part) >= 5, F.concat_ws(" ", *fields)).otherwise(line)
 
 

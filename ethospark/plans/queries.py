@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import exprs as X
-from ..operators import augment, budget, dataset, geometry, motion
+from ..operators import augment, budget, dataset, geometry, motion, tracking
 from . import views as V
 
 QUERIES: dict = {}
@@ -449,3 +449,11 @@ def detection_sessions(s, d):
 def conversation_role_transitions(s, d):
     c = V.table(s, d, "conversations").select(F.col("conv_id").cast("string").alias("video_filename"), F.lit(0).cast("bigint").alias("track_id"), F.col("turn").alias("frame"), F.col("turn").alias("row_no"), F.col("role").alias("behaviour"))
     return budget.transitions(c).groupBy("behaviour").agg(F.sum("transitions").alias("transitions"), F.count("*").alias("conversations"))
+
+
+@query
+def track_objects(s, d):
+    """Identities of the merged detections; every sampled frame counts, also without detections."""
+    here = geometry.merge(V.boxes(s, d), "confidence", 12.0, 0.6).select("video", "frame", "det", X.centroid(F.col("x1"), F.col("x2")).alias("x"), X.centroid(F.col("y1"), F.col("y2")).alias("y"))
+    frames = s.range(25).select(F.lit("v").alias("video"), F.col("id").alias("frame"))
+    return tracking.track(tracking.with_frame_axis(here, frames), gate=15.0)

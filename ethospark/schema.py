@@ -14,7 +14,3 @@ TRACKING_TEXT = T.StructType([T.StructField(c, T.StringType()) for c in TRACKING
 METADATA_TEXT = T.StructType(
     [T.StructField(c, T.StringType()) for c in ("video_filename", "group_id", "group_type", "exclude_track_ids")]
 )
-BOX = T._parse_datatype_string(
-    "x1 int, y1 int, x2 int, y2 int, cls string, conf double, source string, combined_cls string, combined_conf double"
-)
-DETECTIONS = T._parse_datatype_string("video string, frame bigint, x1 int, y1 int, x2 int, y2 int, cls string, conf double, source string")

@@ -1,0 +1,71 @@
+"""The hand case of an activity budget, and properties that hold for any rows."""
+
+import pytest
+from pyspark.sql import functions as F
+
+from ethospark.operators import budget
+
+ROWS = [
+    ("1", "1", "", "0", "walk", ".9"), ("2", "1", "", "0", "walk", ".9"), ("3", "1", "graze", ".8", "walk", ".5"),
+    ("4", "1", "", ".9", "walk", ".5"), ("5", "1", "", "0", "walk", ".7"), ("5", "1", "", "0", "walk", ".6"),
+    ("10", "2", "rest", ".6", "", ""), ("11", "2", "rest", ".6", "", ""), ("20", "3", "", "0", "walk", ".9"), ("abc", "2", "rest", ".6", "", ""),
+]
+
+
+@pytest.fixture(scope="module")
+def rows(spark):
+    data = [("v.MP4", i, f, t, "5", "5", *rest) for i, (f, t, *rest) in enumerate(ROWS)]
+    raw = spark.createDataFrame(
+        data,
+        "video_filename string, row_no int, frame string, id string, x string, y string, primary_static_class string,"
+        " primary_static_conf string, primary_motion_class string, primary_motion_conf string",
+    )
+    return budget.tracking_rows(raw)
+
+
+def test_hand_case(rows):
+    got = {r["track_id"]: r.asDict() for r in budget.individual_budget(rows).collect()}
+    one, two, three = got[1], got[2], got[3]
+    assert (one["n_frames_present"], one["duration_s"], one["presence_ratio"], one["individual_type"]) == (6, 0.2, 0.3, "group_member")
+    assert [one[f"behavior_graze_{k}"] for k in ("s", "n", "pct")] == [0.03, 1, 16.67]
+    assert [one[f"behavior_walk_{k}"] for k in ("s", "n", "pct")] == [0.13, 1, 66.67]
+    assert (one["dominant_behavior_time"], one["dominant_behavior_count"]) == ("walk", "graze")
+    assert (two["presence_ratio"], two["individual_type"], two["dominant_behavior_time"], two["dominant_behavior_count"]) == (0.1, "group_member", "rest", "graze")
+    assert (three["presence_ratio"], three["individual_type"], three["auto_flagged"]) == (0.05, "stranger", True)
+
+
+def test_suspects(rows):
+    (s,) = budget.suspects(rows).collect()
+    assert (s["track_id"], s["flag_reason"], s["first_seen_frame"], s["last_seen_timecode"], s["border_entry"]) == (3, "short_presence", 20, "00:00", False)
+
+
+def test_transitions_and_shares(rows):
+    entered = budget.with_entered(rows).filter("entered").count()
+    assert budget.transitions(rows).agg(F.sum("transitions")).first()[0] == entered
+    for r in budget.frames_by_behaviour(rows).groupBy("track_id").agg(F.sum("pct").alias("p")).collect():
+        assert r["p"] == pytest.approx(100)
+
+
+def test_no_rows(rows):
+    none = rows.filter("false")
+    assert budget.individual_budget(none).count() == 0 and budget.suspects(none).count() == 0
+
+
+def test_metadata_last_row_wins(spark):
+    raw = spark.createDataFrame(
+        [("a.MP4", "g1", "t", "1; 2;x", 0), ("a.MP4", "g2", " ", "7", 1), ("", "g3", "", "", 2)],
+        "video_filename string, group_id string, group_type string, exclude_track_ids string, line_no int",
+    )
+    (r,) = budget.metadata_rows(raw, "line_no").collect()
+    assert (r["group_id"], r["group_type"], r["excluded"]) == ("g2", "", [7])
+
+
+def test_partitions_do_not_matter(spark, rows):
+    a = sorted(map(str, budget.individual_budget(rows.repartition(1)).collect()))
+    assert a == sorted(map(str, budget.individual_budget(rows.repartition(7)).collect()))
+
+
+def test_plan_has_one_shuffle_of_the_rows(rows):
+    tracks = budget.per_track(rows, ["walk"])
+    plan = tracks._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("hashpartitioning(video_filename") >= 1 and "BatchEvalPython" not in plan and "MapIn" not in plan

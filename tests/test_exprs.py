@@ -1,0 +1,70 @@
+"""Scalar expressions against hand cases."""
+
+import pytest
+from pyspark.sql import functions as F
+
+from ethospark.functions import exprs as X
+from ethospark.operators import augment
+
+
+def one(spark, c):
+    return spark.range(1).select(c.alias("c")).first()["c"]
+
+
+@pytest.mark.parametrize("index,want", [(4, "only-mare"), (9, "unknown"), (-1, "unknown")])
+def test_group_type(spark, index, want):
+    assert one(spark, X.group_type(F.lit("DJI_20260401080704_0162_D_only-mare_morning1.MP4"), "_", index)) == want
+
+
+@pytest.mark.parametrize("frame,fps,want", [(1830, 30.0, "01:01"), (200000, 30.0, "111:06"), (5, 0.0, "00:00")])
+def test_timecode(spark, frame, fps, want):
+    assert one(spark, X.timecode(F.lit(frame), F.lit(fps))) == want
+
+
+@pytest.mark.parametrize("x,want", [(287, True), (288, False), (1632, False), (1633, True)])
+def test_border(spark, x, want):
+    assert one(spark, X.in_border(F.lit(x), F.lit(500), F.lit(1920), F.lit(1080), 0.15)) is want
+
+
+def test_segments(spark):
+    got = one(spark, X.segments(F.lit("0.5,0.8 | 1.0 | 1.2,1.6")))
+    assert [(g["kind"], g["lo"], g["hi"]) for g in got] == [("range", 0.5, 0.8), ("discrete", 1.0, 1.0), ("range", 1.2, 1.6)]
+
+
+@pytest.mark.parametrize("a,b,skip,want", [(0.5, 0.8, 0, 15), (0.5, 0.81, 0, 20), (0.2, 0.2, 0, 4), (0.5, 0.8, 2, 45)])
+def test_window_length(spark, a, b, skip, want):
+    assert one(spark, X.window_length(F.lit(a), F.lit(b), F.lit("exponential"), F.lit(skip))) == want
+
+
+@pytest.mark.parametrize("b,want", [((2, 2, 8, 8), 1.0), ((5, 0, 15, 10), 0.5), ((3, 3, 3, 9), 0.0)])
+def test_overlap(spark, b, want):
+    assert one(spark, X.overlap([F.lit(v) for v in (0, 0, 10, 10)], [F.lit(v) for v in b])) == want
+
+
+def test_flip_line(spark):
+    assert one(spark, augment.flipped_line(F.lit("1 0.25 0.4 0.1 0.2"), "flip_h")) == "1 0.750000 0.400000 0.100000 0.200000"
+    assert one(spark, augment.flipped_line(F.lit("1 0.25"), "flip_h")) == "1 0.25"
+
+
+def test_behaviour_loses_to_empty_static(spark):
+    assert one(spark, X.behaviour(F.lit("walk"), F.lit(0.5), F.lit(""), F.lit(0.9))) == "unknown"
+
+
+def test_round_trip_of_boxes(spark):
+    norm = X.normalised_box(*[F.lit(v) for v in (10, 20, 110, 220)], F.lit(640), F.lit(480))
+    back = X.pixel_box(*norm, F.lit(640), F.lit(480))
+    got = spark.range(1).select(*[c.alias(str(i)) for i, c in enumerate(back)]).first()
+    assert all(abs(g - w) <= 1 for g, w in zip(got, (10, 20, 110, 220)))
+
+
+def test_pixel_operations(spark):
+    px = F.array(*[F.lit(v) for v in (0, 50, 100, 250)])
+    assert one(spark, augment.changed_pixels(px, 2, "flip_h", F.lit(1.0))) == [50, 0, 250, 100]
+    assert one(spark, augment.changed_pixels(px, 2, "flip_v", F.lit(1.0))) == [100, 250, 0, 50]
+    assert one(spark, augment.changed_pixels(px, 2, "brightness", F.lit(2.0))) == [0, 100, 200, 255]
+    for p in ("contrast", "noise", "blur", "sharpness", "shear"):
+        assert len(one(spark, augment.changed_pixels(px, 2, p, F.lit(0.5)))) == 4
+    turned = augment.changed_colours(F.lit(0.0), F.lit(0.0), F.lit(200.0), "hue", F.lit(60.0))
+    assert spark.range(1).select(*[c.alias(str(i)) for i, c in enumerate(turned)]).first()[:] == (0, 200, 0)
+    cool = augment.changed_colours(F.lit(10.0), F.lit(20.0), F.lit(30.0), "temperature", F.lit(5.0))
+    assert spark.range(1).select(*[c.alias(str(i)) for i, c in enumerate(cool)]).first()[:] == (5, 20, 35)
