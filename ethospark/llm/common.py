@@ -96,6 +96,12 @@ def to_arrow(schema: str) -> list[pa.DataType]:
     return [to_arrow_type(f.dataType) for f in T._parse_datatype_string(schema).fields]
 
 
+def veiled(df: DataFrame) -> tuple[DataFrame, dict[str, str]]:
+    """The table under column names of our own, so that no name of its columns can clash, and the names by theirs."""
+    names = [f"c{i}" for i in range(len(df.columns))]
+    return df.toDF(*names), dict(zip(df.columns, names))
+
+
 def doc_hash_mod(doc_id, n: int):
     """crc32 of the id as text, modulo n: the fixed folds of the queries."""
     return F.crc32(F.col(doc_id).cast("string").cast("binary")) % F.lit(n)

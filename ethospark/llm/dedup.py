@@ -26,13 +26,16 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import arrow_map, checkpointed, sent_if_small, stored
+from .common import arrow_map, checkpointed, sent_if_small, stored, veiled
 
 BANDS, PER_BAND = 20, 2
 #: Similarity as a percentage, and words in a shingle.
 PERCENT, WIDTH = 85, 3
 #: Buckets with at most this many comparisons are compared pair by pair.
 COMPARISONS = 1000
+#: The same for buckets of differences, where most pairs fall to the places of their shared element: what two sets
+#: can still share from there on must reach what a link needs.
+PLACED = 60_000
 #: Members of a hub that are looked at, about, before its members' differences are put in order.
 SAMPLE = 32
 
@@ -141,6 +144,9 @@ def difference_keys(
     if is_linked:
         return order[:half], order[:0]
     least = max(1, -((3 * len(own) - 17 * d) // 17))
+    # a linked partner's difference is 3/37 (|v| + |hub|) at most, with |v| <= |u| / 0.85
+    if 17 * 37 * least > 3 * (20 * len(own) + 17 * len(hub)):
+        return order[:half], order[:0]
     return order[:half], order[half : max(half, d - least + 1)]
 
 
@@ -179,14 +185,15 @@ def with_texts(pairs: DataFrame, texts: DataFrame) -> DataFrame:
 
 
 def compare(pairs: DataFrame, texts: DataFrame) -> DataFrame:
-    """Confirm pairs (a, b, hub, common) on full sets: a, b, linked, and for hub rows the keys of a's difference."""
+    """Confirm pairs (a, b, hub, common) on full sets: a, b, linked, and for hub rows the keys of a's difference, its
+    size d and a's size n."""
     kind = dict(pairs.dtypes)["a"]
     joined = with_texts(pairs, texts).select(
         "a", "b", "hub", F.xxhash64("b").alias("salt"), "common", "text_a", "text_b"
     )
 
     def run(a, b, hub, salt, common, text_a, text_b):
-        found, half, rest, last, set_b = [], [], [], None, None
+        found, half, rest, sizes, last, set_b = [], [], [], [], None, None
         with np.errstate(over="ignore"):
             for is_hub, s, c, x, y in zip(hub, salt, common, text_a, text_b):
                 if y != last or set_b is None:
@@ -197,11 +204,15 @@ def compare(pairs: DataFrame, texts: DataFrame) -> DataFrame:
                 if is_hub:
                     late = np.array(c or [], np.int64).astype(np.uint64)
                     keys = difference_keys(set_a, set_b, found[-1], late)
+                common_n = len(np.intersect1d(set_a, set_b, assume_unique=True)) if is_hub else 0
+                sizes.append((len(set_a) + len(set_b) - 2 * common_n, len(set_a)))
                 for out, k in zip((half, rest), keys):
                     out.append(mixed(k ^ np.array([s], np.int64).astype(np.uint64)).astype(np.int64))
-        return a, b, found, half, rest
+        return a, b, found, half, rest, [x[0] for x in sizes], [x[1] for x in sizes]
 
-    return arrow_map(joined, run, f"a {kind}, b {kind}, linked boolean, half array<bigint>, rest array<bigint>")
+    return arrow_map(
+        joined, run, f"a {kind}, b {kind}, linked boolean, half array<bigint>, rest array<bigint>, d bigint, n bigint"
+    )
 
 
 def links(reps: DataFrame, docs: DataFrame) -> DataFrame:
@@ -211,26 +222,27 @@ def links(reps: DataFrame, docs: DataFrame) -> DataFrame:
     rows = checkpointed(rows.join(full, "key"), WIDE)
     score = checkpointed(rows.groupBy("id").agg(F.sum("n").alias("score")), SMALL)
     wanted = score.select("id")
-    texts = stored(
-        docs.join(sent_if_small(wanted), "id", "left_semi").select("id", "text")
-    )
-    rows = rows.select("key", "id", F.lit(True).alias("open"), F.lit(True).alias("half"))
+    texts = docs.join(sent_if_small(wanted), "id", "left_semi").select("id", "text")
+    texts = checkpointed(texts, WIDE)  # a scan that both sides of a comparison can share one shuffle of
+    place = [F.lit(None).cast("bigint").alias(c) for c in ("pos", "d", "size")]
+    rows = rows.select("key", "id", F.lit(True).alias("open"), F.lit(True).alias("half"), *place)
     edges = seen = None
     while True:
         stats = (
-            rows.join(score, "id")
-            .groupBy("key")
+            rows.groupBy("key")
             .agg(
                 F.count_if(F.expr("open and half")).alias("n_half"),
                 F.count_if(F.expr("open and not half")).alias("n_rest"),
                 F.count_if(F.expr("not open")).alias("n_shut"),
-                F.max_by("id", F.struct("score", "id")).alias("hub"),
             )
-            .selectExpr("key", "hub", "n_half + n_rest + n_shut as n", "n_half * (n_half - 1) / 2 + (n_half + n_rest) * n_shut as work")
+            .selectExpr("key", "n_half + n_rest + n_shut as n", "n_half * (n_half - 1) / 2 + (n_half + n_rest) * n_shut as work")
             .filter("work > 0")
         )
         tagged = checkpointed(rows.join(stats, "key"), WIDE)
-        small, large = tagged.filter(F.col("work") <= COMPARISONS), tagged.filter(F.col("work") > COMPARISONS)
+        most = COMPARISONS if seen is None else PLACED
+        small, large = tagged.filter(F.col("work") <= most), tagged.filter(F.col("work") > most)
+        hubs = large.join(score, "id").groupBy("key").agg(F.max_by("id", F.struct("score", "id")).alias("hub"))
+        large = large.join(hubs, "key")
         pairs = (
             small.alias("x")
             .join(
@@ -238,6 +250,8 @@ def links(reps: DataFrame, docs: DataFrame) -> DataFrame:
                 F.expr(
                     "x.key = y.key and ((x.open and x.half and y.open and y.half and x.id < y.id)"
                     " or (x.open and not y.open and x.id <> y.id))"
+                    " and coalesce(37 * (x.d + y.d) - 3 * (x.size + y.size)"
+                    " <= 74 * (1 + least(x.d - 1 - x.pos, y.d - 1 - y.pos)), true)"
                 ),
             )
             .select(F.expr("least(x.id, y.id)").alias("a"), F.expr("greatest(x.id, y.id)").alias("b"))
@@ -251,8 +265,7 @@ def links(reps: DataFrame, docs: DataFrame) -> DataFrame:
         if stars.isEmpty():
             done = stored(compare(pairs, texts))
             edges = more(edges, done.filter("linked").select("a", "b"))
-            for kept in (done, texts):
-                kept.unpersist()
+            done.unpersist()
             return edges.distinct()
         sample = stars.filter(F.expr(f"pmod(xxhash64(a), greatest(1, n div {SAMPLE})) = 0"))
         common = frequent_differences(sample.select("a", "b"), texts)
@@ -260,13 +273,18 @@ def links(reps: DataFrame, docs: DataFrame) -> DataFrame:
         done = stored(compare(pairs.unionByName(told), texts))
         edges = more(edges, done.filter("linked").select("a", "b"))
         seen = more(seen, stars.select("a", "b"))
-        element = lambda half: lambda k: F.struct(k.alias("key"), F.lit(half).alias("half"))
+        half = F.transform("half", lambda k, i: F.struct(k.alias("key"), F.lit(True).alias("half"), i.alias("pos")))
+        rest = F.transform(
+            "rest", lambda k, i: F.struct(k.alias("key"), F.lit(False).alias("half"), (F.size("half") + i).alias("pos"))
+        )
         rows = done.filter("size(half) + size(rest) > 0").select(
             F.col("a").alias("id"),
             (~F.col("linked")).alias("open"),
-            F.explode(F.concat(F.transform("half", element(True)), F.transform("rest", element(False)))).alias("e"),
+            "d",
+            F.col("n").alias("size"),
+            F.explode(F.concat(half, rest)).alias("e"),
         )
-        rows = rows.select("e.key", "id", "open", "e.half")
+        rows = rows.select("e.key", "id", "open", "e.half", F.col("e.pos").cast("bigint").alias("pos"), "d", "size")
 
 
 def more(have: DataFrame | None, new: DataFrame) -> DataFrame:
@@ -328,5 +346,8 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 
 def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The documents that stand for their groups, with all their columns."""
+    given = docs.columns
+    docs, at = veiled(docs)
+    id_col, text_col = at[id_col], at[text_col]
     gone = near_duplicates(docs, id_col, text_col).filter(~F.col("kept")).select(F.col(id_col).alias("_gone"))
-    return docs.join(sent_if_small(checkpointed(gone, SMALL)), F.col(id_col) == F.col("_gone"), "left_anti")
+    return docs.join(sent_if_small(checkpointed(gone, SMALL)), F.col(id_col) == F.col("_gone"), "left_anti").toDF(*given)

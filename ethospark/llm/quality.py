@@ -23,7 +23,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import SPACES, checkpointed, sent_if_small
+from .common import SPACES, checkpointed, sent_if_small, veiled
 
 #: Fixed values of the base rules.
 MIN_WORDS, MAX_REPEATED, WINDOW = 10, 20, 5
@@ -165,6 +165,9 @@ def clean_documents(
 
     Texts are not shuffled for it: what is rejected or changed comes back by id and text hash.
     """
+    given = docs.columns
+    docs, at = veiled(docs)
+    id_col, text_col, host_col = at[id_col], at[text_col], at[host_col]
     print_of = F.xxhash64(text_col, F.col(text_col).isNull())
     judged = judge(docs.withColumn("_print", print_of), id_col, text_col, host_col, max_docs, ("_print", host_col))
     changed = judged.filter(~F.col("kept") | (F.size("boilerplate") > 0)).select(
@@ -184,4 +187,4 @@ def clean_documents(
         F.split(F.col(text_col), "\n", -1), lambda line: ~F.array_contains("boilerplate", line_hash(line))
     )
     text = F.when(F.size("boilerplate") > 0, F.array_join(stays, "\n")).otherwise(F.col(text_col))
-    return out.withColumn(text_col, text).select(*docs.columns)
+    return out.withColumn(text_col, text).select(*docs.columns).toDF(*given)
