@@ -122,32 +122,46 @@ def linked(a: np.ndarray, b: np.ndarray, common: int | None = None) -> bool:
 
 def difference_keys(
     own: np.ndarray, hub: np.ndarray, is_linked: bool, common: np.ndarray
-) -> tuple[np.ndarray, np.ndarray]:
-    """The elements of the symmetric difference D of a member and its hub by which further links are found.
-
-    A link of u and v means |D_u ^ D_v| <= 3/37 (|u| + |v|), so they share more than
-    (|D_u| + |D_v| - 3/37 (|u| + |v|)) / 2 elements of their differences. With v not linked to the hub,
-    |D_v| > 3/37 (|v| + |hub|), hence more than (|D_u| + 3/37 (|hub| - |u|)) / 2: two sets that share so many have
-    a common element among the first few of each in any order that is fixed for the hub. Rare elements come first:
-    those added to the hub, those removed, at last those that ``common`` lists as frequent among its members.
-    If u is not linked and v is, |D_v| >= |D_u| - 3/37 (|u| + |v|) and |v| <= |u| / 0.85 leave |D_u| - 3/17 |u|.
-    Returned: the elements for a partner that isn't linked, and those beyond them for one that is.
+) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The elements by which a hub's member finds its further links: ``half``, ``rest`` and ``far``.
+
+    Any order of elements that is fixed for the hub will do; rare ones come first: those the member adds to the hub,
+    then the hub's, at last those that ``common`` lists as frequent among its members' differences.
+
+    Half and rest are first elements of the symmetric difference D from the hub. A link of u and v means
+    |D_u ^ D_v| <= 3/37 (|u| + |v|), so they share at least (|D_u| + |D_v| - 3/37 (|u| + |v|)) / 2 elements of those.
+    With v not linked to the hub, |D_v| > 3/37 (|v| + |hub|) makes that more than (|D_u| + 3/37 (|hub| - |u|)) / 2, and
+    two sets that share so many have a common one in ``half``. If u isn't linked and v is,
+    |D_v| >= |D_u| - 3/37 (|u| + |v|) and |v| <= |u| / 0.85 make it |D_u| - 3/17 |u|, which must not be over
+    |D_v| <= 3/37 (|v| + |hub|); they meet in u's half and rest, and v's half.
+
+    Far is for two members whose D are both over 36 % of the hub: a link shares 0.85 |u| elements, so they meet in the
+    first |u| - 0.85 |u| + 1 elements of the sets themselves, which are rare then. Such a member needs half and rest
+    only for partners that are nearer, so not if its D is over that by more than 3/17 |u|.
     """
     added = np.setdiff1d(own, hub, assume_unique=True)
     removed = np.setdiff1d(hub, own, assume_unique=True)
     whole = np.concatenate([added, removed])
-    d = len(whole)
-    late = np.repeat([0, 1], [len(added), len(removed)]) + 2 * np.isin(whole, common)
-    order = whole[np.lexsort((mixed(whole), late))]
-    least = (37 * d + 3 * (len(hub) - len(own))) // 74 + 1
-    half = min(d, max(0, d - max(1, least) + 1))
+    n, d, none = len(own), len(whole), own[:0]
+
+    def ordered(elements: np.ndarray, new: np.ndarray) -> np.ndarray:
+        late = ~np.isin(elements, new) + 2 * np.isin(elements, common)
+        return elements[np.lexsort((mixed(elements), late))]
+
+    order = ordered(whole, added)
+    half = d - max(1, (37 * d + 3 * (len(hub) - n)) // 74 + 1) + 1
+    half = min(d, max(0, half))
     if is_linked:
-        return order[:half], order[:0]
-    least = max(1, -((3 * len(own) - 17 * d) // 17))
-    # a linked partner's difference is 3/37 (|v| + |hub|) at most, with |v| <= |u| / 0.85
-    if 17 * 37 * least > 3 * (20 * len(own) + 17 * len(hub)):
-        return order[:half], order[:0]
-    return order[:half], order[half : max(half, d - least + 1)]
+        return order[:half], none, none
+    far, limit = none, 36 * len(hub)
+    if 100 * d > limit:
+        far = ordered(own, added)[: n - -(-PERCENT * n // 100) + 1]
+        if 1700 * d > 17 * limit + 300 * n:
+            return none, none, far
+    least = max(1, -((3 * n - 17 * d) // 17))
+    if 17 * 37 * least > 3 * (20 * n + 17 * len(hub)):
+        return order[:half], none, far
+    return order[:half], order[half : max(half, d - least + 1)], far
 
 
 def frequent_differences(sample: DataFrame, texts: DataFrame) -> DataFrame:
@@ -193,25 +207,25 @@ def compare(pairs: DataFrame, texts: DataFrame) -> DataFrame:
     )
 
     def run(a, b, hub, salt, common, text_a, text_b):
-        found, half, rest, sizes, last, set_b = [], [], [], [], None, None
+        found, half, rest, far, sizes, last, set_b = [], [], [], [], [], None, None
         with np.errstate(over="ignore"):
             for is_hub, s, c, x, y in zip(hub, salt, common, text_a, text_b):
                 if y != last or set_b is None:
                     last, set_b = y, shingles(y)
                 set_a = shingles(x)
                 found.append(linked(set_a, set_b))
-                keys = (set_b[:0], set_b[:0])
+                keys = (set_b[:0],) * 3
                 if is_hub:
                     late = np.array(c or [], np.int64).astype(np.uint64)
                     keys = difference_keys(set_a, set_b, found[-1], late)
                 common_n = len(np.intersect1d(set_a, set_b, assume_unique=True)) if is_hub else 0
                 sizes.append((len(set_a) + len(set_b) - 2 * common_n, len(set_a)))
-                for out, k in zip((half, rest), keys):
-                    out.append(mixed(k ^ np.array([s], np.int64).astype(np.uint64)).astype(np.int64))
-        return a, b, found, half, rest, [x[0] for x in sizes], [x[1] for x in sizes]
+                for out, k, kind_of in zip((half, rest, far), keys, (_B, _B, _C)):
+                    out.append(mixed(k ^ mixed(np.array([s], np.int64).astype(np.uint64) ^ kind_of)).astype(np.int64))
+        return a, b, found, half, rest, far, [x[0] for x in sizes], [x[1] for x in sizes]
 
     return arrow_map(
-        joined, run, f"a {kind}, b {kind}, linked boolean, half array<bigint>, rest array<bigint>, d bigint, n bigint"
+        joined, run, f"a {kind}, b {kind}, linked boolean, half array<bigint>, rest array<bigint>, far array<bigint>, d bigint, n bigint"
     )
 
 
@@ -224,18 +238,19 @@ def links(reps: DataFrame, docs: DataFrame) -> DataFrame:
     wanted = score.select("id")
     texts = docs.join(sent_if_small(wanted), "id", "left_semi").select("id", "text")
     texts = checkpointed(texts, WIDE)  # a scan that both sides of a comparison can share one shuffle of
-    place = [F.lit(None).cast("bigint").alias(c) for c in ("pos", "d", "size")]
-    rows = rows.select("key", "id", F.lit(True).alias("open"), F.lit(True).alias("half"), *place)
+    # open: not linked to the bucket's hub; peer: meets its like; need, left: what a link must and can still share
+    place = [F.lit(None).cast("double").alias(c) for c in ("need", "left")]
+    rows = rows.select("key", "id", F.lit(True).alias("open"), F.lit(True).alias("peer"), *place)
     edges = seen = None
     while True:
         stats = (
             rows.groupBy("key")
             .agg(
-                F.count_if(F.expr("open and half")).alias("n_half"),
-                F.count_if(F.expr("open and not half")).alias("n_rest"),
+                F.count_if(F.expr("open and peer")).alias("n_peer"),
+                F.count_if(F.expr("open and not peer")).alias("n_rest"),
                 F.count_if(F.expr("not open")).alias("n_shut"),
             )
-            .selectExpr("key", "n_half + n_rest + n_shut as n", "n_half * (n_half - 1) / 2 + (n_half + n_rest) * n_shut as work")
+            .selectExpr("key", "n_peer + n_rest + n_shut as n", "n_peer * (n_peer - 1) / 2 + (n_peer + n_rest) * n_shut as work")
             .filter("work > 0")
         )
         tagged = checkpointed(rows.join(stats, "key"), WIDE)
@@ -248,10 +263,9 @@ def links(reps: DataFrame, docs: DataFrame) -> DataFrame:
             .join(
                 small.alias("y"),
                 F.expr(
-                    "x.key = y.key and ((x.open and x.half and y.open and y.half and x.id < y.id)"
+                    "x.key = y.key and ((x.open and x.peer and y.open and y.peer and x.id < y.id)"
                     " or (x.open and not y.open and x.id <> y.id))"
-                    " and coalesce(37 * (x.d + y.d) - 3 * (x.size + y.size)"
-                    " <= 74 * (1 + least(x.d - 1 - x.pos, y.d - 1 - y.pos)), true)"
+                    " and coalesce(x.need + y.need <= least(x.left, y.left) + 1e-6, true)"
                 ),
             )
             .select(F.expr("least(x.id, y.id)").alias("a"), F.expr("greatest(x.id, y.id)").alias("b"))
@@ -273,18 +287,23 @@ def links(reps: DataFrame, docs: DataFrame) -> DataFrame:
         done = stored(compare(pairs.unionByName(told), texts))
         edges = more(edges, done.filter("linked").select("a", "b"))
         seen = more(seen, stars.select("a", "b"))
-        half = F.transform("half", lambda k, i: F.struct(k.alias("key"), F.lit(True).alias("half"), i.alias("pos")))
-        rest = F.transform(
-            "rest", lambda k, i: F.struct(k.alias("key"), F.lit(False).alias("half"), (F.size("half") + i).alias("pos"))
-        )
-        rows = done.filter("size(half) + size(rest) > 0").select(
-            F.col("a").alias("id"),
-            (~F.col("linked")).alias("open"),
-            "d",
-            F.col("n").alias("size"),
-            F.explode(F.concat(half, rest)).alias("e"),
+        def keyed(c: str, peer: bool, need, left):
+            return F.transform(
+                c,
+                lambda k, i: F.struct(
+                    k.alias("key"), F.lit(peer).alias("peer"), need.alias("need"), (left - i).cast("double").alias("left")
+                ),
+            )
+
+        n, d = F.col("n"), F.col("d")
+        near = (37 * d - 3 * n) / F.lit(74.0)
+        keys = F.concat(
+            keyed("half", True, near, d),
+            keyed("rest", False, near, d - F.size("half")),
+            keyed("far", True, n * F.lit(PERCENT / (100.0 + PERCENT)), n),
         )
-        rows = rows.select("e.key", "id", "open", "e.half", F.col("e.pos").cast("bigint").alias("pos"), "d", "size")
+        rows = done.select(F.col("a").alias("id"), (~F.col("linked")).alias("open"), F.explode(keys).alias("e"))
+        rows = rows.select("e.key", "id", "open", "e.peer", "e.need", "e.left")
 
 
 def more(have: DataFrame | None, new: DataFrame) -> DataFrame:
