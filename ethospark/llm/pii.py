@@ -74,7 +74,7 @@ def rule_spans(text: str) -> list[tuple[int, str, int]]:
         out += [(m.start(), "email", m.end()) for m in EMAIL.finditer(text)]
     if DIGIT.search(text):
         out += [
-            (m.start(), "ip", m.end()) for m in IP.finditer(text) if all(len(p.lstrip("0")) < 4 and int(p) <= 255 for p in m[0].split("."))
+            (m.start(), "ip", m.end()) for m in IP.finditer(text) if all(len(q) < 4 and int(q or 0) <= 255 for q in (p.lstrip("0") for p in m[0].split(".")))
         ]
         for m in CARD.finditer(text):
             digits = count_digits(m[0])
