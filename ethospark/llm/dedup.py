@@ -241,7 +241,7 @@ def links(reps: DataFrame, docs: DataFrame) -> DataFrame:
     # open: not linked to the bucket's hub; peer: meets its like; need, left: what a link must and can still share
     place = [F.lit(None).cast("double").alias(c) for c in ("need", "left")]
     rows = rows.select("key", "id", F.lit(True).alias("open"), F.lit(True).alias("peer"), *place)
-    edges = seen = None
+    edges, most = None, COMPARISONS
     while True:
         stats = (
             rows.groupBy("key")
@@ -254,10 +254,15 @@ def links(reps: DataFrame, docs: DataFrame) -> DataFrame:
             .filter("work > 0")
         )
         tagged = checkpointed(rows.join(stats, "key"), WIDE)
-        most = COMPARISONS if seen is None else PLACED
         small, large = tagged.filter(F.col("work") <= most), tagged.filter(F.col("work") > most)
-        hubs = large.join(score, "id").groupBy("key").agg(F.max_by("id", F.struct("score", "id")).alias("hub"))
-        large = large.join(hubs, "key")
+        # The hub is the member that comes first by score and id, or one that comes first in another bucket of a
+        # member: so a group's buckets share one. Members always come after their hub, hence the first hub of each
+        # level after that of the level before, and the levels end.
+        first = lambda c: F.max(F.struct(*c)).alias("first")
+        hubs = large.join(score, "id").groupBy("key").agg(first(["score", "id"]))
+        known = large.join(hubs, "key").groupBy("id").agg(F.max("first").alias("first"))
+        hubs = large.join(known, "id").groupBy("key").agg(F.max("first").alias("first"))
+        large = large.join(hubs.select("key", F.col("first.id").alias("hub")), "key")
         pairs = (
             small.alias("x")
             .join(
@@ -273,8 +278,6 @@ def links(reps: DataFrame, docs: DataFrame) -> DataFrame:
             .select("a", "b", F.lit(False).alias("hub"), F.lit(None).cast("array<bigint>").alias("common"))
         )
         stars = large.filter("id <> hub").groupBy(F.col("id").alias("a"), F.col("hub").alias("b")).agg(F.max("n").alias("n"))
-        if seen is not None:  # what a hub met before has nothing new to say
-            stars = stars.join(seen, ["a", "b"], "left_anti")
         stars = checkpointed(stars, SMALL)
         if stars.isEmpty():
             done = stored(compare(pairs, texts))
@@ -286,7 +289,7 @@ def links(reps: DataFrame, docs: DataFrame) -> DataFrame:
         told = stars.join(common, "b", "left").select("a", "b", F.lit(True).alias("hub"), "common")
         done = stored(compare(pairs.unionByName(told), texts))
         edges = more(edges, done.filter("linked").select("a", "b"))
-        seen = more(seen, stars.select("a", "b"))
+
         def keyed(c: str, peer: bool, need, left):
             return F.transform(
                 c,
@@ -303,7 +306,8 @@ def links(reps: DataFrame, docs: DataFrame) -> DataFrame:
             keyed("far", True, n * F.lit(PERCENT / (100.0 + PERCENT)), n),
         )
         rows = done.select(F.col("a").alias("id"), (~F.col("linked")).alias("open"), F.explode(keys).alias("e"))
-        rows = rows.select("e.key", "id", "open", "e.peer", "e.need", "e.left")
+        rows = stored(rows.select("e.key", "id", "open", "e.peer", "e.need", "e.left"))
+        most = PLACED
 
 
 def more(have: DataFrame | None, new: DataFrame) -> DataFrame:
