@@ -38,6 +38,8 @@ MARK = "▁"
 _MUL = np.uint64(0x9E3779B97F4A7C15)
 #: Words with more code points take the scalar path.
 WIDE = 64
+#: Words at a time, so that their lattices stay in a core's cache.
+IN_CACHE = 2000
 
 
 class Lattice:
@@ -103,6 +105,10 @@ class Lattice:
     def batch(self, words: list[str], counts: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray | None]:
         """Log-probability of each word; with counts, also the expected counts of all pieces."""
         expected = None if counts is None else np.zeros(self.size)
+        if len(words) > IN_CACHE:
+            cuts = range(0, len(words), IN_CACHE)
+            parts = [self.batch(words[i : i + IN_CACHE], None if counts is None else counts[i : i + IN_CACHE]) for i in cuts]
+            return np.concatenate([p[0] for p in parts]), None if counts is None else sum(p[1] for p in parts)
         out = np.zeros(len(words))
         marked = [MARK + w for w in words]
         size = np.array([len(w) for w in marked])
@@ -118,11 +124,12 @@ class Lattice:
         start = np.concatenate([[0], np.cumsum(size)[:-1]])
         place = np.arange(len(flat)) - np.repeat(start, size)
         arc = self.arcs(flat, place)
+        arc = arc[:, : max(1, int(np.flatnonzero((arc >= 0).any(0)).max(initial=0)) + 1)]  # no longer piece occurs
         weight = np.where(arc >= 0, self.weight[arc], -np.inf)
         spelt = self.spelt(flat)
         single = weight[:, 0].copy()
         weight[:, 0] = np.logaddexp(single, spelt)
-        far, n = int(size[0]), self.longest
+        far, n = int(size[0]), arc.shape[1]
         active = [int(np.searchsorted(-size, -t, side="right")) for t in range(far + 1)]
         alpha = np.full((len(order), far + 1 + n), -np.inf)  # shifted by n, so that no index is negative
         alpha[:, n] = 0.0
