@@ -115,3 +115,23 @@ def resolve_path(project: str, value: str | None, fallback: str) -> str:
     """Blank: the fallback in the project; absolute: kept; else joined to the project."""
     value = (value or "").strip() or fallback
     return os.path.normpath(value if os.path.isabs(value) else os.path.join(project, value))
+
+
+#: Characters that no project name may have.
+DISALLOWED = '<>:"/\\|?*'
+
+
+def project_problems(name: str, taken: tuple[str, ...] = ()) -> list[str]:
+    """What is wrong with a new project's name; nothing: an empty list."""
+    out = [] if name.strip() else ["the name is blank"]
+    out += [f"{c!r} is not allowed" for c in DISALLOWED if c in name]
+    return out + (["the name is taken"] if name.strip().lower() in {t.lower() for t in taken} else [])
+
+
+def class_problems(s: Settings) -> list[str]:
+    """At least one primary class; secondary classes are none or at least two of a kind."""
+    out = [] if s.primary_static_classes or s.primary_motion_classes else ["there is no primary class"]
+    for kind, classes in (("static", s.secondary_static_classes), ("motion", s.secondary_motion_classes)):
+        if len(classes) == 1:
+            out.append(f"a single secondary {kind} class")
+    return out

@@ -16,9 +16,10 @@ def sampled(frames: DataFrame, skip: int = 0, frame: str = "frame") -> DataFrame
 
 
 def window_ending_at(frames: DataFrame, targets: DataFrame, window: int, skip: int = 0) -> DataFrame:
-    """The sampled frames of the window that ends exactly at each target (video, target), held at frame 0."""
+    """The sampled frames of the window that ends exactly at each target (video, target); shorter at the video's start."""
     step = skip + 1
-    asked = targets.select("video", "target", F.explode(F.sequence(F.greatest(F.lit(0), F.col("target") - (window - 1) * step).cast("bigint"), F.col("target"), F.lit(step).cast("bigint"))).alias("frame"))
+    start = F.greatest(F.col("target") - (window - 1) * step, F.col("target") % step).cast("bigint")
+    asked = targets.select("video", "target", F.explode(F.sequence(start, F.col("target"), F.lit(step).cast("bigint"))).alias("frame"))
     return asked.join(frames, ["video", "frame"])
 
 

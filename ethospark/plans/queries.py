@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import exprs as X
-from ..operators import augment, budget, dataset, geometry, motion, tracking
+from ..operators import augment, budget, dataset, geometry, motion, rebuild, tracking
 from . import views as V
 
 QUERIES: dict = {}
@@ -457,3 +457,12 @@ def track_objects(s, d):
     here = geometry.merge(V.boxes(s, d), "confidence", 12.0, 0.6).select("video", "frame", "det", X.centroid(F.col("x1"), F.col("x2")).alias("x"), X.centroid(F.col("y1"), F.col("y2")).alias("y"))
     frames = s.range(25).select(F.lit("v").alias("video"), F.col("id").alias("frame"))
     return tracking.track(tracking.with_frame_axis(here, frames), gate=15.0)
+
+
+@query
+def rebuild_items(s, d):
+    """Label keys of both streams with the clips they are rebuilt from."""
+    keys = rebuild.items(*[V.labels(s, d).filter(F.col("stream") == k) for k in ("static", "motion")])
+    ext = F.when(F.col("n_nationkey") % 2 == 0, ".mp4").otherwise(".AVI")
+    clips = V.table(s, d, "nation").select(F.concat(F.lit("clip"), (F.col("n_nationkey") % 4).cast("string"), ext).alias("name"))
+    return rebuild.with_clips(keys, clips.withColumn("path", F.concat(F.lit("/clips/"), F.col("name")))).drop("rank")

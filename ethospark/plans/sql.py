@@ -164,4 +164,6 @@ select r_regionkey, s::bigint as segment, kind, lo::double as lo, hi::double as
     "log_text_predicates": "select p_partkey, p_partkey % 3 <> 2 as progress, case p_partkey % 3 when 0 then concat('  ', p_size, '/50 x') when 1 then concat(p_size, '% | x') else p_name end as plain from part",
     "detection_sessions": "with g as (select user_id, ts, case when ts - lag(ts) over (partition by user_id order by ts) <= interval 6 hours then 0 else 1 end as b from events), k as (select user_id, ts, sum(b) over (partition by user_id order by ts) as s from g) select user_id, count(*) as n, epoch_us(min(ts)) as started_us, epoch_us(max(ts)) as ended_us from k group by user_id, s",
     "conversation_role_transitions": "with e as (select conv_id, role, lag(role) over (partition by conv_id order by turn) as p from conversations), t as (select conv_id, role, count(*) as n from e where p <> role group by 1, 2) select role as behaviour, sum(n)::bigint as transitions, count(*) as conversations from t group by 1",
+    "rebuild_items": f"""with {LABELS}, c as (select concat('clip', n_nationkey % 4) as label, min(case when n_nationkey % 2 = 0 then '0.mp4' else '1.AVI' end) as e from nation group by 1)
+select distinct k.label, basename, split, stream, split_part(basename, '_', 2)::bigint as frame, concat('/clips/', k.label, e[2:]) as path from (select *, split_part(basename, '_', 1) as label from labels1 where not contains(basename, '_aug_')) k join c on c.label = k.label""",
 }

@@ -4,7 +4,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from ethospark import config
-from ethospark.operators import augment, budget, dataset
+from ethospark.operators import augment, budget, dataset, rebuild
 from ethospark.plans import views as V
 from ethospark.sources import readers, writers
 
@@ -109,3 +109,48 @@ def test_dataset_helpers(spark):
     assert 50 < dataset.split_by_key(items, 0.1).filter("split = 'val'").count() < 150
     files = spark.createDataFrame([("label", "a"), ("label", "b")], "kind string, name string")
     assert dataset.remaining(files, files.filter("name = 'a'")).count() == 1
+
+
+def test_names_and_classes():
+    assert config.project_problems("a/b") and config.project_problems(" ") and config.project_problems("x", ("X",)) and not config.project_problems("fine")
+    assert config.class_problems(config.Settings()) and not config.class_problems(config.Settings(primary_static_classes=("a",)))
+    assert config.class_problems(config.Settings(primary_static_classes=("a",), secondary_static_classes=("b",)))
+
+
+def model_motion(frames, target, window, skip, a, b):
+    at = list(range(target, -1, -skip - 1))[:window][::-1]
+    last = ea = eb = frames[at[0]]
+    for f in at:
+        d = [[abs(x - y) for x, y in zip(frames[f], m)] for m in (last, ea, eb)]
+        held = lambda m, w: [max(0, min(255, round(w * e + (1.0 - w) * g))) for e, g in zip(m, frames[f])]  # noqa: E731, B023
+        last, ea, eb = frames[f], held(ea, a), held(eb, b)
+    mix = lambda x, m: [max(0, min(255, round(g * 0.7 + v * m - 0.0))) for g, v in zip(frames[target], x)]
+    return mix(d[0], 2.0), mix(d[1], 2.0), mix(d[2], 2.0)
+
+
+def test_rebuild_equals_model(spark):
+    import random
+
+    r = random.Random(1)
+    data = {f: [r.randrange(256) for _ in range(6)] for f in range(30)}
+    frames = spark.createDataFrame([("a", f, px) for f, px in data.items()], "video string, frame long, px array<int>")
+    keys = spark.createDataFrame([("a_20", "train", "motion"), ("a_7", "val", "motion"), ("b_1", "val", "motion"), ("a_9_aug_blur", "val", "motion")], "basename string, split string, stream string")
+    found = rebuild.items(keys, keys)
+    assert found.count() == 3
+    clips = spark.createDataFrame([("a.MP4", "/x/a.MP4"), ("a.mp4", "/y/a.mp4"), ("ab.mp4", "/z")], "name string, path string")
+    assert {r["path"] for r in rebuild.with_clips(found, clips).collect()} == {"/y/a.mp4"}
+    for exponential in (True, False):
+        made = {r["frame"]: r for r in rebuild.motion_images(found, frames, 5, 1, exponential).collect()}
+        assert set(made) == {20, 7}
+    made = {r["frame"]: r for r in rebuild.motion_images(found, frames, 5, 1).collect()}
+    for target in (20, 7):
+        assert (made[target]["blue"], made[target]["green"], made[target]["red"]) == model_motion(data, target, 5, 1, 0.5, 0.8)
+    masks = spark.createDataFrame([("a_7", [(0, 0, 0, 0)])], "basename string, boxes array<struct<x1:int,y1:int,x2:int,y2:int>>")
+    blocks = spark.createDataFrame([("a_7", 2, 1, 2, 1)], "basename string, x1 int, y1 int, x2 int, y2 int")
+    images = spark.createDataFrame([("a_7", [1, 2, 3, 4, 5, 6]), ("a_8", [1] * 6)], "basename string, px array<int>")
+    got = dict(rebuild.blocked(images, masks, blocks, 3).collect())
+    assert got == {"a_7": [128, 2, 3, 4, 5, 128], "a_8": [1] * 6}
+    assert rebuild.unannotated_items(frames.select("video", "frame"), found).count() == 28
+    boxes = "video string, frame long, x1 int, y1 int, x2 int, y2 int, cls string, conf double, source string"
+    one, two = (spark.createDataFrame([("v", 1, 0, 0, 10, 10, "a", c, k)], boxes) for c, k in ((0.5, "static"), (0.9, "motion")))
+    assert [r["source"] for r in rebuild.auto_annotate(one, two).collect()] == ["motion"]
