@@ -22,10 +22,22 @@ def plan(items: DataFrame, parameters: DataFrame, probability: float, seed: int
     parameters: parameter, probability, segments (array of kind, lo, hi), whole (round to odd). An item passes the
     global gate, then each parameter its own; a parameter gives one copy for each of its segments.
     """
-    params = parameters.filter(~F.col("parameter").isin(*COLOUR)) if motion else parameters
+    rows = [r for r in parameters.collect() if not (motion and r["parameter"] in COLOUR)]  # a dozen settings
+    if not rows:
+        return items.select("basename").limit(0).selectExpr("basename", "'' as parameter", "0L as segment", "0D as value", "'' as name")
+    ends = lambda s: F.struct(F.lit(s["kind"]).alias("kind"), F.lit(float(s["lo"])).alias("lo"), F.lit(float(s["hi"])).alias("hi"))
+    settings = F.array(
+        *[
+            F.struct(
+                F.lit(r["parameter"]).alias("parameter"), F.lit(float(r["probability"])).alias("probability"),
+                F.lit(bool(r["whole"])).alias("whole"), F.array(*[ends(s) for s in r["segments"]]).alias("segments"),
+            )
+            for r in rows
+        ]
+    )
     key = ["basename", F.lit(seed)]
     chosen = items.filter(~X.is_augmented(F.col("basename"))).filter(draw(*key, F.lit("gate")) < probability)
-    each = chosen.crossJoin(F.broadcast(params)).filter(draw(*key, "parameter") < F.col("probability"))  # a dozen parameters
+    each = chosen.select("basename", F.explode(settings).alias("p")).select("basename", "p.*").filter(draw(*key, "parameter") < F.col("probability"))
     copies = each.select("basename", "parameter", "whole", F.size("segments").alias("n"), F.posexplode("segments").alias("segment", "s"))
     value = F.col("s.lo") + (F.col("s.hi") - F.col("s.lo")) * draw(*key, "parameter", "segment", F.lit("value"))
     value = F.when(F.col("whole"), 2 * F.floor(value / 2) + 1).otherwise(value)

@@ -6,6 +6,8 @@ memory is a fold in frame order, rounded to whole grey values at every step as i
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -43,8 +45,8 @@ def blended(memory: Column, now: Column, weight: float) -> Column:
 def exponential_differences(frames: DataFrame, exp_a: float = 0.5, exp_b: float = 0.8) -> DataFrame:
     """d0 to the frame before, d1 and d2 to two exponential memories as they were before this frame.
 
-    The first frame seeds the memories. One fold per video, which carries the memories and the results of each frame;
-    a video's sampled frames are one group, as the order of its frames is the computation.
+    The first frame seeds the memories. One fold per video over the array of its frames, for short series such as the
+    windows of a rebuild; ``exponential_walk`` does the same for whole videos of any length.
     """
     item = F.struct(F.col("frame").cast("bigint").alias("frame"), F.col("px").cast("array<int>").alias("px"))
     videos = frames.groupBy("video").agg(F.array_sort(F.collect_list(item)).alias("all"))
@@ -63,6 +65,35 @@ def exponential_differences(frames: DataFrame, exp_a: float = 0.5, exp_b: float
     return videos.select("video", F.explode(done["out"]).alias("o")).select("video", "o.*")
 
 
+def exponential_walk(frames: DataFrame, exp_a: float = 0.5, exp_b: float = 0.8) -> DataFrame:
+    """The same differences for whole videos: rows dealt by video and sorted by frame, a task walks through them and
+    holds one frame and the two memories."""
+    kind = dict(frames.dtypes)["video"]
+    dealt = frames.select("video", F.col("frame").cast("bigint").alias("frame"), F.col("px").cast("array<int>").alias("px"))
+    dealt = dealt.repartition("video").sortWithinPartitions("video", "frame")
+
+    def run(batches):
+        key = last = ea = eb = None
+        mix = lambda m, g, w: np.clip(np.rint(w * m + (1.0 - w) * g), 0, 255)
+        for batch in batches:
+            out = []
+            for video, frame, px in zip(*(c.to_pylist() for c in batch.columns)):
+                g = np.array(px, float)
+                if last is None or video != key:
+                    key, last, ea, eb = video, g, g, g
+                out.append((video, frame, *[np.abs(g - m).astype(np.int32) for m in (last, ea, eb)]))
+                last, ea, eb = g, mix(ea, g, exp_a), mix(eb, g, exp_b)
+            if out:
+                columns = list(zip(*out))
+                ints = pa.list_(pa.int32())
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array(columns[0], batch.schema.field(0).type), pa.array(columns[1], pa.int64()), *[pa.array(c, ints) for c in columns[2:]]],
+                    names=["video", "frame", "d0", "d1", "d2"],
+                )
+
+    return dealt.mapInArrow(run, f"video {kind}, frame bigint, d0 array<int>, d1 array<int>, d2 array<int>")
+
+
 def held(c: Column) -> Column:
     return F.greatest(F.lit(0), F.least(F.lit(255), c.cast("int")))
 

@@ -4,7 +4,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from ethospark import config
-from ethospark.operators import augment, budget, dataset, rebuild
+from ethospark.operators import augment, budget, dataset, motion, rebuild
 from ethospark.plans import views as V
 from ethospark.sources import readers, writers
 
@@ -154,3 +154,9 @@ def test_rebuild_equals_model(spark):
     boxes = "video string, frame long, x1 int, y1 int, x2 int, y2 int, cls string, conf double, source string"
     one, two = (spark.createDataFrame([("v", 1, 0, 0, 10, 10, "a", c, k)], boxes) for c, k in ((0.5, "static"), (0.9, "motion")))
     assert [r["source"] for r in rebuild.auto_annotate(one, two).collect()] == ["motion"]
+
+
+def test_walk_equals_fold(spark):
+    grey = V.grey(spark, SF)
+    fold, walk = motion.exponential_differences(grey), motion.exponential_walk(grey.repartition(3))
+    assert sorted(map(tuple, fold.collect())) == sorted(map(tuple, walk.select(*fold.columns).collect()))
