@@ -158,7 +158,7 @@ def cost_matrix(s, d):
 
 @query
 def nearest_track(s, d):
-    return geometry.nearest_track(*_tracks_and_detections(s, d), gate=9.0).select("frame", "det", "track", "distance")
+    return geometry.nearest_track(*_tracks_and_detections(s, d), gate=9.0).select("frame", "det", F.coalesce("track", F.lit(-1)).alias("track"), "distance")
 
 
 @query
@@ -210,14 +210,15 @@ def next_annotated_wrap(s, d):
 def basename_parse(s, d):
     name = F.concat(F.regexp_replace("p_name", " ", "_"), F.lit("_"), F.when(F.col("p_partkey") % 7 == 0, "x9").otherwise(F.col("p_size").cast("string")))
     label, frame = X.basename_parts(name)
-    return V.table(s, d, "part").select("p_partkey", label.alias("label"), frame.alias("frame"))
+    return V.table(s, d, "part").select("p_partkey", label.alias("label"), F.coalesce(frame, F.lit(-1)).alias("frame"))
 
 
 @query
 def crop_name_parse(s, d):
     k = F.col("p_partkey")
     name = F.concat(F.lit("a_b"), (k % 3).cast("string"), F.lit("_"), k.cast("string"), F.lit("_"), (k % 19 - 4).cast("string"), F.when(k % 5 == 0, "").otherwise(F.concat(F.lit("_"), (k % 23).cast("string"))))
-    return V.table(s, d, "part").select("p_partkey", *[c.alias(n) for c, n in zip(X.crop_parts(name), ("label", "frame", "x1", "y1"))])
+    label, *numbers = X.crop_parts(name)
+    return V.table(s, d, "part").select("p_partkey", label.alias("label"), *[F.coalesce(c, F.lit(-99)).alias(n) for c, n in zip(numbers, ("frame", "x1", "y1"))])
 
 
 @query

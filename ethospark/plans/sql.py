@@ -110,7 +110,7 @@ r as (select frame, 1::bigint as i, [{{'x1': x1, 'y1': y1, 'x2': x2, 'y2': y2, '
  from r join o on o.frame = r.frame and o.i = r.i + 1),
 l as (select frame, unnest(arg_max(kept, i)) as k from r group by 1) select frame, k.det as det, k.conf as conf from l""",
     "cost_matrix": f"with {TRK} select frame, track, det, distance from m",
-    "nearest_track": f"with {TRK}, b as (select frame, det, min({{'d': distance, 't': track}}) as b from m group by 1, 2) select h.frame, h.det, case when b.d < 9 then b.t end as track, case when b.d < 9 then b.d end as distance from here h left join b using (frame, det) where h.det % 3 <> 0",
+    "nearest_track": f"with {TRK}, b as (select frame, det, min({{'d': distance, 't': track}}) as b from m group by 1, 2) select h.frame, h.det, case when b.d < 9 then b.t else -1 end as track, case when b.d < 9 then b.d end as distance from here h left join b using (frame, det) where h.det % 3 <> 0",
     "topmost_box": f"with {BOXES} select video, frame, max(det) as det from boxes where 100 between x1 and x2 and 100 between y1 and y2 group by 1, 2",
     "drawn_boxes": f"with {BOXES}, c as (select det, greatest(0, least(x1, 109)) as x1, greatest(0, least(y1, 109)) as y1, greatest(0, least(x2, 109)) as x2, greatest(0, least(y2, 109)) as y2 from boxes) select * from c where x2 - x1 > 5 and y2 - y1 > 5",
     "canvas_transform": f"with {BOXES} select det, greatest(0, least(trunc(x1 / 1.5::double)::int, 69)) as vx, trunc(x1 * 1.5::double)::int as cx, round_even(det / 500 * 333, 0)::bigint as tick, 100 * 2 * det / 1000 as percent from boxes",
@@ -118,8 +118,8 @@ l as (select frame, unnest(arg_max(kept, i)) as k from r group by 1) select fram
     "unannotated_pool": f"with {ORDER_VIDEOS} select video, frame from pool where not exists (select 1 from labels where concat('v', doc_id * 50) = pool.video and doc_id % 30 = pool.frame)",
     "annotated_frames_map": "with k as (select concat('clip_', doc_id % 13) as label, doc_id as frame from labels where doc_id % 11 <> 0) select label, count(distinct frame) as n, array_to_string(list_sort(list(distinct frame)), ',') as frames from k group by 1",
     "next_annotated_wrap": "with k as (select distinct concat('clip_', doc_id % 13) as label, doc_id as frame from labels) select label, frame, coalesce(lead(frame) over w, min(frame) over (partition by label)) as next_frame, coalesce(lag(frame) over w, max(frame) over (partition by label)) as previous_frame from k window w as (partition by label order by frame)",
-    "basename_parse": "select p_partkey, case when p_partkey % 7 <> 0 then replace(p_name, ' ', '_') end as label, case when p_partkey % 7 <> 0 then p_size::bigint end as frame from part",
-    "crop_name_parse": "with n as (select p_partkey, concat('a_b', p_partkey % 3, '_', p_partkey, '_', p_partkey % 19 - 4, case when p_partkey % 5 = 0 then '' else concat('_', p_partkey % 23) end) as s from part), r as (select p_partkey, regexp_extract(s, '^(.+)_([0-9]+)_(-?[0-9]+)_(-?[0-9]+)$', ['label', 'f', 'x', 'y']) as g from n) select p_partkey, nullif(g.label, '') as label, nullif(g.f, '')::bigint as frame, nullif(g.x, '')::bigint as x1, nullif(g.y, '')::bigint as y1 from r",
+    "basename_parse": "select p_partkey, case when p_partkey % 7 <> 0 then replace(p_name, ' ', '_') end as label, case when p_partkey % 7 <> 0 then p_size::bigint else -1 end as frame from part",
+    "crop_name_parse": "with n as (select p_partkey, concat('a_b', p_partkey % 3, '_', p_partkey, '_', p_partkey % 19 - 4, case when p_partkey % 5 = 0 then '' else concat('_', p_partkey % 23) end) as s from part), r as (select p_partkey, regexp_extract(s, '^(.+)_([0-9]+)_(-?[0-9]+)_(-?[0-9]+)$', ['label', 'f', 'x', 'y']) as g from n) select p_partkey, nullif(g.label, '') as label, coalesce(nullif(g.f, '')::bigint, -99) as frame, coalesce(nullif(g.x, '')::bigint, -99) as x1, coalesce(nullif(g.y, '')::bigint, -99) as y1 from r",
     "crop_link_tolerance": f"""with {BOXES}, c as (select det * 2 + 1 as crop, frame, (x1 + det % 5 - 2)::int as x1, (y1 + det % 7 - 3)::int as y1, concat('s', det) as secondary from boxes),
 h as (select c.crop, c.secondary, b.det as box, b.x1 - c.x1 as dx, b.y1 - c.y1 as dy from c join boxes b on b.frame = c.frame and abs(b.x1 - c.x1) <= 2 and abs(b.y1 - c.y1) <= 2),
 k as (select *, dx = 0 and dy = 0 as exact, row_number() over (partition by crop order by case when dx = 0 and dy = 0 then 0 else 1 end, dx, dy, box) as i, bool_or(dx = 0 and dy = 0) over (partition by crop) as any_exact from h),
