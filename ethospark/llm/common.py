@@ -60,6 +60,7 @@ ROWS = 1000
 
 def arrow_map(df: DataFrame, fn, schema: str) -> DataFrame:
     """``fn(list of columns as Python lists) -> list of columns``, batch by batch. Strings arrive as UTF-8 bytes."""
+    small_batches(df.sparkSession)
     names = T._parse_datatype_string(schema).names
     out = to_arrow(schema)
 
@@ -78,6 +79,17 @@ def arrow_map(df: DataFrame, fn, schema: str) -> DataFrame:
     return df.mapInArrow(run, schema)
 
 
+def small_batches(spark: SparkSession) -> None:
+    """Let Arrow batches of texts have ``ROWS`` rows, unless the session has a size of its own.
+
+    At the default of 10,000 rows, texts of some kilobytes make batches whose buffers, outside the heap on one side and
+    in Python on the other, take a good part of a small executor.
+    """
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if spark.conf.get(key) == "10000":
+        spark.conf.set(key, str(ROWS))
+
+
 _KEPT: dict = {}
 
 

@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import partitions
+from .common import partitions, small_batches
 
 KMER, TUPLE, SLOTS = 5, 2, 64
 #: Elements hashed at once: the working set stays in a core's cache however long the text.
@@ -157,6 +157,7 @@ def with_successor(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
                 if out:
                     yield pa.RecordBatch.from_arrays([pa.array(v, t) for v, t in zip(zip(*out), types)], names=names)
 
+    small_batches(docs.sparkSession)
     return in_order(docs, id_col, text_col).mapInArrow(
         run,
         f"`{id_col}` {kind}, n_chars bigint, edited string, fingerprint string, edited_fingerprint string,"

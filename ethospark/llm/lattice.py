@@ -28,7 +28,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import checkpointed, doc_hash_mod, partitions, per_worker
+from .common import checkpointed, doc_hash_mod, partitions, per_worker, small_batches
 
 #: Text of one block, and entries of a task's count table before it is emptied.
 BLOCK_BYTES, TABLE = 24 << 20, 300_000
@@ -235,6 +235,7 @@ def word_counts(docs: DataFrame) -> DataFrame:
         if kept or other:
             yield out()
 
+    small_batches(docs.sparkSession)
     made = docs.select("text", "trained").mapInArrow(run, "word string, c bigint")
     return made.groupBy("word").agg(F.sum("c").alias("c"))
 

@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import ascii_lower, per_worker
+from .common import ascii_lower, per_worker, small_batches
 
 FEATURES, NGRAMS, MAX_LABELLED, EPOCHS = 1 << 15, (3, 4, 5), 4000, 40
 _A, _B = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xD6E8FEB86659FD93)
@@ -132,6 +132,7 @@ def judge(
                     [*batch.columns, pa.array(1 / (1 + np.exp(-z)))], names=[*batch.schema.names, "p"]
                 )
 
+    small_batches(pages.sparkSession)
     made = ruled.select("id", "host", "path", "rule", "rule_verdict").mapInArrow(
         run, f"id {kind}, host string, path string, rule string, rule_verdict string, p double"
     )
