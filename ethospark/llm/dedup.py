@@ -337,8 +337,8 @@ def components(edges: DataFrame) -> DataFrame:
             ),
             SMALL,
         )
-    least = labels.groupBy("label").agg(F.min("id").alias("component"))
-    return labels.join(least, "label").select("id", "component")
+    least = checkpointed(labels.groupBy("label").agg(F.min("id").alias("component")), SMALL)
+    return labels.join(sent_if_small(least), "label").select("id", "component")
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
