@@ -211,7 +211,7 @@ def metadata_rows(raw: DataFrame, order: str) -> DataFrame:
     return last.select("video_filename", F.trim(F.coalesce("m.group_id", F.lit(""))).alias("group_id"), F.trim(F.coalesce("m.group_type", F.lit(""))).alias("group_type"), "m.excluded")
 
 
-#: Extensions of video files, the preferred first.
+#: Extensions of video files, the preferred first.
 EXTENSIONS = (".MP4", ".mp4", ".avi", ".mov", ".mkv")
 
 

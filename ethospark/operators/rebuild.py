@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from ..functions import exprs as X
 from . import dataset, geometry, motion
 
-#: Spellings of video extensions that are tried, the preferred first.
+#: Spellings of video extensions that are tried, the preferred first.
 CLIP_EXTENSIONS = (".mp4", ".MP4", ".avi", ".AVI", ".mov", ".MOV", ".mkv", ".MKV")
 
 

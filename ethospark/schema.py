@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import types as T
 
-#: Columns of a tracking file, in order; all text until they are cast.
+#: Columns of a tracking file, in order; all text until they are cast.
 TRACKING_COLUMNS = [
     "frame", "id", "x", "y",
     "primary_static_class", "primary_static_conf", "primary_motion_class", "primary_motion_conf",
