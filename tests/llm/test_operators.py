@@ -260,6 +260,24 @@ def test_op4_network_generalises():
     assert hit[y].mean() > 0.9 and hit[~y].mean() < 0.05
 
 
+def test_op4_reads_whole_candidates():
+    contexts = [("some words before ", " after"), ("", "")]
+    made = secrets.generated(random.Random(4), 1500, contexts)
+    net = secrets.fit(made + secrets.long_runs(random.Random(5), 300, made))
+    r = random.Random(9)
+    plain = lambda n: "/".join("".join(r.choice("bdklmnrst") + r.choice("aeiou") for _ in range(3)) for _ in range(n))
+    key = lambda: "".join(r.choice("abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789") for _ in range(36))
+    clean = [plain(24) for _ in range(100)]
+    hidden = [c[:70] + "/" + key() + "/" + c[70:] for c in clean]
+    passes = lambda tokens: (net.score([("see ", x, " for") for x in tokens]) >= net.threshold[2]).mean()
+    assert passes(hidden) > 0.9 and passes(clean) < 0.1
+    for n in (1, 40, 41, 60, 61, 333):
+        token = plain(80)[:n]
+        parts = secrets.pieces(token)
+        assert max(map(len, parts)) <= secrets.OWN and token.endswith(parts[-1])
+        assert all(any(token[i : i + 20] in x for x in parts) for i in range(n))
+
+
 def test_op4_gradient():
     net = secrets.Network(1)
     codes, own = (np.stack(v) for v in zip(*[secrets.encoded("ab ", "secretSecret1234", " x"), secrets.encoded("", "zzzzyyyyxxxxwwww", "")]))
