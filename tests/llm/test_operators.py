@@ -5,6 +5,7 @@ import math
 import os
 import random
 import re
+import zlib
 from array import array
 from collections import Counter
 
@@ -278,6 +279,16 @@ def test_op4_reads_whole_candidates():
         assert all(any(token[i : i + 20] in x for x in parts) for i in range(n))
 
 
+def test_op4_thresholds_keep_recall():
+    """Also where secrets are calibrated under even odds: one in five of these look-alikes is called a secret."""
+    r = random.Random(3)
+    rows = [("", "".join(r.choice("0123456789abcdef") for _ in range(24)), "", int(i % 5 == 0)) for i in range(3000)]
+    net = secrets.fit(rows)
+    held = [x for x in rows if x[3] and zlib.crc32(x[1].encode()) % 5 == 0]
+    assert (net.score([x[:3] for x in held]) >= net.threshold[0]).mean() >= secrets.RECALL
+    assert len(set(net.threshold)) == 1  # no held-out secrets of the other classes
+
+
 def test_op4_gradient():
     net = secrets.Network(1)
     codes, own = (np.stack(v) for v in zip(*[secrets.encoded("ab ", "secretSecret1234", " x"), secrets.encoded("", "zzzzyyyyxxxxwwww", "")]))
