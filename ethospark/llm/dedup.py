@@ -12,7 +12,8 @@
    is given up, and no bucket emits its pairs.
 4. Links are contracted to components along random priorities, so chains take logarithmically many rounds.
 
-A pair at the threshold misses all of its 20 bands with probability (1 - 0.85**4) ** 20, about 4e-7.
+There are as many bands as keep the probability that a pair at the threshold misses all of them, (1 - p**4) ** bands,
+under ``MISSED``: 20 for the default 85 %, 28 for 80 %.
 
 Defined results: a null or blank text has an empty set, size 0, and is linked with nothing; equal sets (ties,
 repeated rows) share a component; rows that repeat an id are one document; a null id is never a component; an
@@ -21,6 +22,8 @@ empty table gives an empty table; other columns are not read.
 
 from __future__ import annotations
 
+import math
+
 import numpy as np
 import xxhash
 from pyspark.sql import DataFrame
@@ -28,8 +31,8 @@ from pyspark.sql import functions as F
 
 from .common import arrow_map, checkpointed, sent_if_small, stored, veiled
 
-BANDS, PER_BAND = 20, 2
-#: Similarity as a percentage, and words in a shingle.
+PER_BAND, MISSED = 2, 5e-7
+#: Similarity as a percentage, and words in a shingle, unless a caller gives others.
 PERCENT, WIDTH = 85, 3
 #: Buckets with at most this many comparisons are compared pair by pair.
 COMPARISONS = 1000
@@ -84,23 +87,30 @@ def min_max(elements: np.ndarray, multipliers: np.ndarray) -> np.ndarray:
     return out
 
 
-def sketch(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
+def bands_for(percent: int) -> int:
+    """The least number of bands that a pair at the threshold misses with a probability under ``MISSED``."""
+    hit = (percent / 100) ** (2 * PER_BAND)
+    return 1 if hit >= 1 else math.ceil(math.log(MISSED) / math.log1p(-hit))
+
+
+def sketch(docs: DataFrame, id_col: str, text_col: str, width: int = WIDTH, percent: int = PERCENT) -> DataFrame:
     """id, n_shingles, the signature of the set (two longs), band keys."""
-    multipliers = permutations(BANDS * PER_BAND)
-    salts = mixed(np.arange(1, BANDS + 1, dtype=np.uint64))
+    n_bands = bands_for(percent)
+    multipliers = permutations(n_bands * PER_BAND)
+    salts = mixed(np.arange(1, n_bands + 1, dtype=np.uint64))
 
     def run(ids, texts):
         n, first, second, bands = [], [], [], []
         with np.errstate(over="ignore"):
             for text in texts:
-                s = shingles(text)
+                s = shingles(text, width)
                 n.append(len(s))
                 first.append(int(mixed(s ^ _B).sum(dtype=np.uint64).astype(np.int64)))
                 second.append(int(mixed(s + _C).sum(dtype=np.uint64).astype(np.int64)))
                 if not len(s):
                     bands.append([])
                     continue
-                rows = min_max(s, multipliers).reshape(BANDS, -1)
+                rows = min_max(s, multipliers).reshape(n_bands, -1)
                 key = salts.copy()
                 for j in range(rows.shape[1]):
                     key = mixed(key * _A + rows[:, j])
@@ -115,29 +125,32 @@ def sketch(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     )
 
 
-def linked(a: np.ndarray, b: np.ndarray, common: int | None = None) -> bool:
+def linked(a: np.ndarray, b: np.ndarray, common: int | None = None, percent: int = PERCENT) -> bool:
     common = len(np.intersect1d(a, b, assume_unique=True)) if common is None else common
-    return 100 * common >= PERCENT * (len(a) + len(b) - common)
+    return 100 * common >= percent * (len(a) + len(b) - common)
 
 
 def difference_keys(
-    own: np.ndarray, hub: np.ndarray, is_linked: bool, common: np.ndarray
+    own: np.ndarray, hub: np.ndarray, is_linked: bool, common: np.ndarray, percent: int = PERCENT
 ) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """The elements by which a hub's member finds its further links: ``half``, ``rest`` and ``far``.
 
     Any order of elements that is fixed for the hub will do; rare ones come first: those the member adds to the hub,
     then the hub's, at last those that ``common`` lists as frequent among its members' differences.
 
+    With p the threshold, let c = (1 - p) / (1 + p) and e = (1 - p) / p; at 85 % they are 3/37 and 3/17.
+
     Half and rest are first elements of the symmetric difference D from the hub. A link of u and v means
-    |D_u ^ D_v| <= 3/37 (|u| + |v|), so they share at least (|D_u| + |D_v| - 3/37 (|u| + |v|)) / 2 elements of those.
-    With v not linked to the hub, |D_v| > 3/37 (|v| + |hub|) makes that more than (|D_u| + 3/37 (|hub| - |u|)) / 2, and
+    |D_u ^ D_v| <= c (|u| + |v|), so they share at least (|D_u| + |D_v| - c (|u| + |v|)) / 2 elements of those.
+    With v not linked to the hub, |D_v| > c (|v| + |hub|) makes that more than (|D_u| + c (|hub| - |u|)) / 2, and
     two sets that share so many have a common one in ``half``. If u isn't linked and v is,
-    |D_v| >= |D_u| - 3/37 (|u| + |v|) and |v| <= |u| / 0.85 make it |D_u| - 3/17 |u|, which must not be over
-    |D_v| <= 3/37 (|v| + |hub|); they meet in u's half and rest, and v's half.
+    |D_v| >= |D_u| - c (|u| + |v|) and |v| <= |u| / p make it |D_u| - e |u|, as c (1 + 1 / p) = e, which must not be over
+    |D_v| <= c (|v| + |hub|); they meet in u's half and rest, and v's half.
 
-    Far is for two members whose D are both over 36 % of the hub: a link shares 0.85 |u| elements, so they meet in the
-    first |u| - 0.85 |u| + 1 elements of the sets themselves, which are rare then. Such a member needs half and rest
-    only for partners that are nearer, so not if its D is over that by more than 3/17 |u|.
+    Far is for two members whose D are both over 2 e of the hub, rounded up to a hundredth (36 % at 85 %): a link shares
+    p |u| elements, so they meet in the first |u| - p |u| + 1 elements of the sets themselves, which are rare then. Any
+    limit is right, it only divides the work. Such a member needs half and rest only for partners that are nearer, so
+    not if its D is over that by more than e |u|.
     """
     added = np.setdiff1d(own, hub, assume_unique=True)
     removed = np.setdiff1d(hub, own, assume_unique=True)
@@ -149,22 +162,23 @@ def difference_keys(
         return elements[np.lexsort((mixed(elements), late))]
 
     order = ordered(whole, added)
-    half = d - max(1, (37 * d + 3 * (len(hub) - n)) // 74 + 1) + 1
+    gap, sum_ = 100 - percent, 100 + percent
+    half = d - max(1, (sum_ * d + gap * (len(hub) - n)) // (2 * sum_) + 1) + 1
     half = min(d, max(0, half))
     if is_linked:
         return order[:half], none, none
-    far, limit = none, 36 * len(hub)
+    far, limit = none, -(-200 * gap // percent) * len(hub)
     if 100 * d > limit:
-        far = ordered(own, added)[: n - -(-PERCENT * n // 100) + 1]
-        if 1700 * d > 17 * limit + 300 * n:
+        far = ordered(own, added)[: n - -(-percent * n // 100) + 1]
+        if 100 * percent * d > percent * limit + 100 * gap * n:
             return none, none, far
-    least = max(1, -((3 * n - 17 * d) // 17))
-    if 17 * 37 * least > 3 * (20 * n + 17 * len(hub)):
+    least = max(1, -((gap * n - percent * d) // percent))
+    if percent * sum_ * least > gap * (100 * n + percent * len(hub)):
         return order[:half], none, far
     return order[:half], order[half : max(half, d - least + 1)], far
 
 
-def frequent_differences(sample: DataFrame, texts: DataFrame) -> DataFrame:
+def frequent_differences(sample: DataFrame, texts: DataFrame, width: int = WIDTH) -> DataFrame:
     """b, common: elements in the differences of at least a quarter of a hub's sampled members.
 
     They only order the elements of a difference, so the sample decides about work and not about results.
@@ -175,7 +189,7 @@ def frequent_differences(sample: DataFrame, texts: DataFrame) -> DataFrame:
         out = []
         with np.errstate(over="ignore"):
             for x, y in zip(text_a, text_b):
-                out.append(np.setxor1d(shingles(x), shingles(y), assume_unique=True).astype(np.int64))
+                out.append(np.setxor1d(shingles(x, width), shingles(y, width), assume_unique=True).astype(np.int64))
         return b, out
 
     d = arrow_map(with_texts(sample, texts).select("b", "text_a", "text_b"), run, f"b {kind}, d array<bigint>")
@@ -198,7 +212,7 @@ def with_texts(pairs: DataFrame, texts: DataFrame) -> DataFrame:
     )
 
 
-def compare(pairs: DataFrame, texts: DataFrame) -> DataFrame:
+def compare(pairs: DataFrame, texts: DataFrame, width: int = WIDTH, percent: int = PERCENT) -> DataFrame:
     """Confirm pairs (a, b, hub, common) on full sets: a, b, linked, and for hub rows the keys of a's difference, its
     size d and a's size n."""
     kind = dict(pairs.dtypes)["a"]
@@ -211,13 +225,13 @@ def compare(pairs: DataFrame, texts: DataFrame) -> DataFrame:
         with np.errstate(over="ignore"):
             for is_hub, s, c, x, y in zip(hub, salt, common, text_a, text_b):
                 if y != last or set_b is None:
-                    last, set_b = y, shingles(y)
-                set_a = shingles(x)
-                found.append(linked(set_a, set_b))
+                    last, set_b = y, shingles(y, width)
+                set_a = shingles(x, width)
+                found.append(linked(set_a, set_b, percent=percent))
                 keys = (set_b[:0],) * 3
                 if is_hub:
                     late = np.array(c or [], np.int64).astype(np.uint64)
-                    keys = difference_keys(set_a, set_b, found[-1], late)
+                    keys = difference_keys(set_a, set_b, found[-1], late, percent)
                 common_n = len(np.intersect1d(set_a, set_b, assume_unique=True)) if is_hub else 0
                 sizes.append((len(set_a) + len(set_b) - 2 * common_n, len(set_a)))
                 for out, k, kind_of in zip((half, rest, far), keys, (_B, _B, _C)):
@@ -229,7 +243,7 @@ def compare(pairs: DataFrame, texts: DataFrame) -> DataFrame:
     )
 
 
-def links(reps: DataFrame, docs: DataFrame) -> DataFrame:
+def links(reps: DataFrame, docs: DataFrame, width: int = WIDTH, percent: int = PERCENT) -> DataFrame:
     """Confirmed links (a, b) between classes that connect whatever all links connect."""
     rows = reps.select("id", F.explode("bands").alias("key"))
     full = rows.groupBy("key").agg(F.count("*").alias("n")).filter("n > 1")
@@ -280,14 +294,14 @@ def links(reps: DataFrame, docs: DataFrame) -> DataFrame:
         stars = large.filter("id <> hub").groupBy(F.col("id").alias("a"), F.col("hub").alias("b")).agg(F.max("n").alias("n"))
         stars = checkpointed(stars, SMALL)
         if stars.isEmpty():
-            done = stored(compare(pairs, texts))
+            done = stored(compare(pairs, texts, width, percent))
             edges = more(edges, done.filter("linked").select("a", "b"))
             done.unpersist()
             return edges.distinct()
         sample = stars.filter(F.expr(f"pmod(xxhash64(a), greatest(1, n div {SAMPLE})) = 0"))
-        common = frequent_differences(sample.select("a", "b"), texts)
+        common = frequent_differences(sample.select("a", "b"), texts, width)
         told = stars.join(common, "b", "left").select("a", "b", F.lit(True).alias("hub"), "common")
-        done = stored(compare(pairs.unionByName(told), texts))
+        done = stored(compare(pairs.unionByName(told), texts, width, percent))
         edges = more(edges, done.filter("linked").select("a", "b"))
 
         def keyed(c: str, peer: bool, need, left):
@@ -299,11 +313,11 @@ def links(reps: DataFrame, docs: DataFrame) -> DataFrame:
             )
 
         n, d = F.col("n"), F.col("d")
-        near = (37 * d - 3 * n) / F.lit(74.0)
+        near = ((100 + percent) * d - (100 - percent) * n) / F.lit(2.0 * (100 + percent))
         keys = F.concat(
             keyed("half", True, near, d),
             keyed("rest", False, near, d - F.size("half")),
-            keyed("far", True, n * F.lit(PERCENT / (100.0 + PERCENT)), n),
+            keyed("far", True, n * F.lit(percent / (100.0 + percent)), n),
         )
         rows = done.select(F.col("a").alias("id"), (~F.col("linked")).alias("open"), F.explode(keys).alias("e"))
         rows = stored(rows.select("e.key", "id", "open", "e.peer", "e.need", "e.left"))
@@ -341,17 +355,19 @@ def components(edges: DataFrame) -> DataFrame:
     return labels.join(sent_if_small(least), "label").select("id", "component")
 
 
-def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def near_duplicates(
+    docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = WIDTH, percent: int = PERCENT
+) -> DataFrame:
     """One row per document: id, n_shingles, component_id, kept."""
     own = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
-    made = stored(sketch(own, "id", "text"))
+    made = stored(sketch(own, "id", "text", width, percent))
     some = made.filter("n_shingles > 0")
     signature = ["n_shingles", "sig_a", "sig_b"]
     reps = checkpointed(
         some.filter("id is not null").groupBy(*signature).agg(F.min("id").alias("id"), F.first("bands").alias("bands")),
         WIDE,
     )
-    found = components(links(reps.select("id", "bands"), own))
+    found = components(links(reps.select("id", "bands"), own, width, percent))
     classes = reps.join(found, "id", "left").select(*signature, F.coalesce("component", "id").alias("component"))
     out = (
         some.select("id", *signature)
@@ -367,10 +383,12 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     )
 
 
-def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def keep_one(
+    docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = WIDTH, percent: int = PERCENT
+) -> DataFrame:
     """The documents that stand for their groups, with all their columns."""
     given = docs.columns
     docs, at = veiled(docs)
     id_col, text_col = at[id_col], at[text_col]
-    gone = near_duplicates(docs, id_col, text_col).filter(~F.col("kept")).select(F.col(id_col).alias("_gone"))
+    gone = near_duplicates(docs, id_col, text_col, width, percent).filter(~F.col("kept")).select(F.col(id_col).alias("_gone"))
     return docs.join(sent_if_small(checkpointed(gone, SMALL)), F.col(id_col) == F.col("_gone"), "left_anti").toDF(*given)

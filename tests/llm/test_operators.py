@@ -647,6 +647,45 @@ def test_op10_difference_keys_meet():
     assert hits > 100
 
 
+@pytest.mark.parametrize("percent", [70, 80, 85, 95])
+def test_op10_difference_keys_meet_at_other_thresholds(percent):
+    r, hits = random.Random(percent), 0
+    to = lambda s: np.array(sorted(s), np.uint64)
+    for _ in range(4000):
+        n = r.randint(8, 60)
+        hub = set(r.sample(range(10**6), n))
+        u = {x for x in hub if r.random() < r.choice([0.6, 0.8, 0.95])} | set(r.sample(range(10**6), r.randint(0, n // 2)))
+        v = {x for x in u if r.random() < 0.95} | set(r.sample(range(10**6), r.randint(0, 3)))
+        a, b, h = to(u), to(v), to(hub)
+        if not len(a) or not len(b) or u == v or u == hub or v == hub or not dedup.linked(a, b, percent=percent):
+            continue
+        la, lb = dedup.linked(a, h, percent=percent), dedup.linked(b, h, percent=percent)
+        if la and lb:
+            continue
+        with np.errstate(over="ignore"):
+            (ha, ra, fa), (hb, rb, fb) = (dedup.difference_keys(x, h, k, a[:3], percent) for x, k in ((a, la), (b, lb)))
+        if la or lb:
+            assert (set(ha) | set(ra)) & set(hb) if lb else (set(hb) | set(rb)) & set(ha)
+        else:
+            assert set(ha) & set(hb) or set(fa) & set(fb)
+        hits += 1
+    assert hits > 50
+
+
+def test_pipeline_near_copies_of_five_words_and_eighty_percent(spark):
+    import corpus_pipeline
+
+    r = random.Random(6)
+    fresh = lambda n: " ".join("".join(r.choice("abcdefghijkl") for _ in range(6)) for _ in range(n))
+    rows = []
+    for i in range(0, 40, 2):
+        body = fresh(200)
+        rows += [(i, body), (i + 1, body + " " + fresh(40))]  # 196/236 on five words, 198/238 on three
+    kept = corpus_pipeline.near_duplicates(spark, spark.createDataFrame(rows, "doc_id long, text string"), "")
+    assert sorted(x["doc_id"] for x in kept.collect()) == list(range(0, 40, 2))
+    assert (1 - 0.8**4) ** dedup.bands_for(80) < 5e-7 and dedup.bands_for(85) == 20
+
+
 def test_op10_min_max_is_unbiased():
     r = np.random.default_rng(2)
     base = r.integers(0, 2**63, 500, dtype=np.uint64)
