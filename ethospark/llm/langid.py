@@ -2,8 +2,10 @@
 
 Every word is labelled: affixes, character n-grams and the lexicon of the training words are hashed features,
 transitions between labels are learnt, and forward-backward gives each word's posterior, so runs of another
-language inside a text show as such. A document's language is the label with the greatest mean posterior over its
-words with letters; that mean is the score.
+language inside a text show as such. A run without white space of over ``LONGEST`` characters (scripts without spaces,
+words joined by other marks) is cut where the class of characters changes and after ``LONGEST`` characters, and its
+pieces are words. A document's language is the label with the greatest mean posterior over its words, weighted by
+their letters; that mean is the score.
 
 The field is fitted on a bounded sample of labelled rows (``per_lang`` documents of each language, windows of
 ``SPAN`` words), spliced at random so that labels change inside sequences. Prediction reads whole texts: documents
@@ -18,6 +20,7 @@ gives an empty table; other columns are not read.
 
 from __future__ import annotations
 
+import unicodedata
 import zlib
 from dataclasses import dataclass, field
 
@@ -31,7 +34,8 @@ FEATURES = 1 << 15
 PER_LANG, SPAN, SEQUENCE, STEPS = 250, 160, 64, 60
 BLOCK, WORDS_AT_ONCE, MEMO = 32, 60_000, 200_000
 UNKNOWN = "und"
-
+#: Characters of a word at most; longer runs make several words.
+LONGEST = 40
 
 _A, _B = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xD6E8FEB86659FD93)
 
@@ -40,13 +44,45 @@ def has_letter(word: str) -> bool:
     return word.isalpha() or any(map(str.isalpha, word))
 
 
+def letters_in(word: str) -> int:
+    return len(word) if word.isalpha() else sum(map(str.isalpha, word))
+
+
+def character_class(c: str, before: int) -> int:
+    """0 no letter, 1 Latin, 2 other scripts up to U+2E7F, 3 those beyond; a mark goes with the character before it."""
+    if not c.isalpha():
+        return before if unicodedata.category(c)[0] == "M" else 0
+    return 1 if c < "\u0250" or "\u1e00" <= c < "\u1f00" else 2 if c < "\u2e80" else 3
+
+
+def split(text: str) -> list[str]:
+    """The lower-cased words of a text, long runs in pieces."""
+    words = text.lower().split()
+    if max(map(len, words), default=0) <= LONGEST:
+        return words
+    out: list[str] = []
+    for word in words:
+        if len(word) <= LONGEST:
+            out.append(word)
+            continue
+        start, last = 0, -1
+        for i, c in enumerate(word):
+            now = character_class(c, last)
+            if i - start == LONGEST or (now != last and i > start):
+                out.append(word[start:i])
+                start = i
+            last = now
+        out.append(word[start:])
+    return out
+
+
 def features(words: list[str], lexicon: frozenset) -> tuple[np.ndarray, np.ndarray]:
     """Hashed features of words, and the word each belongs to.
 
     N-grams of one to three characters of the marked word, prefixes and suffixes up to three characters, and the
-    word itself if it is in the lexicon. Words longer than 40 characters are features of both their ends.
+    word itself if it is in the lexicon.
     """
-    marked = [f"^{w}$" if len(w) <= 40 else f"^{w[:20]}{w[-20:]}$" for w in words]
+    marked = [f"^{w}$" for w in words]
     size = np.array([len(w) for w in marked])
     point = np.frombuffer("".join(marked).encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.uint64)
     owner = np.repeat(np.arange(len(words)), size)
@@ -84,7 +120,7 @@ class Field:
     def __post_init__(self):
         self.memo: dict[str, int] = {}
         self.rows = np.zeros((MEMO, len(self.labels)))
-        self.letters = np.zeros(MEMO, bool)
+        self.letters = np.zeros(MEMO, np.int64)
 
     def emissions(self, words: list[str]) -> np.ndarray:
         feature, owner = features(words, self.lexicon)
@@ -101,9 +137,9 @@ class Field:
         if new:
             at = np.arange(len(self.memo), len(self.memo) + len(new))
             self.memo.update(zip(new, at.tolist()))
-            self.letters[at] = list(map(has_letter, new))
+            self.letters[at] = list(map(letters_in, new))
             with np.errstate(over="ignore"):
-                self.rows[at] = self.emissions(new) * self.letters[at][:, None]
+                self.rows[at] = self.emissions(new) * (self.letters[at] > 0)[:, None]
         return np.fromiter(map(self.memo.__getitem__, words), np.int64, len(words))
 
     def posteriors(self, emission: np.ndarray, sizes: np.ndarray) -> np.ndarray:
@@ -161,7 +197,7 @@ class Field:
                 out += self._label(held)
                 held = []
             if text is not None:
-                held.append(text.lower().split())
+                held.append(split(text))
         return out
 
     def _label(self, docs: list[list[str]]) -> list[tuple[str, float]]:
@@ -170,7 +206,7 @@ class Field:
         full = np.flatnonzero(sizes)
         if not len(full) or not self.labels:
             return result
-        emission, letters = np.empty((sizes.sum(), len(self.labels))), np.empty(sizes.sum(), bool)
+        emission, letters = np.empty((sizes.sum(), len(self.labels))), np.empty(sizes.sum(), np.int64)
         end = 0
         for i in full:
             for part in range(0, len(docs[i]), WORDS_AT_ONCE):
@@ -191,7 +227,7 @@ def splice(rows: list[tuple[str, str]], labels: list[str], rng: np.random.Genera
     """Sequences of ``SEQUENCE`` words from runs of 4 to 32 words of labelled texts in random order, and labels."""
     runs: list[tuple[list[str], int]] = []
     for text, lang in rows:
-        words = text.lower().split()
+        words = split(text)
         at = int(rng.integers(0, max(1, len(words) - SPAN)))
         words = words[at : at + SPAN]
         while words:

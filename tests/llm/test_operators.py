@@ -194,6 +194,20 @@ def test_op3_code_switch():
     assert (found[:40] == f.labels.index("en")).mean() > 0.8 and (found[40:] == f.labels.index("fr")).mean() > 0.8
 
 
+def test_op3_reads_long_runs_whole():
+    rows = duckdb.sql(f"select text, lang from '{SF}/documents.parquet' where lang in ('en', 'fr')").fetchall()
+    f = langid.fit(rows)
+    en, fr = ([w for w in next(t for t, x in rows if x == lang and 300 < len(t) < 3000).split() if w.isalpha()] for lang in ("en", "fr"))
+    for ends, middle, want in ((en, fr, "fr"), (fr, en, "en")):  # the ends are the other language's
+        joined = "_".join([*ends[:4], *(middle * 3)[:60], *ends[4:8]])
+        assert " " not in joined and f.label([joined])[0][0] == want
+    thai = "\u0e01\u0e34\u0e19" * 40
+    for run in ("中文" * 70, thai, "ab" * 55 + "中" * 50, "_".join(en)):
+        parts = langid.split(run)
+        assert "".join(parts) == run.lower() and max(map(len, parts)) <= langid.LONGEST
+    assert langid.split(thai)[0] == thai[: langid.LONGEST] and langid.split("Un mot") == ["un", "mot"]
+
+
 def test_op3_edges(docs, none):
     got = {r["doc_id"]: r for r in langid.identify(docs).collect()}
     assert [got[i]["lang_pred"] for i in (0, 1, 2, 10)] == ["und"] * 4
