@@ -323,7 +323,7 @@ def seq_frame_diff(s, d):
 
 @query
 def exp_frame_diff(s, d):
-    return motion.exponential_differences(V.grey(s, d)).select("video", "frame", *[_joined(f"d{i}").alias(f"d{i}") for i in range(3)])
+    return motion.exponential_walk(V.grey(s, d)).select("video", "frame", *[_joined(f"d{i}").alias(f"d{i}") for i in range(3)])
 
 
 def _planes(s, d, tail):

@@ -161,3 +161,10 @@ def test_walk_equals_fold(spark):
     grey = V.grey(spark, SF)
     fold, walk = motion.exponential_differences(grey), motion.exponential_walk(grey.repartition(3))
     assert sorted(map(tuple, fold.collect())) == sorted(map(tuple, walk.select(*fold.columns).collect()))
+
+
+def test_exp_frame_diff_collects_no_video(spark):
+    from ethospark.plans.queries import QUERIES
+
+    plan = QUERIES["exp_frame_diff"](spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().toString()
+    assert "collect_list" not in plan and "MapInArrow" in plan
