@@ -4,14 +4,12 @@ Lines are normalised (lower case, white space collapsed) and hashed. Per host an
 counted. A line above the limit is boilerplate and is removed; a document that keeps too few of its words is
 depleted and rejected, as is one that fails the base rules on its own text.
 
-Copies must not pass for boilerplate: a group of exact or near copies shares all its lines. So documents are told
-apart by a key of content, their three longest words (the longest of each line, ties by code point), and a line is
-boilerplate only if more than ``max_docs`` keys have it and they are at least half as many as the documents that
-have it. Copies share a key, unrelated documents hardly ever do.
+Documents of a host whose normalised lines are all equal are one document: a group of exact copies counts once in
+every line it has. Near copies are different documents here; whoever wants them to count once removes them before.
 
-One pass over the texts leaves a narrow record per document (counts, key, line hashes); everything else, the
-shuffles too, works on those records. A hot line is summed before each shuffle, and its join is an ordinary
-equi-join that adaptive execution can split.
+One pass over the texts leaves a narrow record per document (counts, line hashes); everything else, the shuffles
+too, works on those records. A hot line is summed before each shuffle, and the lines above the limit are sent to the
+records if they are small, else joined with hot lines apart.
 
 Defined results: a null or blank text has no words and fails the base rules; a null host is a host of its own;
 repeated rows are judged alike, each on its own row; an empty table gives an empty table; other columns are kept
@@ -23,7 +21,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import SPACES, checkpointed, sent_if_small, veiled
+from .common import SPACES, checkpointed, join_by_key, sent_if_small, veiled
 
 #: Fixed values of the base rules.
 MIN_WORDS, MAX_REPEATED, WINDOW = 10, 20, 5
@@ -76,7 +74,7 @@ def repeat_words(words: str, df: DataFrame) -> DataFrame:
 
 
 def records(docs: DataFrame, id_col: str, text_col: str, host_col: str, keep: list[str]) -> DataFrame:
-    """Per document: the base counts, the content key, and hash and number of words of each line that has words."""
+    """Per document: the base counts, a hash of all its normalised lines, and hash and number of words of each line."""
     text = F.coalesce(F.col(text_col), F.lit(""))
     df = docs.select(
         *[F.col(c).alias(f"k_{c}") for c in keep],
@@ -90,8 +88,9 @@ def records(docs: DataFrame, id_col: str, text_col: str, host_col: str, keep: li
     df = df.withColumn("n_dup_lines", (F.size("raw") - F.size(F.array_distinct("raw"))).cast("bigint")).drop("raw")
     df = df.withColumn("lw", F.filter("lw", lambda ws: F.size(ws) > 0)).withColumn("words", F.flatten("lw"))
     df = repeat_words("words", df)
-    longest = F.transform(
-        "lw", lambda ws: F.array_max(F.transform(ws, lambda w: F.struct(F.length(w).alias("n"), F.lower(w).alias("w"))))
+    df = df.withColumn(
+        "lines",
+        F.transform("lw", lambda ws: F.struct(F.xxhash64(F.lower(F.array_join(ws, " "))).alias("line"), F.size(ws).alias("n"))),
     )
     return df.select(
         *[f"k_{c}" for c in keep],
@@ -102,23 +101,19 @@ def records(docs: DataFrame, id_col: str, text_col: str, host_col: str, keep: li
         "n_symbols",
         "n_dup_lines",
         "n_repeat_words",
-        F.xxhash64(F.slice(F.sort_array(F.array_distinct(longest), asc=False), 1, 3)).alias("key"),
-        F.transform(
-            "lw",
-            lambda ws: F.struct(F.xxhash64(F.lower(F.array_join(ws, " "))).alias("line"), F.size(ws).alias("n")),
-        ).alias("lines"),
+        F.xxhash64("lines").alias("whole"),
+        "lines",
     )
 
 
 def frequent_lines(made: DataFrame, max_docs: int) -> DataFrame:
-    """(host, line) that more than ``max_docs`` distinct documents of the host have."""
-    each = made.select("host", "key", F.explode(F.array_distinct(F.transform("lines", lambda e: e["line"]))).alias("line"))
-    counted = each.groupBy("host", "line", "key").agg(F.count("*").alias("n"))
+    """(host, line) that more than ``max_docs`` distinct documents of the host have, how many, and in how many rows."""
+    each = made.select("host", "whole", F.explode(F.array_distinct(F.transform("lines", lambda e: e["line"]))).alias("line"))
+    counted = each.groupBy("host", "line", "whole").agg(F.count("*").alias("n"))
     return (
         counted.groupBy("host", "line")
-        .agg(F.count("*").alias("keys"), F.sum("n").alias("docs"))
-        .filter((F.col("keys") > max_docs) & (2 * F.col("keys") >= F.col("docs")))
-        .select("host", "line")
+        .agg(F.count("*").alias("documents"), F.sum("n").alias("n_rows"))
+        .filter(F.col("documents") > max_docs)
     )
 
 
@@ -133,9 +128,10 @@ def judge(
     """Per document: the base counts, base_failed, removed_words, boilerplate (hashes of its removed lines), kept."""
     made = records(docs, id_col, text_col, host_col, list(keep))
     made = checkpointed(made.withColumn("row", F.monotonically_increasing_id()))
-    rows = made.select("row", "host", F.explode("lines").alias("e")).select("row", "host", "e.line", "e.n")
+    rows = made.select("row", "host", F.explode("lines").alias("e")).select("row", F.struct("host", "e.line").alias("at"), "e.line", "e.n")
+    frequent = frequent_lines(made, max_docs).select(F.struct("host", "line").alias("at"), "n_rows")
     lost = (
-        rows.join(frequent_lines(made, max_docs), ["host", "line"])
+        join_by_key(rows, checkpointed(frequent, 4), "at", "n_rows")
         .groupBy("row")
         .agg(F.sum("n").alias("removed_words"), F.collect_set("line").alias("boilerplate"))
     )
@@ -145,7 +141,7 @@ def judge(
         (left < LEFT_WORDS) | (100 * left < LEFT_PERCENT * F.col("n_words"))
     )
     return (
-        made.drop("lines")
+        made.drop("lines", "whole")
         .join(lost, "row", "left")
         .withColumn("removed_words", F.coalesce("removed_words", F.lit(0)).cast("bigint"))
         .withColumn("boilerplate", F.coalesce("boilerplate", F.array().cast("array<bigint>")))
@@ -179,7 +175,7 @@ def clean_documents(
         & (print_of == F.col("_print"))
         & F.col(host_col).eqNullSafe(F.col("_host"))
     )
-    out = docs.join(sent_if_small(changed, "1 + size(boilerplate)"), same, "left").filter(F.coalesce("_kept", F.lit(True)))
+    out = docs.join(sent_if_small(changed, "64 + 8 * size(boilerplate)"), same, "left").filter(F.coalesce("_kept", F.lit(True)))
     line_hash = lambda line: F.xxhash64(
         F.lower(F.array_join(F.filter(F.split(line, SPACES, -1), lambda w: w != ""), " "))
     )

@@ -100,10 +100,10 @@ gu as (select doc_id, unnest(g) as x, unnest(range(1, len(g) + 1)) as i from g),
 gr as (select doc_id, i from gu qualify count(*) over (partition by doc_id, x) > 1),
 gc as (select doc_id, sum(least(5, coalesce(i - p, 5))) as n from (select doc_id, i, lag(i) over (partition by doc_id order by i) as p from gr) group by 1),
 ln as (select doc_id, source, list_transform(raw, lambda l: {WORDS.format("l")}) as lw from d),
-ls as (select doc_id, source, unnest(lw) as ws from ln),
-lx as (select doc_id, source, lower(array_to_string(ws, ' ')) as line, len(ws) as n, list_max(list_transform(ws, lambda x: {{'n': length(x), 'w': lower(x)}})) as longest from ls),
-k as (select doc_id, list_slice(list_reverse_sort(list_distinct(list(longest))), 1, 3) as key from lx group by 1),
-f as (select source, line from lx join k using (doc_id) group by 1, 2 having count(distinct key) > 20 and 2 * count(distinct key) >= count(distinct doc_id)),
+ls as (select doc_id, source, unnest(lw) as ws, generate_subscripts(lw, 1) as i from ln),
+lx as (select doc_id, source, i, lower(array_to_string(ws, ' ')) as line, len(ws) as n from ls),
+k as (select doc_id, list(line order by i) as whole from lx group by 1),
+f as (select source, line from lx join k using (doc_id) group by 1, 2 having count(distinct whole) > 20),
 r as (select doc_id, sum(n) as n from lx join f on lx.line = f.line and lx.source is not distinct from f.source group by 1),
 b as (select d.doc_id, len(d.w) as n_words, length(regexp_replace(t, '[\x20\x09-\x0D]+', '', 'g')) as word_chars,
        length(regexp_replace(t, '[^#*$%&|<>]+', '', 'g')) as n_symbols, len(raw) - len(list_distinct(raw)) as n_dup_lines,
