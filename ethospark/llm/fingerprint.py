@@ -6,14 +6,19 @@ agree in a slot with a probability that falls with their edit distance, as it ne
 order. A fingerprint is the slots' hashes in fixed-width hexadecimal (16 bits each); the likeness of two is their share of equal
 slots.
 
+Ids can be of any type with an order. Documents are put in order without a global sort: cut points, pairs of id and
+text hash taken from a bounded sample of the table, divide it into ranges.
+
 Defined results: a null or empty text has the empty fingerprint, which is like itself (1) and unlike any other
 (0); a text shorter than a k-mer is one element; equal texts have equal fingerprints; rows without an id come
-first, ties in the id are ordered by text; a table of one row is its own neighbour; an empty table gives an empty
-table; other columns are not read.
+first, ties in the id are ordered by a hash of the text, so rows that share an id are spread as well and only rows equal in
+both stay together; a table of one row is its own neighbour; an empty table gives an empty table; other columns are
+not read; bytes that are no UTF-8 are read as U+FFFD.
 """
 
 from __future__ import annotations
 
+from bisect import bisect_right
 from collections.abc import Iterator
 
 import numpy as np
@@ -21,9 +26,11 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import partitions, small_batches
+from .common import partitions, small_batches, text_of
 
 KMER, TUPLE, SLOTS = 5, 2, 64
+#: Rows sampled for each range's cut point, about.
+SAMPLED = 20
 #: Elements hashed at once: the working set stays in a core's cache however long the text.
 BLOCK = 1 << 17
 
@@ -95,35 +102,55 @@ def likeness(a: str, b: str) -> float:
     return float((x == np.frombuffer(bytes.fromhex(b), np.uint16)).mean())
 
 
+def cut_points(keyed: DataFrame, pieces: int) -> list[tuple]:
+    """At most ``pieces`` pairs (id, h) of the table that divide it evenly, the least pair first; ascending."""
+    n = keyed.count()
+    wanted = SAMPLED * pieces
+    sample = (
+        keyed.filter(F.pmod(F.xxhash64("id", "h"), F.lit(1_000_000)) <= 1_000_000 * wanted // max(n, 1))
+        .select("id", "h")
+        .distinct()
+        .limit(4 * wanted)
+    )
+    least = keyed.orderBy("id", "h").select("id", "h").limit(1).collect()
+    some = sorted({sort_key(r["id"], r["h"]) for r in sample.collect()} | {sort_key(r["id"], r["h"]) for r in least})
+    return sorted({some[0], *(some[len(some) * k // pieces] for k in range(1, pieces))}) if some else []
+
+
+def sort_key(i, h) -> tuple:
+    """Orders as Spark does: null ids first."""
+    return (i is not None, i if i is not None else 0, h)
+
+
 def in_order(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """Rows dealt by ranges of the id and sorted, each range followed by a copy of the next one's first row.
+    """Rows dealt by ranges of id and text hash, and sorted, each range followed by a copy of the next one's first row.
 
-    The cut points are ids of the table, so a range's first row is known by its id and goes to both ranges in the
-    same shuffle; the least id follows the last range. Columns: bucket, guest (1 for such a copy), id, text.
+    The cut points are rows of the table, so a range's first row is known and goes to both ranges in the same shuffle;
+    the least row follows the last range. Columns: bucket, guest (1 for such a copy), id, text.
     """
-    pieces = 2 * partitions(docs.sparkSession)
-    got = docs.agg(
-        F.min(id_col), F.percentile_approx(id_col, F.array(*[F.lit(i / pieces) for i in range(1, pieces)]), 10_000)
-    ).first()
-    cuts = sorted({got[0], *(got[1] or ())} - {None})
-    if not cuts:
-        cuts = [0]
-    known = F.array(*[F.lit(c) for c in cuts])
-    bucket = F.greatest(F.size(F.filter(known, lambda c: c <= F.col(id_col))) - 1, F.lit(0))
-    first = F.col(id_col).isNull() | (F.col(id_col) == F.lit(cuts[0]))
-    last = len(cuts) - 1
-    homes = F.array_compact(
-        F.array(
-            F.struct(bucket.alias("bucket"), F.lit(0).alias("guest")),
-            F.when((bucket > 0) & F.array_contains(known, F.col(id_col)), F.struct((bucket - 1).alias("bucket"), F.lit(1).alias("guest"))),
-            F.when(first, F.struct(F.lit(last).alias("bucket"), F.lit(1).alias("guest"))),
-        )
-    )
+    spark = docs.sparkSession
+    keyed = docs.select(F.col(id_col).alias("id"), F.xxhash64(text_col).alias("h"), F.col(text_col).alias("text"))
+    cuts = spark.sparkContext.broadcast(cut_points(keyed, 2 * partitions(spark)))
+
+    @F.arrow_udf("array<struct<bucket:int,guest:int>>")
+    def homes(ids: pa.Array, hashes: pa.Array) -> pa.Array:
+        known, out = cuts.value, []
+        last = len(known) - 1
+        for i, h in zip(ids.to_pylist(), hashes.to_pylist()):
+            key = sort_key(i, h)
+            bucket = bisect_right(known, key) - 1
+            own = [{"bucket": bucket, "guest": 0}]
+            if known[bucket] == key:  # the first of its range
+                own.append({"bucket": bucket - 1 if bucket else last, "guest": 1})
+            out.append(own)
+        return pa.array(out, pa.list_(pa.struct([("bucket", pa.int32()), ("guest", pa.int32())])))
+
     return (
-        docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"), F.explode(homes).alias("h"))
-        .select("h.bucket", "h.guest", "id", "text")
-        .repartition(partitions(docs.sparkSession), "bucket")
-        .sortWithinPartitions("bucket", "guest", "id", "text")
+        keyed.withColumn("at", F.explode(homes("id", "h")))
+        .select("at.bucket", "at.guest", "id", "h", "text")
+        .repartition(partitions(spark), "bucket")
+        .sortWithinPartitions("bucket", "guest", "id", "h")
+        .drop("h")
     )
 
 
@@ -144,8 +171,9 @@ def with_successor(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
         with np.errstate(over="ignore"):
             for batch in batches:
                 out: list[tuple] = []
-                for bucket, guest, i, text in zip(*(c.to_pylist() for c in batch.columns)):
-                    text = text or ""
+                columns = [c.cast(pa.binary()) if k == 3 else c for k, c in enumerate(batch.columns)]
+                for bucket, guest, i, raw in zip(*(c.to_pylist() for c in columns)):
+                    text = text_of(raw)
                     mark = fingerprint(text)
                     if held is not None and held[0] == bucket and not held[1]:
                         _, _, j, own, own_mark = held
