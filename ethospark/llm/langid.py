@@ -8,14 +8,16 @@ pieces are words. A document's language is the label with the greatest mean post
 their letters; that mean is the score.
 
 The field is fitted on a bounded sample of labelled rows (``per_lang`` documents of each language, windows of
-``SPAN`` words), spliced at random so that labels change inside sequences. Prediction reads whole texts: documents
-are cut into blocks of ``BLOCK`` words that are run in step, first as transfer matrices, then with the exact vectors
-at their edges, so one long text costs no more per word than many short ones and a worker holds about
-``WORDS_AT_ONCE`` words.
+``SPAN`` words, cut before they reach the driver), spliced at random so that labels change inside sequences. Its size
+grows with the number of labels. Prediction reads whole texts: documents are cut into blocks of ``BLOCK`` words that
+are run in step, first as transfer matrices, then with the exact vectors at their edges, so one long text costs no
+more per word than many short ones. A text over ``WORDS_AT_ONCE`` words is run in parts of that size, forward to know
+the vectors between them and then backward, so a worker's matrices are bounded.
 
 Defined results: a null text, an empty one and one without a letter are ``und`` with score 0; a null label is not
-learnt from; without any labelled text every document is ``und``; equal texts get equal results; an empty table
-gives an empty table; other columns are not read.
+learnt from; without any labelled text every document is ``und``; with one label, or under ``SEQUENCE`` words of
+labelled text, there is nothing to tell apart and every text with a letter gets the first label by name; equal texts get equal
+results; an empty table gives an empty table; other columns are not read; bytes that are no UTF-8 are read as U+FFFD.
 """
 
 from __future__ import annotations
@@ -28,7 +30,7 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import arrow_map, doc_hash_mod, per_worker
+from .common import SPACES, arrow_map, checkpointed, doc_hash_mod, new_token, per_worker, sent_if_small, text_of
 
 FEATURES = 1 << 15
 PER_LANG, SPAN, SEQUENCE, STEPS = 250, 160, 64, 60
@@ -144,10 +146,20 @@ class Field:
 
     def posteriors(self, emission: np.ndarray, sizes: np.ndarray) -> np.ndarray:
         """Forward-backward over documents laid end to end: (words, labels)."""
+        return self.run(emission, sizes)[0]
+
+    def run(
+        self, emission: np.ndarray, sizes: np.ndarray, before: np.ndarray | None = None, after: np.ndarray | None = None
+    ) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Posteriors, the forward vector at the last word, the backward vector before the first.
+
+        The vectors are those of a part of a document, which comes alone, with the forward vector ``before`` it (None at the start of a document) and the
+        backward vector ``after`` it; with ``after`` empty only the forward vector is made.
+        """
         n_labels = emission.shape[1]
         x = np.exp(emission - emission.max(1, keepdims=True))
         t = np.exp(self.transition - self.transition.max())
-        start = np.exp(self.start - self.start.max())
+        start = np.exp(self.start - self.start.max()) if before is None else before
         blocks = -(-sizes // BLOCK)
         n = int(blocks.sum())
         first = np.concatenate([[0], np.cumsum(blocks)[:-1]])
@@ -157,7 +169,7 @@ class Field:
         at = begin[doc][:, None] + nth[:, None] * BLOCK + np.arange(BLOCK)
         real = at < (begin + sizes)[doc][:, None]
         xs = np.where(real[:, :, None], x[np.minimum(at, len(x) - 1)], 1.0)
-        is_first = nth == 0
+        is_first = (nth == 0) & (before is None)
         scale = lambda a: a / a.max(tuple(range(1, a.ndim)), keepdims=True)
         whole = np.broadcast_to(np.eye(n_labels), (n, n_labels, n_labels)).copy()
         for k in range(BLOCK):
@@ -171,6 +183,11 @@ class Field:
         for k in range(1, int(blocks.max(initial=0))):
             b = first[blocks > k] + k
             enter[b] = scale(np.einsum("bi,bij->bj", enter[b - 1], whole[b - 1]))
+        end = scale((enter[-1] @ whole[-1])[None, :])[0]
+        if after is not None:
+            if not len(after):
+                return x[:0], end, after
+            leave[-1] = after
         for k in range(int(blocks.max(initial=0)) - 2, -1, -1):
             b = first[blocks > k + 1] + k
             leave[b] = scale(np.einsum("bij,bj->bi", whole[b + 1], leave[b + 1]))
@@ -187,7 +204,24 @@ class Field:
             alpha[:, k] *= v
             v = np.where(real[:, k, None], scale((xs[:, k] * v) @ t.T), v)
         gamma = alpha[real]
-        return gamma / gamma.sum(1, keepdims=True)
+        return gamma / gamma.sum(1, keepdims=True), end, v[0]
+
+    def long(self, words: list[str]) -> tuple[np.ndarray, int]:
+        """Of a document of any length: the sums of posteriors by letters, and its letters."""
+        cuts = range(0, len(words), WORDS_AT_ONCE)
+        vectors: list[np.ndarray | None] = [None]
+        for c in cuts:
+            part = words[c : c + WORDS_AT_ONCE]
+            vectors.append(self.run(self.rows[self.look_up(part)], np.array([len(part)]), vectors[-1], np.empty(0))[1])
+        total, counted, after = np.zeros(len(self.labels)), 0, np.ones(len(self.labels))
+        for c, before in zip(reversed(cuts), reversed(vectors[:-1])):
+            part = words[c : c + WORDS_AT_ONCE]
+            at = self.look_up(part)
+            letters = self.letters[at]
+            gamma, _, after = self.run(self.rows[at], np.array([len(part)]), before, after)
+            total += gamma.T @ letters
+            counted += int(letters.sum())
+        return total, counted
 
     def label(self, texts: list[str]) -> list[tuple[str, float]]:
         out: list[tuple[str, float]] = []
@@ -201,25 +235,22 @@ class Field:
         return out
 
     def _label(self, docs: list[list[str]]) -> list[tuple[str, float]]:
-        sizes = np.array([len(d) for d in docs])
         result = [(UNKNOWN, 0.0)] * len(docs)
-        full = np.flatnonzero(sizes)
-        if not len(full) or not self.labels:
+        if not self.labels:
             return result
-        emission, letters = np.empty((sizes.sum(), len(self.labels))), np.empty(sizes.sum(), np.int64)
-        end = 0
-        for i in full:
-            for part in range(0, len(docs[i]), WORDS_AT_ONCE):
-                at = self.look_up(docs[i][part : part + WORDS_AT_ONCE])
-                emission[end : end + len(at)], letters[end : end + len(at)] = self.rows[at], self.letters[at]
-                end += len(at)
-        gamma = self.posteriors(emission, sizes[full]) * letters[:, None]
-        begin = np.concatenate([[0], np.cumsum(sizes[full])[:-1]])
-        total, counted = np.add.reduceat(gamma, begin), np.add.reduceat(letters.astype(float), begin)
-        for i, sums, n in zip(full, total, counted):
+        sums: dict[int, tuple[np.ndarray, float]] = {i: self.long(d) for i, d in enumerate(docs) if len(d) > WORDS_AT_ONCE}
+        short = [i for i, d in enumerate(docs) if 0 < len(d) <= WORDS_AT_ONCE]
+        if short:
+            sizes = np.array([len(docs[i]) for i in short])
+            at = self.look_up([w for i in short for w in docs[i]])
+            letters = self.letters[at].astype(float)
+            gamma = self.posteriors(self.rows[at], sizes) * letters[:, None]
+            begin = np.concatenate([[0], np.cumsum(sizes)[:-1]])
+            sums |= dict(zip(short, zip(np.add.reduceat(gamma, begin), np.add.reduceat(letters, begin))))
+        for i, (total, n) in sums.items():
             if n:
-                best = int(sums.argmax())
-                result[i] = (self.labels[best], float(min(1.0, sums[best] / n)))
+                best = int(total.argmax())
+                result[i] = (self.labels[best], float(min(1.0, total[best] / n)))
         return result
 
 
@@ -228,8 +259,6 @@ def splice(rows: list[tuple[str, str]], labels: list[str], rng: np.random.Genera
     runs: list[tuple[list[str], int]] = []
     for text, lang in rows:
         words = split(text)
-        at = int(rng.integers(0, max(1, len(words) - SPAN)))
-        words = words[at : at + SPAN]
         while words:
             n = int(rng.integers(4, 33))
             runs.append((words[:n], labels.index(lang)))
@@ -301,20 +330,27 @@ def fit(rows: list[tuple[str, str]], seed: int = 3) -> Field:
 
 
 def sample(docs: DataFrame, id_col: str, text_col: str, lang_col: str, per_lang: int) -> list[tuple[str, str]]:
-    """About ``per_lang`` (text, lang) rows of each language, chosen by a hash of the id; never more."""
-    docs = docs.filter(F.col(lang_col).isNotNull() & F.col(text_col).isNotNull())
-    sizes = {r[0]: r[1] for r in docs.groupBy(lang_col).count().collect()}
-    order = F.pmod(F.xxhash64(F.col(id_col), F.lit("sample")), F.lit(1_000_000))
-    cut = F.lit(0)
-    for lang, n in sizes.items():
-        cut = F.when(F.col(lang_col) == lang, min(1_000_000, 1 + 1_250_000 * per_lang // n)).otherwise(cut)
-    rows = docs.filter(order < cut).select(text_col, lang_col, order.alias("o"), F.col(id_col)).collect()
-    kept: dict[str, list] = {}
-    for r in sorted(rows, key=lambda r: (r[2], r[3] if r[3] is not None else -1)):
-        own = kept.setdefault(r[1], [])
-        if len(own) < per_lang:
-            own.append((r[0], r[1]))
-    return [x for lang in sorted(kept) for x in kept[lang]]
+    """At most ``per_lang`` (window of a text, lang) of each language, in an order that depends on ids and texts only.
+
+    Rows are dealt by a hash of id and text to ``per_lang`` slots of their language, of which each keeps its least hash;
+    the few texts so chosen are cut to ``SPAN`` words (of ``LONGEST`` characters at most) and collected.
+    """
+    docs = docs.filter(F.col(lang_col).isNotNull() & F.col(text_col).isNotNull()).select(
+        F.col(lang_col).alias("l"), F.col(text_col).alias("t"), F.xxhash64(id_col, text_col).alias("o")
+    )
+    slot = F.pmod(F.xxhash64("o"), F.lit(per_lang))
+    chosen = checkpointed(docs.groupBy("l", slot.alias("slot")).agg(F.min("o").alias("o")).select("l", "o"), 16)
+    words = F.split(F.trim(F.regexp_replace("t", SPACES, " ")), " ")
+    start = F.pmod(F.shiftright("o", 8), F.greatest(F.size(words) - SPAN, F.lit(1)))
+    window = F.substring(F.array_join(F.slice(words, start.cast("int") + 1, SPAN), " "), 1, SPAN * (LONGEST + 1))
+    rows = (
+        docs.join(sent_if_small(chosen), ["l", "o"])  # per_lang rows of each language
+        .select("l", "o", window.alias("w"))
+        .groupBy("l", "o")
+        .agg(F.first("w").alias("w"))
+        .collect()
+    )
+    return [(r["w"], r["l"]) for r in sorted(rows, key=lambda r: (r["l"], r["o"]))]
 
 
 def identify(
@@ -331,14 +367,14 @@ def identify(
     held = F.coalesce(held_out if held_out is not None else doc_hash_mod(id_col, 3) == 1, F.lit(False))
     model = fit(sample(docs.filter(~held), id_col, text_col, lang_col, per_lang))
     sent = spark.sparkContext.broadcast((model.labels, model.weight.astype(np.float32), model.transition, model.start, model.lexicon))
-    token = ("crf", zlib.crc32(model.weight.tobytes()))
+    token = new_token()
 
     sent_columns = (*keep, *(() if text_col in keep else (text_col,)))  # the text goes over once
     place = sent_columns.index(text_col)
 
     def run(ids, held, *others):
         model = per_worker(token, lambda: Field(*sent.value))
-        made = model.label([(t or b"").decode("utf-8", "replace") for t in others[place]])
+        made = model.label([text_of(t) for t in others[place]])
         return ids, held, *others[: len(keep)], [m[0] for m in made], [m[1] for m in made]
 
     kinds = dict(docs.dtypes)
