@@ -5,15 +5,16 @@ over all paths, so a text's probability is the marginal one, not that of its bes
 also be spelt in byte pieces, so every text has a probability. Pieces never cross a word's start, which makes a
 text's probability the product of its words' and of one end.
 
-The vocabulary is an existing one and its pieces are not changed. Its file orders the pieces by merges and gives
-negative ranks as scores; as log-weights those would leave nothing to all but a few pieces, so the ranks are read
-by Zipf's law and the weights are then fitted to the training words by expectation-maximisation over the lattices.
+The vocabulary is an existing one; its pieces and their scores are not changed. A piece's log-weight is its score times
+one factor, normalised. The factor is 1 for a file whose scores are log-probabilities. A merge vocabulary's
+file gives negative ranks, of which only the scale is open: there the factor is fitted to the training words, by
+expectation-maximisation over the lattices with that one parameter. ``free`` fits every piece's weight instead.
 
 Word counts are gathered in one pass with a bounded table per task and summed by key; lattices run once per
-distinct word. Texts meet the counts in blocks of about ``BLOCK_BYTES``: each block asks once for each of its
+distinct word. Texts meet the counts in blocks of about ``BLOCK_BYTES``, dealt by row so that repeated rows are spread: each block asks once for each of its
 distinct words, by 64-bit hash, so no task needs the vocabulary of the corpus and no row per token is shuffled.
 
-Defined results: a null, empty or blank text is one end token; a null id is trained on; with no training text all
+Defined results: a null, empty or blank text is one end token; bytes that are no UTF-8 are scored as U+FFFD; a null id is trained on; with no training text all
 counts are 0; repeated rows score alike; an empty table gives an empty table; other columns are not read.
 """
 
@@ -28,12 +29,14 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import checkpointed, doc_hash_mod, partitions, per_worker, small_batches
+from .common import checkpointed, doc_hash_mod, new_token, partitions, per_worker, small_batches, text_of
 
 #: Text of one block, and entries of a task's count table before it is emptied.
 BLOCK_BYTES, TABLE = 24 << 20, 300_000
 #: Rounds of expectation-maximisation, and what every piece is credited with beyond its expected count.
 ROUNDS, CREDIT = 2, 0.1
+#: Scores from here on are no log-probabilities of a piece, but mark one that is never used.
+NEVER = -1e8
 MARK = "▁"
 _MUL = np.uint64(0x9E3779B97F4A7C15)
 #: Words with more code points take the scalar path.
@@ -92,7 +95,7 @@ class Lattice:
         out = np.full((len(flat), self.longest), -1, np.int32)
         h, power = np.zeros(len(flat), np.uint64), np.uint64(1)
         codes = flat.astype(np.uint64) + np.uint64(1)
-        for n in range(1, self.longest + 1):
+        for n in range(1, min(self.longest, len(flat)) + 1):
             # the hash of the piece one code point longer at its front
             h[n - 1 :] = h[n - 1 :] + codes[: len(flat) - n + 1] * power
             power = power * _MUL
@@ -194,18 +197,36 @@ class Lattice:
         return float(alpha[n])
 
 
-def vocabulary(path: str) -> list[str]:
-    """The pieces of a sentencepiece file, in the order of their ids."""
+def vocabulary(path: str) -> tuple[list[str], np.ndarray]:
+    """The pieces of a sentencepiece file and their scores, in the order of their ids."""
     import sentencepiece
 
     model = sentencepiece.SentencePieceProcessor(model_file=path)
-    return [model.id_to_piece(i) for i in range(model.get_piece_size())]
+    ids = range(model.get_piece_size())
+    return [model.id_to_piece(i) for i in ids], np.array([model.get_score(i) for i in ids])
 
 
-def ranked_weights(n: int) -> np.ndarray:
-    """Zipf's law over the ranks, as log-probabilities."""
-    w = -np.log(np.arange(n) + 2.7)
-    return w - np.log(np.exp(w).sum())
+def are_ranks(scores: np.ndarray) -> bool:
+    """Whether scores are whole numbers, as a merge vocabulary's ranks are and log-probabilities are not."""
+    return bool((scores == np.round(scores)).all())
+
+
+def weights(scores: np.ndarray, factor: float) -> np.ndarray:
+    """Scores times a factor as log-probabilities."""
+    w = np.where(scores > NEVER, scores * factor, -np.inf)
+    return w - np.logaddexp.reduce(w)
+
+
+def fitted_factor(scores: np.ndarray, expected: np.ndarray) -> float:
+    """The factor under which the mean score is that of the expected counts, which makes these most likely."""
+    used = scores > NEVER
+    wanted = float((expected * np.where(used, scores, 0)).sum() / max(expected.sum(), 1e-9))
+    low, high = 1e-9, 10.0
+    for _ in range(100):
+        middle = (low * high) ** 0.5
+        mean = float((np.exp(weights(scores, middle))[used] * scores[used]).sum())
+        low, high = (middle, high) if mean < wanted else (low, middle)
+    return low
 
 
 def word_counts(docs: DataFrame) -> DataFrame:
@@ -218,7 +239,7 @@ def word_counts(docs: DataFrame) -> DataFrame:
         def out():
             words = list(kept) + [w for w in other if w not in kept]
             return pa.RecordBatch.from_arrays(
-                [pa.array(words, pa.binary()).cast(pa.string()), pa.array([kept[w] for w in words], pa.int64())],
+                [pa.array(words, pa.binary()), pa.array([kept[w] for w in words], pa.int64())],
                 names=["word", "c"],
             )
 
@@ -236,13 +257,15 @@ def word_counts(docs: DataFrame) -> DataFrame:
             yield out()
 
     small_batches(docs.sparkSession)
-    made = docs.select("text", "trained").mapInArrow(run, "word string, c bigint")
+    made = docs.select("text", "trained").mapInArrow(run, "word binary, c bigint")
     return made.groupBy("word").agg(F.sum("c").alias("c"))
 
 
-def fitted(words: DataFrame, ends: int, pieces: list[str], rounds: int) -> np.ndarray:
-    """Weights of the pieces by expectation-maximisation over the training words."""
-    weight = ranked_weights(len(pieces))
+def fitted(words: DataFrame, ends: int, pieces: list[str], scores: np.ndarray, rounds: int, free: bool = False) -> np.ndarray:
+    """Weights of the pieces from their scores; ranks are scaled by the training words. ``free`` fits each weight."""
+    if not free and not are_ranks(scores):
+        return weights(scores, 1.0)
+    weight = weights(scores, 4 / max(1.0, float(-scores[scores > NEVER].min(initial=0))))
     for _ in range(rounds):
         sent = words.sparkSession.sparkContext.broadcast((pieces, weight))
 
@@ -251,22 +274,31 @@ def fitted(words: DataFrame, ends: int, pieces: list[str], rounds: int) -> np.nd
             with np.errstate(over="ignore", divide="ignore", invalid="ignore"):
                 for batch in batches:
                     words, counts = (c.to_pylist() for c in batch.columns)
-                    total += lattice.batch(words, np.array(counts))[1]
+                    total += lattice.batch(list(map(text_of, words)), np.array(counts))[1]
             at = np.flatnonzero(total)
             yield pa.RecordBatch.from_arrays([pa.array(at, pa.int64()), pa.array(total[at])], names=["piece", "n"])
 
         made = words.filter("c > 0").select("word", "c").mapInArrow(run, "piece bigint, n double")
-        counts = np.full(len(pieces), CREDIT)
+        counts = np.full(len(pieces), CREDIT if free else 0.0)
         for row in made.groupBy("piece").agg(F.sum("n").alias("n")).collect():  # a row for each piece at most
             counts[row["piece"]] += row["n"]
         counts[pieces.index("</s>")] += ends
-        weight = np.log(counts) - np.log(counts.sum())
         sent.unpersist()
+        if free:
+            weight = np.log(counts) - np.log(counts.sum())
+        elif counts.any():
+            weight = weights(scores, fitted_factor(scores, counts))
     return weight
 
 
 def score(
-    docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "text", fold: int = 10, rounds: int = ROUNDS
+    docs: DataFrame,
+    path: str,
+    id_col: str = "doc_id",
+    text_col: str = "text",
+    fold: int = 10,
+    rounds: int = ROUNDS,
+    free: bool = False,
 ) -> DataFrame:
     """id, held_out, n_tokens, n_known, train_tokens, base_score, score (log10)."""
     spark, kind = docs.sparkSession, dict(docs.dtypes)[id_col]
@@ -277,24 +309,24 @@ def score(
     words = checkpointed(word_counts(docs))
     total = words.agg(F.sum("c"), F.count_if(F.col("c") > 0)).first()
     n, v = (total[0] or 0) + ends, (total[1] or 0) + (ends > 0)
-    pieces = vocabulary(path)
-    weight = fitted(words, ends, pieces, rounds)
+    pieces, scores = vocabulary(path)
+    weight = fitted(words, ends, pieces, scores, rounds, free)
     sent = spark.sparkContext.broadcast((pieces, weight))
-    token = f"{path}:{n}:{weight[:50].sum()}"
+    token = new_token()
 
     def weigh(batches):
-        lattice = per_worker(("lattice", token), lambda: Lattice(*sent.value))
+        lattice = per_worker(token, lambda: Lattice(*sent.value))
         with np.errstate(over="ignore", divide="ignore", invalid="ignore"):
             for batch in batches:
-                raw, texts = batch.column(0).cast(pa.binary()).to_pylist(), batch.column(0).to_pylist()
+                raw = batch.column(0).to_pylist()
                 hashes = np.fromiter(map(xxhash.xxh3_64_intdigest, raw), np.uint64, len(raw)).astype(np.int64)
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(hashes), batch.column(1), pa.array(lattice.batch(texts)[0])], names=["hash", "c", "lp"]
+                    [pa.array(hashes), batch.column(1), pa.array(lattice.batch(list(map(text_of, raw)))[0])], names=["hash", "c", "lp"]
                 )
 
     weighed = words.mapInArrow(weigh, "hash bigint, c bigint, lp double")
     blocks = max(1, -(-(size[0] or 0) // BLOCK_BYTES))
-    dealt = docs.select("id", "text", "trained", F.pmod(F.xxhash64("id", "text"), F.lit(blocks)).alias("block"))
+    dealt = docs.select("id", "text", "trained", F.pmod(F.xxhash64("id", F.monotonically_increasing_id()), F.lit(blocks)).alias("block"))
     dealt = dealt.repartition(max(partitions(spark), 1), "block")
 
     def ask(group: pa.Table) -> pa.Table:
