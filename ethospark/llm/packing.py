@@ -1,38 +1,32 @@
 """Packing into optimal length buckets: the fewest pad tokens for a given number of buckets.
 
-Lengths are counted over the whole table. Bucket boundaries come from an exact dynamic programme over that
-histogram; its layers are minima of lines in order of slope, so each takes linear time. Lengths above 2**14 are
-counted in steps of a 256th of their power of two, upwards, so the histogram has at most about 16,000 + 128 x 30 rows
-at any corpus size; every document still has its own length, and boundaries are exact on those steps.
+Lengths are counted exactly over the whole table. Bucket boundaries come from an exact dynamic programme over that
+histogram; its layers are minima of lines in order of slope, so each takes linear time. The histogram is the one
+thing that the driver holds: documents of n different lengths have n * n / 2 tokens at least, so n grows with the root
+of the corpus at most.
 
-Batches take ``budget`` tokens: a bucket of boundary b fills batches of max(1, budget // b) documents. A document's
-place in its bucket is its rank in a shard plus the sizes of the shards before: shards are dealt by a hash of the row,
-so a length that many documents share is spread, and only the table of shard sizes is gathered.
+Batches take ``budget`` tokens: a bucket of boundary b fills batches of max(1, budget // b) documents. Rows with equal
+id and length are counted first and get neighbouring places. Those groups are dealt to ``SHARDS`` shards by a hash of id and
+length and ordered within them; a place is the sum of what is before in the shard plus the sizes of the shards before.
+So a length that many documents share is spread, only the table of shard sizes is gathered, and the result depends
+neither on the order nor on the partitions of the input.
 
 Defined results: a null or blank text has length 0 and is packed in the first bucket; repeated rows take places of
 their own; with fewer lengths than buckets each length is a bucket; a document longer than the budget is a batch by
-itself; an empty table gives an empty table; other columns are kept if asked for.
+itself; an empty table gives an empty table; other columns are not read.
 """
 
 from __future__ import annotations
 
+from array import array
 from collections import deque
 
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import checkpointed, partitions, words
+from .common import checkpointed, words
 
-BUCKETS, BUDGET = 12, 16_384
-FINE = 1 << 14
-
-
-def step(length: int) -> int:
-    """The least counted length that is not below a length."""
-    if length <= FINE:
-        return length
-    unit = 1 << (length - 1).bit_length() - 8
-    return -(-length // unit) * unit
+BUCKETS, BUDGET, SHARDS = 12, 16_384, 4096
 
 
 def optimal_boundaries(histogram: list[tuple[int, int]], buckets: int) -> list[int]:
@@ -52,9 +46,9 @@ def optimal_boundaries(histogram: list[tuple[int, int]], buckets: int) -> list[i
         upto.append(total)
     n = len(lengths)
     best = [lengths[j] * upto[j + 1] for j in range(n)]
-    back: list[list[int]] = []
+    back: list[array] = []
     for _ in range(1, min(buckets, n)):
-        layer, choice, hull = best[:], [-1] * n, deque()
+        layer, choice, hull = best[:], array("q", [-1]) * n, deque()
         for j in range(n):
             if j:  # the earlier boundary may now be j - 1: cost best[j - 1] - lengths[j] * upto[j]
                 slope, icept = -upto[j], best[j - 1]
@@ -84,12 +78,6 @@ def optimal_boundaries(histogram: list[tuple[int, int]], buckets: int) -> list[i
     return sorted(set(ends))
 
 
-def counted(length) -> F.Column:
-    """``step`` as a column."""
-    unit = F.pow(F.lit(2.0), F.greatest(F.ceil(F.log2(F.greatest(length, F.lit(1)))) - 8, F.lit(0))).cast("bigint")
-    return F.when(length <= FINE, length).otherwise(F.ceil(length / unit) * unit).cast("bigint")
-
-
 def pack(
     docs: DataFrame,
     id_col: str = "doc_id",
@@ -102,30 +90,31 @@ def pack(
 
     ``length``: a column of token counts; by default the number of words.
     """
-    spark = docs.sparkSession
     n = F.size(words(text_col)) if length is None else length
-    sized = docs.select(F.col(id_col).alias("id"), F.coalesce(n, F.lit(0)).cast("bigint").alias("n_tokens"))
-    sized = checkpointed(sized.withColumn("row", F.monotonically_increasing_id()))
-    histogram = sized.groupBy(counted(F.col("n_tokens")).alias("n")).count().collect()  # bounded: see above
+    sized = docs.select(F.col(id_col).alias("id"), F.greatest(F.coalesce(n, F.lit(0)), F.lit(0)).cast("bigint").alias("n_tokens"))
+    sized = checkpointed(sized.groupBy("id", "n_tokens").agg(F.count("*").alias("n")))
+    histogram = sized.groupBy("n_tokens").agg(F.sum("n")).collect()  # grows with the corpus's root at most
     ends = optimal_boundaries([(r[0], r[1]) for r in histogram], buckets) or [0]
     bucket = F.lit(len(ends) - 1)
     for i in reversed(range(len(ends) - 1)):
         bucket = F.when(F.col("n_tokens") <= ends[i], i).otherwise(bucket)
     boundary = F.element_at(F.array(*[F.lit(e).cast("bigint") for e in ends]), F.col("bucket") + 1)
-    shards = 4 * partitions(spark)
-    dealt = sized.withColumn("bucket", bucket).withColumn("shard", F.pmod(F.xxhash64("row"), F.lit(shards)))
-    sizes = dealt.groupBy("bucket", "shard").agg(F.count("*").alias("n"))  # buckets x shards rows at most
-    before = sizes.withColumn(
-        "before", F.coalesce(F.sum("n").over(Window.partitionBy("bucket").orderBy("shard").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    ).drop("n")
-    place = F.row_number().over(Window.partitionBy("bucket", "shard").orderBy("id", "row")) - 1
-    ranked = dealt.withColumn("place", place).join(before, ["bucket", "shard"])
+    shard = F.pmod(F.xxhash64("id", "n_tokens"), F.lit(SHARDS))
+    dealt = sized.withColumn("bucket", bucket).withColumn("shard", shard)
+    sizes = dealt.groupBy("bucket", "shard").agg(F.sum("n").alias("in_shard"))  # buckets x shards rows at most
+    earlier = lambda w: w.rowsBetween(Window.unboundedPreceding, -1)
+    before = sizes.select(
+        "bucket", "shard", F.sum("in_shard").over(earlier(Window.partitionBy("bucket").orderBy("shard"))).alias("before")
+    )
+    inside = F.sum("n").over(earlier(Window.partitionBy("bucket", "shard").orderBy("id", "n_tokens")))
+    ranked = dealt.withColumn("inside", inside).join(F.broadcast(before), ["bucket", "shard"])
+    first = F.coalesce("before", F.lit(0)) + F.coalesce("inside", F.lit(0))
     capacity = F.greatest(F.floor(F.lit(budget) / F.greatest(F.col("boundary"), F.lit(1))), F.lit(1))
-    rank = F.col("place") + F.col("before")
     return (
         ranked.withColumn("boundary", boundary)
-        .withColumn("batch", F.floor(rank / capacity).cast("bigint"))
-        .withColumn("slot", (rank - F.col("batch") * capacity).cast("bigint"))
+        .withColumn("rank", F.explode(F.sequence(first, first + F.col("n") - 1)))
+        .withColumn("batch", F.floor(F.col("rank") / capacity).cast("bigint"))
+        .withColumn("slot", (F.col("rank") - F.col("batch") * capacity).cast("bigint"))
         .select(
             F.col("id").alias(id_col), "n_tokens", F.col("bucket").cast("int").alias("bucket"), "boundary",
             (F.col("boundary") - F.col("n_tokens")).alias("pad"), "batch", "slot",
