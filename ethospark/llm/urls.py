@@ -1,7 +1,7 @@
 """URL filter: host and path rules first, else logistic regression on hashed character n-grams of host and path.
 
-The regression is trained from a small labelled table of URLs, at most ``MAX_LABELLED`` rows of it (chosen by a hash
-of the URL); by default those URLs that a rule decides. Host and path are parsed and the rules matched by Spark's
+The regression is trained from a small labelled table of URLs, at most ``MAX_LABELLED`` different hosts and paths of it
+(chosen by their hash; of contradicting labels block counts); by default those URLs that a rule decides. Host and path are parsed and the rules matched by Spark's
 own functions; the regression reads batches of URLs.
 
 Defined results: a null URL or one without ``://`` has an empty host and path and is judged by the regression, as
@@ -11,14 +11,12 @@ repeated rows are judged alike; an empty table gives an empty table; other colum
 
 from __future__ import annotations
 
-import zlib
-
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import ascii_lower, per_worker, small_batches
+from .common import ascii_lower, new_token, per_worker, small_batches, text_of
 
 FEATURES, NGRAMS, MAX_LABELLED, EPOCHS = 1 << 15, (3, 4, 5), 4000, 40
 _A, _B = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xD6E8FEB86659FD93)
@@ -87,17 +85,18 @@ def train(rows: list[tuple[str, str, int]]) -> tuple[np.ndarray, float]:
 
 
 def labelled_sample(table: DataFrame, size: int) -> list[tuple[str, str, int]]:
-    """At most ``size`` rows (host, path, 1 for block) of a table of host, path and label."""
-    n = table.count()
-    order = F.xxhash64("host", "path")
+    """At most ``size`` different rows (host, path, 1 for block) of a table of host, path and label."""
+    table = table.withColumn("o", F.xxhash64("host", "path"))
+    n = table.agg(F.approx_count_distinct("o")).first()[0]
     rows = (
-        table.withColumn("o", order)
-        .filter(F.pmod("o", F.lit(1_000_000)) < min(1_000_000, 1 + 1_200_000 * size // max(n, 1)))
+        table.filter(F.pmod("o", F.lit(1_000_000)) < min(1_000_000, 1 + 1_500_000 * size // max(n, 1)))
+        .groupBy("o", "host", "path")
+        .agg(F.max((F.col("label") == "block").cast("int")).alias("block"))
         .orderBy("o", "host", "path")
         .limit(size)
         .collect()
     )
-    return [(r["host"], r["path"], int(r["label"] == "block")) for r in rows]
+    return [(r["host"], r["path"], r["block"] or 0) for r in rows]
 
 
 def judge(
@@ -117,14 +116,14 @@ def judge(
     )
     model = train(labelled_sample(table, max_labelled))
     sent = pages.sparkSession.sparkContext.broadcast(model)
-    token = ("urls", zlib.crc32(model[0].tobytes()))
+    token = new_token()
     kind = dict(pages.dtypes)[id_col]
 
     def run(batches):
         weight, bias = per_worker(token, lambda: sent.value)
         for batch in batches:
             if batch.num_rows:
-                hosts, paths = batch.column(1).to_pylist(), batch.column(2).to_pylist()
+                hosts, paths = ([text_of(t) for t in batch.column(c).cast(pa.binary()).to_pylist()] for c in (1, 2))
                 at, who = of_urls(hosts, paths)
                 n = np.maximum(np.bincount(who, minlength=len(hosts)), 1)
                 z = np.bincount(who, weight[at], len(hosts)) / np.sqrt(n) + bias
