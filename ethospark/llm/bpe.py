@@ -2,10 +2,11 @@
 
 The transducer reads a pre-token of any length in pieces. How far a merge decision can depend on what follows is a
 property of the merge list alone (:func:`sufficient_lookahead`), so tokens that end further than that from the end
-of the buffer are final and leave it: the state is one buffer of at most ``window`` symbols however long the text.
+of the buffer are final and leave it: besides the text itself and its ids, the state is one buffer of about a window
+of symbols however long the text. Decoding is a byte-to-text machine that is fed the ids in bounded pieces.
 
 Nulls and empty texts give no ids and an empty text; repeated rows give repeated results; columns other than the
-id and the text are not read.
+id and the text are not read; bytes that are no UTF-8 are read as U+FFFD.
 """
 
 from __future__ import annotations
@@ -18,15 +19,43 @@ from array import array
 import regex
 from pyspark.sql import DataFrame
 
-from .common import arrow_map, per_worker
+from .common import arrow_map, new_token, per_worker, text_of
 
 #: Fixed values of the vocabulary's own pre-tokenizer: contractions, letter runs, single digits, symbol runs.
 PRE_TOKEN = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
+#: What a tokenizer file must say besides its vocabulary, merges and added tokens; other settings are refused.
+SETTINGS = {
+    "normalizer": {
+        "type": "Sequence",
+        "normalizers": [{"type": "NFC"}, {"type": "Replace", "pattern": {"Regex": r"\s+"}, "content": " "}, {"type": "Lowercase"}],
+    },
+    "pre_tokenizer": {
+        "type": "Sequence",
+        "pretokenizers": [
+            {"type": "Split", "pattern": {"Regex": PRE_TOKEN}, "behavior": "Removed", "invert": True},
+            {"type": "ByteLevel", "add_prefix_space": False, "trim_offsets": True, "use_regex": False},
+        ],
+    },
+    "decoder": None,
+}
+MODEL = {"type": "BPE", "dropout": None, "unk_token": None, "continuing_subword_prefix": None, "byte_fallback": False, "ignore_merges": False}
 WHITE = regex.compile(r"[\t-\r \x85\xa0  -     　]+")
 #: Entries of the memo of chunks; it is emptied when full, so a worker's memory is bounded.
 MEMO = 200_000
 #: The tokenizer file is sent to the executors; larger files are refused.
 MAX_FILE = 64 << 20
+#: Ids that the decoder is fed at a time.
+PIECE = 4096
+
+
+def read_spec(spec: str) -> dict:
+    """The tokenizer file's content; a setting that this module doesn't implement is an error."""
+    content = json.loads(spec)
+    odd = [k for k, v in SETTINGS.items() if content.get(k) != v] + [k for k, v in MODEL.items() if content["model"].get(k, v) != v]
+    odd += [t["content"] for t in content["added_tokens"] if t["normalized"] or t["single_word"] or t["lstrip"] or t["rstrip"]]
+    if odd:
+        raise ValueError(f"the tokenizer file has settings that are not supported: {', '.join(odd)}")
+    return content
 
 
 def byte_symbols() -> list[str]:
@@ -130,7 +159,7 @@ class Encoder:
     """Normalises, cuts into pre-tokens and encodes; the same ids as the tokenizer file's own library gives."""
 
     def __init__(self, spec: str):
-        model = json.loads(spec)
+        model = read_spec(spec)
         merges = [tuple(m.split(" ")) if isinstance(m, str) else tuple(m) for m in model["model"]["merges"]]
         self.merges = Merges(model["model"]["vocab"], merges, model["model"].get("end_of_word_suffix") or "")
         self.special = {t["content"]: t["id"] for t in model["added_tokens"]}
@@ -148,12 +177,15 @@ class Encoder:
                 ids.append(self.special[part])
                 continue
             part = unicodedata.normalize("NFC", part).replace("Σ", "σ").lower()
-            for word in (part,) if part.isalpha() and part.isascii() else self.pre.findall(part):
+            for word in (part,) if part.isalpha() and part.isascii() else (m[0] for m in self.pre.finditer(part)):
                 made = self.words.get(word)
                 if made is None:
-                    run = Transducer(self.merges)
-                    symbols = list(map(self.bytes.__getitem__, word.encode()))
-                    made = run.feed(symbols) + run.finish() if len(symbols) > self.merges.window else run.whole(symbols)
+                    run, step = Transducer(self.merges), self.merges.window
+                    if 4 * len(word) <= step:
+                        made = run.whole(self.symbols(word))
+                    else:  # of any length: only a window of its symbols is there at a time
+                        made = [i for at in range(0, len(word), step) for i in run.feed(self.symbols(word[at : at + step]))]
+                        made += run.finish()
                     if len(word) < 40:
                         if len(self.words) >= MEMO:
                             self.words.clear()
@@ -161,6 +193,9 @@ class Encoder:
                 ids += made
         return array("I", ids).tobytes()
 
+    def symbols(self, word: str) -> list[str]:
+        return list(map(self.bytes.__getitem__, word.encode()))
+
     def encode(self, text: str) -> bytes:
         """All ids of a text as little-endian unsigned 32-bit integers."""
         odd = any(c in text for c in "\x1c\x1d\x1e\x1f")
@@ -178,43 +213,45 @@ class Encoder:
 
 
 class Decoder:
-    """Incremental: ids in, text out, with only an unfinished UTF-8 sequence as state.
+    """Incremental: ids in, text out. The state is an unfinished UTF-8 sequence, and whether anything came yet.
 
-    ``surface`` gives what the library gives for a file without a decoder: the tokens' own spellings with a space
-    between them. Otherwise the bytes they stand for, a word's end being a space.
+    A token adds bytes. With ``surface`` they are what the library's decoding of a file without a decoder gives: a
+    space and the token's own spelling, without the space for the first token. Otherwise they are the bytes that the
+    spelling stands for, a word's end being a space.
     """
 
     def __init__(self, spec: str, surface: bool = False):
-        model = json.loads(spec)
-        self.surface, self.started = surface, False
-        names = {i: t for t, i in model["model"]["vocab"].items()} | {
-            t["id"]: t["content"] for t in model["added_tokens"]
-        }
-        if surface:
-            self.token = names
-        else:
-            value, end = {c: bytes([b]) for b, c in enumerate(byte_symbols())}, model["model"].get("end_of_word_suffix") or ""
-            special = {t["id"] for t in model["added_tokens"]}
-            self.token = {}
-            for i, name in names.items():
-                body = name.removesuffix(end) if end and i not in special else name
-                raw = name.encode() if i in special else b"".join(value.get(c, c.encode()) for c in body)
-                self.token[i] = raw + (b" " if body != name else b"")
+        content = read_spec(spec)
+        names = {i: t for t, i in content["model"]["vocab"].items()} | {t["id"]: t["content"] for t in content["added_tokens"]}
+        special = {t["id"] for t in content["added_tokens"]}
+        value, end = {c: bytes([b]) for b, c in enumerate(byte_symbols())}, content["model"].get("end_of_word_suffix") or ""
+        self.token: dict[int, bytes] = {}
+        for i, name in names.items():
+            if surface:
+                self.token[i] = b" " + name.encode()
+                continue
+            body = name.removesuffix(end) if end and i not in special else name
+            raw = name.encode() if i in special else b"".join(value.get(c, c.encode()) for c in body)
+            self.token[i] = raw + (b" " if body != name else b"")
+        self.lead, self.started = int(surface), False
         self.state = codecs.getincrementaldecoder("utf-8")("replace")
 
     def feed(self, ids) -> str:
-        if self.surface:
-            text = " ".join(map(self.token.__getitem__, ids))
-            lead, self.started = " " if self.started and text else "", self.started or bool(text)
-            return lead + text
-        return self.state.decode(b"".join(map(self.token.__getitem__, ids)))
+        raw = b"".join(map(self.token.__getitem__, ids))
+        if raw and not self.started:
+            raw, self.started = raw[self.lead :], True
+        return self.state.decode(raw)
 
     def finish(self) -> str:
-        tail = "" if self.surface else self.state.decode(b"", final=True)
+        tail = self.state.decode(b"", final=True)
         self.state.reset()
         self.started = False
         return tail
 
+    def decode(self, ids) -> str:
+        """All ids of a text, a bounded piece at a time."""
+        return "".join([*(self.feed(ids[at : at + PIECE]) for at in range(0, len(ids), PIECE)), self.finish()])
+
 
 def encode_documents(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "text", surface: bool = True) -> DataFrame:
     """Encode every whole text and decode it again: id, ids (packed little-endian uint32), decoded."""
@@ -222,16 +259,15 @@ def encode_documents(docs: DataFrame, path: str, id_col: str = "doc_id", text_co
         spec = f.read()
     if len(spec) > MAX_FILE:
         raise ValueError(f"tokenizer file of {len(spec)} characters; at most {MAX_FILE}")
-    sent = docs.sparkSession.sparkContext.broadcast(spec)
+    read_spec(spec)
+    sent, token = docs.sparkSession.sparkContext.broadcast(spec), new_token()
 
     def run(ids, texts):
-        encoder, decoder = per_worker(
-            ("bpe", path, len(spec), surface), lambda: (Encoder(sent.value), Decoder(sent.value, surface))
-        )
+        encoder, decoder = per_worker(token, lambda: (Encoder(sent.value), Decoder(sent.value, surface)))
         packed, decoded = [], []
         for text in texts:
-            packed.append(encoder.encode((text or b"").decode()))
-            decoded.append(decoder.feed(array("I", packed[-1])) + decoder.finish())
+            packed.append(encoder.encode(text_of(text)))
+            decoded.append(decoder.decode(array("I", packed[-1])))
         return ids, packed, decoded
 
     kind = dict(docs.dtypes)[id_col]
