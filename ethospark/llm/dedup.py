@@ -29,7 +29,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import arrow_map, checkpointed, sent_if_small, stored, veiled
+from .common import arrow_map, checkpointed, join_by_key, sent_if_small, stored, veiled
 
 PER_BAND, MISSED = 2, 5e-7
 #: Similarity as a percentage, and words in a shingle, unless a caller gives others.
@@ -246,8 +246,8 @@ def compare(pairs: DataFrame, texts: DataFrame, width: int = WIDTH, percent: int
 def links(reps: DataFrame, docs: DataFrame, width: int = WIDTH, percent: int = PERCENT) -> DataFrame:
     """Confirmed links (a, b) between classes that connect whatever all links connect."""
     rows = reps.select("id", F.explode("bands").alias("key"))
-    full = rows.groupBy("key").agg(F.count("*").alias("n")).filter("n > 1")
-    rows = checkpointed(rows.join(full, "key"), WIDE)
+    full = checkpointed(rows.groupBy("key").agg(F.count("*").alias("n")).filter("n > 1"), WIDE)
+    rows = checkpointed(join_by_key(rows, full, "key", "n"), WIDE)
     score = checkpointed(rows.groupBy("id").agg(F.sum("n").alias("score")), SMALL)
     wanted = score.select("id")
     texts = docs.join(sent_if_small(wanted), "id", "left_semi").select("id", "text")
@@ -255,7 +255,7 @@ def links(reps: DataFrame, docs: DataFrame, width: int = WIDTH, percent: int = P
     # open: not linked to the bucket's hub; peer: meets its like; need, left: what a link must and can still share
     place = [F.lit(None).cast("double").alias(c) for c in ("need", "left")]
     rows = rows.select("key", "id", F.lit(True).alias("open"), F.lit(True).alias("peer"), *place)
-    edges, most = None, COMPARISONS
+    edges, most, kept = None, COMPARISONS, None
     while True:
         stats = (
             rows.groupBy("key")
@@ -267,16 +267,19 @@ def links(reps: DataFrame, docs: DataFrame, width: int = WIDTH, percent: int = P
             .selectExpr("key", "n_peer + n_rest + n_shut as n", "n_peer * (n_peer - 1) / 2 + (n_peer + n_rest) * n_shut as work")
             .filter("work > 0")
         )
-        tagged = checkpointed(rows.join(stats, "key"), WIDE)
+        # one row of each key against rows of which one key can have a great part: the keys are sent, or the hot ones
+        tagged = checkpointed(join_by_key(rows, checkpointed(stats, SMALL), "key", "n"), WIDE)
         small, large = tagged.filter(F.col("work") <= most), tagged.filter(F.col("work") > most)
         # The hub is the member that comes first by score and id, or one that comes first in another bucket of a
         # member: so a group's buckets share one. Members always come after their hub, hence the first hub of each
         # level after that of the level before, and the levels end.
         first = lambda c: F.max(F.struct(*c)).alias("first")
-        hubs = large.join(score, "id").groupBy("key").agg(first(["score", "id"]))
-        known = large.join(hubs, "key").groupBy("id").agg(F.max("first").alias("first"))
-        hubs = large.join(known, "id").groupBy("key").agg(F.max("first").alias("first"))
-        large = large.join(hubs.select("key", F.col("first.id").alias("hub")), "key")
+        sized = [first(["score", "id"]), F.first("n").alias("n_hub")]
+        hubs = checkpointed(large.join(score, "id").groupBy("key").agg(*sized), SMALL)
+        known = join_by_key(large, hubs, "key", "n_hub").groupBy("id").agg(F.max("first").alias("first"))
+        sized = [F.max("first").alias("first"), F.first("n").alias("n_hub")]
+        hubs = checkpointed(large.join(known, "id").groupBy("key").agg(*sized), SMALL)
+        large = join_by_key(large, hubs.select("key", F.col("first.id").alias("hub"), "n_hub"), "key", "n_hub")
         pairs = (
             small.alias("x")
             .join(
@@ -296,7 +299,9 @@ def links(reps: DataFrame, docs: DataFrame, width: int = WIDTH, percent: int = P
         if stars.isEmpty():
             done = stored(compare(pairs, texts, width, percent))
             edges = more(edges, done.filter("linked").select("a", "b"))
-            done.unpersist()
+            for used in (done, kept):
+                if used is not None:
+                    used.unpersist()
             return edges.distinct()
         sample = stars.filter(F.expr(f"pmod(xxhash64(a), greatest(1, n div {SAMPLE})) = 0"))
         common = frequent_differences(sample.select("a", "b"), texts, width)
@@ -320,7 +325,10 @@ def links(reps: DataFrame, docs: DataFrame, width: int = WIDTH, percent: int = P
             keyed("far", True, n * F.lit(percent / (100.0 + percent)), n),
         )
         rows = done.select(F.col("a").alias("id"), (~F.col("linked")).alias("open"), F.explode(keys).alias("e"))
-        rows = stored(rows.select("e.key", "id", "open", "e.peer", "e.need", "e.left"))
+        if kept is not None:
+            kept.unpersist()
+        rows = kept = stored(rows.select("e.key", "id", "open", "e.peer", "e.need", "e.left"))
+        done.unpersist()
         most = PLACED
 
 
@@ -386,9 +394,20 @@ def near_duplicates(
 def keep_one(
     docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = WIDTH, percent: int = PERCENT
 ) -> DataFrame:
-    """The documents that stand for their groups, with all their columns."""
+    """The documents that stand for their groups, with all their columns; of rows equal in id and text, one.
+
+    Rows without an id belong to no group; of those with equal texts, one stays.
+    """
     given = docs.columns
     docs, at = veiled(docs)
     id_col, text_col = at[id_col], at[text_col]
     gone = near_duplicates(docs, id_col, text_col, width, percent).filter(~F.col("kept")).select(F.col(id_col).alias("_gone"))
-    return docs.join(sent_if_small(checkpointed(gone, SMALL)), F.col(id_col) == F.col("_gone"), "left_anti").toDF(*given)
+    kept = docs.join(sent_if_small(checkpointed(gone, SMALL), "16"), F.col(id_col) == F.col("_gone"), "left_anti")
+    again = docs.groupBy(id_col, F.xxhash64(text_col).alias("_h")).agg(F.count("*").alias("n")).filter("n > 1")
+    again = checkpointed(again.select(F.col(id_col).alias("_id"), "_h"), SMALL)
+    if not again.isEmpty():  # no row need be compared otherwise
+        same = F.col(id_col).eqNullSafe(F.col("_id")) & (F.xxhash64(text_col) == F.col("_h"))
+        again = sent_if_small(again, "24")
+        once = kept.join(again, same, "left_semi").dropDuplicates([id_col, text_col])
+        kept = kept.join(again, same, "left_anti").unionByName(once)
+    return kept.toDF(*given)
