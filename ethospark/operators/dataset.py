@@ -55,17 +55,66 @@ def with_labels_and_masks(images: DataFrame, labels: DataFrame, masks: DataFrame
 def video_for_item(items: DataFrame, videos: DataFrame) -> DataFrame:
     """Each label's video: the same stem in any case, else a stem that the label starts; the least path of equals.
 
-    Prefixes are matched by equality on every prefix of a stem, so this is an equi-join and not a nested loop.
+    Prefixes are matched by equality on those prefixes of a stem that are as long as a label, so this is an equi-join
+    and not a nested loop.
     """
     stems = videos.select("path", F.lower("stem").alias("stem"))
-    prefixes = stems.select(
-        "path", F.explode(F.sequence(F.lit(1), F.length("stem"))).alias("n"), "stem"
-    ).select("path", F.expr("substring(stem, 1, n)").alias("key"), (F.col("n") < F.length("stem")).cast("int").alias("rank"))
+    prefixes = stems.select("path", F.explode(_fitting(items, "label", F.length("stem"))).alias("n"), "stem").select("path", F.expr("substring(stem, 1, n)").alias("key"), (F.col("n") < F.length("stem")).cast("int").alias("rank"))
     own = items.withColumn("key", F.lower("label"))
     best = own.join(prefixes, "key").groupBy("label").agg(F.min(F.struct("rank", "path")).alias("b"))
     return items.join(best, "label", "left").withColumn("path", F.col("b.path")).drop("b")
 
 
+def _fitting(names: DataFrame, column: str, longest: Column) -> Column:
+    """Array of the lengths that names have, up to the longest one; there are no more than a file name has characters."""
+    lengths = sorted(r[0] for r in names.select(F.length(column)).distinct().collect() if r[0])
+    return F.filter(F.array(*[F.lit(n) for n in lengths]).cast("array<int>"), lambda n: n <= longest)
+
+
+def videos_with_annotations(videos: DataFrame, items: DataFrame) -> DataFrame:
+    """Videos (stem, ...) of which some frame is annotated: the stem is a basename's label, augmented ones left out."""
+    label = F.regexp_replace("basename", "_[^_]*$", "")
+    originals = items.filter(~X.is_augmented(F.col("basename")) & F.col("basename").contains("_"))
+    return videos.join(originals.select(label.alias("stem")).distinct(), "stem", "left_semi")
+
+
+def class_domain(classes: DataFrame) -> DataFrame:
+    """Joint class ids of both streams: classes (stream, position, name) with the motion ones after the static ones."""
+    n_static = classes.filter(F.col("stream") == "static").count()
+    return classes.withColumn("id", F.col("position") + F.when(F.col("stream") == "motion", n_static).otherwise(0))
+
+
+def union_by_path(*listings: DataFrame) -> DataFrame:
+    """All listings (path, ...) in order, each normalised path once, of the first listing that has it."""
+    both = None
+    for i, files in enumerate(listings):
+        files = files.withColumns({"path": X.normalised_path(F.col("path")), "_order": F.lit(i)})
+        both = files if both is None else both.unionByName(files)
+    rest = [c for c in both.columns if c not in ("path", "_order")]
+    first = F.min_by(F.struct(*rest), "_order") if rest else F.min("_order")
+    return both.groupBy("path").agg(first.alias("f")).select("path", *[F.col(f"f.{c}").alias(c) for c in rest])
+
+
+def newest(files: DataFrame) -> DataFrame:
+    """The last changed file or run folder (path, modificationTime); the greatest path of equals."""
+    return files.agg(F.max(F.struct("modificationTime", "path")).alias("f")).filter("f is not null").select("f.path", "f.modificationTime")
+
+
+def sorted_basenames(items: DataFrame) -> DataFrame:
+    return items.select("basename").distinct().orderBy("basename")
+
+
+def masks_of_either(static: DataFrame, moving: DataFrame) -> DataFrame:
+    """Masks (basename, boxes) of the static stream where it has a mask file, else of the motion stream."""
+    m = moving.select("basename", F.col("boxes").alias("_m"))
+    return static.join(m, "basename", "full").select("basename", F.coalesce("boxes", "_m").alias("boxes"))
+
+
+def augmented_files(files: DataFrame) -> DataFrame:
+    """What a bulk deletion of augmented files takes, counted by kind before it is confirmed."""
+    return files.filter(X.is_augmented(F.col("name"))).groupBy("kind").agg(F.count("*").alias("files"))
+
+
 def link_crops(boxes: DataFrame, crops: DataFrame, tolerance: int = 2) -> DataFrame:
     """Secondary class of boxes from crop files named by their corner.
 
@@ -137,7 +186,8 @@ def deletions(files: DataFrame, targets: DataFrame, prefix: bool = False) -> Dat
     exact = F.when(crop, F.concat(label, F.lit("_"), frame.cast("string"))).otherwise(F.col("name"))
     if not prefix:
         return files.withColumn("key", exact).join(targets.select(F.col("basename").alias("key")), "key", "left_semi").drop("key")
-    keys = F.when(crop, F.transform(F.sequence(F.lit(1), F.length("name")), lambda n: F.substring(F.col("name"), F.lit(1), n))).otherwise(F.array("name"))
+    prefixes = F.transform(_fitting(targets, "basename", F.length("name")), lambda n: F.substring(F.col("name"), F.lit(1), n))
+    keys = F.when(crop, prefixes).otherwise(F.array("name"))
     many = files.withColumn("key", F.explode(keys))
     return many.join(targets.select(F.col("basename").alias("key")), "key", "left_semi").select(*files.columns).distinct()
 

@@ -52,6 +52,13 @@ def secondary_route(source: Column, cls: Column, static: list[str], motion: list
     return F.when(~cls.isin(*ignored), routed) if ignored else routed
 
 
+def annotation_route(cls: Column, static: list[str], motion: list[str]) -> Column:
+    """Which secondary model judges a box when frames are annotated automatically: the static model of its class for boxes of
+    either source, the motion models only where there are fewer than two static secondary classes; null: none."""
+    kind = "static" if len(static) >= 2 else "motion" if len(motion) >= 2 else None
+    return F.concat(F.lit(f"{kind}:"), cls) if kind else F.lit(None).cast("string")
+
+
 def classify(detections: DataFrame, models: dict[str, Callable[[pd.DataFrame], pd.DataFrame]], route: Column) -> DataFrame:
     """Add secondary_class and secondary_conf from the routed model; unrouted rows keep their own class at 1.0.
 

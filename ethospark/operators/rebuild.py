@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import exprs as X
-from . import dataset, geometry, motion
+from . import dataset, detect, geometry, motion
 
 #: Spellings of video extensions that are tried, the preferred first.
 CLIP_EXTENSIONS = (".mp4", ".MP4", ".avi", ".AVI", ".mov", ".MOV", ".mkv", ".MKV")
@@ -68,9 +68,21 @@ def blocked(images: DataFrame, masks: DataFrame, blocks: DataFrame | None, width
     return out.withColumn(column, motion.masked(F.col(column), width, boxes)).select(*images.columns)
 
 
-def auto_annotate(static: DataFrame, moving: DataFrame, threshold: float = 0.95) -> DataFrame:
-    """Boxes of both detectors on the same frames, after greedy suppression over all of them."""
+def auto_annotate(
+    static: DataFrame,
+    moving: DataFrame,
+    threshold: float = 0.95,
+    models: dict | None = None,
+    secondary_static: tuple[str, ...] = (),
+    secondary_motion: tuple[str, ...] = (),
+) -> DataFrame:
+    """Boxes of both detectors on the same frames, after greedy suppression over all of them.
+
+    With ``models`` (by route, as ``static:cat``) each box is judged by its secondary model first, static ones preferred.
+    """
     both = static.unionByName(moving)
+    if models is not None:
+        both = detect.classify(both, models, detect.annotation_route(F.col("cls"), list(secondary_static), list(secondary_motion)))
     order = F.xxhash64("source", "x1", "y1", "x2", "y2", "cls")  # ties of confidence in a fixed order
     return geometry.suppress(both.withColumn("det", order), threshold).drop("det")
 

@@ -132,12 +132,12 @@ class Tracker:
         return given
 
     def _prune(self) -> None:
-        """Of two tracks closer than half the gate the younger one ends. Off by default."""
+        """Of two tracks closer than half the gate the younger one ends, also if the older ends too. Off by default."""
         ids = sorted(self.tracks)
-        for k, a in enumerate(ids):
-            for b in ids[k + 1 :]:
-                if a in self.tracks and b in self.tracks and np.hypot(*(self.tracks[a].state[:2] - self.tracks[b].state[:2])) < self.gate / 2:
-                    del self.tracks[b]
+        at = np.array([self.tracks[i].state[:2] for i in ids], np.float64).reshape(-1, 2)
+        near = np.hypot(*(at[:, None] - at[None]).transpose(2, 0, 1)) < self.gate / 2
+        for b in np.flatnonzero(np.tril(near, -1).any(1)):
+            del self.tracks[ids[b]]
 
     def rows(self, points) -> list[tuple]:
         """(place, track, x, y, px, py, vx, vy) of a frame's detections; positions are the measured ones."""
@@ -168,7 +168,7 @@ def with_frame_axis(detections: DataFrame, frames: DataFrame) -> DataFrame:
     return frames.select("video", "frame").join(detections.select("video", "frame", "det", "x", "y"), ["video", "frame"], "left")
 
 
-def track(rows: DataFrame, gate: float = 200.0, max_missed: float = 5, noise=(0.01, 0.1, 0.1)) -> DataFrame:
+def track(rows: DataFrame, gate: float = 200.0, max_missed: float = 5, noise=(0.01, 0.1, 0.1), prune: bool = False) -> DataFrame:
     """Tracks of detections (video, frame, det, x, y); rows without det are frames without detections."""
     dealt = (
         rows.select(F.col("video").cast("string").alias("video"), F.col("frame").cast("bigint").alias("frame"), F.col("det").cast("bigint").alias("det"), F.col("x").cast("double").alias("x"), F.col("y").cast("double").alias("y"))
@@ -195,7 +195,7 @@ def track(rows: DataFrame, gate: float = 200.0, max_missed: float = 5, noise=(0.
                     if key is not None:
                         out += done()
                     if key is None or key[0] != video:
-                        tracker = Tracker(gate, max_missed, noise)
+                        tracker = Tracker(gate, max_missed, noise, prune)
                     key, dets = (video, frame), []
                 if det is not None:
                     dets.append((det, x, y))

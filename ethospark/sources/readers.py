@@ -2,12 +2,19 @@
 
 from __future__ import annotations
 
+import yaml
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .. import schema
 from ..functions import exprs as X
+from . import frames
 
+#: Columns of a tracking file that are looked at.
+WIDEST = 64
+#: What counts as an image in a dataset, in any case.
+IMAGES = ("jpg", "jpeg", "png", "bmp", "tiff")
 VIDEO_GLOB = "*.{mp4,MP4,avi,AVI,mov,MOV,mkv,MKV}"
 
 
@@ -22,14 +29,23 @@ def _name(c="file"):
 def tracking(spark: SparkSession, path: str) -> DataFrame:
     """Tracking files of a folder as text columns by name, training videos left out.
 
-    Columns a file lacks are null. ``row_no`` is the order inside a file, which is read whole (``multiLine``).
+    Every file is read by its own header: columns can be in any order, columns a file lacks are null, others are not
+    read; a file whose header has no frame or no id has no rows. ``row_no`` is the order inside a file, which is read whole
+    (``multiLine``). The first ``WIDEST`` columns of a file are looked at.
     """
-    raw = spark.read.option("header", True).option("multiLine", True).option("pathGlobFilter", "*_tracking.csv").option("enforceSchema", False).csv(path)
-    missing = {f.name: F.lit(None).cast("string") for f in schema.TRACKING_TEXT if f.name not in raw.columns}
-    raw = _file(raw).withColumn("row_no", F.monotonically_increasing_id()).withColumns(missing)
-    stem = F.regexp_replace(_name(), r"\.csv$", "").alias("s")
-    raw = raw.withColumn("stem", F.regexp_replace(stem, "_tracking", "")).filter(~F.col("stem").endswith("_Training"))
-    return raw.select(F.col("stem"), "row_no", *schema.TRACKING_COLUMNS)
+    cells = F.array(*[f"_c{i}" for i in range(WIDEST)])
+    raw = spark.read.option("multiLine", True).option("pathGlobFilter", "*_tracking.csv").schema(", ".join(f"_c{i} string" for i in range(WIDEST)))
+    raw = _file(raw.csv(path)).select("file", F.monotonically_increasing_id().alias("row_no"), cells.alias("cells"))
+    stem = F.regexp_replace(F.regexp_replace(_name(), r"\.csv$", ""), "_tracking", "")
+    raw = raw.withColumn("stem", stem).filter(~F.col("stem").endswith("_Training"))
+    # no value of a data row can be a column's name there, as frames and ids are numbers
+    names = F.transform("cells", lambda c: F.ltrim(c, F.lit("\ufeff")))
+    is_header = F.array_contains(names, "frame") & F.array_contains(names, "id")
+    headers = raw.filter(is_header).groupBy("file").agg(F.min_by(names, "row_no").alias("header"))
+    value = lambda c: F.get("cells", (F.array_position("header", c) - 1).cast("int")).alias(c)
+    has = lambda c: F.when(F.array_position("header", c) > 0, value(c)).alias(c)
+    rows = raw.filter(~F.coalesce(is_header, F.lit(False))).join(headers, "file")
+    return rows.select("stem", "row_no", *[has(c) for c in schema.TRACKING_COLUMNS])
 
 
 def group_metadata(spark: SparkSession, path: str) -> DataFrame:
@@ -51,6 +67,35 @@ def files(spark: SparkSession, path: str, glob: str = VIDEO_GLOB) -> DataFrame:
     return found.groupBy("name").agg(F.max_by(F.struct("path", "modificationTime", "length"), "path").alias("f")).select("name", X.stem(F.col("name")).alias("stem"), "f.*")
 
 
+def videos_in_order(spark: SparkSession, path: str, glob: str = VIDEO_GLOB) -> DataFrame:
+    """All files of a tree (folder, name, path), also of equal names, by folder and name."""
+    found = spark.read.format("binaryFile").option("recursiveFileLookup", True).option("pathGlobFilter", glob).load(path)
+    return found.select(F.regexp_replace("path", "/[^/]+$", "").alias("folder"), _name("path").alias("name"), "path", "modificationTime").orderBy("folder", "name")
+
+
+def has_files(spark: SparkSession, *folders: str) -> bool:
+    """Whether any of the folders has a file whose name doesn't start with a dot; absent folders have none.
+
+    Only names are listed, up to the first one that counts.
+    """
+    jvm, conf = spark._jvm, spark._jsparkSession.sessionState().newHadoopConf()
+    for folder in folders:
+        path = jvm.org.apache.hadoop.fs.Path(folder)
+        store = path.getFileSystem(conf)
+        if store.exists(path):
+            found = store.listFiles(path, True)
+            while found.hasNext():
+                if not found.next().getPath().getName().startswith("."):
+                    return True
+    return False
+
+
+def has_annotations(spark: SparkSession, project: str) -> bool:
+    """Whether a project has any image or label of either stream."""
+    kinds = [f"{k}/{split}" for k in ("images", "labels") for split in ("train", "val")]
+    return has_files(spark, *[f"{project}/annot_{stream}/{k}" for stream in ("motion", "static") for k in kinds])
+
+
 def _lines(spark: SparkSession, path: str) -> DataFrame:
     raw = _file(spark.read.option("wholetext", True).option("recursiveFileLookup", True).text(path))
     return raw.select("file", F.posexplode(F.split("value", r"\r?\n")).alias("line_no", "text"))
@@ -92,45 +137,51 @@ def training_log(spark: SparkSession, path: str) -> DataFrame:
 
 
 def image_counts(spark: SparkSession, path: str) -> DataFrame:
-    """Images of each leaf folder."""
-    found = spark.read.format("binaryFile").option("recursiveFileLookup", True).option("pathGlobFilter", "*.{jpg,jpeg,png}").load(path)
-    return found.groupBy(F.regexp_replace("path", "/[^/]+$", "").alias("folder")).agg(F.count("*").alias("images"))
+    """Images of each leaf folder, one without a file in a folder below it; leaf folders without images have 0."""
+    found = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(path).select("path")
+    found = found.withColumn("folder", F.regexp_replace("path", "/[^/]+$", ""))
+    part = F.split("folder", "/")
+    above = F.transform(F.sequence(F.lit(1), F.size(part)), lambda n: F.array_join(F.slice(part, F.lit(1), n), "/"))
+    parents = found.select("folder").distinct().select(F.explode(above).alias("parent"), "folder").filter("parent <> folder")
+    leaves = found.join(parents.select(F.col("parent").alias("folder")).distinct(), "folder", "left_anti")
+    return leaves.groupBy("folder").agg(F.count_if(_is_image("path")).alias("images"))
+
 
+def _is_image(path: str):
+    return F.lower(F.substring_index(path, ".", -1)).isin(*IMAGES)
 
-def y4m_frames(spark: SparkSession, path: str) -> DataFrame:
+
+def dataset_count(spark: SparkSession, path: str) -> int:
+    """Images of a dataset: of a YAML file its training folder's images or its list's lines, of a folder its leaf folders'.
+
+    A YAML file without a training set, or whose training set is absent, counts 0.
+    """
+    if not path.endswith(".yaml"):
+        return image_counts(spark, path).agg(F.sum("images")).first()[0] or 0
+    content = yaml.safe_load(spark.read.option("wholetext", True).text(path).first()[0]) or {}
+    if not content.get("train"):
+        return 0
+    train = content["train"] if "://" in content["train"] or content["train"].startswith("/") else f"{path.rpartition('/')[0]}/{content['train']}"
+    try:
+        if train.endswith(".txt"):
+            return spark.read.text(train).count()
+        return spark.read.format("binaryFile").load(train).select("path").filter(_is_image("path")).count()
+    except AnalysisException as e:
+        if "PATH_NOT_FOUND" not in str(e):
+            raise
+        return 0
+
+
+def y4m_frames(spark: SparkSession, path: str, **options) -> DataFrame:
     """Grey frames of uncompressed YUV4MPEG2 videos: video, frame (from 1), width, height, px (bytes).
 
-    A file is one task's work, frame by frame; compressed videos need a decoder, which plugs in the same way.
+    Options are those of the source ``video_frames``: start, stop, framesPerPartition.
     """
-    raw = spark.read.format("binaryFile").option("recursiveFileLookup", True).option("pathGlobFilter", "*.y4m").load(path).select("path", "content")
-    kind = "video string, frame bigint, width int, height int, px binary"
-
-    def run(batches):
-        import pandas as pd
-
-        for pdf in batches:
-            for name, content in zip(pdf["path"], pdf["content"]):
-                for frame, w, h, px in parse_y4m(bytes(content)):
-                    yield pd.DataFrame([(name.rsplit("/", 1)[-1], frame, w, h, px)], columns=["video", "frame", "width", "height", "px"])
-
-    return raw.mapInPandas(run, kind)
-
-
-def parse_y4m(data: bytes):
-    """(frame, width, height, grey plane) of each frame; the chroma planes are skipped."""
-    end = data.index(b"\n")
-    head = data[:end].split()
-    if not head or head[0] != b"YUV4MPEG2":
-        raise ValueError("not a YUV4MPEG2 file")
-    tags = {h[:1]: h[1:] for h in head[1:]}
-    w, h, chroma = int(tags[b"W"]), int(tags[b"H"]), tags.get(b"C", b"420")
-    size = w * h
-    rest = 0 if chroma.startswith(b"mono") else 2 * size if chroma.startswith(b"444") else 2 * ((w + 1) // 2) * (h if chroma.startswith(b"422") else (h + 1) // 2)
-    at, frame = end + 1, 0
-    while data.startswith(b"FRAME", at):
-        at = data.index(b"\n", at) + 1
-        frame += 1
-        if at + size + rest > len(data):
-            return
-        yield frame, w, h, data[at : at + size]
-        at += size + rest
+    spark.dataSource.register(frames.VideoFrames)
+    return spark.read.format("video_frames").options(**options).load(path)
+
+
+def camera(spark: SparkSession, path: str, **options) -> DataFrame:
+    """The same as a stream, following recordings that still grow; options framesPerBatch and openSeconds."""
+    spark.dataSource.register(frames.VideoFrames)
+    return spark.readStream.format("video_frames").options(**options).load(path)

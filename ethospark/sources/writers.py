@@ -32,6 +32,14 @@ def label_lines(boxes: DataFrame, width: int, height: int, offset: int = 0) -> D
     return boxes.groupBy("basename").agg(F.array_sort(F.collect_list(F.struct("det", line.alias("line")))).alias("l")).select("basename", F.array_join(F.transform("l", lambda x: x["line"]), "\n").alias("text"))
 
 
+def label_lines_by_stream(boxes: DataFrame, n_static: int, width: int, height: int) -> DataFrame:
+    """stream, basename and the text of its label file, of boxes with joint class ids: ids from ``n_static`` on are
+    motion classes and start from 0 in their stream's files."""
+    moving = F.col("cls") >= n_static
+    static = label_lines(boxes.filter(~moving), width, height).withColumn("stream", F.lit("static"))
+    return static.unionByName(label_lines(boxes.filter(moving), width, height, n_static).withColumn("stream", F.lit("motion")))
+
+
 def mask_lines(masks: DataFrame) -> DataFrame:
     """basename and the text of its mask file."""
     line = lambda b: F.concat_ws(" ", *[b[c].cast("string") for c in ("x1", "y1", "x2", "y2")])

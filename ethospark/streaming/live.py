@@ -14,7 +14,7 @@ from ..operators.tracking import OUT, Tracker
 STATE = "next_id bigint, last_frame bigint, ids array<bigint>, missed array<int>, numbers array<double>"
 
 
-def track_stream(rows: DataFrame, gate: float = 200.0, max_missed: float = 5, noise=(0.01, 0.1, 0.1)) -> DataFrame:
+def track_stream(rows: DataFrame, gate: float = 200.0, max_missed: float = 5, noise=(0.01, 0.1, 0.1), prune: bool = False) -> DataFrame:
     """Identities of a stream of detections (video, frame, det, x, y), one state per video or camera.
 
     Inside a micro-batch frames are taken in order; frames up to the last one that was tracked are late and dropped.
@@ -22,7 +22,7 @@ def track_stream(rows: DataFrame, gate: float = 200.0, max_missed: float = 5, no
     """
 
     def run(key: tuple, pdfs: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        tracker, last = Tracker(gate, max_missed, noise), -1
+        tracker, last = Tracker(gate, max_missed, noise, prune), -1
         if state.exists:
             next_id, last, ids, missed, numbers = state.get
             tracker.load(next_id, ids, missed, numbers)
@@ -67,6 +67,11 @@ def budget_per_bin(rows: DataFrame, width: str = "1 minute", late: str = "10 sec
     )
 
 
+def with_classes(detections: DataFrame, classes: DataFrame, on: str = "cls") -> DataFrame:
+    """A stream of detections with the columns of a class table, one row a class; other classes get nulls."""
+    return detections.join(F.broadcast(classes.dropDuplicates([on])), on, "left")
+
+
 def gated(rows: DataFrame, control: DataFrame) -> DataFrame:
     """Rows while recording is on: the last switch (video, ts, enabled) at or before a row decides.
 
