@@ -180,7 +180,7 @@ def canvas_transform(s, d):
 
 
 def _order_videos(s, d):
-    return V.table(s, d, "orders").filter("o_orderkey % 50 = 0").select(F.concat(F.lit("v"), F.col("o_orderkey").cast("string")).alias("video"), (F.col("o_orderkey") % 41).alias("n_frames"))
+    return V.table(s, d, "orders").select(F.concat(F.lit("v"), F.col("o_orderkey").cast("string")).alias("video"), (F.col("o_orderkey") % 41).alias("n_frames"))
 
 
 @query
@@ -190,7 +190,7 @@ def frame_pool(s, d):
 
 @query
 def unannotated_pool(s, d):
-    labelled = V.table(s, d, "labels").select(F.concat(F.lit("v"), (F.col("doc_id") * 50).cast("string")).alias("video"), (F.col("doc_id") % 30).alias("frame"))
+    labelled = V.table(s, d, "labels").select(F.concat(F.lit("v"), F.col("doc_id").cast("string")).alias("video"), (F.col("doc_id") % 30).alias("frame"))
     return dataset.unannotated(dataset.frame_pool(_order_videos(s, d), 10), labelled)
 
 
@@ -251,7 +251,7 @@ def video_for_item_prefix(s, d):
 def frame_alignment(s, d):
     g = V.grey(s, d)
     frames = g.select("video", F.row_number().over(Window.partitionBy("video").orderBy("frame")).cast("bigint").alias("frame"), "px")
-    wanted = frames.filter("frame % 4 = 0").select(F.concat(F.col("video").cast("string"), F.lit("_"), F.col("frame").cast("string")).alias("item"), "video", (F.col("frame") + 1 - F.col("frame") % 3).alias("frame"), "px")
+    wanted = frames.select(F.concat(F.col("video").cast("string"), F.lit("_"), F.col("frame").cast("string")).alias("item"), "video", (F.col("frame") + 1 - F.col("frame") % 3).alias("frame"), "px")
     return dataset.align_frames(frames, wanted)
 
 
@@ -273,7 +273,7 @@ def augmentation_type_counts(s, d):
 @query
 def last_epoch_metrics_f1(s, d):
     text = lambda c: c.cast("string")
-    log = V.table(s, d, "lineitem").filter("l_orderkey % 10 = 0").select(
+    log = V.table(s, d, "lineitem").select(
         F.col("l_orderkey").alias("run"), (F.col("l_linenumber").cast("bigint") * 10_000_000_000 + F.col("l_partkey") * 10_000 + F.col("l_suppkey")).alias("epoch"), F.when(F.col("l_linenumber") % 2 == 0, "n/a").otherwise(text(F.col("l_discount"))).alias("p_new"), text(F.col("l_tax")).alias("p_old"), text(F.col("l_tax")).alias("r"),
     )
     return dataset.last_epoch(log, "run", "epoch", {"precision": ["p_new", "p_old"], "recall": ["r"]})
@@ -281,16 +281,19 @@ def last_epoch_metrics_f1(s, d):
 
 @query
 def segment_dsl_explode(s, d):
-    text = F.element_at(F.array(F.lit("0.5,0.8 | 1.0 | 1.2,1.6"), F.lit(""), F.lit("2"), F.lit("3,5|"), F.lit("0.1 | 0.2")), F.col("r_regionkey") + 1)
-    return V.table(s, d, "region").select("r_regionkey", F.posexplode(X.segments(text)).alias("segment", "g")).select("r_regionkey", F.col("segment").cast("bigint").alias("segment"), "g.kind", "g.lo", "g.hi")
+    k, n = F.col("p_partkey"), F.col("p_size").cast("string")
+    many = F.concat(n, F.lit(","), (F.col("p_size") + k % 4).cast("string"), F.lit(" | "), (k % 9).cast("string"), F.lit("|"))
+    text = F.when(k % 3 == 0, many).when(k % 3 == 1, n).otherwise("")
+    return V.table(s, d, "part").select("p_partkey", F.posexplode(X.segments(text)).alias("segment", "g")).select("p_partkey", F.col("segment").cast("bigint").alias("segment"), "g.kind", "g.lo", "g.hi")
 
 
 @query
 def class_and_colour_lists(s, d):
-    classes = F.element_at(F.array(F.lit("0"), F.lit(""), F.lit("a, b ,,c"), F.lit("x"), F.lit(" 0 ")), F.col("r_regionkey") + 1)
-    colours = F.element_at(F.array(F.lit("1,2,3;4,5,6"), F.lit(""), F.lit("1,2;7,8,9"), F.lit("a,b,c"), F.lit("9,9,9")), F.col("r_regionkey") + 1)
+    k, n = F.col("p_partkey"), F.col("p_size").cast("string")
+    classes = F.when(k % 3 == 0, F.concat(F.lit("a"), n, F.lit(", b ,,c"))).when(k % 3 == 1, " 0 ").otherwise("")
+    colours = F.when(k % 3 == 0, F.concat(n, F.lit(", 2,3;4,5;x,y,z;7,8,"), n)).when(k % 3 == 1, F.concat(F.lit("9,9,"), n)).otherwise("")
     flat = F.transform(X.colour_list(colours), lambda c: F.array_join(F.transform(c, lambda v: v.cast("string")), ","))
-    return V.table(s, d, "region").select("r_regionkey", F.array_join(X.class_list(classes), "|").alias("classes"), F.array_join(flat, ";").alias("colours"), X.is_populated(classes).alias("populated"))
+    return V.table(s, d, "part").select("p_partkey", F.array_join(X.class_list(classes), "|").alias("classes"), F.array_join(flat, ";").alias("colours"), X.is_populated(classes).alias("populated"))
 
 
 @query
@@ -349,7 +352,7 @@ def frame_skip_sample(s, d):
 @query
 def window_ending_at(s, d):
     frames = obs(s, d).select(F.col("video_filename").alias("video"), "frame", "row_no")
-    targets = frames.filter("frame % 100 = 0").select("video", F.col("frame").alias("target"))
+    targets = frames.select("video", F.col("frame").alias("target"))
     return motion.window_ending_at(frames, targets, 5, 1).select("video", "target", "frame", "row_no")
 
 
@@ -372,7 +375,7 @@ def padded_crop(s, d):
 
 
 def _files(s, d):
-    n = s.range(200).withColumn("k", F.col("id"))
+    n = V.table(s, d, "part").withColumn("k", F.col("p_partkey"))
     label = n.select(F.lit("label").alias("kind"), F.concat(F.lit("v_"), F.col("k").cast("string")).alias("name"))
     crops = n.select(F.lit("crop").alias("kind"), F.concat(F.lit("v_"), F.col("k").cast("string"), F.lit("_4_"), (F.col("k") % 9).cast("string")).alias("name"))
     return label.union(crops)
@@ -380,12 +383,16 @@ def _files(s, d):
 
 @query
 def delete_set_exact(s, d):
-    return dataset.deletions(_files(s, d), s.range(12, 14).select(F.concat(F.lit("v_"), F.col("id").cast("string")).alias("basename")))
+    return dataset.deletions(_files(s, d), _targets(s, d))
+
+
+def _targets(s, d):
+    return V.table(s, d, "supplier").select(F.concat(F.lit("v_"), F.col("s_suppkey").cast("string")).alias("basename"))
 
 
 @query
 def delete_set_prefix(s, d):
-    return dataset.deletions(_files(s, d), s.range(12, 14).select(F.concat(F.lit("v_"), F.col("id").cast("string")).alias("basename")), prefix=True)
+    return dataset.deletions(_files(s, d), _targets(s, d), prefix=True)
 
 
 @query
@@ -456,7 +463,7 @@ def conversation_role_transitions(s, d):
 def track_objects(s, d):
     """Identities of the merged detections; every sampled frame counts, also without detections."""
     here = geometry.merge(V.boxes(s, d), "confidence", 12.0, 0.6).select("video", "frame", "det", X.centroid(F.col("x1"), F.col("x2")).alias("x"), X.centroid(F.col("y1"), F.col("y2")).alias("y"))
-    frames = s.range(25).select(F.lit("v").alias("video"), F.col("id").alias("frame"))
+    frames = V.boxes(s, d).select("video").distinct().select("video", F.explode(F.sequence(F.lit(0), F.lit(12))).cast("bigint").alias("frame"))
     return tracking.track(tracking.with_frame_axis(here, frames), gate=15.0)
 
 
@@ -467,3 +474,65 @@ def rebuild_items(s, d):
     ext = F.when(F.col("n_nationkey") % 2 == 0, ".mp4").otherwise(".AVI")
     clips = V.table(s, d, "nation").select(F.concat(F.lit("clip"), (F.col("n_nationkey") % 4).cast("string"), ext).alias("name"))
     return rebuild.with_clips(keys, clips.withColumn("path", F.concat(F.lit("/clips/"), F.col("name")))).drop("rank")
+
+
+@query
+def videos_with_annotations(s, d):
+    videos = V.table(s, d, "supplier").select(F.concat(F.lit("clip"), F.col("s_suppkey").cast("string")).alias("stem"), F.concat(F.lit("/in/"), F.col("s_name")).alias("path"))
+    return dataset.videos_with_annotations(videos, V.labels(s, d))
+
+
+@query
+def union_by_normalised_path(s, d):
+    """Two listings of the same parts, the second under roundabout paths and with parts of its own."""
+    p, k = V.table(s, d, "part"), F.col("p_partkey")
+    name = F.concat(F.lit("clip"), k.cast("string"), F.lit(".mp4"))
+    first = p.select(F.concat(F.lit("/in/a/"), name).alias("path"), F.lit("clips").alias("source"), k)
+    roundabout = F.when(k % 2 == 0, F.concat(F.lit("/in//b/../a/./"), name)).otherwise(F.concat(F.lit("/in/b/"), name))
+    return dataset.union_by_path(first, p.select(roundabout.alias("path"), F.lit("more").alias("source"), k))
+
+
+@query
+def joint_class_domain(s, d):
+    n = V.table(s, d, "nation").select(F.when(F.col("n_nationkey") % 3 == 0, "motion").otherwise("static").alias("stream"), "n_name", "n_nationkey")
+    position = F.row_number().over(Window.partitionBy("stream").orderBy("n_nationkey")) - 1
+    return dataset.class_domain(n.select("stream", position.cast("bigint").alias("position"), F.col("n_name").alias("name")))
+
+
+@query
+def newest_run(s, d):
+    o = V.table(s, d, "orders").select(F.concat(F.lit("/runs/train"), F.col("o_orderkey").cast("string")).alias("path"), F.col("o_orderdate").alias("modificationTime"))
+    return dataset.newest(o).select("path")
+
+
+@query
+def sorted_basenames(s, d):
+    return dataset.sorted_basenames(V.labels(s, d))
+
+
+@query
+def clamped_steps(s, d):
+    o = V.table(s, d, "orders").select("o_orderkey", (F.col("o_orderkey") % 100).alias("frame"), F.lit(90).cast("bigint").alias("n"))
+    return o.select("o_orderkey", *[X.stepped(F.col("frame"), k, F.col("n")).alias(f"by_{name}") for k, name in ((-10, "back10"), (-1, "back1"), (1, "on1"), (10, "on10"))])
+
+
+@query
+def masks_of_either_stream(s, d):
+    lab = V.table(s, d, "labels").select(F.col("doc_id").cast("string").alias("basename"), "quality", "toxic")
+    box = lambda v: F.array(F.struct(*[F.lit(v + i).alias(n) for i, n in enumerate(("x1", "y1", "x2", "y2"))]))
+    static, moving = lab.filter("quality = 1").select("basename", box(0).alias("boxes")), lab.filter("toxic = 1").select("basename", box(10).alias("boxes"))
+    return dataset.masks_of_either(static, moving).select("basename", F.expr("boxes[0].x1").alias("x1"))
+
+
+@query
+def augmented_file_counts(s, d):
+    return dataset.augmented_files(V.labels(s, d).select(F.col("stream").alias("kind"), F.col("basename").alias("name")).distinct())
+
+
+@query
+def label_files_by_stream(s, d):
+    from ..sources import writers
+
+    b = V.boxes(s, d).select(F.concat("video", F.lit("_"), F.col("frame").cast("string")).alias("basename"), "det", F.col("cls").cast("int").alias("cls"), "x1", "y1", "x2", "y2")
+    made = writers.label_lines_by_stream(b, 6, 512, 256)
+    return made.select("stream", "basename", F.size(F.split("text", "\n")).cast("bigint").alias("lines"), F.array_join(F.transform(F.split("text", "\n"), lambda t: F.split(t, " ")[0]), ",").alias("classes"))

@@ -76,7 +76,7 @@ r as (select video, i, frame, px as last, px as ea, px as eb, {absdiff("px", "px
 select video, frame, {join("d0")} as d0, {join("d1")} as d1, {join("d2")} as d2 from r"""
 
 
-ORDER_VIDEOS = "ov as (select concat('v', o_orderkey) as video, o_orderkey % 41 as n_frames from orders where o_orderkey % 50 = 0), pool as (select video, unnest(range(9, n_frames - 2)) as frame from ov where n_frames - 3 >= 9)"
+ORDER_VIDEOS = "ov as (select concat('v', o_orderkey) as video, o_orderkey % 41 as n_frames from orders), pool as (select video, unnest(range(9, n_frames - 2)) as frame from ov where n_frames - 3 >= 9)"
 TRK = f"""{BOXES}, here as (select video, frame, det, floor((x1 + x2) / 2)::bigint as x, floor((y1 + y2) / 2)::bigint as y from boxes),
 m as (select t.frame, t.det as track, h.det, sqrt((t.x - h.x) ** 2 + (t.y - h.y) ** 2) as distance from here t join here h using (video, frame) where t.det % 3 = 0 and h.det % 3 <> 0)"""
 NAMED = "select distinct stream, split, basename from labels1"
@@ -102,26 +102,26 @@ select s.stem, coalesce(b.name, s.stem) as video_filename from (select concat('c
     "frame_timecode": f"select o_orderkey, {tc('o_orderkey * 37')} as timecode, '00:00' as no_rate from orders",
     "box_norm_to_pixel": f"""with {LABELS} select line_no, {", ".join(f"{pixel(f'({c} {s} {w} / 2) * {z}', z)} as {n}, trunc(({c} {s} {w} / 2) * {z})::int as free_{n}" for n, c, s, w, z in (("x1", "xc", "-", "bw", 640), ("y1", "yc", "-", "bh", 480), ("x2", "xc", "+", "bw", 640), ("y2", "yc", "+", "bh", 480)))} from labels1""",
     "box_pixel_to_norm": f"with {BOXES} select det, (x1 + x2) / 2 / 640 as xc, (y1 + y2) / 2 / 480 as yc, abs(x2 - x1) / 640 as bw, abs(y2 - y1) / 480 as bh from boxes",
-    "box_overlap_pairs": f"with {BOXES}, p as (select a.frame, a.det as a_det, b.det as b_det, {overlap('a', 'b')} as overlap from boxes a join boxes b on a.frame = b.frame and a.det < b.det) select * from p where overlap > 0",
-    "merge_candidate_pairs": f"with {BOXES} select a.frame, a.det as a_det, b.det as b_det from boxes a join boxes b on a.frame = b.frame and a.det < b.det where {dist('a', 'b')} < 12 or {overlap('a', 'b')} > 0.6",
-    "nms_keep": f"""with recursive {BOXES}, o as (select *, row_number() over (partition by frame order by conf desc, det) as i from boxes),
-r as (select frame, 1::bigint as i, [{{'x1': x1, 'y1': y1, 'x2': x2, 'y2': y2, 'det': det, 'conf': conf}}] as kept from o where i = 1
- union all select r.frame, o.i, case when len(list_filter(r.kept, lambda k: {overlap("k", "o")} > 0.4)) > 0 then r.kept else list_append(r.kept, {{'x1': o.x1, 'y1': o.y1, 'x2': o.x2, 'y2': o.y2, 'det': o.det, 'conf': o.conf}}) end
- from r join o on o.frame = r.frame and o.i = r.i + 1),
-l as (select frame, unnest(arg_max(kept, i)) as k from r group by 1) select frame, k.det as det, k.conf as conf from l""",
+    "box_overlap_pairs": f"with {BOXES}, p as (select a.frame, a.det as a_det, b.det as b_det, {overlap('a', 'b')} as overlap from boxes a join boxes b on a.video = b.video and a.frame = b.frame and a.det < b.det) select * from p where overlap > 0",
+    "merge_candidate_pairs": f"with {BOXES} select a.frame, a.det as a_det, b.det as b_det from boxes a join boxes b on a.video = b.video and a.frame = b.frame and a.det < b.det where {dist('a', 'b')} < 12 or {overlap('a', 'b')} > 0.6",
+    "nms_keep": f"""with recursive {BOXES}, o as (select *, row_number() over (partition by video, frame order by conf desc, det) as i from boxes),
+r as (select video, frame, 1::bigint as i, [{{'x1': x1, 'y1': y1, 'x2': x2, 'y2': y2, 'det': det, 'conf': conf}}] as kept from o where i = 1
+ union all select r.video, r.frame, o.i, case when len(list_filter(r.kept, lambda k: {overlap("k", "o")} > 0.4)) > 0 then r.kept else list_append(r.kept, {{'x1': o.x1, 'y1': o.y1, 'x2': o.x2, 'y2': o.y2, 'det': o.det, 'conf': o.conf}}) end
+ from r join o on o.video = r.video and o.frame = r.frame and o.i = r.i + 1),
+l as (select video, frame, unnest(arg_max(kept, i)) as k from r group by 1, 2) select frame, k.det as det, k.conf as conf from l""",
     "cost_matrix": f"with {TRK} select frame, track, det, distance from m",
     "nearest_track": f"with {TRK}, b as (select frame, det, min({{'d': distance, 't': track}}) as b from m group by 1, 2) select h.frame, h.det, case when b.d < 9 then b.t else -1 end as track, case when b.d < 9 then b.d end as distance from here h left join b using (frame, det) where h.det % 3 <> 0",
     "topmost_box": f"with {BOXES} select video, frame, max(det) as det from boxes where 100 between x1 and x2 and 100 between y1 and y2 group by 1, 2",
     "drawn_boxes": f"with {BOXES}, c as (select det, greatest(0, least(x1, 109)) as x1, greatest(0, least(y1, 109)) as y1, greatest(0, least(x2, 109)) as x2, greatest(0, least(y2, 109)) as y2 from boxes) select * from c where x2 - x1 > 5 and y2 - y1 > 5",
     "canvas_transform": f"with {BOXES} select det, greatest(0, least(trunc(x1 / 1.5::double)::int, 69)) as vx, trunc(x1 * 1.5::double)::int as cx, round_even(det / 500 * 333, 0)::bigint as tick, 100 * 2 * det / 1000 as percent from boxes",
     "frame_pool": f"with {ORDER_VIDEOS} select video, frame from pool",
-    "unannotated_pool": f"with {ORDER_VIDEOS} select video, frame from pool where not exists (select 1 from labels where concat('v', doc_id * 50) = pool.video and doc_id % 30 = pool.frame)",
+    "unannotated_pool": f"with {ORDER_VIDEOS} select video, frame from pool where not exists (select 1 from labels where concat('v', doc_id) = pool.video and doc_id % 30 = pool.frame)",
     "annotated_frames_map": "with k as (select concat('clip_', doc_id % 13) as label, doc_id as frame from labels where doc_id % 11 <> 0) select label, count(distinct frame) as n, array_to_string(list_sort(list(distinct frame)), ',') as frames from k group by 1",
     "next_annotated_wrap": "with k as (select distinct concat('clip_', doc_id % 13) as label, doc_id as frame from labels) select label, frame, coalesce(lead(frame) over w, min(frame) over (partition by label)) as next_frame, coalesce(lag(frame) over w, max(frame) over (partition by label)) as previous_frame from k window w as (partition by label order by frame)",
     "basename_parse": "select p_partkey, case when p_partkey % 7 <> 0 then replace(p_name, ' ', '_') end as label, case when p_partkey % 7 <> 0 then p_size::bigint else -1 end as frame from part",
     "crop_name_parse": "with n as (select p_partkey, concat('a_b', p_partkey % 3, '_', p_partkey, '_', p_partkey % 19 - 4, case when p_partkey % 5 = 0 then '' else concat('_', p_partkey % 23) end) as s from part), r as (select p_partkey, regexp_extract(s, '^(.+)_([0-9]+)_(-?[0-9]+)_(-?[0-9]+)$', ['label', 'f', 'x', 'y']) as g from n) select p_partkey, nullif(g.label, '') as label, coalesce(nullif(g.f, '')::bigint, -99) as frame, coalesce(nullif(g.x, '')::bigint, -99) as x1, coalesce(nullif(g.y, '')::bigint, -99) as y1 from r",
-    "crop_link_tolerance": f"""with {BOXES}, c as (select det * 2 + 1 as crop, frame, (x1 + det % 5 - 2)::int as x1, (y1 + det % 7 - 3)::int as y1, concat('s', det) as secondary from boxes),
-h as (select c.crop, c.secondary, b.det as box, b.x1 - c.x1 as dx, b.y1 - c.y1 as dy from c join boxes b on b.frame = c.frame and abs(b.x1 - c.x1) <= 2 and abs(b.y1 - c.y1) <= 2),
+    "crop_link_tolerance": f"""with {BOXES}, c as (select det * 2 + 1 as crop, video, frame, (x1 + det % 5 - 2)::int as x1, (y1 + det % 7 - 3)::int as y1, concat('s', det) as secondary from boxes),
+h as (select c.crop, c.secondary, b.det as box, b.x1 - c.x1 as dx, b.y1 - c.y1 as dy from c join boxes b on b.video = c.video and b.frame = c.frame and abs(b.x1 - c.x1) <= 2 and abs(b.y1 - c.y1) <= 2),
 k as (select *, dx = 0 and dy = 0 as exact, row_number() over (partition by crop order by case when dx = 0 and dy = 0 then 0 else 1 end, dx, dy, box) as i, bool_or(dx = 0 and dy = 0) over (partition by crop) as any_exact from h),
 z as (select box, arg_max(secondary, crop) as secondary from k where exact or (i = 1 and not any_exact) group by 1) select boxes.det as box, secondary from boxes left join z on z.box = boxes.det""",
     "image_label_mask_join": "select d.doc_id::varchar as basename, l.doc_id is not null as has_label, coalesce(l.toxic = 1, false) as has_mask from documents d left join labels l using (doc_id)",
@@ -130,17 +130,18 @@ z as (select box, arg_max(secondary, crop) as secondary from k where exact or (i
 i as (select distinct case when s_suppkey % 2 = 0 then upper(s_name) else substr(s_name, 1, length(s_name) - 1) end as label from supplier)
 select i.label, (select v.path from v where starts_with(v.stem, lower(i.label)) order by case when v.stem = lower(i.label) then 0 else 1 end, v.path limit 1) as path from i""",
     "frame_alignment": f"""with {GREY}, f as (select video, row_number() over (partition by video order by frame) as frame, px from grey),
-w as (select concat(video, '_', frame) as item, video, frame + 1 - frame % 3 as named, px from f where frame % 4 = 0),
+w as (select concat(video, '_', frame) as item, video, frame + 1 - frame % 3 as named, px from f),
 s as (select w.item, w.named, f.frame, list_sum({absdiff("w.px", "f.px")})::double / len(f.px) as score from w join f on f.video = w.video and abs(f.frame - w.named) <= 1)
 select item, named, frame, score from s qualify row_number() over (partition by item order by score, frame) = 1""",
     "class_distribution": f"with {LABELS} select stream, cls, count(*) as boxes, 100 * count(*) / sum(count(*)) over (partition by stream) as pct, 100 * count(*) / sum(count(*)) over (partition by stream) < 10 as low from labels1 where not contains(basename, '_aug_') group by 1, 2",
     "dataset_tallies_rollup": f"with {LABELS}, n as ({NAMED}) select stream, split, count(*) filter (not contains(basename, '_aug_')) as originals, count(*) filter (contains(basename, '_aug_')) as augmented, count(distinct case when not contains(basename, '_aug_') then basename end) as unique_originals from n group by rollup (stream, split)",
     "augmentation_type_counts": f"with {LABELS}, n as ({NAMED}) select string_split(basename, '_aug_')[-1] as augmentation, count(*) as files from n where contains(basename, '_aug_') group by 1",
-    "last_epoch_metrics_f1": """with l as (select l_orderkey as run, count(*) as epochs, arg_max({'n': l_linenumber, 'd': l_discount, 't': l_tax}, l_linenumber::bigint * 10000000000 + l_partkey * 10000 + l_suppkey) as r from lineitem where l_orderkey % 10 = 0 group by 1),
+    "last_epoch_metrics_f1": """with l as (select l_orderkey as run, count(*) as epochs, arg_max({'n': l_linenumber, 'd': l_discount, 't': l_tax}, l_linenumber::bigint * 10000000000 + l_partkey * 10000 + l_suppkey) as r from lineitem group by 1),
 m as (select run, epochs, case when r.n % 2 = 0 then r.t else r.d end as precision, r.t as recall from l) select *, case when precision + recall > 0 then 2 * precision * recall / (precision + recall) else 0.0::double end as f1 from m""",
-    "segment_dsl_explode": """with g as (select * from (values (0, 0, 'range', 0.5, 0.8), (0, 1, 'discrete', 1, 1), (0, 2, 'range', 1.2, 1.6), (1, 0, 'range', 0, 0), (2, 0, 'discrete', 2, 2), (3, 0, 'range', 3, 5), (4, 0, 'discrete', 0.1, 0.1), (4, 1, 'discrete', 0.2, 0.2)) t(k, s, kind, lo, hi))
-select r_regionkey, s::bigint as segment, kind, lo::double as lo, hi::double as hi from region join g on g.k = r_regionkey""",
-    "class_and_colour_lists": "select r_regionkey, ['', '', 'a|b|c', 'x', ''][r_regionkey + 1] as classes, ['3,2,1;6,5,4', '', '9,8,7', '', '9,9,9'][r_regionkey + 1] as colours, r_regionkey in (2, 3) as populated from region",
+    "segment_dsl_explode": """select p_partkey, 0::bigint as segment, case when p_partkey % 3 = 1 then 'discrete' else 'range' end as kind, case when p_partkey % 3 = 2 then 0 else p_size end::double as lo,
+  case p_partkey % 3 when 0 then p_size + p_partkey % 4 when 1 then p_size else 0 end::double as hi from part
+union all select p_partkey, 1, 'discrete', (p_partkey % 9)::double, (p_partkey % 9)::double from part where p_partkey % 3 = 0""",
+    "class_and_colour_lists": "select p_partkey, case when p_partkey % 3 = 0 then concat('a', p_size, '|b|c') else '' end as classes, case p_partkey % 3 when 0 then concat('3,2,', p_size, ';', p_size, ',8,7') when 1 then concat(p_size, ',9,9') else '' end as colours, p_partkey % 3 = 0 as populated from part",
     "label_flip": f"with {LABELS} select 'flip_h' as parameter, line_no, 1 - xc as xc, yc from labels1 union all select 'flip_v', line_no, xc, 1 - yc from labels1",
     "target_class_filter": f"with {LABELS} select basename from labels1 group by 1 having bool_or(cls in (2, 5)) union all select concat('bare_', i) from range(3) t(i)",
     "seq_frame_diff": f"with {SEQ} select video, frame, {join('d0')} as d0, {join('d1')} as d1, {join('d2')} as d2 from seq",
@@ -148,12 +149,12 @@ select r_regionkey, s::bigint as segment, kind, lo::double as lo, hi::double as
     "false_color_plain": f"with {SEQ} select video, frame, {plane('d0', 4.0)} as blue, {plane('d1', 3.0)} as green, {plane('d2', 2.0)} as red from seq",
     "false_color_chromatic": f"with {SEQ} select video, frame, {plane(cut('d0', 'd1'), 4.0)} as blue, {plane(cut('d1', 'd0'), 3.0)} as green, {plane(cut('d2', 'd1'), 2.0)} as red from seq",
     "frame_skip_sample": f"with {OBS} select video_filename, frame, track_id from obs where frame >= 2 and (frame - 2) % 3 = 0",
-    "window_ending_at": f"with {OBS}, t as (select video_filename as video, frame as target from obs where frame % 100 = 0) select t.video, t.target, o.frame, o.row_no from t join obs o on o.video_filename = t.video and o.frame between greatest(0, t.target - 8) and t.target and (t.target - o.frame) % 2 = 0",
+    "window_ending_at": f"with {OBS}, t as (select video_filename as video, frame as target from obs) select t.video, t.target, o.frame, o.row_no from t join obs o on o.video_filename = t.video and o.frame between greatest(0, t.target - 8) and t.target and (t.target - o.frame) % 2 = 0",
     "rolling_fps": "select event_id, count(*) over (partition by user_id order by ts range between interval 1 hour preceding and current row) as recent from events",
     "mask_fill": f"with {GREY} select video, frame, {join('list_transform(px, lambda v, i: case when (i - 1) % 8 between frame % 5 and frame % 5 + 2 and (i - 1) // 8 between 1 and 4 then 128 else v end)')} as px from grey",
     "padded_crop": f"with {GREY}, q as (select *, frame % 8 - 2 as l, frame % 3 - 2 as t from grey) select video, frame, {join('list_transform(range(16), lambda i: case when l + i % 4 between 0 and 7 and t + i // 4 between 0 and 7 then px[(t + i // 4) * 8 + l + i % 4 + 1] else 0 end)')} as px from q",
-    "delete_set_exact": "select 'label' as kind, concat('v_', i) as name from range(12, 14) t(i) union all select 'crop', concat('v_', i, '_4_', i % 9) from range(12, 14) t(i)",
-    "delete_set_prefix": "select 'label' as kind, concat('v_', i) as name from range(12, 14) t(i) union all select 'crop', concat('v_', i, '_4_', i % 9) from range(200) t(i) where starts_with(concat('v_', i, '_4_', i % 9), 'v_12') or starts_with(concat('v_', i, '_4_', i % 9), 'v_13')",
+    "delete_set_exact": "with k as (select s_suppkey as i from supplier where s_suppkey in (select p_partkey from part)) select 'label' as kind, concat('v_', i) as name from k union all select 'crop', concat('v_', i, '_4_', i % 9) from k",
+    "delete_set_prefix": "select 'label' as kind, concat('v_', s_suppkey) as name from supplier where s_suppkey in (select p_partkey from part) union all select 'crop', c from (select concat('v_', p_partkey, '_4_', p_partkey % 9) as c from part) where exists (select 1 from supplier where starts_with(c, concat('v_', s_suppkey)))",
     "backup_ordinal": "select min(n) as ordinal from range(1, 27) t(n) where n not in (select n_nationkey from nation where n_nationkey <> 4)",
     "model_directories": "with n as (select concat(case when n_nationkey % 2 = 0 then 'model_' else 'annot_' end, lower(n_name), case when n_nationkey % 3 = 0 then '_backup2' else '' end) as name from nation) select name from n where starts_with(name, 'model_') and not regexp_matches(name, '_backup[0-9]+$')",
     "hotkey_conflicts": "select lower(n_name[1]) as hotkey, count(*) as uses from nation group by 1 having count(*) > 1 or lower(n_name[1]) in ('u', 'g')",
@@ -166,4 +167,34 @@ select r_regionkey, s::bigint as segment, kind, lo::double as lo, hi::double as
     "conversation_role_transitions": "with e as (select conv_id, role, lag(role) over (partition by conv_id order by turn) as p from conversations), t as (select conv_id, role, count(*) as n from e where p <> role group by 1, 2) select role as behaviour, sum(n)::bigint as transitions, count(*) as conversations from t group by 1",
     "rebuild_items": f"""with {LABELS}, c as (select concat('clip', n_nationkey % 4) as label, min(case when n_nationkey % 2 = 0 then '0.mp4' else '1.AVI' end) as e from nation group by 1)
 select distinct k.label, basename, split, stream, split_part(basename, '_', 2)::bigint as frame, concat('/clips/', k.label, e[2:]) as path from (select *, split_part(basename, '_', 1) as label from labels1 where not contains(basename, '_aug_')) k join c on c.label = k.label""",
+    "videos_with_annotations": f"with {LABELS} select concat('clip', s_suppkey) as stem, concat('/in/', s_name) as path from supplier where concat('clip', s_suppkey) in (select split_part(basename, '_', 1) from labels1 where not contains(basename, '_aug_'))",
+    "union_by_normalised_path": "select concat('/in/a/clip', p_partkey, '.mp4') as path, 'clips' as source, p_partkey from part union all select concat('/in/b/clip', p_partkey, '.mp4'), 'more', p_partkey from part where p_partkey % 2 = 1",
+    "joint_class_domain": "with c as (select case when n_nationkey % 3 = 0 then 'motion' else 'static' end as stream, n_name as name, n_nationkey as k from nation) select stream, name, row_number() over (partition by stream order by k) - 1 as position, row_number() over (order by stream desc, k) - 1 as id from c",
+    "newest_run": "select concat('/runs/train', o_orderkey) as path from orders order by o_orderdate desc, concat('/runs/train', o_orderkey) desc limit 1",
+    "sorted_basenames": f"with {LABELS} select distinct basename from labels1",
+    "clamped_steps": "select o_orderkey, " + ", ".join(f"greatest(0, least(o_orderkey % 100 + {k}, 89)) as by_{n}" for k, n in ((-10, "back10"), (-1, "back1"), (1, "on1"), (10, "on10"))) + " from orders",
+    "masks_of_either_stream": "select doc_id::varchar as basename, case when quality = 1 then 0 else 10 end as x1 from labels where quality = 1 or toxic = 1",
+    "augmented_file_counts": f"with {LABELS} select stream as kind, count(distinct basename) as files from labels1 where contains(basename, '_aug_') group by 1",
+    "label_files_by_stream": f"with {BOXES}, c as (select concat(video, '_', frame) as basename, det, cls::int as k from boxes) select case when k < 6 then 'static' else 'motion' end as stream, basename, count(*) as lines, string_agg((case when k < 6 then k else k - 6 end)::varchar, ',' order by det) as classes from c group by 1, 2",
 }
+
+
+def merge_sql(dominant: str) -> str:
+    """The greedy merge as a recursive query: a frame's detections in order, each against the list of merged ones."""
+    mine = "o.source = m.source and o.conf > m.conf or o.source <> m.source and "
+    wins = "o.conf > m.conf" if dominant == "confidence" else f"({mine} o.source = '{dominant}')"
+    new = lambda cls, conf: "{" + ", ".join(f"'{c}': o.{c}" for c in ("x1", "y1", "x2", "y2", "cls", "conf", "source")) + f", 'combined_cls': {cls}, 'combined_conf': {conf}" + "}"
+    alone = new("''", "0.0::double")
+    near = f"{dist('m', 'o')} < 12 or {overlap('m', 'o')} > 0.6"
+    return f"""with recursive {BOXES}, o as (select *, row_number() over (partition by video, frame order by case source when 'static' then 0 else 1 end, det) as i from boxes),
+r as (select video, frame, i, [{alone}] as kept from o where i = 1
+ union all select video, frame, i, case when hit = 0 then list_append(kept, own) else list_transform(kept, lambda m, j: case when j = hit and won[j] then then_[j] else m end) end
+ from (select o.video, o.frame, o.i, r.kept, {alone} as own, coalesce(list_position(list_transform(r.kept, lambda m: {near}), true), 0) as hit,
+  list_transform(r.kept, lambda m: {wins}) as won, list_transform(r.kept, lambda m: {new("m.cls", "m.conf")}) as then_
+  from r join o on o.video = r.video and o.frame = r.frame and o.i = r.i + 1)),
+l as (select video, frame, arg_max(kept, i) as kept from r group by 1, 2), k as (select video, frame, unnest(kept) as m, unnest(range(len(kept))) as det from l)
+select video, frame, det, {", ".join(f"m.{c} as {c}" for c in ("x1", "y1", "x2", "y2", "cls", "conf", "source", "combined_cls", "combined_conf"))},
+ {", ".join(f"case when m.source = '{k}' then m.{c} else m.combined_{c} end as primary_{k}_{n}" for k in ("static", "motion") for c, n in (("cls", "class"), ("conf", "conf")))} from k"""
+
+
+SQL |= {f"merge_detections_{kind}": merge_sql(kind) for kind in ("confidence", "static", "motion")}

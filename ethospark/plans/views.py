@@ -16,10 +16,10 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def raw_obs(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Tracking rows from events, as text columns named like a tracking file's."""
     e = table(spark, sf_dir, "events").select("event_id", "ts", "user_id", "event_type", "props")
-    frame = F.row_number().over(Window.partitionBy(F.col("user_id") % 7).orderBy("ts", "event_id"))
-    vid = (F.col("user_id") % 7).cast("string")
+    vid = F.expr("user_id div 25")  # so many tracks to a video; videos grow in number with the table
+    frame = F.row_number().over(Window.partitionBy(vid).orderBy("ts", "event_id"))
     return e.select(
-        F.concat(F.lit("cam_"), vid, F.lit("_x_y_herd"), (F.col("user_id") % 7 % 3).cast("string"), F.lit("_m.MP4")).alias("video_filename"),
+        F.concat(F.lit("cam_"), vid.cast("string"), F.lit("_x_y_herd"), (vid % 3).cast("string"), F.lit("_m.MP4")).alias("video_filename"),
         F.col("event_id").alias("row_no"),
         frame.cast("string").alias("frame"),
         F.col("user_id").cast("string").alias("id"),
@@ -33,8 +33,8 @@ def raw_obs(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 OBS = """
-obs0 as (select concat('cam_', user_id % 7, '_x_y_herd', user_id % 7 % 3, '_m.MP4') as video_filename, event_id as row_no,
-  row_number() over (partition by user_id % 7 order by ts, event_id) as frame, user_id as track_id,
+obs0 as (select concat('cam_', user_id // 25, '_x_y_herd', user_id // 25 % 3, '_m.MP4') as video_filename, event_id as row_no,
+  row_number() over (partition by user_id // 25 order by ts, event_id) as frame, user_id as track_id,
   (event_id * 37 % 1920)::double as x, (event_id * 91 % 1080)::double as y,
   case when event_type = 'error' then '' else event_type end as mc, regexp_extract(props, '([0-9]+)', 1)::double / 100 as mf,
   case when event_id % 4 = 0 then 'graze' else '' end as sc, (event_id % 100)::double / 100 as sf from events),
@@ -43,12 +43,12 @@ obs as (select video_filename, row_no, frame, track_id, x, y,
 
 
 def boxes(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Detections from embeddings: 20 frames of boxes."""
+    """Detections from embeddings: videos of ten frames of 25 boxes each."""
     e = table(spark, sf_dir, "embeddings")
     at = lambda i: F.element_at("embedding", i + 1).cast("double")
     x1, y1 = F.round((at(1) + 1) * 100).cast("int"), F.round((at(2) + 1) * 100).cast("int")
     return e.select(
-        F.lit("v").alias("video"), (F.col("vec_id") % 20).alias("frame"), F.col("vec_id").alias("det"), x1.alias("x1"), y1.alias("y1"),
+        F.concat(F.lit("v"), F.expr("vec_id div 250").cast("string")).alias("video"), (F.col("vec_id") % 10).alias("frame"), F.col("vec_id").alias("det"), x1.alias("x1"), y1.alias("y1"),
         (x1 + F.round(F.abs(at(3)) * 80).cast("int") + 6).alias("x2"), (y1 + F.round(F.abs(at(4)) * 80).cast("int") + 6).alias("y2"),
         F.col("label").cast("string").alias("cls"), F.abs(at(5)).alias("conf"),
         F.when(F.col("vec_id") % 2 == 0, "static").otherwise("motion").alias("source"),
@@ -56,7 +56,7 @@ def boxes(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 BOXES = """
-boxes0 as (select 'v' as video, vec_id % 20 as frame, vec_id as det, round((embedding[2]::double + 1) * 100)::int as x1,
+boxes0 as (select concat('v', vec_id // 250) as video, vec_id % 10 as frame, vec_id as det, round((embedding[2]::double + 1) * 100)::int as x1,
   round((embedding[3]::double + 1) * 100)::int as y1, round(abs(embedding[4]::double) * 80)::int + 6 as w, round(abs(embedding[5]::double) * 80)::int + 6 as h,
   label::varchar as cls, abs(embedding[6]::double) as conf, case when vec_id % 2 = 0 then 'static' else 'motion' end as source from embeddings),
 boxes as (select video, frame, det, x1, y1, x1 + w as x2, y1 + h as y2, cls, conf, source from boxes0)"""

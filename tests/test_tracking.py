@@ -160,9 +160,9 @@ def test_merge_equals_model(spark, mode):
     boxes = V.boxes(spark, SF)
     by = {}
     for r in boxes.collect():
-        by.setdefault(r["frame"], []).append(r.asDict())
-    want = sorted((f, *m["box"], m["cls"], m["source"], m["other"]) for f, rows in by.items() for m in python_merge(rows, mode, 12.0, 0.6))
-    got = geometry.merge(boxes, mode, 12.0, 0.6).select("frame", "x1", "y1", "x2", "y2", "cls", "source", "combined_cls").collect()
+        by.setdefault((r["video"], r["frame"]), []).append(r.asDict())
+    want = sorted((*f, *m["box"], m["cls"], m["source"], m["other"]) for f, rows in by.items() for m in python_merge(rows, mode, 12.0, 0.6))
+    got = geometry.merge(boxes, mode, 12.0, 0.6).select("video", "frame", "x1", "y1", "x2", "y2", "cls", "source", "combined_cls").collect()
     assert sorted(map(tuple, got)) == want
 
 
