@@ -368,13 +368,13 @@ def near_duplicates(
 ) -> DataFrame:
     """One row per document: id, n_shingles, component_id, kept."""
     own = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
-    made = stored(sketch(own, "id", "text", width, percent))
-    some = made.filter("n_shingles > 0")
+    wide = stored(sketch(own, "id", "text", width, percent))
     signature = ["n_shingles", "sig_a", "sig_b"]
-    reps = checkpointed(
-        some.filter("id is not null").groupBy(*signature).agg(F.min("id").alias("id"), F.first("bands").alias("bands")),
-        WIDE,
-    )
+    reps = wide.filter("n_shingles > 0 and id is not null").groupBy(*signature)
+    reps = checkpointed(reps.agg(F.min("id").alias("id"), F.first("bands").alias("bands")), WIDE)
+    made = checkpointed(wide.select("id", *signature), WIDE)
+    wide.unpersist()
+    some = made.filter("n_shingles > 0")
     found = components(links(reps.select("id", "bands"), own, width, percent))
     classes = reps.join(found, "id", "left").select(*signature, F.coalesce("component", "id").alias("component"))
     out = (
