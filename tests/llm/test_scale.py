@@ -135,6 +135,33 @@ def test_models_do_not_outlive_their_query(spark):
     assert "name" in kinds(yes) and "name" not in kinds(no)
 
 
+# 8 URLs
+
+#: URLs by hand: shops, gambling and link farms against libraries, schools, news and documentation.
+BLOCK = """http://casino-royal.biz/slots/free http://bet365win.top/odds/today http://cheap-pills.shop/buy/viagra http://win-jackpot.club/spin http://free-casino.top/bonus
+http://buy-followers.biz/cheap http://loans-fast.top/apply/now http://xxx-cams.club/live http://poker-win.biz/bonus/free http://replica-watches.shop/buy/cheap
+http://online-pills.biz/order/now http://slots-bonus.club/spin/win http://seo-links.top/buy/links http://payday-loans.biz/fast/cash http://cheap-replica.shop/sale
+http://jackpot-slots.top/play/now http://hot-cams.club/free http://casino-bonus.shop/win http://fast-cash.top/loans/apply http://buy-links.biz/seo/cheap
+http://betting-odds.club/win/now http://free-spins.top/casino http://pills-online.shop/cheap/order http://win-poker.club/play/bonus""".split()
+ALLOW = """http://library.university.edu/catalog/books http://museum.city.gov/exhibits/history http://news.daily.org/world/politics http://docs.python.dev/tutorial/classes http://school.district.edu/calendar
+http://archive.national.gov/records/1900 http://wiki.science.org/physics/optics http://journal.medicine.edu/articles/heart http://weather.service.gov/forecast/north http://docs.library.org/api/reference
+http://city.council.gov/meetings/minutes http://university.edu/courses/biology http://history.museum.org/collections/maps http://science.news.org/space/mars http://public.radio.org/programs/morning
+http://national.park.gov/trails/maps http://school.edu/students/library http://encyclopedia.org/history/rome http://research.institute.edu/papers/climate http://health.ministry.gov/vaccines
+http://tutorial.dev/python/lists http://catalog.museum.org/paintings http://journal.science.edu/articles/cells http://daily.news.org/science/climate""".split()
+
+
+def test_op8_verdicts_on_urls_by_hand(spark):
+    """Three folds, each judged by a model of the other two."""
+    rows = [(u, v) for group, v in ((BLOCK, "block"), (ALLOW, "allow")) for u in group]
+    right = 0
+    for fold in range(3):
+        known = spark.createDataFrame([r for i, r in enumerate(rows) if i % 3 != fold], "url string, label string")
+        asked = spark.createDataFrame([(i, r[0]) for i, r in enumerate(rows) if i % 3 == fold], "page_id long, url string")
+        right += sum(r["verdict"] == rows[r["page_id"]][1] for r in urls.judge(asked, [], labels=known).collect())
+    print("op8 by hand:", right, "of", len(rows))
+    assert right >= 0.9 * len(rows)
+
+
 # 3 language
 
 
