@@ -463,7 +463,7 @@ def conversation_role_transitions(s, d):
 def track_objects(s, d):
     """Identities of the merged detections; every sampled frame counts, also without detections."""
     here = geometry.merge(V.boxes(s, d), "confidence", 12.0, 0.6).select("video", "frame", "det", X.centroid(F.col("x1"), F.col("x2")).alias("x"), X.centroid(F.col("y1"), F.col("y2")).alias("y"))
-    frames = V.boxes(s, d).select("video").distinct().select("video", F.explode(F.sequence(F.lit(0), F.lit(12))).cast("bigint").alias("frame"))
+    frames = V.boxes(s, d).select("video").distinct().select("video", F.explode(F.expr("sequence(0L, 12L)")).alias("frame"))
     return tracking.track(tracking.with_frame_axis(here, frames), gate=15.0)
 
 

@@ -188,3 +188,28 @@ def test_detector_and_routing(spark):
     assert detect.classify(found, model, route).first()["secondary_class"] == "big"
     none = detect.secondary_route(F.col("source"), F.col("cls"), ["spot"], [], ["spot"])
     assert detect.classify(found, model, none).first()["secondary_class"] == "spot"
+
+
+def test_track_objects_equals_model(spark):
+    """The registered query against merging and tracking in plain Python, video by video."""
+    from ethospark.plans.queries import QUERIES
+
+    by = {}
+    for r in V.boxes(spark, SF).collect():
+        by.setdefault(r["video"], {}).setdefault(r["frame"], []).append(r.asDict())
+    want = []
+    for v, seen in by.items():
+        t = tracking.Tracker(15.0)
+        for f in range(13):
+            points = [((m["box"][0] + m["box"][2]) // 2, (m["box"][1] + m["box"][3]) // 2) for m in python_merge(seen.get(f, []), "confidence", 12.0, 0.6)]
+            want += [(v, f, c, i) for c, i, *_ in t.rows(points)]
+    got = QUERIES["track_objects"](spark, SF).select("video", "frame", "det", "track_id").collect()
+    assert len(by) > 1 and sorted(map(tuple, got)) == sorted(want)
+
+
+def test_queries_without_sql_run(spark):
+    from ethospark.plans.queries import QUERIES
+    from ethospark.plans.sql import SQL
+
+    for name in set(QUERIES) - set(SQL):
+        assert QUERIES[name](spark, SF).count() > 0
