@@ -292,27 +292,29 @@ def fit(rows: list[tuple[str, str]], seed: int = 3) -> Field:
     n = len(flat)
     values = [np.zeros((FEATURES, n_labels)), np.zeros((n_labels, n_labels)), np.zeros(n_labels)]
     first, second = [np.zeros_like(v) for v in values], [np.zeros_like(v) for v in values]
-    one_hot = np.eye(n_labels)[y]
+    by_place = token.reshape(n_seq, SEQUENCE).T
+    token = by_place.ravel()
+    one_hot = np.eye(n_labels)[y.T]
     pairs = np.zeros((n_labels, n_labels))
     np.add.at(pairs, (y[:, :-1].ravel(), y[:, 1:].ravel()), 1.0)
     for step in range(1, STEPS + 1):
         weight, trans, start = values
         per_type = np.stack([np.bincount(owner, weight[feature, k], len(types)) for k in range(n_labels)], 1)
-        e = per_type[token].reshape(n_seq, SEQUENCE, n_labels)
+        e = per_type[by_place]  # (place, sequence, label)
         x, t = np.exp(e - e.max(2, keepdims=True)), np.exp(trans)
         alpha, beta = np.empty_like(x), np.ones_like(x)
-        v = np.exp(start) * x[:, 0]
+        v = np.exp(start) * x[0]
         for k in range(SEQUENCE):
-            v = (v if k == 0 else (v @ t) * x[:, k])
+            v = v if k == 0 else (v @ t) * x[k]
             v = v / v.sum(1, keepdims=True)
-            alpha[:, k] = v
+            alpha[k] = v
         expected = np.zeros_like(pairs)
         for k in range(SEQUENCE - 2, -1, -1):
-            ahead = x[:, k + 1] * beta[:, k + 1]
-            joint = alpha[:, k, :, None] * t * ahead[:, None, :]
-            expected += (joint / joint.sum((1, 2), keepdims=True)).sum(0)
-            beta[:, k] = ahead @ t.T
-            beta[:, k] /= beta[:, k].sum(1, keepdims=True)
+            ahead = x[k + 1] * beta[k + 1]
+            whole = ((alpha[k] @ t) * ahead).sum(1, keepdims=True)
+            expected += t * ((alpha[k] / whole).T @ ahead)
+            beta[k] = ahead @ t.T
+            beta[k] /= beta[k].sum(1, keepdims=True)
         gamma = alpha * beta
         gamma /= gamma.sum(2, keepdims=True)
         wrong = (gamma - one_hot).reshape(n, n_labels)
@@ -320,7 +322,7 @@ def fit(rows: list[tuple[str, str]], seed: int = 3) -> Field:
         gradients = [
             np.stack([np.bincount(feature, by_type[owner, k], FEATURES) for k in range(n_labels)], 1) / n + 1e-6 * weight,
             (expected - pairs) / n + 1e-5 * trans,
-            (gamma[:, 0] - one_hot[:, 0]).sum(0) / n,
+            (gamma[0] - one_hot[0]).sum(0) / n,
         ]
         for v, g, m, s in zip(values, gradients, first, second):
             m += 0.1 * (g - m)
