@@ -651,6 +651,27 @@ def test_op10_equals_brute_on_large_groups(spark, monkeypatch, seed):
     assert all(x["kept"] == (x["doc_id"] == x["component_id"]) for x in got)
 
 
+def test_op10_levels_are_few(spark, monkeypatch):
+    """Many hubs, each with members on both sides of the threshold: buckets of differences end after a few levels."""
+    monkeypatch.setattr(dedup, "COMPARISONS", 40)
+    monkeypatch.setattr(dedup, "PLACED", 40)
+    r = random.Random(12)
+    word = lambda: "".join(r.choice("abcdefghij") for _ in range(6))
+    rows = []
+    for _ in range(40):
+        base = [word() for _ in range(80)]
+        for _ in range(30):
+            made = base[:]
+            for _ in range(r.randint(0, 6)):
+                made[r.randrange(80)] = word()
+            rows.append((len(rows), " ".join(made)))
+    levels, compare = [], dedup.compare
+    monkeypatch.setattr(dedup, "compare", lambda *a, **k: levels.append(1) or compare(*a, **k))
+    got = dedup.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    print("op10 levels:", len(levels))
+    assert len(got) == len(rows) and len(levels) <= 8
+
+
 def test_op10_difference_keys_meet():
     """Linked sets of which one is not linked to the hub share a key, whatever the order's late elements."""
     r, hits = random.Random(4), 0
