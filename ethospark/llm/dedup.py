@@ -372,7 +372,7 @@ def near_duplicates(
     signature = ["n_shingles", "sig_a", "sig_b"]
     reps = wide.filter("n_shingles > 0 and id is not null").groupBy(*signature)
     reps = checkpointed(reps.agg(F.min("id").alias("id"), F.first("bands").alias("bands")), WIDE)
-    made = checkpointed(wide.select("id", *signature), WIDE)
+    made = checkpointed(wide.select("id", *signature))
     wide.unpersist()
     some = made.filter("n_shingles > 0")
     found = components(links(reps.select("id", "bands"), own, width, percent))
