@@ -196,13 +196,13 @@ def unannotated_pool(s, d):
 
 @query
 def annotated_frames_map(s, d):
-    items = V.table(s, d, "labels").select(F.concat(F.lit("clip_"), (F.col("doc_id") % 13).cast("string"), F.lit("_"), F.when(F.col("doc_id") % 11 == 0, "x").otherwise(F.col("doc_id").cast("string"))).alias("basename"))
+    items = V.table(s, d, "labels").select(F.concat(F.lit("clip_"), F.expr("doc_id div 50").cast("string"), F.lit("_"), F.when(F.col("doc_id") % 11 == 0, "x").otherwise(F.col("doc_id").cast("string"))).alias("basename"))
     return dataset.annotated_map(items).select("label", F.size("frames").cast("bigint").alias("n"), F.array_join(F.transform("frames", lambda x: x.cast("string")), ",").alias("frames"))
 
 
 @query
 def next_annotated_wrap(s, d):
-    frames = V.table(s, d, "labels").select(F.concat(F.lit("clip_"), (F.col("doc_id") % 13).cast("string")).alias("label"), F.col("doc_id").alias("frame"))
+    frames = V.table(s, d, "labels").select(F.concat(F.lit("clip_"), F.expr("doc_id div 50").cast("string")).alias("label"), F.col("doc_id").alias("frame"))
     return dataset.neighbours_with_wrap(frames)
 
 

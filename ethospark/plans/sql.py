@@ -116,8 +116,8 @@ l as (select video, frame, unnest(arg_max(kept, i)) as k from r group by 1, 2) s
     "canvas_transform": f"with {BOXES} select det, greatest(0, least(trunc(x1 / 1.5::double)::int, 69)) as vx, trunc(x1 * 1.5::double)::int as cx, round_even(det / 500 * 333, 0)::bigint as tick, 100 * 2 * det / 1000 as percent from boxes",
     "frame_pool": f"with {ORDER_VIDEOS} select video, frame from pool",
     "unannotated_pool": f"with {ORDER_VIDEOS} select video, frame from pool where not exists (select 1 from labels where concat('v', doc_id) = pool.video and doc_id % 30 = pool.frame)",
-    "annotated_frames_map": "with k as (select concat('clip_', doc_id % 13) as label, doc_id as frame from labels where doc_id % 11 <> 0) select label, count(distinct frame) as n, array_to_string(list_sort(list(distinct frame)), ',') as frames from k group by 1",
-    "next_annotated_wrap": "with k as (select distinct concat('clip_', doc_id % 13) as label, doc_id as frame from labels) select label, frame, coalesce(lead(frame) over w, min(frame) over (partition by label)) as next_frame, coalesce(lag(frame) over w, max(frame) over (partition by label)) as previous_frame from k window w as (partition by label order by frame)",
+    "annotated_frames_map": "with k as (select concat('clip_', doc_id // 50) as label, doc_id as frame from labels where doc_id % 11 <> 0) select label, count(distinct frame) as n, array_to_string(list_sort(list(distinct frame)), ',') as frames from k group by 1",
+    "next_annotated_wrap": "with k as (select distinct concat('clip_', doc_id // 50) as label, doc_id as frame from labels) select label, frame, coalesce(lead(frame) over w, min(frame) over (partition by label)) as next_frame, coalesce(lag(frame) over w, max(frame) over (partition by label)) as previous_frame from k window w as (partition by label order by frame)",
     "basename_parse": "select p_partkey, case when p_partkey % 7 <> 0 then replace(p_name, ' ', '_') end as label, case when p_partkey % 7 <> 0 then p_size::bigint else -1 end as frame from part",
     "crop_name_parse": "with n as (select p_partkey, concat('a_b', p_partkey % 3, '_', p_partkey, '_', p_partkey % 19 - 4, case when p_partkey % 5 = 0 then '' else concat('_', p_partkey % 23) end) as s from part), r as (select p_partkey, regexp_extract(s, '^(.+)_([0-9]+)_(-?[0-9]+)_(-?[0-9]+)$', ['label', 'f', 'x', 'y']) as g from n) select p_partkey, nullif(g.label, '') as label, coalesce(nullif(g.f, '')::bigint, -99) as frame, coalesce(nullif(g.x, '')::bigint, -99) as x1, coalesce(nullif(g.y, '')::bigint, -99) as y1 from r",
     "crop_link_tolerance": f"""with {BOXES}, c as (select det * 2 + 1 as crop, video, frame, (x1 + det % 5 - 2)::int as x1, (y1 + det % 7 - 3)::int as y1, concat('s', det) as secondary from boxes),

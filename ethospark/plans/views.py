@@ -63,21 +63,21 @@ boxes as (select video, frame, det, x1, y1, x1 + w as x2, y1 + h as y2, cls, con
 
 
 def grey(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Frames from embeddings: 8 x 8 grey images, a video per label."""
+    """Frames from embeddings: 8 x 8 grey images, fifty to a video."""
     e = table(spark, sf_dir, "embeddings")
     px = F.transform("embedding", lambda v: F.greatest(F.lit(0), F.least(F.lit(255), F.rint((v.cast("double") + 1) * 127.5).cast("int"))))
-    return e.select(F.col("label").alias("video"), F.col("vec_id").alias("frame"), px.alias("px"))
+    return e.select(F.expr("vec_id div 50").alias("video"), F.col("vec_id").alias("frame"), px.alias("px"))
 
 
 GREY = """
-grey as (select label as video, vec_id as frame, list_transform(embedding, lambda v: greatest(0, least(255, round_even((v::double + 1) * 127.5, 0)::int))) as px from embeddings)"""
+grey as (select vec_id // 50 as video, vec_id as frame, list_transform(embedding, lambda v: greatest(0, least(255, round_even((v::double + 1) * 127.5, 0)::int))) as px from embeddings)"""
 
 
 def labels(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Label lines from embeddings: normalised boxes of 40 basenames, a third of them augmented."""
+    """Label lines from embeddings: twelve normalised boxes to a basename, a third of them augmented, five basenames to a clip."""
     e = table(spark, sf_dir, "embeddings")
     at = lambda i: F.round(F.abs(F.element_at("embedding", i).cast("double")), 6)
-    base = F.concat(F.lit("clip"), (F.col("vec_id") % 5).cast("string"), F.lit("_"), (F.col("vec_id") % 40).cast("string"))
+    base = F.concat(F.lit("clip"), F.expr("vec_id div 60").cast("string"), F.lit("_"), F.expr("vec_id div 12").cast("string"))
     name = F.when(F.col("vec_id") % 3 == 0, F.concat(base, F.lit("_aug_flip_h"), F.when(F.col("vec_id") % 2 == 0, "_0").otherwise(""))).otherwise(base)
     return e.select(
         F.when(F.col("vec_id") % 2 == 0, "static").otherwise("motion").alias("stream"), F.when(F.col("vec_id") % 5 == 0, "val").otherwise("train").alias("split"),
@@ -87,7 +87,7 @@ def labels(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 LABELS = """
-labels0 as (select *, concat('clip', vec_id % 5, '_', vec_id % 40) as base from embeddings),
+labels0 as (select *, concat('clip', vec_id // 60, '_', vec_id // 12) as base from embeddings),
 labels1 as (select case when vec_id % 2 = 0 then 'static' else 'motion' end as stream, case when vec_id % 5 = 0 then 'val' else 'train' end as split,
   case when vec_id % 3 = 0 then concat(base, '_aug_flip_h', case when vec_id % 2 = 0 then '_0' else '' end) else base end as basename, vec_id as line_no, label as cls,
   round(abs(embedding[1]::double), 6) as xc, round(abs(embedding[2]::double), 6) as yc, round(abs(embedding[3]::double), 6) as bw, round(abs(embedding[4]::double), 6) as bh from labels0)"""

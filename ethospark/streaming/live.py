@@ -68,8 +68,11 @@ def budget_per_bin(rows: DataFrame, width: str = "1 minute", late: str = "10 sec
 
 
 def with_classes(detections: DataFrame, classes: DataFrame, on: str = "cls") -> DataFrame:
-    """A stream of detections with the columns of a class table, one row a class; other classes get nulls."""
-    return detections.join(F.broadcast(classes.dropDuplicates([on])), on, "left")
+    """A stream of detections with the columns of a class table, one row a class; other classes get nulls.
+
+    Spark sends the class table if its size allows, else it deals both sides by class.
+    """
+    return detections.join(classes.dropDuplicates([on]), on, "left")
 
 
 def gated(rows: DataFrame, control: DataFrame) -> DataFrame:
