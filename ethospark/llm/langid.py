@@ -290,45 +290,47 @@ def fit(rows: list[tuple[str, str]], seed: int = 3) -> Field:
     spelt = np.array(list(map(has_letter, types)))[owner]
     feature, owner = feature[spelt], owner[spelt]
     n = len(flat)
-    values = [np.zeros((FEATURES, n_labels)), np.zeros((n_labels, n_labels)), np.zeros(n_labels)]
+    # labels come first in every array, so that the sums over them run along whole rows
+    values = [np.zeros((n_labels, FEATURES)), np.zeros((n_labels, n_labels)), np.zeros((n_labels, 1))]
     first, second = [np.zeros_like(v) for v in values], [np.zeros_like(v) for v in values]
     by_place = token.reshape(n_seq, SEQUENCE).T
     token = by_place.ravel()
-    one_hot = np.eye(n_labels)[y.T]
+    one_hot = np.eye(n_labels)[:, y.T].transpose(1, 0, 2)
     pairs = np.zeros((n_labels, n_labels))
     np.add.at(pairs, (y[:, :-1].ravel(), y[:, 1:].ravel()), 1.0)
     for step in range(1, STEPS + 1):
         weight, trans, start = values
-        per_type = np.stack([np.bincount(owner, weight[feature, k], len(types)) for k in range(n_labels)], 1)
-        e = per_type[by_place]  # (place, sequence, label)
-        x, t = np.exp(e - e.max(2, keepdims=True)), np.exp(trans)
+        per_type = np.stack([np.bincount(owner, w[feature], len(types)) for w in weight])
+        x = np.exp(per_type - per_type.max(0))[:, by_place].transpose(1, 0, 2)  # (place, label, sequence)
+        t = np.exp(trans)
         alpha, beta = np.empty_like(x), np.ones_like(x)
         v = np.exp(start) * x[0]
         for k in range(SEQUENCE):
-            v = v if k == 0 else (v @ t) * x[k]
-            v = v / v.sum(1, keepdims=True)
+            v = v if k == 0 else (t.T @ v) * x[k]
+            v = v / v.sum(0)
             alpha[k] = v
         expected = np.zeros_like(pairs)
         for k in range(SEQUENCE - 2, -1, -1):
             ahead = x[k + 1] * beta[k + 1]
-            whole = ((alpha[k] @ t) * ahead).sum(1, keepdims=True)
-            expected += t * ((alpha[k] / whole).T @ ahead)
-            beta[k] = ahead @ t.T
-            beta[k] /= beta[k].sum(1, keepdims=True)
+            whole = ((t.T @ alpha[k]) * ahead).sum(0)
+            expected += t * ((alpha[k] / whole) @ ahead.T)
+            beta[k] = t @ ahead
+            beta[k] /= beta[k].sum(0)
         gamma = alpha * beta
-        gamma /= gamma.sum(2, keepdims=True)
-        wrong = (gamma - one_hot).reshape(n, n_labels)
-        by_type = np.stack([np.bincount(token, wrong[:, k], len(types)) for k in range(n_labels)], 1)
+        gamma /= gamma.sum(1, keepdims=True)
+        wrong = (gamma - one_hot).transpose(1, 0, 2).reshape(n_labels, n)
+        by_type = [np.bincount(token, w, len(types)) for w in wrong]
         gradients = [
-            np.stack([np.bincount(feature, by_type[owner, k], FEATURES) for k in range(n_labels)], 1) / n + 1e-6 * weight,
+            np.stack([np.bincount(feature, w[owner], FEATURES) for w in by_type]) / n + 1e-6 * weight,
             (expected - pairs) / n + 1e-5 * trans,
-            (gamma[0] - one_hot[0]).sum(0) / n,
+            wrong[:, :n_seq].sum(1, keepdims=True) / n,
         ]
         for v, g, m, s in zip(values, gradients, first, second):
             m += 0.1 * (g - m)
             s += 0.01 * (g * g - s)
             v -= 0.1 * (m / (1 - 0.9**step)) / (np.sqrt(s / (1 - 0.99**step)) + 1e-8)
-    return Field(labels, *values, lexicon)
+    weight, trans, start = values
+    return Field(labels, np.ascontiguousarray(weight.T), trans, start[:, 0], lexicon)
 
 
 def sample(docs: DataFrame, id_col: str, text_col: str, lang_col: str, per_lang: int) -> list[tuple[str, str]]:
