@@ -9,7 +9,8 @@ Batches take ``budget`` tokens: a bucket of boundary b fills batches of max(1, b
 id and length are counted first and get neighbouring places. Those groups are dealt to ``SHARDS`` shards by a hash of id and
 length and ordered within them; a place is the sum of what is before in the shard plus the sizes of the shards before.
 So a length that many documents share is spread, only the table of shard sizes is gathered, and the result depends
-neither on the order nor on the partitions of the input.
+neither on the order nor on the partitions of the input. The places of a row that repeats more than ``RUN`` times are made
+in runs of that many, which are dealt to all tasks, so such a row is no task's burden either.
 
 Defined results: a null or blank text has length 0 and is packed in the first bucket; repeated rows take places of
 their own; with fewer lengths than buckets each length is a bucket; a document longer than the budget is a batch by
@@ -24,9 +25,11 @@ from collections import deque
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import checkpointed, words
+from .common import checkpointed, partitions, words
 
 BUCKETS, BUDGET, SHARDS = 12, 16_384, 4096
+#: Places of equal rows that are made at once.
+RUN = 100_000
 
 
 def optimal_boundaries(histogram: list[tuple[int, int]], buckets: int) -> list[int]:
@@ -93,7 +96,7 @@ def pack(
     n = F.size(words(text_col)) if length is None else length
     sized = docs.select(F.col(id_col).alias("id"), F.greatest(F.coalesce(n, F.lit(0)), F.lit(0)).cast("bigint").alias("n_tokens"))
     sized = checkpointed(sized.groupBy("id", "n_tokens").agg(F.count("*").alias("n")))
-    histogram = sized.groupBy("n_tokens").agg(F.sum("n")).collect()  # grows with the corpus's root at most
+    histogram = sized.groupBy("n_tokens").agg(F.sum("n"), F.max("n")).collect()  # grows with the corpus's root at most
     ends = optimal_boundaries([(r[0], r[1]) for r in histogram], buckets) or [0]
     bucket = F.lit(len(ends) - 1)
     for i in reversed(range(len(ends) - 1)):
@@ -109,10 +112,16 @@ def pack(
     inside = F.sum("n").over(earlier(Window.partitionBy("bucket", "shard").orderBy("id", "n_tokens")))
     ranked = dealt.withColumn("inside", inside).join(F.broadcast(before), ["bucket", "shard"])
     first = F.coalesce("before", F.lit(0)) + F.coalesce("inside", F.lit(0))
+    runs = F.transform(
+        F.sequence(F.lit(0).cast("bigint"), F.floor((F.col("n") - 1) / RUN)),
+        lambda k: F.struct((first + k * RUN).alias("start"), F.least(F.col("n") - k * RUN, F.lit(RUN)).alias("n")),
+    )
+    ranked = ranked.withColumn("boundary", boundary).withColumn("run", F.explode(runs))
+    if max((r[2] for r in histogram), default=0) > RUN:
+        ranked = ranked.repartition(partitions(docs.sparkSession), "id", "n_tokens", "run.start")
     capacity = F.greatest(F.floor(F.lit(budget) / F.greatest(F.col("boundary"), F.lit(1))), F.lit(1))
     return (
-        ranked.withColumn("boundary", boundary)
-        .withColumn("rank", F.explode(F.sequence(first, first + F.col("n") - 1)))
+        ranked.withColumn("rank", F.explode(F.sequence(F.col("run.start"), F.col("run.start") + F.col("run.n") - 1)))
         .withColumn("batch", F.floor(F.col("rank") / capacity).cast("bigint"))
         .withColumn("slot", (F.col("rank") - F.col("batch") * capacity).cast("bigint"))
         .select(

@@ -455,6 +455,19 @@ def test_op7_is_exact_and_independent_of_layout(spark):
         assert sorted(map(tuple, packing.pack(rows.repartition(k), length=F.col("n")).collect())) == whole
 
 
+def test_op7_places_of_a_hot_row_are_spread(spark, monkeypatch):
+    """Runs of any size give the same places; those of one row come from several tasks."""
+    rows = spark.range(500).selectExpr("if(id < 300, 7, id) as doc_id", "if(id < 300, 9, id) as n", "'' as text")
+    whole = sorted(map(tuple, packing.pack(rows, length=F.col("n")).collect()))
+    for run in (1, 40, 299, 300):
+        monkeypatch.setattr(packing, "RUN", run)
+        made = packing.pack(rows, length=F.col("n"))
+        assert sorted(map(tuple, made.collect())) == whole
+    monkeypatch.setattr(packing, "RUN", 10)
+    hot = packing.pack(rows, length=F.col("n")).filter("doc_id = 7").groupBy(F.spark_partition_id()).count().collect()
+    assert len(hot) > 1 and sum(r["count"] for r in hot) == 300
+
+
 def test_op7_batches(spark, table):
     rows = queries.op7_length_buckets(spark, SF).collect()
     assert sorted(r["doc_id"] for r in rows) == [t[0] for t in table]
