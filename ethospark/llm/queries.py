@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, dedup, fingerprint, langid, lattice, packing, pii, quality, secrets, urls
+from . import bpe, dedup, fingerprint, langid, lattice, packing, pii, quality, secrets, substring, trie, urls, whiten
 from .common import span_digest, table
 
 
@@ -86,7 +86,20 @@ def op8_url_regression(spark: SparkSession, sf_dir: str) -> DataFrame:
     return urls.judge(table(spark, sf_dir, "pages"), URL_RULES)
 
 
-QUERIES = {"op7_length_buckets": op7_length_buckets, "op8_url_regression": op8_url_regression, "op5_weak_supervision": op5_weak_supervision, "op4_secret_network": op4_secret_network, "op3_crf_language": op3_crf_language, "op6_subword_lattice": op6_subword_lattice, "op1_order_min_hash": op1_order_min_hash, "op2_line_frequency": op2_line_frequency, "op10_min_max_dedup": op10_min_max_dedup, "op9_bpe_transducer": op9_bpe_transducer}
+def op11_covariance_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return whiten.whiten(table(spark, sf_dir, "embeddings"))
+
+
+def op12_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return trie.nodes(trie.rebuilt(table(spark, sf_dir, "conversations")))
+
+
+def op13_seed_extend(spark: SparkSession, sf_dir: str) -> DataFrame:
+    made = substring.repeats(table(spark, sf_dir, "documents"))
+    return made.select("doc_id", "n_words", "n_removed", F.sha2("kept", 256).alias("kept_sha256"))
+
+
+QUERIES = {"op7_length_buckets": op7_length_buckets, "op8_url_regression": op8_url_regression, "op5_weak_supervision": op5_weak_supervision, "op4_secret_network": op4_secret_network, "op3_crf_language": op3_crf_language, "op6_subword_lattice": op6_subword_lattice, "op1_order_min_hash": op1_order_min_hash, "op2_line_frequency": op2_line_frequency, "op10_min_max_dedup": op10_min_max_dedup, "op9_bpe_transducer": op9_bpe_transducer, "op11_covariance_whitening": op11_covariance_whitening, "op12_prefix_trie": op12_prefix_trie, "op13_seed_extend": op13_seed_extend}
 #: Words of a text as DuckDB has them.
 WORDS = r"list_filter(regexp_split_to_array({0}, '[\x20\x09-\x0D]+'), lambda w: w <> '')"
 LOWER = "translate(coalesce({0}, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"

@@ -1,0 +1,104 @@
+"""Repeated passages: against every window in plain Python, in both ways of finding seeds, and hand-made cases."""
+
+import hashlib
+import random
+from collections import defaultdict
+
+import pyarrow.parquet as pq
+import pytest
+
+from ethospark.llm import common, queries, substring
+
+SF = "/root/testdata/sf0.001"
+
+
+def slow(texts, window=35):
+    places = defaultdict(list)
+    split = [(t or "").encode().split() for t in texts]
+    for d, words in enumerate(split):
+        for i in range(len(words) - window + 1):
+            places[tuple(words[i : i + window])].append((d, i))
+    gone = [set() for _ in texts]
+    for found in places.values():
+        if len(found) > 1:
+            for d, i in found:
+                gone[d] |= set(range(i, i + window))
+    return [(len(w), len(g), b" ".join(x for i, x in enumerate(w) if i not in g)) for w, g in zip(split, gone)]
+
+
+def fast(spark, texts, **more):
+    rows = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    made = {r.doc_id: r for r in substring.repeats(rows, **more).collect()}
+    for r in made.values():
+        assert sum(x.end - x.start for x in r.repeats) == r.n_removed
+    return [(made[i].n_words, made[i].n_removed, bytes(made[i].kept)) for i in range(len(texts))]
+
+
+def passages(seed, n, vocabulary):
+    """Texts that share passages of many lengths, some beside each other, some in one text twice."""
+    r = random.Random(seed)
+    new = lambda k: [str(r.randrange(vocabulary)) for _ in range(k)]
+    shared = [new(k) for k in (8, 9, 12, 13, 20, 40)]
+    out = []
+    for _ in range(n):
+        parts = []
+        for _ in range(r.randint(0, 6)):
+            x = r.choice(shared)
+            a = r.randrange(len(x))
+            parts += r.choice([new(r.randint(0, 15)), x, x[a:], x[:a], x + x])
+        out.append(" ".join(parts))
+    return out + out[:3] + ["", None, " ".join(["a"] * 60), " ".join("ab" * 30)]
+
+
+@pytest.mark.parametrize("vocabulary", [2, 1000])
+@pytest.mark.parametrize("window, seed", [(9, 4), (9, 9), (12, 1)])
+def test_equals_every_window(spark, vocabulary, window, seed):
+    texts = passages(vocabulary, 60, vocabulary)
+    assert fast(spark, texts, window=window, seed=seed) == slow(texts, window)
+
+
+def test_seeds_that_are_not_sent_and_hot_ones(spark, monkeypatch):
+    texts = passages(5, 60, 50) + [" ".join(map(str, range(100, 140)))] * 40
+    monkeypatch.setattr(common, "SENT_BYTES", 400)
+    monkeypatch.setattr(common, "HOT_ROWS", 5)
+    assert fast(spark, texts, window=9, seed=4) == slow(texts, 9)
+
+
+def test_segments_of_a_long_text(spark, monkeypatch):
+    texts = passages(9, 40, 30) + [" ".join(passages(9, 40, 30)[i] or "" for i in range(40))]
+    monkeypatch.setattr(substring, "SEGMENT", 37)
+    for t in texts:
+        assert [w for part in substring.segments((t or "").encode()) for w in part] == (t or "").encode().split()
+    rows = [(p, r) for p, r in substring.runs_of(texts[-1].encode(), 9, 4)]
+    assert len(rows) > 10 and sum(len(r.start) for _, r in rows) > 10
+    found = [(p + s, 1) for p, r in rows for s in r.start]
+    n, removed, merged, kept = substring.without(texts[-1].encode(), found, 9)
+    assert n == len(texts[-1].split()) and n - removed == len(kept.split())
+
+
+def test_exact_boundaries(spark):
+    r = random.Random(3)
+    new = lambda k: [f"w{r.randrange(10**9)}" for _ in range(k)]
+    a, b = new(35), new(34)
+    texts = [" ".join(new(50) + a + new(7)), " ".join(a), " ".join(new(3) + b), " ".join(b + new(90)), " ".join(a[1:] + new(5))]
+    texts += ["\t".join(new(40))] * 3
+    made = fast(spark, texts)
+    assert [x[1] for x in made] == [35, 35, 0, 0, 0, 40, 40, 40]
+    assert made == slow(texts)
+
+
+def test_edges(spark, docs, none):
+    rows = {r.doc_id: r for r in substring.repeats(docs).collect()}
+    assert len(rows) == docs.count() - 1 and substring.repeats(none).count() == 0
+    texts = [r.text for r in docs.orderBy("doc_id").select("doc_id", "text").dropDuplicates(["doc_id"]).collect()]
+    for i, expected in enumerate(slow(texts)):
+        assert (rows[i].n_words, rows[i].n_removed, bytes(rows[i].kept)) == expected
+    with pytest.raises(ValueError):
+        substring.repeats(docs, window=5, seed=6)
+
+
+def test_query(spark):
+    t = pq.read_table(f"{SF}/documents.parquet").to_pydict()
+    made = {r.doc_id: (r.n_words, r.n_removed, r.kept_sha256) for r in queries.op13_seed_extend(spark, SF).collect()}
+    for i, (n, removed, kept) in zip(t["doc_id"], slow(t["text"])):
+        assert made[i] == (n, removed, hashlib.sha256(kept).hexdigest())
