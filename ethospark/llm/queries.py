@@ -137,4 +137,31 @@ m as (select doc_id, min(to_id) as m from r group by 1)
 select s.doc_id, len(s.s) as n_shingles, least(s.doc_id, coalesce(m.m, s.doc_id)) as component_id,
        s.doc_id = least(s.doc_id, coalesce(m.m, s.doc_id)) as kept
 from s left join m using (doc_id)""",
+    "op12_prefix_trie": rf"""
+with t as (select conv_id, coalesce(role, '') as role, coalesce(text, '') as text, turn from conversations where conv_id is not null),
+o as (select conv_id, list(struct_pack(r := role, t := text) order by turn nulls first, sha256(strlen(role) || ':' || role || text)) as own from t group by 1),
+h as (select conv_id, own, conv_id - conv_id % 20 as base, list_reduce(list_prepend(4294967295::bigint, list_transform(string_split(conv_id::varchar, ''), lambda c: ascii(c)::bigint)), lambda crc, byte:
+       list_reduce(list_prepend(xor(crc, byte), range(8)), lambda x, i: xor(x >> 1, (x & 1) * 3988292384))) as crc from o),
+hh as (select conv_id, own, base, xor(crc, 4294967295) % 4 as h from h),
+b as (select x.conv_id, list_concat(coalesce(y.own, [])[1:x.h], x.own[x.h + 1:]) as path from hh x left join hh y on y.conv_id = x.base),
+p as (select conv_id, unnest(range(0, len(path) + 1)) as depth, path from b),
+k as (select conv_id, depth, len(path) as length, md5(path[1:depth]::varchar) || depth as node, md5(path[1:depth - 1]::varchar) || (depth - 1) as above,
+       case when depth > 0 then len({WORDS.format("path[depth].t")}) else 0 end as words from p),
+n as (select node, any_value(above) as above, depth, min(conv_id) as conv_id, count(*) as n_convs, any_value(words) as words, list(conv_id order by conv_id) filter (length = depth) as ends from k group by node, depth),
+c as (select above, count(*) as n_children from n where depth > 0 group by 1),
+m as (select n.*, coalesce(c.n_children, 0) as n_children from n left join c on c.above = n.node),
+s as (select x.node, sum((m.n_convs - 1) * m.words) as saved_tokens, count(*) filter (m.n_children = 0) as n_leaves
+      from (select distinct u.node, v.node as low from k u join k v on u.conv_id = v.conv_id and u.depth <= v.depth) x join m on m.node = x.low group by 1)
+select m.conv_id, m.depth, q.conv_id as parent_conv_id, m.n_convs, m.n_children, s.n_leaves, s.saved_tokens::bigint as saved_tokens, sha256(coalesce(array_to_string(m.ends, ','), '')) as ends_sha256
+from m join s using (node) left join m q on q.node = m.above and m.depth > 0""",
+    "op13_seed_extend": rf"""
+with d as (select doc_id, {WORDS.format("coalesce(text, '')")} as w from documents),
+a as (select doc_id, w, unnest(range(1, len(w) - 33)) as i from d),
+k as (select doc_id, i, md5(array_to_string(w[i:i + 34], ' ')) as k from a),
+r as (select doc_id, i from k qualify count(*) over (partition by k) > 1),
+g as (select doc_id, list(i order by i) as starts from r group by 1),
+p as (select doc_id, unnest(w) as x, generate_subscripts(w, 1) as i from d),
+c as (select p.doc_id, p.i, x, max(r.i) over (partition by p.doc_id order by p.i rows between 34 preceding and current row) as s from p left join r on r.doc_id = p.doc_id and r.i = p.i),
+o as (select doc_id, count(s) as n_removed, string_agg(x, ' ' order by i) filter (s is null) as kept from c group by 1)
+select d.doc_id, len(w)::bigint as n_words, coalesce(n_removed, 0)::bigint as n_removed, sha256(coalesce(kept, '')) as kept_sha256 from d left join o using (doc_id)""",
 }
