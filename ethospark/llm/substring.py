@@ -216,7 +216,7 @@ def repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", win
     small = 8 * anchors.count() <= common.SENT_BYTES
     sent = None
     if small:
-        known = np.sort(anchors.select("anchor").toPandas()["anchor"].to_numpy(np.int64))
+        known = np.sort(anchors.select("anchor").toArrow().column(0).to_numpy())
         sent = own.sparkSession.sparkContext.broadcast(known)
     spans = spans_of(own, sent, window, seed)
     spans = spans if small else join_by_key(spans, anchors.withColumnRenamed("n", "size"), "anchor", "size").drop("size")
