@@ -24,37 +24,29 @@ id; a text under ``WINDOW`` words keeps all of them; an empty table gives an emp
 from __future__ import annotations
 
 import re
+from dataclasses import dataclass
 
 import numpy as np
+import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import common
-from .common import arrow_map, checkpointed, join_by_key
+from .common import arrow_map, checkpointed, join_by_key, small_batches
 from .dedup import mixed
 
 WINDOW, SEED = 35, 12
 #: Bytes of a text that become words at a time.
 SEGMENT = 4 << 20
+#: Words of texts that are worked on at a time, about, and texts of a batch that become Python objects at a time.
+CHUNK, ROWS = 1 << 15, 1000
+SPAN = ["s1", "s2"]
 _SPACE = re.compile(rb"[\x20\x09-\x0D]")
 _BASE = 0x9E3779B97F4A7C15
 _OTHER = np.uint64(0xC2B2AE3D27D4EB4F)
 
 
-class _Ids(dict):
-    """Hashes of words, kept for the first quarter of a million different ones."""
-
-    def __missing__(self, word: bytes) -> int:
-        made = xxhash.xxh3_64_intdigest(word)
-        if len(self) < 1 << 18:
-            self[word] = made
-        return made
-
-
-_IDS = _Ids()
-
-
 def segments(text: bytes | None):
     """Lists of words that together are the text's words."""
     text, at = text or b"", 0
@@ -67,14 +59,43 @@ def segments(text: bytes | None):
         at = end
 
 
-def overlapping(text: bytes | None, extra: int):
-    """(place of the first word, hashes of words); each part begins with the last ``extra`` words of the one before."""
-    place, rest = 0, np.empty(0, np.uint64)
-    for words in segments(text):
-        ids = np.concatenate([rest, np.fromiter(map(_IDS.__getitem__, words), np.uint64, len(words))])
-        yield place, ids
-        keep = min(extra, len(ids))
-        place, rest = place + len(ids) - keep, ids[len(ids) - keep :]
+def word_ids(words: list[bytes]) -> np.ndarray:
+    return np.fromiter(map(xxhash.xxh3_64_intdigest, words), np.uint64, len(words))
+
+
+@dataclass
+class Chunk:
+    """Words of several texts one after the other: hashes, and for each piece of a text its row, how many words it has, and the
+    place of its first word in the text."""
+
+    ids: np.ndarray
+    rows: np.ndarray
+    sizes: np.ndarray
+    places: np.ndarray
+
+
+def chunks(column, extra: int):
+    """The words of texts in chunks of ``CHUNK`` words or so; a piece of a long text begins with the last ``extra`` words of the one before."""
+    ids, rows, sizes, places = [], [], [], []
+
+    def made():
+        return Chunk(np.concatenate(ids), np.array(rows), np.array(sizes), np.array(places))
+
+    for row, text in enumerate(column):
+        place, rest = 0, np.empty(0, np.uint64)
+        for words in segments(text):
+            own = np.concatenate([rest, word_ids(words)]) if len(rest) else word_ids(words)
+            ids.append(own)
+            rows.append(row)
+            sizes.append(len(own))
+            places.append(place)
+            keep = min(extra, len(own))
+            place, rest = place + len(own) - keep, own[len(own) - keep :]
+            if sum(sizes) >= CHUNK:
+                yield made()
+                ids, rows, sizes, places = [], [], [], []
+    if ids:
+        yield made()
 
 
 _POWERS: list[np.ndarray] = [np.ones(1, np.uint64), np.ones(1, np.uint64)]
@@ -103,107 +124,132 @@ class Rolling:
 
 
 class Runs:
-    """The anchors of consecutive words, each with its run of windows."""
-
-    def __init__(self, ids: np.ndarray, window: int, seed: int):
-        reach, n = window - seed + 1, max(0, len(ids) - window + 1)
-        with np.errstate(over="ignore"):
-            self.window, self.ids, self.rolling = window, mixed(ids), Rolling(mixed(ids))
-            if not n:
-                self.anchor, self.start, self.end, self.at = np.empty((4, 0), np.int64)
-                return
-            place = np.arange(len(ids) - seed + 1)
-            gram = self.rolling.of(place, place + seed)
-            # the least hash first, of equal ones the leftmost
-            least, size = (gram >> np.uint64(32) << np.uint64(32)) | place.astype(np.uint64), 1
-            while 2 * size <= reach:
-                least, size = np.minimum(least[:-size], least[size:]), 2 * size
-            least = np.minimum(least[:n], least[reach - size : reach - size + n])
-            at = (least & np.uint64(0xFFFFFFFF)).astype(np.int64)
-            cut = np.flatnonzero(np.diff(at)) + 1
-            self.start, self.end = np.concatenate([[0], cut]), np.concatenate([cut, [n]])
-            self.at = at[self.start]
-            self.anchor = gram[self.at].astype(np.int64)
-
-    def only(self, wanted: np.ndarray | None) -> Runs:
-        """Those whose anchor is in the sorted array."""
-        if wanted is not None and len(self.anchor):
+    """The anchors of the texts in a chunk, each with its run of windows: the anchor's hash and place, the run's first and last window
+    (not included) in the chunk."""
+
+    def __init__(self, chunk: Chunk, window: int, seed: int, wanted: np.ndarray | None = None):
+        """``wanted``: a sorted array of the anchors that count; all if there is none."""
+        ids, reach, n = chunk.ids, window - seed + 1, max(0, len(chunk.ids) - window + 1)
+        self.chunk, self.window, self.ids = chunk, window, mixed(ids)
+        self.rolling = Rolling(self.ids)
+        self.anchor, self.start, self.end, self.at = np.empty((4, 0), np.int64)
+        if not n:
+            return
+        place = np.arange(len(ids) - seed + 1)
+        gram = self.rolling.of(place, place + seed)
+        # the least hash first, of equal ones the leftmost
+        least, size = (gram >> np.uint64(32) << np.uint64(32)) | place.astype(np.uint64), 1
+        while 2 * size <= reach:
+            least, size = np.minimum(least[:-size], least[size:]), 2 * size
+        least = np.minimum(least[:n], least[reach - size : reach - size + n])
+        ends = np.repeat(np.cumsum(chunk.sizes), chunk.sizes)
+        whole = np.flatnonzero(np.arange(n) + window <= ends[:n])  # windows that lie in one text
+        if not len(whole):
+            return
+        at = (least[whole] & np.uint64(0xFFFFFFFF)).astype(np.int64)
+        cut = np.flatnonzero((np.diff(at) != 0) | (np.diff(whole) != 1)) + 1
+        first, last = np.concatenate([[0], cut]), np.concatenate([cut, [len(whole)]]) - 1
+        self.start, self.end, self.at = whole[first], whole[last] + 1, at[first]
+        self.anchor = gram[self.at].astype(np.int64)
+        if wanted is not None:
             here = np.searchsorted(wanted, self.anchor)
             here = wanted[np.minimum(here, len(wanted) - 1)] == self.anchor if len(wanted) else np.zeros(len(here), bool)
             self.anchor, self.start, self.end, self.at = self.anchor[here], self.start[here], self.end[here], self.at[here]
-        return self
-
-    def spans(self) -> list[bytes]:
-        """What a run holds, and where its anchor is in it."""
-        if not len(self.start):
-            return []
-        with np.errstate(over="ignore"):
-            shape = mixed(((self.end - self.start) * 4096 + self.at - self.start).astype(np.uint64))
-            last = self.end + self.window - 1
-            both = [r.of(self.start, last) + shape for r in (self.rolling, Rolling(mixed(self.ids ^ _OTHER)))]
-            raw = np.stack([mixed(x) for x in both], 1).tobytes()
-        return [raw[i : i + 16] for i in range(0, len(raw), 16)]
-
-    def windows(self) -> list[np.ndarray]:
-        """A hash for each window of each run, of its words and its anchor's place in it."""
-        out = []
-        with np.errstate(over="ignore"):
-            for start, end, at in zip(self.start, self.end, self.at):
-                place = np.arange(start, end)
-                made = self.rolling.of(place, place + self.window) + mixed((at - place + 1).astype(np.uint64))
-                out.append(mixed(made).astype(np.int64))
-        return out
-
-
-def runs_of(text: bytes | None, window: int, seed: int):
-    for place, ids in overlapping(text, window - 1):
-        yield place, Runs(ids, window, seed)
+
+    def spans(self) -> tuple[np.ndarray, np.ndarray]:
+        """128 bits of what a run holds, and where its anchor is in it."""
+        shape = mixed(((self.end - self.start) * 4096 + self.at - self.start).astype(np.uint64))
+        last = self.end + self.window - 1
+        both = self.rolling, Rolling(mixed(self.ids ^ _OTHER))
+        s1, s2 = (mixed(r.of(self.start, last) + shape).astype(np.int64) for r in both)
+        return s1, s2
+
+    def windows(self, some: np.ndarray) -> pa.ListArray:
+        """A hash for each window of some runs, of its words and its anchor's place in it."""
+        sizes = self.end[some] - self.start[some]
+        offsets = np.concatenate([[0], np.cumsum(sizes)])
+        place = np.arange(offsets[-1]) + np.repeat(self.start[some] - offsets[:-1], sizes)
+        shift = np.repeat(self.at[some], sizes) - place + 1
+        made = mixed(self.rolling.of(place, place + self.window) + mixed(shift.astype(np.uint64))).astype(np.int64)
+        return pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.array(made))
+
+    def rows(self) -> tuple[np.ndarray, np.ndarray]:
+        """The text of a run, by its row, and its first window's place in it."""
+        begin = np.cumsum(self.chunk.sizes) - self.chunk.sizes
+        piece = np.searchsorted(begin, self.start, "right") - 1
+        return self.chunk.rows[piece], self.start - begin[piece] + self.chunk.places[piece]
+
+
+def each_run(batches, window: int, seed: int, wanted: np.ndarray | None):
+    """(rows of the batch, :class:`Runs`) for the texts of Arrow batches, whose last column they are."""
+    for batch in batches:
+        for at in range(0, batch.num_rows, ROWS):
+            part = batch.slice(at, ROWS)
+            column = part.column(part.num_columns - 1)
+            with np.errstate(over="ignore"):
+                for chunk in chunks(column.cast(pa.binary()).to_pylist(), window - 1):
+                    yield part, Runs(chunk, window, seed, wanted)
+
+
+def first_of_each(*columns: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Where the different rows of some columns are for the first time, and how many there are of each."""
+    order = np.lexsort(columns)
+    if not len(order):
+        return order, order
+    new = np.concatenate([[True], np.any([np.diff(c[order]) != 0 for c in columns], axis=0)])
+    begin = np.flatnonzero(new)
+    return order[begin], np.diff(np.concatenate([begin, [len(order)]]))
 
 
 def repeated_anchors(texts: DataFrame, window: int, seed: int) -> DataFrame:
     """anchor, n: those found more than once in the whole table."""
 
-    def run(column):
-        found = [r.anchor for text in column for _, r in runs_of(text, window, seed)]
-        anchor, n = np.unique(np.concatenate([np.empty(0, np.int64), *found]), return_counts=True)
-        return anchor, n
+    def run(batches):
+        for _, runs in each_run(batches, window, seed, None):
+            anchor, n = np.unique(runs.anchor, return_counts=True)
+            yield pa.RecordBatch.from_arrays([pa.array(anchor), pa.array(n)], names=["anchor", "n"])
 
-    made = arrow_map(texts.select("text"), run, "anchor bigint, n bigint")
+    made = texts.select("text").mapInArrow(run, "anchor bigint, n bigint")
     return made.groupBy("anchor").agg(F.sum("n").alias("n")).filter("n > 1")
 
 
 def spans_of(texts: DataFrame, sent, window: int, seed: int) -> DataFrame:
-    """anchor, span, n, windows: the different spans of the sent anchors (of all anchors if none are sent)."""
+    """anchor, s1, s2, n, windows: the different spans of the sent anchors (of all anchors if none are sent)."""
+
+    def run(batches):
+        for _, runs in each_run(batches, window, seed, sent.value if sent is not None else None):
+            s1, s2 = runs.spans()
+            some, n = first_of_each(s1, s2)
+            columns = [pa.array(runs.anchor[some]), pa.array(s1[some]), pa.array(s2[some]), pa.array(n), runs.windows(some)]
+            yield pa.RecordBatch.from_arrays(columns, names=["anchor", "s1", "s2", "n", "windows"])
 
-    def run(column):
-        seen: dict[bytes, list] = {}
-        wanted = sent.value if sent is not None else None
-        for text in column:
-            for _, runs in runs_of(text, window, seed):
-                runs.only(wanted)
-                for anchor, span, hashes in zip(runs.anchor.tolist(), runs.spans(), runs.windows()):
-                    if (have := seen.get(span)) is None:
-                        seen[span] = [anchor, 1, hashes]
-                    else:
-                        have[1] += 1
-        rows = list(seen.values())
-        return [r[0] for r in rows], list(seen), [r[1] for r in rows], [r[2] for r in rows]
+    return texts.select("text").mapInArrow(run, "anchor bigint, s1 bigint, s2 bigint, n bigint, windows array<bigint>")
 
-    return arrow_map(texts.select("text"), run, "anchor bigint, span binary, n bigint, windows array<bigint>")
+
+def spans_asked(texts: DataFrame, sent, window: int, seed: int) -> DataFrame:
+    """k1, k2, start, s1, s2: where such spans begin in each text (k1, k2)."""
+
+    def run(batches):
+        for part, runs in each_run(batches, window, seed, sent.value if sent is not None else None):
+            row, start = runs.rows()
+            keys = [part.column(i).take(pa.array(row)) for i in (0, 1)]
+            yield pa.RecordBatch.from_arrays([*keys, pa.array(start), *map(pa.array, runs.spans())], names=["k1", "k2", "start", "s1", "s2"])
+
+    return texts.select("k1", "k2", "text").mapInArrow(run, "k1 bigint, k2 bigint, start bigint, s1 bigint, s2 bigint")
 
 
 def repeated_windows(spans: DataFrame) -> DataFrame:
-    """span, n, mask: which of the windows of a span are found elsewhere, as bits; n: how many times the span is found."""
+    """s1, s2, n, mask: which of the windows of a span are found elsewhere, as bits; n: how many times the span is found."""
     kinds = checkpointed(spans.groupBy("anchor").agg(F.count("*").alias("kinds")).filter("kinds > 1"))
     several = join_by_key(spans, kinds, "anchor", "kinds")
-    each = several.select("anchor", "span", "n", F.posexplode("windows").alias("bit", "window"))
+    each = several.select("anchor", *SPAN, "n", F.posexplode("windows").alias("bit", "window"))
     # a window of a span that is found twice is repeated anyway, but counts for others
     count = each.groupBy("anchor", "window").agg(F.sum("n").alias("total"), F.count("*").alias("rows"))
     found = checkpointed(count.filter("total > 1 and rows > 1").select(F.struct("anchor", "window").alias("w"), "rows"))
-    alone = each.filter("n = 1").select("span", "bit", F.struct("anchor", "window").alias("w"))
-    partly = join_by_key(alone, found, "w", "rows").select("span", F.lit(1).cast("bigint").alias("n"), F.expr("shiftleft(1L, bit)").alias("m"))
-    partly = partly.groupBy("span", "n").agg(F.bit_or("m").alias("mask"))
-    whole = spans.filter("n > 1").select("span", "n", F.expr("shiftleft(1L, size(windows)) - 1").alias("mask"))
+    alone = each.filter("n = 1").select(*SPAN, "bit", F.struct("anchor", "window").alias("w"))
+    partly = join_by_key(alone, found, "w", "rows").select(*SPAN, F.lit(1).cast("bigint").alias("n"), F.expr("shiftleft(1L, bit)").alias("m"))
+    partly = partly.groupBy(*SPAN, "n").agg(F.bit_or("m").alias("mask"))
+    whole = spans.filter("n > 1").select(*SPAN, "n", F.expr("shiftleft(1L, size(windows)) - 1").alias("mask"))
     return whole.unionByName(partly)
 
 
@@ -212,6 +258,7 @@ def repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", win
     if not 1 <= seed <= window or window - seed > 61:
         raise ValueError("a seed has 1 to window words, and at most 61 fewer than a window")
     own = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
+    small_batches(own.sparkSession)
     anchors = checkpointed(repeated_anchors(own, window, seed))
     small = 8 * anchors.count() <= common.SENT_BYTES
     sent = None
@@ -220,24 +267,14 @@ def repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", win
         sent = own.sparkSession.sparkContext.broadcast(known)
     spans = spans_of(own, sent, window, seed)
     spans = spans if small else join_by_key(spans, anchors.withColumnRenamed("n", "size"), "anchor", "size").drop("size")
-    spans = spans.groupBy("anchor", "span").agg(F.sum("n").alias("n"), F.any_value("windows").alias("windows"))
+    spans = spans.groupBy("anchor", *SPAN).agg(F.sum("n").alias("n"), F.any_value("windows").alias("windows"))
     masks = checkpointed(repeated_windows(checkpointed(spans)))
 
     # rows equal in id and text have equal results and share a key
     keys = [F.xxhash64("id", "text").alias("k1"), F.xxhash64("text", F.lit(1), "id").alias("k2")]
 
-    def asked(k1, k2, column):
-        out = [], [], [], []
-        wanted = sent.value if sent is not None else None
-        for a, b, text in zip(k1, k2, column):
-            for place, runs in runs_of(text, window, seed):
-                starts = (runs.only(wanted).start + place).tolist()
-                for values, more in zip(out, ([a] * len(starts), [b] * len(starts), starts, runs.spans())):
-                    values.extend(more)
-        return out
-
-    asks = arrow_map(own.select(*keys, "text"), asked, "k1 bigint, k2 bigint, start bigint, span binary")
-    found = join_by_key(asks, masks, "span", "n").groupBy("k1", "k2")
+    asks = spans_asked(own.select(*keys, "text"), sent, window, seed)
+    found = join_by_key(asks, masks, SPAN, "n").groupBy("k1", "k2")
     found = found.agg(F.collect_set(F.struct("start", "mask")).alias("found"))
     kind = dict(own.dtypes)["id"]
 

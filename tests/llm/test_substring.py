@@ -4,6 +4,7 @@ import hashlib
 import random
 from collections import defaultdict
 
+import numpy as np
 import pyarrow.parquet as pq
 import pytest
 
@@ -69,9 +70,13 @@ def test_segments_of_a_long_text(spark, monkeypatch):
     monkeypatch.setattr(substring, "SEGMENT", 37)
     for t in texts:
         assert [w for part in substring.segments((t or "").encode()) for w in part] == (t or "").encode().split()
-    rows = [(p, r) for p, r in substring.runs_of(texts[-1].encode(), 9, 4)]
-    assert len(rows) > 10 and sum(len(r.start) for _, r in rows) > 10
-    found = [(p + s, 1) for p, r in rows for s in r.start]
+    raw = [(t or "").encode() for t in texts]
+    with np.errstate(over="ignore"):
+        rows = [substring.Runs(c, 9, 4) for c in substring.chunks(raw, 8)]
+        found = [x for r in rows for x in zip(*r.rows(), r.end - r.start)]
+    windows = sorted((row, start + i) for row, start, n in found for i in range(n))
+    assert windows == [(i, p) for i, t in enumerate(raw) for p in range(len(t.split()) - 8)]
+    found = [(start, 1) for row, start in windows if row == len(texts) - 1]
     n, removed, merged, kept = substring.without(texts[-1].encode(), found, 9)
     assert n == len(texts[-1].split()) and n - removed == len(kept.split())
 
