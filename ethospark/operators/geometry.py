@@ -134,13 +134,27 @@ def distances(tracks: DataFrame, detections: DataFrame, keys: tuple[str, ...] =
     return tracks.join(detections, list(keys)).withColumn("distance", X.distance(F.col("tx"), F.col("ty"), F.col("x"), F.col("y")))
 
 
+def within(tracks: DataFrame, detections: DataFrame, gate: float, keys: tuple[str, ...] = KEYS) -> DataFrame:
+    """Pairs of tracks (track, tx, ty) and detections (det, x, y) of a frame that are nearer than the gate.
+
+    The plane is cut into cells of the gate's size. What is nearer than the gate lies in the same cell or in one of the eight
+    around it, so tracks are joined by their cell with detections that stand in all nine of theirs: an equi-join whose work
+    is that of near pairs, not of a frame's whole matrix.
+    """
+    cell = lambda c: F.floor(F.col(c) / gate).cast("bigint")
+    steps = F.array(*[F.struct(F.lit(i).alias("i"), F.lit(j).alias("j")) for i in (-1, 0, 1) for j in (-1, 0, 1)])
+    own = tracks.withColumns({"_cx": cell("tx"), "_cy": cell("ty")})
+    around = detections.withColumn("_s", F.explode(steps)).withColumns({"_cx": cell("x") + F.col("_s.i"), "_cy": cell("y") + F.col("_s.j")}).drop("_s")
+    met = own.join(around, [*keys, "_cx", "_cy"]).drop("_cx", "_cy")
+    return met.withColumn("distance", X.distance(F.col("tx"), F.col("ty"), F.col("x"), F.col("y"))).filter(F.col("distance") < gate)
+
+
 def nearest_track(tracks: DataFrame, detections: DataFrame, gate: float = 200.0, keys: tuple[str, ...] = KEYS) -> DataFrame:
     """Each detection's nearest track within the gate, the first of equals; null where there is none."""
     near = (
-        distances(tracks, detections, keys)
+        within(tracks, detections, gate, keys)
         .groupBy(*keys, "det")
         .agg(F.min(F.struct("distance", "track")).alias("m"))
-        .filter(F.col("m.distance") < gate)
         .select(*keys, "det", F.col("m.track").alias("track"), F.col("m.distance").alias("distance"))
     )
     return detections.select(*keys, "det").join(near, [*keys, "det"], "left")

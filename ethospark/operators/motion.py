@@ -7,10 +7,17 @@ memory is a fold in frame order, rounded to whole grey values at every step as i
 from __future__ import annotations
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..sources.frames import neighbours
+
+
+#: Frames of a video that one walk takes, at least.
+STRETCH = 1000
+
 
 def sampled(frames: DataFrame, skip: int = 0, frame: str = "frame") -> DataFrame:
     """Frame 1 seeds the memory; then every (skip + 1)-th from frame 2 on is processed."""
@@ -74,7 +81,6 @@ def exponential_walk(frames: DataFrame, exp_a: float = 0.5, exp_b: float = 0.8)
 
     def run(batches):
         key = last = ea = eb = None
-        mix = lambda m, g, w: np.clip(np.rint(w * m + (1.0 - w) * g), 0, 255)
         for batch in batches:
             out = []
             for video, frame, px in zip(*(c.to_pylist() for c in batch.columns)):
@@ -82,7 +88,7 @@ def exponential_walk(frames: DataFrame, exp_a: float = 0.5, exp_b: float = 0.8)
                 if last is None or video != key:
                     key, last, ea, eb = video, g, g, g
                 out.append((video, frame, *[np.abs(g - m).astype(np.int32) for m in (last, ea, eb)]))
-                last, ea, eb = g, mix(ea, g, exp_a), mix(eb, g, exp_b)
+                last, ea, eb = g, remembered(ea, g, exp_a), remembered(eb, g, exp_b)
             if out:
                 columns = list(zip(*out))
                 ints = pa.list_(pa.int32())
@@ -94,6 +100,71 @@ def exponential_walk(frames: DataFrame, exp_a: float = 0.5, exp_b: float = 0.8)
     return dealt.mapInArrow(run, f"video {kind}, frame bigint, d0 array<int>, d1 array<int>, d2 array<int>")
 
 
+def windows_walk(frames: DataFrame, targets: DataFrame, window: int, skip: int = 0, exponential: bool = True, exp_a: float = 0.5, exp_b: float = 0.8) -> DataFrame:
+    """video, target, px, d0, d1, d2: the differences at each target (video, target) from the window of frames that ends there.
+
+    Equal to differences over :func:`window_ending_at`, in one walk: frames are dealt by stretches of ``STRETCH`` frames of
+    a video and sorted, a ring holds the frames of one window, and each target is computed as the walk passes it. A stretch
+    begins with the frames of the window before it, so a frame is shuffled once, but for those few, and a long video is dealt to many tasks.
+    Targets without a frame of their own have no row.
+    """
+    kind = dict(frames.dtypes)["video"]
+    step, reach = skip + 1, (window - 1) * (skip + 1)
+    stretch = max(STRETCH, 4 * reach)
+    part = lambda c: F.floor(F.col(c) / stretch)
+    asked = targets.select("video", F.col("target").cast("bigint").alias("frame")).distinct()
+    asked = asked.select("video", part("frame").alias("part"), "frame", F.lit(None).cast("array<int>").alias("px"))
+    # a frame also serves windows that end in the next stretch
+    both = F.array_distinct(F.array(part("frame"), F.floor((F.col("frame") + reach) / stretch)))
+    shown = frames.select("video", F.explode(both).alias("part"), F.col("frame").cast("bigint").alias("frame"), F.col("px").cast("array<int>").alias("px"))
+    shown = shown.filter("px is not null").join(asked.select("video", "part").distinct(), ["video", "part"], "left_semi")
+    dealt = shown.unionByName(asked)
+    dealt = dealt.repartition("video", "part").sortWithinPartitions("video", "part", "frame", F.col("px").isNull())
+    ints = pa.list_(pa.int32())
+    names = ["video", "target", "px", "d0", "d1", "d2"]
+
+    def run(batches):
+        key, ring = None, {}
+        for batch in batches:
+            out = []
+            for video, at, frame, px in zip(*(c.to_pylist() for c in batch.columns)):
+                if key != (video, at):
+                    key, ring = (video, at), {}
+                for old in [f for f in ring if f < frame - reach]:
+                    del ring[old]
+                if px is not None:
+                    ring[frame] = np.array(px, float)
+                elif frame in ring:
+                    first = max(frame - reach, frame % step)
+                    series = [ring[f] for f in range(first, frame + 1, step) if f in ring]
+                    out.append((video, frame, series[-1].astype(np.int32), *at_end(series, exponential, exp_a, exp_b)))
+            if out:
+                columns = list(zip(*out))
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array(columns[0], batch.schema.field(0).type), pa.array(columns[1], pa.int64()), *[pa.array(list(c), ints) for c in columns[2:]]], names=names
+                )
+
+    return dealt.mapInArrow(run, f"video {kind}, target bigint, px array<int>, d0 array<int>, d1 array<int>, d2 array<int>")
+
+
+def remembered(memory: np.ndarray, now: np.ndarray, weight: float) -> np.ndarray:
+    """:func:`blended` on arrays."""
+    return np.clip(np.rint(weight * memory + (1.0 - weight) * now), 0, 255)
+
+
+def at_end(series: list[np.ndarray], exponential: bool, exp_a: float, exp_b: float) -> list[np.ndarray]:
+    """The three differences at the last frame of a series whose first frame seeds the memory."""
+    last = series[-1]
+    if exponential:
+        before, ea, eb = (series[0],) * 3
+        for g in series[:-1]:
+            before, ea, eb = g, remembered(ea, g, exp_a), remembered(eb, g, exp_b)
+        past = (before, ea, eb)
+    else:
+        past = [series[max(0, len(series) - 1 - k)] for k in (1, 2, 3)]
+    return [np.abs(last - m).astype(np.int32) for m in past]
+
+
 def held(c: Column) -> Column:
     return F.greatest(F.lit(0), F.least(F.lit(255), c.cast("int")))
 
@@ -114,9 +185,49 @@ def false_colour(frames: DataFrame, lum: float = 0.7, multipliers: tuple[float,
 
 
 def masked(px: Column, width: int, boxes: Column, value: int = 128) -> Column:
-    """Fill rectangles (structs x1, y1, x2, y2, both ends inside) of a row-major image."""
-    inside = lambda i, b: (i % width >= b["x1"]) & (i % width <= b["x2"]) & (F.floor(i / width) >= b["y1"]) & (F.floor(i / width) <= b["y2"])
-    return F.transform(px, lambda v, i: F.when(F.exists(boxes, lambda b: inside(i, b)), F.lit(value)).otherwise(v))
+    """Fill rectangles (structs x1, y1, x2, y2, both ends inside) of a row-major image.
+
+    Each box adds four corners to a table of differences, whose sums along both axes count the boxes over each pixel, so
+    the cost is that of the pixels and the boxes, not of their product. Boxes may leave the image; null boxes are none.
+    """
+
+    @F.pandas_udf("array<int>")
+    def fill(images: pd.Series, rectangles: pd.Series) -> pd.Series:
+        return pd.Series([None if p is None else filled(np.asarray(p), width, r, value) for p, r in zip(images, rectangles)])
+
+    return fill(px.cast("array<int>"), boxes)
+
+
+def filled(px: np.ndarray, width: int, boxes, value: int) -> np.ndarray:
+    height = -(-len(px) // width)
+    corners = np.zeros((height + 1, width + 1), np.int32)
+    for b in boxes if boxes is not None else ():
+        if b is None or any(b[c] is None for c in ("x1", "y1", "x2", "y2")):
+            continue
+        x1, y1, x2, y2 = max(0, b["x1"]), max(0, b["y1"]), min(width, b["x2"] + 1), min(height, b["y2"] + 1)
+        if x1 < x2 and y1 < y2:
+            corners[y1, x1] += 1
+            corners[y2, x1] -= 1
+            corners[y1, x2] -= 1
+            corners[y2, x2] += 1
+    covered = corners.cumsum(0).cumsum(1)[:height, :width].ravel()[: len(px)] > 0
+    return np.where(covered, value, px)
+
+
+def resized(px: Column, width: int, height: int, new_width: int, new_height: int) -> Column:
+    """A row-major grey image in another size: each new pixel from the two nearest of its row and column, by their distance,
+    rounded half up. Columns only; ``sources.frames.resized`` is the same on arrays."""
+    (left, right, fx), (top, bottom, fy) = neighbours(width, new_width, width / new_width), neighbours(height, new_height, height / new_height)
+    table = lambda values: F.array(*[F.lit(v) for v in values.tolist()])
+    across = F.zip_with(table(fx), F.arrays_zip(table(left).alias("a"), table(right).alias("b")), lambda f, p: F.struct(f.alias("f"), p["a"].alias("a"), p["b"].alias("b")))
+    down = F.zip_with(table(fy), F.arrays_zip(table(top).alias("a"), table(bottom).alias("b")), lambda f, p: F.struct(f.alias("f"), p["a"].alias("a"), p["b"].alias("b")))
+
+    def along(row: Column, x: Column) -> Column:
+        at = lambda c: F.get(px, (row * width + c).cast("int")).cast("double")
+        return at(x["a"]) * (1 - x["f"]) + at(x["b"]) * x["f"]
+
+    value = lambda y, x: F.floor(along(y["a"], x) * (1 - y["f"]) + along(y["b"], x) * y["f"] + 0.5).cast("int")
+    return F.flatten(F.transform(down, lambda y: F.transform(across, lambda x: value(y, x))))
 
 
 def crop(px: Column, width: int, height: int, cx: Column, cy: Column, size: int, fill: int = 0) -> Column:

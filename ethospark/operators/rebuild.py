@@ -41,19 +41,11 @@ def motion_images(
 ) -> DataFrame:
     """The false-colour image of each item (basename, label, frame) from the window of frames that ends at it.
 
-    frames: video, frame (from 0), px. Every item is a short series of its own, so items spread over all tasks.
+    frames: video, frame (from 0), px. One walk over the frames serves all windows (:func:`motion.windows_walk`).
     """
     asked = keys.select(F.col("label").alias("video"), F.col("frame").alias("target")).distinct()
-    series = motion.window_ending_at(frames, asked, window, skip)
-    series = series.select(F.struct("video", "target").alias("video"), "frame", "px")
-    if exponential:
-        made = motion.exponential_differences(series, exp_a, exp_b).join(series, ["video", "frame"])
-    else:
-        made = motion.sequential_differences(series)
-    last = made.filter(F.col("frame") == F.col("video.target"))
-    planes = motion.false_colour(last, **colour).select(
-        F.col("video.video").alias("label"), F.col("video.target").alias("frame"), "blue", "green", "red"
-    )
+    last = motion.windows_walk(frames, asked, window, skip, exponential, exp_a, exp_b)
+    planes = motion.false_colour(last, **colour).select(F.col("video").alias("label"), F.col("target").alias("frame"), "blue", "green", "red")
     return keys.join(planes, ["label", "frame"])
 
 

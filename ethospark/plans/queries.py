@@ -536,3 +536,31 @@ def label_files_by_stream(s, d):
     b = V.boxes(s, d).select(F.concat("video", F.lit("_"), F.col("frame").cast("string")).alias("basename"), "det", F.col("cls").cast("int").alias("cls"), "x1", "y1", "x2", "y2")
     made = writers.label_lines_by_stream(b, 6, 512, 256)
     return made.select("stream", "basename", F.size(F.split("text", "\n")).cast("bigint").alias("lines"), F.array_join(F.transform(F.split("text", "\n"), lambda t: F.split(t, " ")[0]), ",").alias("classes"))
+
+
+@query
+def recording_frames(s, d):
+    """Every event is a frame of its user's camera, purchases are detections; recordings go on for six hours after one."""
+    from ..streaming import live
+
+    e = V.table(s, d, "events").select("event_id", F.col("user_id").alias("video"), F.col("ts").cast("timestamp").alias("ts"), "event_type")
+    made = live.recordings(e.select("event_id", "video", "ts"), e.filter("event_type = 'purchase'"), 6 * 3600.0, 24 * 3600.0)
+    return made.select("event_id", "video", "recording", F.unix_micros("started").alias("started_us"), F.unix_micros("stopped").alias("stopped_us"))
+
+
+@query
+def resized_frames(s, d):
+    return V.grey(s, d).select("video", "frame", _joined(motion.resized(F.col("px"), 8, 8, 4, 16)).alias("px"))
+
+
+@query
+def rebuilt_windows(s, d):
+    """Differences at every third frame from the window of four frames, every second one, that ends there."""
+    g = V.grey(s, d)
+    made = motion.windows_walk(g, g.filter("frame % 3 = 0").select("video", F.col("frame").alias("target")), 4, 1, exponential=False)
+    return made.select("video", F.col("target").alias("frame"), *[_joined(f"d{i}").alias(f"d{i}") for i in range(3)])
+
+
+@query
+def tracks_within_gate(s, d):
+    return geometry.within(*_tracks_and_detections(s, d), gate=9.0).groupBy("frame", "det").agg(F.count("*").alias("tracks"), F.sum("track").alias("track_sum"))

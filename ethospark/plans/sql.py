@@ -197,4 +197,26 @@ select video, frame, det, {", ".join(f"m.{c} as {c}" for c in ("x1", "y1", "x2",
  {", ".join(f"case when m.source = '{k}' then m.{c} else m.combined_{c} end as primary_{k}_{n}" for k in ("static", "motion") for c, n in (("cls", "class"), ("conf", "conf")))} from k"""
 
 
+GAP = "21600000000"
+SQL |= {
+    "recording_frames": f"""
+with e as (select event_id, user_id as video, epoch_us(ts) as us, event_type = 'purchase' as det from events),
+d as (select distinct video, us from e where det),
+u as (select video, us, us as seen, null::bigint as shown from d union all select video, us, null, us from e),
+w as (select *, max(seen) over b as last_seen, max(shown) over b as last_shown from u window b as (partition by video order by us range between unbounded preceding and 1 preceding)),
+n as (select video, us, sum(case when last_seen is null or last_shown > last_seen + {GAP} then 1 else 0 end) over (partition by video order by us) as recording from w where seen is not null),
+s as (select video, recording, min(us) as started_us, max(us) + {GAP} as stopped_us from n group by 1, 2)
+select e.event_id, e.video, s.recording::bigint as recording, s.started_us, s.stopped_us from e join s on s.video = e.video and e.us between s.started_us and s.stopped_us""",
+    "resized_frames": f"""with {GREY},
+p as (select video, frame, px, i // 4 as y, i % 4 as x from grey, range(64) t(i)),
+q as (select *, greatest(0, least(7, (y + 0.5::double) * 0.5 - 0.5)) as v, greatest(0, least(7, (x + 0.5::double) * 2 - 0.5)) as u from p),
+r as (select *, floor(v)::int as a, floor(u)::int as b, v - floor(v) as fy, u - floor(u) as fx from q),
+s as (select *, px[a * 8 + b + 1] * (1 - fx) + px[a * 8 + least(7, b + 1) + 1] * fx as top, px[least(7, a + 1) * 8 + b + 1] * (1 - fx) + px[least(7, a + 1) * 8 + least(7, b + 1) + 1] * fx as low from r)
+select video, frame, string_agg(floor(top * (1 - fy) + low * fy + 0.5)::int::varchar, ',' order by y, x) as px from s group by 1, 2""",
+    "rebuilt_windows": f"""with {GREY},
+s as (select t.video, t.frame, list(w.px order by w.frame) as s from grey t join grey w on w.video = t.video and w.frame between t.frame - 6 and t.frame and (t.frame - w.frame) % 2 = 0 where t.frame % 3 = 0 group by 1, 2)
+select video, frame, {", ".join(f"{join(absdiff('s[-1]', f's[greatest(1, len(s) - {k})]'))} as d{k - 1}" for k in (1, 2, 3))} from s""",
+    "tracks_within_gate": f"with {TRK} select frame, det, count(*) as tracks, sum(track)::bigint as track_sum from m where distance < 9 group by 1, 2",
+}
+
 SQL |= {f"merge_detections_{kind}": merge_sql(kind) for kind in ("confidence", "static", "motion")}

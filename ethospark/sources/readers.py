@@ -175,13 +175,13 @@ def dataset_count(spark: SparkSession, path: str) -> int:
 def y4m_frames(spark: SparkSession, path: str, **options) -> DataFrame:
     """Grey frames of uncompressed YUV4MPEG2 videos: video, frame (from 1), width, height, px (bytes).
 
-    Options are those of the source ``video_frames``: start, stop, framesPerPartition.
+    Options are those of the source ``video_frames``: start, stop, framesPerPartition, scale.
     """
     spark.dataSource.register(frames.VideoFrames)
     return spark.read.format("video_frames").options(**options).load(path)
 
 
 def camera(spark: SparkSession, path: str, **options) -> DataFrame:
-    """The same as a stream, following recordings that still grow; options framesPerBatch and openSeconds."""
+    """The same as a stream, following recordings that still grow; options framesPerBatch, framesPerPartition, scale and openSeconds."""
     spark.dataSource.register(frames.VideoFrames)
     return spark.readStream.format("video_frames").options(**options).load(path)
