@@ -15,6 +15,7 @@ import codecs
 import json
 import unicodedata
 from array import array
+from heapq import heapify, heappop, heappush
 
 import regex
 from pyspark.sql import DataFrame
@@ -42,6 +43,8 @@ MODEL = {"type": "BPE", "dropout": None, "unk_token": None, "continuing_subword_
 WHITE = regex.compile(r"[\t-\r \x85\xa0  -     　]+")
 #: Entries of the memo of chunks; it is emptied when full, so a worker's memory is bounded.
 MEMO = 200_000
+#: Symbols up to which a run is merged by looking at all of its pairs each time, which is faster for words.
+SHORT = 48
 #: The tokenizer file is sent to the executors; larger files are refused.
 MAX_FILE = 64 << 20
 #: Ids that the decoder is fed at a time.
@@ -104,6 +107,8 @@ class Merges:
 
     def apply(self, parts: list[str]) -> list[str]:
         """The lowest-ranked pair first, the leftmost among equals, until no pair is in the list."""
+        if len(parts) > SHORT:
+            return self.apply_long(parts)
         rank, none = self.rank.get, len(self.rank)
         ranks = [rank(pair, none) for pair in zip(parts, parts[1:])]
         while ranks:
@@ -120,6 +125,29 @@ class Merges:
         return parts
 
 
+    def apply_long(self, parts: list[str]) -> list[str]:
+        """The same by a heap of (rank, place) over linked places; pairs that are gone stay in it until their turn comes."""
+        rank, n = self.rank.get, len(parts)
+        after, before = list(range(1, n + 1)), list(range(-1, n - 1))
+        heap = [(r, i) for i, pair in enumerate(zip(parts, parts[1:])) if (r := rank(pair)) is not None]
+        heapify(heap)
+        while heap:
+            r, i = heappop(heap)
+            j = after[i]
+            if not parts[i] or j == n or rank((parts[i], parts[j])) != r:
+                continue
+            parts[i], parts[j] = parts[i] + parts[j], ""
+            after[i] = k = after[j]
+            if k < n:
+                before[k] = i
+                if (r := rank((parts[i], parts[k]))) is not None:
+                    heappush(heap, (r, i))
+            h = before[i]
+            if h >= 0 and (r := rank((parts[h], parts[i]))) is not None:
+                heappush(heap, (r, h))
+        return [p for p in parts if p]
+
+
 class Transducer:
     """Feed the symbols of one pre-token; stable tokens come out as soon as nothing that follows can change them."""
 
@@ -164,6 +192,7 @@ class Encoder:
         self.merges = Merges(model["model"]["vocab"], merges, model["model"].get("end_of_word_suffix") or "")
         self.special = {t["content"]: t["id"] for t in model["added_tokens"]}
         self.cut = regex.compile("(" + "|".join(map(regex.escape, self.special)) + ")") if self.special else None
+        self.marks = "".join(sorted({t[0] for t in self.special}))
         self.pre = regex.compile(PRE_TOKEN)
         self.bytes = byte_symbols()
         self.memo: dict[str, bytes] = {}
@@ -172,7 +201,7 @@ class Encoder:
     def chunk(self, text: str) -> bytes:
         """Ids of a run without white space, packed; a special token's string inside it is that token."""
         ids: list[int] = []
-        for part in self.cut.split(text) if self.cut and "<|" in text else (text,):
+        for part in self.cut.split(text) if any(c in text for c in self.marks) else (text,):
             if part in self.special:
                 ids.append(self.special[part])
                 continue

@@ -3,7 +3,7 @@
 1. One pass makes, per document, its set's size, a 128-bit signature of the set and ``bands`` band keys. Each
    permutation gives two signature values, its minimum and its maximum, so a band of four values costs two hash
    evaluations per shingle.
-2. Documents with equal sets are one class; the least id stands for it from here on.
+2. Documents with equal sets are one class, which gets a number of its own; one document's text stands for it from here on.
 3. Classes that share a band key form a bucket. Small buckets are compared pair by pair. In a large bucket every
    member is compared with one hub, the member whose other buckets are fullest. Members linked to the hub are
    connected already; a link that involves a member which is not linked to the hub forces an overlap of the two
@@ -16,7 +16,8 @@ There are as many bands as keep the probability that a pair at the threshold mis
 under ``MISSED``: 20 for the default 85 %, 28 for 80 %.
 
 Defined results: a null or blank text has an empty set, size 0, and is linked with nothing; equal sets (ties,
-repeated rows) share a component; rows that repeat an id are one document; a null id is never a component; an
+repeated rows) share a component; rows that share an id but not a text are documents of their own, each in the
+component of its text; a null id is never a component; an
 empty table gives an empty table; other columns are not read.
 """
 
@@ -244,14 +245,19 @@ def compare(pairs: DataFrame, texts: DataFrame, width: int = WIDTH, percent: int
 
 
 def links(reps: DataFrame, docs: DataFrame, width: int = WIDTH, percent: int = PERCENT) -> DataFrame:
-    """Confirmed links (a, b) between classes that connect whatever all links connect."""
+    """Confirmed links (a, b) between classes that connect whatever all links connect.
+
+    reps: id (the class's number), doc and h (a document of it: id and hash of its text), bands; docs: doc, h, text.
+    """
     rows = reps.select("id", F.explode("bands").alias("key"))
     full = checkpointed(rows.groupBy("key").agg(F.count("*").alias("n")).filter("n > 1"), WIDE)
     rows = checkpointed(join_by_key(rows, full, "key", "n"), WIDE)
     score = checkpointed(rows.groupBy("id").agg(F.sum("n").alias("score")), SMALL)
-    wanted = score.select("id")
-    texts = docs.join(sent_if_small(wanted), "id", "left_semi").select("id", "text")
+    wanted = reps.select("id", "doc", "h").join(sent_if_small(score.select("id")), "id", "left_semi")
+    texts = docs.join(sent_if_small(checkpointed(wanted, SMALL), "48"), ["doc", "h"]).select("id", "text")
     texts = checkpointed(texts, WIDE)  # a scan that both sides of a comparison can share one shuffle of
+    if not texts.groupBy("id").agg(F.count("*").alias("n")).filter("n > 1").isEmpty():  # equal rows: one is enough
+        texts = checkpointed(texts.dropDuplicates(["id"]), WIDE)
     # open: not linked to the bucket's hub; peer: meets its like; need, left: what a link must and can still share
     place = [F.lit(None).cast("double").alias(c) for c in ("need", "left")]
     rows = rows.select("key", "id", F.lit(True).alias("open"), F.lit(True).alias("peer"), *place)
@@ -363,34 +369,39 @@ def components(edges: DataFrame) -> DataFrame:
     return labels.join(sent_if_small(least), "label").select("id", "component")
 
 
+def classified(docs: DataFrame, id_col: str, text_col: str, width: int = WIDTH, percent: int = PERCENT) -> DataFrame:
+    """doc (the id), h (hash of the text), n_shingles and component, a row for each document."""
+    own = docs.select(F.col(id_col).alias("doc"), F.xxhash64(text_col).alias("h"), F.col(text_col).alias("text"))
+    wide = stored(sketch(own.withColumn("row", F.struct("doc", "h")), "row", "text", width, percent).select("id.*", "n_shingles", "sig_a", "sig_b", "bands"))
+    signature = ["n_shingles", "sig_a", "sig_b"]
+    reps = wide.filter("n_shingles > 0 and doc is not null").groupBy(*signature)
+    reps = reps.agg(F.min(F.struct("doc", "h")).alias("d"), F.first("bands").alias("bands"))
+    reps = checkpointed(reps.select(*signature, "d.*", "bands", F.monotonically_increasing_id().alias("id")), WIDE)
+    made = checkpointed(wide.select("doc", "h", *signature))
+    wide.unpersist()
+    found = components(links(reps.select("id", "doc", "h", "bands"), own, width, percent))
+    classes = reps.select(*signature, "id", "doc").join(found, "id", "left").withColumn("component", F.coalesce("component", "id"))
+    classes = checkpointed(classes, SMALL)
+    least = classes.filter("component <> id").select("component").distinct().join(classes, "component")
+    least = checkpointed(least.groupBy("component").agg(F.min("doc").alias("least")), SMALL)
+    classes = classes.join(sent_if_small(least), "component", "left").select(*signature, F.coalesce("least", "doc").alias("component"))
+    some = made.filter("n_shingles > 0").join(classes, signature, "left").select("doc", "h", "n_shingles", "component")
+    return some.unionByName(made.filter("n_shingles = 0").select("doc", "h", "n_shingles", F.col("doc").alias("component")))
+
+
 def near_duplicates(
     docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = WIDTH, percent: int = PERCENT
 ) -> DataFrame:
     """One row per document: id, n_shingles, component_id, kept."""
-    own = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
-    wide = stored(sketch(own, "id", "text", width, percent))
-    signature = ["n_shingles", "sig_a", "sig_b"]
-    reps = wide.filter("n_shingles > 0 and id is not null").groupBy(*signature)
-    reps = checkpointed(reps.agg(F.min("id").alias("id"), F.first("bands").alias("bands")), WIDE)
-    made = checkpointed(wide.select("id", *signature))
-    wide.unpersist()
-    some = made.filter("n_shingles > 0")
-    found = components(links(reps.select("id", "bands"), own, width, percent))
-    classes = reps.join(found, "id", "left").select(*signature, F.coalesce("component", "id").alias("component"))
-    out = (
-        some.select("id", *signature)
-        .join(classes, signature, "left")
-        .select("id", "n_shingles", "component")
-        .unionByName(made.filter("n_shingles = 0").select("id", "n_shingles", F.col("id").alias("component")))
-    )
-    return out.select(
-        F.col("id").alias(id_col),
-        "n_shingles",
-        F.col("component").alias("component_id"),
-        F.coalesce(F.col("id") == F.col("component"), F.col("id").isNull()).alias("kept"),
+    return classified(docs, id_col, text_col, width, percent).select(
+        F.col("doc").alias(id_col), "n_shingles", F.col("component").alias("component_id"), is_kept().alias("kept")
     )
 
 
+def is_kept():
+    return F.coalesce(F.col("doc") == F.col("component"), F.col("doc").isNull())
+
+
 def keep_one(
     docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = WIDTH, percent: int = PERCENT
 ) -> DataFrame:
@@ -401,8 +412,9 @@ def keep_one(
     given = docs.columns
     docs, at = veiled(docs)
     id_col, text_col = at[id_col], at[text_col]
-    gone = near_duplicates(docs, id_col, text_col, width, percent).filter(~F.col("kept")).select(F.col(id_col).alias("_gone"))
-    kept = docs.join(sent_if_small(checkpointed(gone, SMALL), "16"), F.col(id_col) == F.col("_gone"), "left_anti")
+    gone = classified(docs, id_col, text_col, width, percent).filter(~is_kept()).select(F.col("doc").alias("_gone"), F.col("h").alias("_text"))
+    is_gone = (F.col(id_col) == F.col("_gone")) & (F.xxhash64(text_col) == F.col("_text"))
+    kept = docs.join(sent_if_small(checkpointed(gone.distinct(), SMALL), "24"), is_gone, "left_anti")
     again = docs.groupBy(id_col, F.xxhash64(text_col).alias("_h")).agg(F.count("*").alias("n")).filter("n > 1")
     again = checkpointed(again.select(F.col(id_col).alias("_id"), "_h"), SMALL)
     if not again.isEmpty():  # no row need be compared otherwise

@@ -168,3 +168,31 @@ def test_brute_force(spark):
     places = {(r["bucket"], r["batch"], r["slot"]) for r in packs}
     assert len(places) == len(packs) and all(r["slot"] < max(1, packing.BUDGET // max(1, r["boundary"])) for r in packs)
     assert {(r["bucket"], r["boundary"]) for r in packs} == {(b, max(r["n_tokens"] for r in packs if r["bucket"] == b)) for b in {r["bucket"] for r in packs}}
+
+
+def test_every_stage_is_computed_once(spark, monkeypatch, tmp_path):
+    """Rows that a stage produces over the whole run are the rows of its table."""
+    counts = {name: spark.sparkContext.accumulator(0) for name, _ in corpus_pipeline.STAGES}
+
+    def counted(name, stage):
+        def run(spark, docs, sf_dir):
+            made, count = stage(spark, docs, sf_dir), counts[name]
+
+            def through(batches):
+                for b in batches:
+                    count.add(b.num_rows)
+                    yield b
+
+            return made.mapInArrow(through, made.schema)
+
+        return name, run
+
+    docs, want = spark.read.parquet(f"{SF}/documents.parquet"), {}
+    for name, stage in corpus_pipeline.STAGES:
+        docs = stage(spark, docs, SF)
+        docs.write.parquet(str(tmp_path / name))
+        docs = spark.read.parquet(str(tmp_path / name))
+        want[name] = docs.count()
+    monkeypatch.setattr(corpus_pipeline, "STAGES", [counted(*s) for s in corpus_pipeline.STAGES])
+    assert len(corpus_pipeline.run(spark, SF).collect()) == want["packing"]
+    assert {name: c.value for name, c in counts.items()} == want
