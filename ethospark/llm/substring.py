@@ -24,6 +24,7 @@ id; a text under ``WINDOW`` words keeps all of them; an empty table gives an emp
 from __future__ import annotations
 
 import re
+from collections import Counter
 from dataclasses import dataclass
 
 import numpy as np
@@ -42,6 +43,8 @@ SEGMENT = 4 << 20
 #: Words of texts that are worked on at a time, about, and texts of a batch that become Python objects at a time.
 CHUNK, ROWS = 1 << 15, 1000
 SPAN = ["s1", "s2"]
+#: Different spans of an anchor that are compared in one row.
+KINDS = 64
 _SPACE = re.compile(rb"[\x20\x09-\x0D]")
 _BASE = 0x9E3779B97F4A7C15
 _OTHER = np.uint64(0xC2B2AE3D27D4EB4F)
@@ -239,20 +242,44 @@ def spans_asked(texts: DataFrame, sent, window: int, seed: int) -> DataFrame:
 
 
 def repeated_windows(spans: DataFrame) -> DataFrame:
-    """s1, s2, n, mask: which of the windows of a span are found elsewhere, as bits; n: how many times the span is found."""
+    """s1, s2, mask: which of the windows of a span are found elsewhere, as bits.
+
+    The spans of an anchor with up to ``KINDS`` of them are compared in one row; windows of other anchors are counted one by one.
+    """
     kinds = checkpointed(spans.groupBy("anchor").agg(F.count("*").alias("kinds")).filter("kinds > 1"))
     several = join_by_key(spans, kinds, "anchor", "kinds")
-    each = several.select("anchor", *SPAN, "n", F.posexplode("windows").alias("bit", "window"))
-    # a window of a span that is found twice is repeated anyway, but counts for others
-    count = each.groupBy("anchor", "window").agg(F.sum("n").alias("total"), F.count("*").alias("rows"))
-    found = checkpointed(count.filter("total > 1 and rows > 1").select(F.struct("anchor", "window").alias("w"), "rows"))
-    alone = each.filter("n = 1").select(*SPAN, "bit", F.struct("anchor", "window").alias("w"))
-    partly = join_by_key(alone, found, "w", "rows").select(*SPAN, F.lit(1).cast("bigint").alias("n"), F.expr("shiftleft(1L, bit)").alias("m"))
-    partly = partly.groupBy(*SPAN, "n").agg(F.bit_or("m").alias("mask"))
-    whole = spans.filter("n > 1").select(*SPAN, "n", F.expr("shiftleft(1L, size(windows)) - 1").alias("mask"))
+    few = several.filter(F.col("kinds") <= KINDS).groupBy("anchor").agg(F.collect_list(F.struct(*SPAN, "n", "windows")).alias("all"))
+    partly = few.select("all").mapInArrow(compared, "s1 bigint, s2 bigint, mask bigint")
+    hot = kinds.filter(F.col("kinds") > KINDS)
+    if not hot.isEmpty():
+        each = join_by_key(spans, hot, "anchor", "kinds").select("anchor", *SPAN, "n", F.posexplode("windows").alias("bit", "window"))
+        # a window of a span that is found twice is repeated anyway, but counts for others
+        count = each.groupBy("anchor", "window").agg(F.sum("n").alias("total"), F.count("*").alias("rows"))
+        found = checkpointed(count.filter("total > 1 and rows > 1").select(F.struct("anchor", "window").alias("w"), "rows"))
+        alone = each.filter("n = 1").select(*SPAN, "bit", F.struct("anchor", "window").alias("w"))
+        bits = join_by_key(alone, found, "w", "rows").select(*SPAN, F.expr("shiftleft(1L, bit)").alias("m"))
+        partly = partly.unionByName(bits.groupBy(*SPAN).agg(F.bit_or("m").alias("mask")))
+    whole = spans.filter("n > 1").select(*SPAN, F.expr("shiftleft(1L, size(windows)) - 1").alias("mask"))
     return whole.unionByName(partly)
 
 
+def compared(batches):
+    """s1, s2, mask of the spans that are found once, from rows with all spans of an anchor."""
+    for batch in batches:
+        out = [], [], []
+        for spans in batch.column(0).to_pylist():
+            total = Counter()
+            for x in spans:
+                for w in x["windows"]:
+                    total[w] += x["n"]
+            for x in spans:
+                mask = sum(1 << i for i, w in enumerate(x["windows"]) if total[w] > 1) if x["n"] == 1 else 0
+                if mask:
+                    for values, v in zip(out, (x["s1"], x["s2"], mask)):
+                        values.append(v)
+        yield pa.RecordBatch.from_arrays([pa.array(v, pa.int64()) for v in out], names=["s1", "s2", "mask"])
+
+
 def repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", window: int = WINDOW, seed: int = SEED) -> DataFrame:
     """id, n_words, n_removed, repeats (array of start, end: the maximal repeats in words), kept (the other words as UTF-8)."""
     if not 1 <= seed <= window or window - seed > 61:
@@ -274,8 +301,8 @@ def repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", win
     keys = [F.xxhash64("id", "text").alias("k1"), F.xxhash64("text", F.lit(1), "id").alias("k2")]
 
     asks = spans_asked(own.select(*keys, "text"), sent, window, seed)
-    found = join_by_key(asks, masks, SPAN, "n").groupBy("k1", "k2")
-    found = found.agg(F.collect_set(F.struct("start", "mask")).alias("found"))
+    # a span that very many texts share is split by the join
+    found = asks.join(masks, SPAN).groupBy("k1", "k2").agg(F.collect_set(F.struct("start", "mask")).alias("found"))
     kind = dict(own.dtypes)["id"]
 
     def told(ids, column, found):

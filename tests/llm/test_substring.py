@@ -58,10 +58,12 @@ def test_equals_every_window(spark, vocabulary, window, seed):
     assert fast(spark, texts, window=window, seed=seed) == slow(texts, window)
 
 
-def test_seeds_that_are_not_sent_and_hot_ones(spark, monkeypatch):
+@pytest.mark.parametrize("kinds", [1, 3, 64])
+def test_seeds_that_are_not_sent_and_hot_ones(spark, monkeypatch, kinds):
     texts = passages(5, 60, 50) + [" ".join(map(str, range(100, 140)))] * 40
     monkeypatch.setattr(common, "SENT_BYTES", 400)
     monkeypatch.setattr(common, "HOT_ROWS", 5)
+    monkeypatch.setattr(substring, "KINDS", kinds)
     assert fast(spark, texts, window=9, seed=4) == slow(texts, 9)
 
 
