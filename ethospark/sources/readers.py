@@ -97,7 +97,7 @@ def has_annotations(spark: SparkSession, project: str) -> bool:
 
 
 def _lines(spark: SparkSession, path: str) -> DataFrame:
-    raw = _file(spark.read.option("wholetext", True).option("recursiveFileLookup", True).text(path))
+    raw = _file(spark.read.option("recursiveFileLookup", True).text(path, wholetext=True))
     return raw.select("file", F.posexplode(F.split("value", r"\r?\n")).alias("line_no", "text"))
 
 
@@ -158,7 +158,7 @@ def dataset_count(spark: SparkSession, path: str) -> int:
     """
     if not path.endswith(".yaml"):
         return image_counts(spark, path).agg(F.sum("images")).first()[0] or 0
-    content = yaml.safe_load(spark.read.option("wholetext", True).text(path).first()[0]) or {}
+    content = yaml.safe_load(spark.read.text(path, wholetext=True).first()[0]) or {}
     if not content.get("train"):
         return 0
     train = content["train"] if "://" in content["train"] or content["train"].startswith("/") else f"{path.rpartition('/')[0]}/{content['train']}"

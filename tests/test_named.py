@@ -1,0 +1,76 @@
+"""Files under their own names: written and read back, and nothing left by what fails."""
+
+import os
+import zlib
+
+import numpy as np
+import pytest
+from pyspark.sql import functions as F
+
+from ethospark.sources import readers, writers
+
+
+def tree(folder):
+    return sorted(os.path.relpath(os.path.join(d, f), folder) for d, _, names in os.walk(folder) for f in names if not f.endswith(".crc"))
+
+
+def test_labels_and_masks_keep_their_keys(spark, tmp_path):
+    boxes = spark.createDataFrame([(f"clip_{k}", i, i + 2, 10 * i, 5, 10 * i + 8, 15) for k in range(30) for i in range(k % 3 + 1)], "basename string, det int, cls int, x1 int, y1 int, x2 int, y2 int").repartition(4)
+    folder = str(tmp_path / "labels")
+    writers.text_by_key(writers.label_lines(boxes, 100, 100, offset=2), folder)
+    masks = spark.createDataFrame([(f"clip_{k}", [(k, 1, k + 2, 4), (0, 0, 1, 1)]) for k in range(5)], "basename string, boxes array<struct<x1:int,y1:int,x2:int,y2:int>>")
+    writers.text_by_key(writers.mask_lines(masks), folder, ".mask.txt")
+    assert tree(folder) == sorted([f"clip_{k}.txt" for k in range(30)] + [f"clip_{k}.mask.txt" for k in range(5)])
+    got = sorted((r["basename"], r["line_no"], r["cls"], r["xc"]) for r in readers.labels(spark, folder).collect())
+    assert got == sorted((f"clip_{k}", i, i, pytest.approx((10 * i + 4) / 100)) for k in range(30) for i in range(k % 3 + 1))
+    assert {r["basename"]: [tuple(b) for b in r["boxes"]] for r in readers.masks(spark, folder).collect()} == {f"clip_{k}": [(k, 1, k + 2, 4), (0, 0, 1, 1)] for k in range(5)}
+
+
+def decoded(raw):
+    width, height = int.from_bytes(raw[16:20], "big"), int.from_bytes(raw[20:24], "big")
+    size = int.from_bytes(raw[33:37], "big")
+    assert raw[37:41] == b"IDAT" and zlib.crc32(raw[37 : 41 + size]) == int.from_bytes(raw[41 + size : 45 + size], "big")
+    return np.frombuffer(zlib.decompress(raw[41 : 41 + size]), np.uint8).reshape(height, width + 1)[:, 1:]
+
+
+def test_crops(spark, tmp_path):
+    image = np.random.default_rng(1).integers(0, 256, (6, 9))
+    frames = spark.createDataFrame([("v_a", 4, image.ravel().tolist())], "video string, frame long, px array<int>")
+    rows = [("v_a", 4, 1, 2, 5, 6, "cat", "run"), ("v_a", 4, 0, 0, 9, 1, "cat", "sit"), ("v_a", 4, 1, 2, 3, 3, "cat", "run"), ("v_a", 4, 3, 3, 3, 9, "cat", "run"), ("v_b", 1, 0, 0, 1, 1, "cat", "run")]
+    boxes = spark.createDataFrame(rows, "video string, frame long, x1 int, y1 int, x2 int, y2 int, cls string, secondary string")
+    folder = str(tmp_path / "crops")
+    writers.crop_files(boxes, frames, 9, folder)
+    assert tree(folder) == ["cat/run/v_a_4_1_2.png", "cat/sit/v_a_4_0_0.png"]
+    assert np.array_equal(decoded((tmp_path / "crops/cat/run/v_a_4_1_2.png").read_bytes()), image[2:6, 1:5])
+    assert np.array_equal(decoded((tmp_path / "crops/cat/sit/v_a_4_0_0.png").read_bytes()), image[:1])
+    got = sorted((r["cls"], r["secondary"], r["video"], r["frame"], r["x1"], r["y1"]) for r in readers.crops(spark, folder).collect())
+    assert got == [("cat", "run", "v_a", 4, 1, 2), ("cat", "sit", "v_a", 4, 0, 0)]
+
+
+def test_append_replace_overwrite(spark, tmp_path):
+    folder = str(tmp_path / "f")
+    rows = lambda *r: spark.createDataFrame(list(r), "name string, content string").repartition(3)
+    writers.named_files(rows(("a.txt", "1"), ("d/b.txt", "2"), ("e.txt", None)), folder)
+    writers.named_files(rows(("a.txt", "3"), ("c.txt", "")), folder)
+    read = lambda n: (tmp_path / "f" / n).read_text()
+    assert tree(folder) == ["a.txt", "c.txt", "d/b.txt", "e.txt"] and [read(n) for n in ("a.txt", "d/b.txt", "c.txt", "e.txt")] == ["3", "2", "", ""]
+    writers.named_files(rows(("z.txt", "9")), folder, overwrite=True)
+    assert tree(folder) == ["z.txt"]
+    writers.named_files(rows(("z.txt", "9")).filter("false"), folder)
+    assert tree(folder) == ["z.txt"]
+
+
+@pytest.mark.parametrize("bad", ["../x", "/x", "", "same.txt", None])
+def test_a_failed_job_leaves_nothing(spark, tmp_path, bad):
+    folder = str(tmp_path / "f")
+    good = [(f"{i}.txt", str(i)) for i in range(20)] + [("same.txt", "1")]
+    writers.named_files(spark.createDataFrame(good[:2], "name string, content string"), folder)
+    rows = spark.createDataFrame([(n, c + "new") for n, c in good] + [(bad, "2")], "name string, content string").repartition(4)
+    with pytest.raises(Exception):  # noqa: B017
+        writers.named_files(rows, folder)
+    assert tree(folder) == ["0.txt", "1.txt"] and (tmp_path / "f/0.txt").read_text() == "0"
+    assert os.listdir(folder) and not [d for d in os.listdir(folder) if d.startswith("_staging")]
+    failing = spark.createDataFrame(good, "name string, content string").withColumn("content", F.when(F.col("name") == "7.txt", F.raise_error(F.lit("broken"))).otherwise(F.col("content")))
+    with pytest.raises(Exception):  # noqa: B017
+        writers.named_files(failing, folder)
+    assert tree(folder) == ["0.txt", "1.txt"] and not [d for d in os.listdir(folder) if d.startswith("_staging")]
