@@ -7,9 +7,10 @@ words joined by other marks) is cut where the class of characters changes and af
 pieces are words. A document's language is the label with the greatest mean posterior over its words, weighted by
 their letters; that mean is the score.
 
-The field is fitted on a bounded sample of labelled rows (``per_lang`` documents of each language, windows of
-``SPAN`` words, cut before they reach the driver), spliced at random so that labels change inside sequences. Its size
-grows with the number of labels. Prediction reads whole texts: documents are cut into blocks of ``BLOCK`` words that
+The field is fitted on a bounded sample of labelled rows (``per_lang`` documents of each language, ``WINDOWS`` in all, windows of
+``SPAN`` words, cut before they reach the driver), spliced at random so that labels change inside sequences. More than
+``MAX_LABELS`` labels are an error. Gradients are summed over groups of sequences, so the driver holds the weights, the sample and
+one group's lattices, of about ``LATTICE`` values. Prediction reads whole texts: documents are cut into blocks of ``BLOCK`` words that
 are run in step, first as transfer matrices, then with the exact vectors at their edges, so one long text costs no
 more per word than many short ones. A text over ``WORDS_AT_ONCE`` words is run in parts of that size, forward to know
 the vectors between them and then backward, so a worker's matrices are bounded.
@@ -24,6 +25,7 @@ from __future__ import annotations
 
 import unicodedata
 import zlib
+from collections import Counter
 from dataclasses import dataclass, field
 
 import numpy as np
@@ -35,6 +37,8 @@ from .common import SPACES, arrow_map, checkpointed, doc_hash_mod, new_token, pe
 FEATURES = 1 << 15
 PER_LANG, SPAN, SEQUENCE, STEPS = 250, 160, 64, 60
 BLOCK, WORDS_AT_ONCE, MEMO = 32, 60_000, 200_000
+#: Windows of all languages together, labels at most, and values of a group's lattices while the field is fitted.
+WINDOWS, MAX_LABELS, LATTICE = 4000, 256, 4 << 20
 UNKNOWN = "und"
 #: Characters of a word at most; longer runs make several words.
 LONGEST = 40
@@ -270,8 +274,49 @@ def splice(rows: list[tuple[str, str]], labels: list[str], rng: np.random.Genera
     return [words[i * SEQUENCE : (i + 1) * SEQUENCE] for i in range(n)], marks[: n * SEQUENCE]
 
 
+class Group:
+    """Some sequences with their words' features: what one pass of forward-backward takes, and the gradient it gives."""
+
+    def __init__(self, sequences: list[list[str]], y: np.ndarray, lexicon: frozenset, n_labels: int):
+        self.n_seq, self.y = len(sequences), y
+        flat = [w for s in sequences for w in s]
+        types, token = np.unique(np.array(flat, dtype=object), return_inverse=True)
+        with np.errstate(over="ignore"):
+            feature, owner = features(list(types), lexicon)
+        spelt = np.array(list(map(has_letter, types)))[owner]
+        self.feature, self.owner, self.n_types = feature[spelt], owner[spelt], len(types)
+        self.by_place = token.reshape(self.n_seq, SEQUENCE).T
+        self.token = self.by_place.ravel()
+        self.one_hot = np.eye(n_labels)
+
+    def expected(self, weight: np.ndarray, trans: np.ndarray, start: np.ndarray) -> list[np.ndarray]:
+        """Expected less observed features, expected pairs, and expected less observed first labels."""
+        per_type = np.stack([np.bincount(self.owner, w[self.feature], self.n_types) for w in weight])
+        x = np.exp(per_type - per_type.max(0))[:, self.by_place].transpose(1, 0, 2)  # (place, label, sequence)
+        t = np.exp(trans)
+        alpha, beta = np.empty_like(x), np.ones_like(x)
+        v = np.exp(start) * x[0]
+        for k in range(SEQUENCE):
+            v = v if k == 0 else (t.T @ v) * x[k]
+            v = v / v.sum(0)
+            alpha[k] = v
+        pairs = np.zeros_like(trans)
+        for k in range(SEQUENCE - 2, -1, -1):
+            ahead = x[k + 1] * beta[k + 1]
+            whole = ((t.T @ alpha[k]) * ahead).sum(0)
+            pairs += t * ((alpha[k] / whole) @ ahead.T)
+            beta[k] = t @ ahead
+            beta[k] /= beta[k].sum(0)
+        alpha *= beta
+        alpha /= alpha.sum(1, keepdims=True)
+        alpha -= self.one_hot[:, self.y.T].transpose(1, 0, 2)
+        wrong = alpha.transpose(1, 0, 2).reshape(len(weight), -1)
+        spelt = np.stack([np.bincount(self.feature, np.bincount(self.token, w, self.n_types)[self.owner], FEATURES) for w in wrong])
+        return [spelt, pairs, wrong[:, : self.n_seq].sum(1, keepdims=True)]
+
+
 def fit(rows: list[tuple[str, str]], seed: int = 3) -> Field:
-    """Maximum conditional likelihood with an L2 penalty, by Adam on all sequences at once."""
+    """Maximum conditional likelihood with an L2 penalty, by Adam on all sequences at once, in groups."""
     labels = sorted({lang for _, lang in rows})
     n_labels = len(labels)
     empty = Field(labels, np.zeros((FEATURES, n_labels)), np.zeros((n_labels, n_labels)), np.zeros(n_labels))
@@ -280,51 +325,24 @@ def fit(rows: list[tuple[str, str]], seed: int = 3) -> Field:
     if not sequences or n_labels < 2:
         return empty
     n_seq = len(sequences)
-    y = marks[: n_seq * SEQUENCE].reshape(n_seq, SEQUENCE)
-    flat = [w for s in sequences for w in s]
-    types, token = np.unique(np.array(flat, dtype=object), return_inverse=True)
-    seen = np.bincount(token, minlength=len(types))
-    lexicon = frozenset(w for w, c in zip(types, seen) if c >= 3)
-    with np.errstate(over="ignore"):
-        feature, owner = features(list(types), lexicon)
-    spelt = np.array(list(map(has_letter, types)))[owner]
-    feature, owner = feature[spelt], owner[spelt]
-    n = len(flat)
+    n = n_seq * SEQUENCE
+    y = marks[:n].reshape(n_seq, SEQUENCE)
+    lexicon = frozenset(w for w, c in Counter(w for s in sequences for w in s).items() if c >= 3)
+    step = max(1, LATTICE // (SEQUENCE * n_labels))
+    groups = [Group(sequences[i : i + step], y[i : i + step], lexicon, n_labels) for i in range(0, n_seq, step)]
     # labels come first in every array, so that the sums over them run along whole rows
     values = [np.zeros((n_labels, FEATURES)), np.zeros((n_labels, n_labels)), np.zeros((n_labels, 1))]
     first, second = [np.zeros_like(v) for v in values], [np.zeros_like(v) for v in values]
-    by_place = token.reshape(n_seq, SEQUENCE).T
-    token = by_place.ravel()
-    one_hot = np.eye(n_labels)[:, y.T].transpose(1, 0, 2)
     pairs = np.zeros((n_labels, n_labels))
     np.add.at(pairs, (y[:, :-1].ravel(), y[:, 1:].ravel()), 1.0)
     for step in range(1, STEPS + 1):
-        weight, trans, start = values
-        per_type = np.stack([np.bincount(owner, w[feature], len(types)) for w in weight])
-        x = np.exp(per_type - per_type.max(0))[:, by_place].transpose(1, 0, 2)  # (place, label, sequence)
-        t = np.exp(trans)
-        alpha, beta = np.empty_like(x), np.ones_like(x)
-        v = np.exp(start) * x[0]
-        for k in range(SEQUENCE):
-            v = v if k == 0 else (t.T @ v) * x[k]
-            v = v / v.sum(0)
-            alpha[k] = v
-        expected = np.zeros_like(pairs)
-        for k in range(SEQUENCE - 2, -1, -1):
-            ahead = x[k + 1] * beta[k + 1]
-            whole = ((t.T @ alpha[k]) * ahead).sum(0)
-            expected += t * ((alpha[k] / whole) @ ahead.T)
-            beta[k] = t @ ahead
-            beta[k] /= beta[k].sum(0)
-        gamma = alpha * beta
-        gamma /= gamma.sum(1, keepdims=True)
-        wrong = (gamma - one_hot).transpose(1, 0, 2).reshape(n_labels, n)
-        by_type = [np.bincount(token, w, len(types)) for w in wrong]
-        gradients = [
-            np.stack([np.bincount(feature, w[owner], FEATURES) for w in by_type]) / n + 1e-6 * weight,
-            (expected - pairs) / n + 1e-5 * trans,
-            wrong[:, :n_seq].sum(1, keepdims=True) / n,
-        ]
+        weight, trans, _ = values
+        total = None
+        for group in groups:
+            own = group.expected(*values)
+            total = own if total is None else [a + b for a, b in zip(total, own)]
+        spelt, expected, begun = total
+        gradients = [spelt / n + 1e-6 * weight, (expected - pairs) / n + 1e-5 * trans, begun / n]
         for v, g, m, s in zip(values, gradients, first, second):
             m += 0.1 * (g - m)
             s += 0.01 * (g * g - s)
@@ -334,7 +352,7 @@ def fit(rows: list[tuple[str, str]], seed: int = 3) -> Field:
 
 
 def sample(docs: DataFrame, id_col: str, text_col: str, lang_col: str, per_lang: int) -> list[tuple[str, str]]:
-    """At most ``per_lang`` (window of a text, lang) of each language, in an order that depends on ids and texts only.
+    """At most ``per_lang`` (window of a text, lang) of each language, fewer if there are so many that it would be over ``WINDOWS``, in an order that depends on ids and texts only.
 
     Rows are dealt by a hash of id and text to ``per_lang`` slots of their language, of which each keeps its least hash;
     the few texts so chosen are cut to ``SPAN`` words (of ``LONGEST`` characters at most) and collected.
@@ -342,6 +360,10 @@ def sample(docs: DataFrame, id_col: str, text_col: str, lang_col: str, per_lang:
     docs = docs.filter(F.col(lang_col).isNotNull() & F.col(text_col).isNotNull()).select(
         F.col(lang_col).alias("l"), F.col(text_col).alias("t"), F.xxhash64(id_col, text_col).alias("o")
     )
+    n_labels = docs.select("l").distinct().limit(MAX_LABELS + 1).count()
+    if n_labels > MAX_LABELS:
+        raise ValueError(f"over {MAX_LABELS} different labels")
+    per_lang = max(1, min(per_lang, WINDOWS // max(1, n_labels)))
     slot = F.pmod(F.xxhash64("o"), F.lit(per_lang))
     chosen = checkpointed(docs.groupBy("l", slot.alias("slot")).agg(F.min("o").alias("o")).select("l", "o"), 16)
     words = F.split(F.trim(F.regexp_replace("t", SPACES, " ")), " ")

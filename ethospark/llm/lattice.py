@@ -11,7 +11,7 @@ file gives negative ranks, of which only the scale is open: there the factor is
 expectation-maximisation over the lattices with that one parameter. ``free`` fits every piece's weight instead.
 
 Word counts are gathered in one pass with a bounded table per task and summed by key; lattices run once per
-distinct word. Texts meet the counts in blocks of about ``BLOCK_BYTES``, dealt by row so that repeated rows are spread: each block asks once for each of its
+distinct word. Texts meet the counts in blocks of about ``BLOCK_BYTES``, dealt by a hash of id and text; of rows equal in both one is scored: each block asks once for each of its
 distinct words, by 64-bit hash, so no task needs the vocabulary of the corpus and no row per token is shuffled.
 
 Defined results: a null, empty or blank text is one end token; bytes that are no UTF-8 are scored as U+FFFD; a null id is trained on; with no training text all
@@ -29,10 +29,12 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import checkpointed, doc_hash_mod, new_token, partitions, per_worker, small_batches, text_of
+from .common import checkpointed, doc_hash_mod, new_token, partitions, per_worker, sent_if_small, small_batches, text_of
 
 #: Text of one block, and entries of a task's count table before it is emptied.
 BLOCK_BYTES, TABLE = 24 << 20, 300_000
+#: Equal rows that are made at once.
+RUN = 100_000
 #: Rounds of expectation-maximisation, and what every piece is credited with beyond its expected count.
 ROUNDS, CREDIT = 2, 0.1
 #: Scores from here on are no log-probabilities of a piece, but mark one that is never used.
@@ -291,6 +293,26 @@ def fitted(words: DataFrame, ends: int, pieces: list[str], scores: np.ndarray, r
     return weight
 
 
+def places(hashes: np.ndarray, wanted: np.ndarray) -> np.ndarray:
+    """Where words are among the sorted ones of a block's answers; all of them must be."""
+    at = np.searchsorted(hashes, wanted)
+    if len(at) and (at.max() >= len(hashes) or (hashes[at] != wanted).any()):
+        raise RuntimeError("a block's answers lack a word of its texts")
+    return at
+
+
+def expanded(scored: DataFrame, again: DataFrame) -> DataFrame:
+    """A row for each of the equal rows; those of a row that repeats very often are made in runs, in all tasks."""
+    n = F.coalesce("n", F.lit(1)).cast("bigint")
+    same = scored["id"].eqNullSafe(again["id"]) & (scored["h"] == again["h"])
+    rows = scored.join(sent_if_small(again, "32"), same, "left").select(scored["*"], n.alias("n"))
+    rows = rows.withColumn("run", F.explode(F.sequence(F.lit(0).cast("bigint"), F.floor((F.col("n") - 1) / RUN))))
+    if (again.agg(F.max("n")).first()[0] or 0) > RUN:
+        rows = rows.repartition(partitions(rows.sparkSession), "id", "h", "run")
+    last = F.least(F.col("n"), (F.col("run") + 1) * RUN) - 1
+    return rows.withColumn("copy", F.explode(F.sequence(F.col("run") * RUN, last)))
+
+
 def score(
     docs: DataFrame,
     path: str,
@@ -326,7 +348,14 @@ def score(
 
     weighed = words.mapInArrow(weigh, "hash bigint, c bigint, lp double")
     blocks = max(1, -(-(size[0] or 0) // BLOCK_BYTES))
-    dealt = docs.select("id", "text", "trained", F.pmod(F.xxhash64("id", F.monotonically_increasing_id()), F.lit(blocks)).alias("block"))
+    # a row's block depends on the row alone, so what it asks for is what it is told, also if a part is made again; of
+    # equal rows, which would all be in one block, one is scored
+    again = docs.groupBy("id", F.xxhash64("text").alias("h")).agg(F.count("*").alias("n")).filter("n > 1")
+    again = checkpointed(again)
+    repeated = not again.isEmpty()
+    once = docs.dropDuplicates(["id", "text"]) if repeated else docs
+    hashed = F.xxhash64("text").alias("h")
+    dealt = once.select("id", "text", "trained", hashed, F.pmod(F.xxhash64("id", "text"), F.lit(blocks)).alias("block"))
     dealt = dealt.repartition(max(partitions(spark), 1), "block")
 
     def ask(group: pa.Table) -> pa.Table:
@@ -352,23 +381,23 @@ def score(
             own, known = iter((text or b"").lower().split()), int(ends > 0)
             tokens, low, high = 1, float(np.log10((ends + 0.1) / bottom)), end_lp
             while part := list(islice(own, 100_000)):
-                at = np.searchsorted(
-                    hashes, np.fromiter(map(xxhash.xxh3_64_intdigest, part), np.uint64, len(part)).astype(np.int64)
-                )
+                at = places(hashes, np.fromiter(map(xxhash.xxh3_64_intdigest, part), np.uint64, len(part)).astype(np.int64))
                 tokens, known = tokens + len(part), known + int((c[at] > 0).sum())
                 low, high = low + float(base[at].sum()), high + float(lp[at].sum())
             rows.append((tokens, known, low, high / np.log(10)))
         made = list(zip(*rows))
         return pa.table(
-            [texts.column("id"), texts.column("trained"), *(pa.array(x, t) for x, t in zip(made, (pa.int64(), pa.int64(), pa.float64(), pa.float64())))],
-            names=["id", "trained", "n_tokens", "n_known", "base_score", "score"],
+            [texts.column("id"), texts.column("h"), texts.column("trained"), *(pa.array(x, t) for x, t in zip(made, (pa.int64(), pa.int64(), pa.float64(), pa.float64())))],
+            names=["id", "h", "trained", "n_tokens", "n_known", "base_score", "score"],
         )
 
     out = (
         dealt.groupBy("block")
         .cogroup(answers.groupBy("block"))
-        .applyInArrow(add_up, f"id {kind}, trained boolean, n_tokens bigint, n_known bigint, base_score double, score double")
+        .applyInArrow(add_up, f"id {kind}, h bigint, trained boolean, n_tokens bigint, n_known bigint, base_score double, score double")
     )
+    if repeated:
+        out = expanded(out, again)
     return out.select(
         F.col("id").alias(id_col),
         (~F.col("trained")).alias("held_out"),

@@ -1,0 +1,87 @@
+"""What a lost executor or an unusual table must not change: blocks of op6, and many labels in op3."""
+
+import random
+import tracemalloc
+
+import numpy as np
+import pytest
+from pyspark.sql import functions as F
+
+from ethospark.llm import langid, lattice
+from ethospark.llm.queries import tokenizer_path
+
+PIECES = tokenizer_path("piece_bpe_32k.model")
+
+
+def rows_of(df):
+    return sorted((str(r.doc_id), r.held_out, r.n_tokens, r.n_known, round(r.base_score, 6), round(r.score, 6)) for r in df.collect())
+
+
+def test_scores_do_not_depend_on_order_or_parts(spark, monkeypatch):
+    r = random.Random(1)
+    texts = [" ".join(r.choice(["alpha", "beta", "gamma", f"w{r.randrange(300)}"]) for _ in range(r.randrange(60))) for _ in range(120)]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    want = rows_of(lattice.score(docs, PIECES))
+    monkeypatch.setattr(lattice, "BLOCK_BYTES", 700)
+    # an input whose rows come in another order each time that it is read
+    shuffled = docs.withColumn("r", F.rand()).repartition(7).orderBy(F.rand()).drop("r")
+    for _ in range(2):
+        assert rows_of(lattice.score(shuffled, PIECES)) == want
+
+
+def test_equal_rows_are_scored_once_and_all_returned(spark, monkeypatch):
+    monkeypatch.setattr(lattice, "RUN", 7)
+    rows = [(1, "a b c")] * 30 + [(1, None)] * 2 + [(1, "")] + [(None, "a b")] * 3 + [(2, "a b c")]
+    got = rows_of(lattice.score(spark.createDataFrame(rows, "doc_id long, text string"), PIECES))
+    count = lambda i, n: sum(r[0] == i and r[2] == n for r in got)
+    assert len(got) == len(rows) and (count("1", 4), count("1", 1), count("None", 3), count("2", 4)) == (30, 3, 3, 1)
+    assert len({r for r in got if r[0] == "1"}) == 2
+
+
+def test_an_answer_that_is_missing_is_an_error():
+    hashes = np.array([3, 8, 12])
+    assert lattice.places(hashes, np.array([12, 3, 3])).tolist() == [2, 0, 0]
+    for wanted in ([5], [13], [3, 9]):
+        with pytest.raises(RuntimeError):
+            lattice.places(hashes, np.array(wanted))
+    with pytest.raises(RuntimeError):
+        lattice.places(hashes[:0], np.array([1]))
+
+
+def labelled(n_labels, per_label, seed=2):
+    r = random.Random(seed)
+    rows = []
+    for k in range(n_labels):
+        words = ["".join(r.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(r.randint(3, 8))) for _ in range(60)]
+        rows += [(" ".join(r.choice(words) for _ in range(160)), f"l{k:03}") for _ in range(per_label)]
+    return rows
+
+
+def test_groups_give_the_gradient_of_all(monkeypatch):
+    rows = labelled(3, 8)
+    monkeypatch.setattr(langid, "STEPS", 5)
+    whole = langid.fit(rows)
+    monkeypatch.setattr(langid, "LATTICE", 3 * langid.SEQUENCE * 7)
+    parts = langid.fit(rows)
+    for a, b in ((whole.weight, parts.weight), (whole.transition, parts.transition), (whole.start, parts.start)):
+        assert np.allclose(a, b, atol=1e-9)
+
+
+def test_many_labels_in_bounded_memory(monkeypatch):
+    monkeypatch.setattr(langid, "STEPS", 1)
+    rows = labelled(150, 4)
+    tracemalloc.start()
+    model = langid.fit(rows)
+    most = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert len(model.labels) == 150 and most < 600_000_000
+
+
+def test_sample_of_many_labels(spark, monkeypatch):
+    monkeypatch.setattr(langid, "WINDOWS", 40)
+    docs = spark.createDataFrame([(i, f"text {i} of words", f"l{i % 10}") for i in range(300)], "doc_id long, text string, lang string")
+    got = langid.sample(docs, "doc_id", "text", "lang", 250)
+    assert {lang for _, lang in got} == {f"l{i}" for i in range(10)} and 10 <= len(got) <= 40
+    monkeypatch.setattr(langid, "MAX_LABELS", 9)
+    with pytest.raises(ValueError):
+        langid.sample(docs, "doc_id", "text", "lang", 250)
