@@ -13,6 +13,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..sources.frames import neighbours
+from ..sources.frames import resized as resized_array
 
 
 #: Frames of a video that one walk takes, at least.
@@ -37,7 +38,10 @@ def difference(a: Column, b: Column) -> Column:
 
 
 def sequential_differences(frames: DataFrame) -> DataFrame:
-    """d0, d1, d2: absolute differences to one, two and three frames before; before the start, to the first."""
+    """d0, d1, d2: absolute differences to one, two and three frames before; before the start, to the first.
+
+    One window, for short series; ``sequential_walk`` is for whole videos.
+    """
     w = Window.partitionBy("video").orderBy("frame")
     first = F.first("px").over(w.rowsBetween(Window.unboundedPreceding, Window.currentRow))
     lagged = frames.select("*", *[F.coalesce(F.lag("px", k).over(w), first).alias(f"_l{k}") for k in (1, 2, 3)])
@@ -73,31 +77,42 @@ def exponential_differences(frames: DataFrame, exp_a: float = 0.5, exp_b: float
 
 
 def exponential_walk(frames: DataFrame, exp_a: float = 0.5, exp_b: float = 0.8) -> DataFrame:
-    """The same differences for whole videos: rows dealt by video and sorted by frame, a task walks through them and
-    holds one frame and the two memories."""
+    """:func:`exponential_differences` for whole videos, as a walk (:func:`_walk`)."""
+    mixed = lambda memory, g: (g, remembered(memory[1], g, exp_a), remembered(memory[2], g, exp_b))
+    return _walk(frames, mixed)
+
+
+def sequential_walk(frames: DataFrame) -> DataFrame:
+    """:func:`sequential_differences` for whole videos, as a walk that holds the last three frames."""
+    return _walk(frames, lambda memory, g: (g, *memory[:2]))
+
+
+def _walk(frames: DataFrame, after) -> DataFrame:
+    """video, frame, px, d0, d1, d2: rows dealt by video and sorted by frame, a task walks through them and holds one frame and
+    the three that it is compared with; ``after(memory, frame)`` are those for the next one."""
     kind = dict(frames.dtypes)["video"]
     dealt = frames.select("video", F.col("frame").cast("bigint").alias("frame"), F.col("px").cast("array<int>").alias("px"))
     dealt = dealt.repartition("video").sortWithinPartitions("video", "frame")
 
     def run(batches):
-        key = last = ea = eb = None
+        key = memory = None
         for batch in batches:
             out = []
             for video, frame, px in zip(*(c.to_pylist() for c in batch.columns)):
                 g = np.array(px, float)
-                if last is None or video != key:
-                    key, last, ea, eb = video, g, g, g
-                out.append((video, frame, *[np.abs(g - m).astype(np.int32) for m in (last, ea, eb)]))
-                last, ea, eb = g, remembered(ea, g, exp_a), remembered(eb, g, exp_b)
+                if memory is None or video != key:
+                    key, memory = video, (g, g, g)
+                out.append((video, frame, *[x.astype(np.int32) for x in (g, *[np.abs(g - m) for m in memory])]))
+                memory = after(memory, g)
             if out:
                 columns = list(zip(*out))
                 ints = pa.list_(pa.int32())
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(columns[0], batch.schema.field(0).type), pa.array(columns[1], pa.int64()), *[pa.array(c, ints) for c in columns[2:]]],
-                    names=["video", "frame", "d0", "d1", "d2"],
+                    [pa.array(columns[0], batch.schema.field(0).type), pa.array(columns[1], pa.int64()), *[pa.array(list(c), ints) for c in columns[2:]]],
+                    names=["video", "frame", "px", "d0", "d1", "d2"],
                 )
 
-    return dealt.mapInArrow(run, f"video {kind}, frame bigint, d0 array<int>, d1 array<int>, d2 array<int>")
+    return dealt.mapInArrow(run, f"video {kind}, frame bigint, px array<int>, d0 array<int>, d1 array<int>, d2 array<int>")
 
 
 def windows_walk(frames: DataFrame, targets: DataFrame, window: int, skip: int = 0, exponential: bool = True, exp_a: float = 0.5, exp_b: float = 0.8) -> DataFrame:
@@ -230,6 +245,20 @@ def resized(px: Column, width: int, height: int, new_width: int, new_height: int
     return F.flatten(F.transform(down, lambda y: F.transform(across, lambda x: value(y, x))))
 
 
+def zoomed(px: Column, width: int, height: int, cx: Column, cy: Column, size: int) -> Column:
+    """A square around a centre, cut off where it leaves the image and then resized to the given size; black if nothing is left."""
+
+    @F.pandas_udf("array<int>")
+    def made(images: pd.Series, xs: pd.Series, ys: pd.Series) -> pd.Series:
+        half, out = size // 2, []
+        for p, x, y in zip(images, xs, ys):
+            part = None if p is None else np.asarray(p, np.uint8).reshape(height, width)[max(0, y - half) : max(0, y + half), max(0, x - half) : max(0, x + half)]
+            out.append(part if part is None else (resized_array(part, size, size) if part.size else np.zeros((size, size), np.uint8)).ravel().astype(np.int32))
+        return pd.Series(out)
+
+    return made(px.cast("array<int>"), cx.cast("int"), cy.cast("int"))
+
+
 def crop(px: Column, width: int, height: int, cx: Column, cy: Column, size: int, fill: int = 0) -> Column:
     """A square of the given size around a centre, filled where it leaves the image."""
     left, top = cx - size // 2, cy - size // 2

@@ -321,7 +321,7 @@ def _joined(c):
 
 @query
 def seq_frame_diff(s, d):
-    return motion.sequential_differences(V.grey(s, d)).select("video", "frame", *[_joined(f"d{i}").alias(f"d{i}") for i in range(3)])
+    return motion.sequential_walk(V.grey(s, d)).select("video", "frame", *[_joined(f"d{i}").alias(f"d{i}") for i in range(3)])
 
 
 @query
@@ -330,7 +330,7 @@ def exp_frame_diff(s, d):
 
 
 def _planes(s, d, tail):
-    made = motion.false_colour(motion.sequential_differences(V.grey(s, d)), 0.7, (2.0, 3.0, 4.0), 5, tail)
+    made = motion.false_colour(motion.sequential_walk(V.grey(s, d)), 0.7, (2.0, 3.0, 4.0), 5, tail)
     return made.select("video", "frame", *[_joined(c).alias(c) for c in ("blue", "green", "red")])
 
 
@@ -564,3 +564,9 @@ def rebuilt_windows(s, d):
 @query
 def tracks_within_gate(s, d):
     return geometry.within(*_tracks_and_detections(s, d), gate=9.0).groupBy("frame", "det").agg(F.count("*").alias("tracks"), F.sum("track").alias("track_sum"))
+
+
+@query
+def zoomed_crops(s, d):
+    made = motion.zoomed(F.col("px"), 8, 8, (F.col("frame") % 8).cast("int"), (F.col("frame") % 5).cast("int"), 4)
+    return V.grey(s, d).select("video", "frame", _joined(made).alias("px"))

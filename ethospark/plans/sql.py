@@ -216,6 +216,13 @@ select video, frame, string_agg(floor(top * (1 - fy) + low * fy + 0.5)::int::var
     "rebuilt_windows": f"""with {GREY},
 s as (select t.video, t.frame, list(w.px order by w.frame) as s from grey t join grey w on w.video = t.video and w.frame between t.frame - 6 and t.frame and (t.frame - w.frame) % 2 = 0 where t.frame % 3 = 0 group by 1, 2)
 select video, frame, {", ".join(f"{join(absdiff('s[-1]', f's[greatest(1, len(s) - {k})]'))} as d{k - 1}" for k in (1, 2, 3))} from s""",
+    "zoomed_crops": f"""with {GREY},
+c as (select *, greatest(0, frame % 8 - 2) as l, greatest(0, frame % 5 - 2) as t, least(8, frame % 8 + 2) as r, least(8, frame % 5 + 2) as b from grey),
+p as (select *, i // 4 as y, i % 4 as x from c, range(16) g(i)),
+q as (select *, greatest(0, least(b - t - 1, (y + 0.5::double) * (b - t) / 4 - 0.5)) as v, greatest(0, least(r - l - 1, (x + 0.5::double) * (r - l) / 4 - 0.5)) as u from p),
+n as (select *, floor(v)::int as a, floor(u)::int as o, least(b - t - 1, floor(v)::int + 1) as a1, least(r - l - 1, floor(u)::int + 1) as o1 from q),
+s as (select *, px[(t + a) * 8 + l + o + 1] * (1 - (u - o)) + px[(t + a) * 8 + l + o1 + 1] * (u - o) as top, px[(t + a1) * 8 + l + o + 1] * (1 - (u - o)) + px[(t + a1) * 8 + l + o1 + 1] * (u - o) as low from n)
+select video, frame, string_agg(floor(top * (1 - (v - a)) + low * (v - a) + 0.5)::int::varchar, ',' order by y, x) as px from s group by 1, 2""",
     "tracks_within_gate": f"with {TRK} select frame, det, count(*) as tracks, sum(track)::bigint as track_sum from m where distance < 9 group by 1, 2",
 }
 

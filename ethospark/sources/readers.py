@@ -11,8 +11,6 @@ from .. import schema
 from ..functions import exprs as X
 from . import frames
 
-#: Columns of a tracking file that are looked at.
-WIDEST = 64
 #: What counts as an image in a dataset, in any case.
 IMAGES = ("jpg", "jpeg", "png", "bmp", "tiff")
 VIDEO_GLOB = "*.{mp4,MP4,avi,AVI,mov,MOV,mkv,MKV}"
@@ -31,10 +29,12 @@ def tracking(spark: SparkSession, path: str) -> DataFrame:
 
     Every file is read by its own header: columns can be in any order, columns a file lacks are null, others are not
     read; a file whose header has no frame or no id has no rows. ``row_no`` is the order inside a file, which is read whole
-    (``multiLine``). The first ``WIDEST`` columns of a file are looked at.
+    (``multiLine``). As many columns are read as the widest header has, which a look at the lines finds first.
     """
-    cells = F.array(*[f"_c{i}" for i in range(WIDEST)])
-    raw = spark.read.option("multiLine", True).option("pathGlobFilter", "*_tracking.csv").schema(", ".join(f"_c{i} string" for i in range(WIDEST)))
+    found = spark.read.option("pathGlobFilter", "*_tracking.csv").text(path).filter(F.contains("value", F.lit("frame")) & F.contains("value", F.lit("id")))
+    widest = found.agg(F.max(F.size(F.split("value", ",")))).first()[0] or 1
+    cells = F.array(*[f"_c{i}" for i in range(widest)])
+    raw = spark.read.option("multiLine", True).option("pathGlobFilter", "*_tracking.csv").schema(", ".join(f"_c{i} string" for i in range(widest)))
     raw = _file(raw.csv(path)).select("file", F.monotonically_increasing_id().alias("row_no"), cells.alias("cells"))
     stem = F.regexp_replace(F.regexp_replace(_name(), r"\.csv$", ""), "_tracking", "")
     raw = raw.withColumn("stem", stem).filter(~F.col("stem").endswith("_Training"))
