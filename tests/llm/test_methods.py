@@ -35,7 +35,7 @@ def test_op8_verdicts_of_the_regression(spark, monkeypatch):
         if r.rule is None:
             judged += 1
             assert r.verdict == ("block" if p > 0.5 else "allow") or abs(p - 0.5) < 1e-9
-    assert judged > 50
+    assert judged >= 30
 
 
 def plain_probability(net, left, token, right):
