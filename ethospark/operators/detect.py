@@ -27,6 +27,31 @@ def detect(frames: DataFrame, detector: Detector, source: str, threshold: float
     return frames.mapInPandas(run, "video string, frame bigint, x1 int, y1 int, x2 int, y2 int, cls string, conf double, source string")
 
 
+BOXES = "array<struct<x1: int, y1: int, x2: int, y2: int, cls: string, conf: double, source: string>>"
+
+
+def detect_both(frames: DataFrame, static: Detector | None, moving: Detector | None, threshold: float = 0.5) -> DataFrame:
+    """video, frame and the boxes of both detectors in one array, static ones first; a row for each frame, also without boxes.
+
+    ``moving`` gets the frames with their planes, which are the motion images. No rows of different frames meet, so this is good for streams.
+    """
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            found: dict[tuple, list[dict]] = {}
+            for source, detector in (("static", static), ("motion", moving)):
+                if detector is not None:
+                    made = detector(pdf)
+                    made = made[made["conf"] >= threshold]
+                    for r in made.to_dict("records"):
+                        box = {c: int(float(r[c])) for c in ("x1", "y1", "x2", "y2")} | {"cls": r["cls"], "conf": float(r["conf"]), "source": source}
+                        found.setdefault((str(r["video"]), int(r["frame"])), []).append(box)
+            keys = [(str(v), int(f)) for v, f in zip(pdf["video"], pdf["frame"])]
+            yield pd.DataFrame({"video": [k[0] for k in keys], "frame": [k[1] for k in keys], "boxes": [found.get(k, []) for k in keys]})
+
+    return frames.mapInPandas(run, f"video string, frame bigint, boxes {BOXES}")
+
+
 def bright_spots(size: int, level: int = 200) -> Detector:
     """A deterministic stand-in for a trained model: the box of the pixels above a level, its share as confidence."""
 

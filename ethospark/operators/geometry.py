@@ -79,13 +79,19 @@ def merge(
     if confidence decides, it takes over only when it is surer; of another source, only when its source dominates.
     Taking over keeps the former class and confidence as the combined ones. Results carry their place in the fold.
     """
-    if dominant not in ("confidence", "static", "motion"):
-        raise ValueError(f"unknown dominant source {dominant!r}")
     item = F.struct(
         F.when(F.col("source") == "static", 0).otherwise(1).alias("rank"), F.col(order).cast("bigint").alias("ord"),
         *[F.col(c).cast("int").alias(c) for c in ("x1", "y1", "x2", "y2")], F.col("cls"), F.col("conf").cast("double").alias("conf"), F.col("source"),
     )
     frames = boxes.groupBy(*keys).agg(F.array_sort(F.collect_list(item)).alias("all"))
+    merged = merged_boxes(F.col("all"), dominant, distance, overlap)
+    return frames.select(*keys, F.posexplode(merged).alias("det", "m")).select(*keys, F.col("det").cast("bigint").alias("det"), "m.*")
+
+
+def merged_boxes(boxes: Column, dominant: str = "confidence", distance: float = 50.0, overlap: float = 0.95) -> Column:
+    """:func:`merge` on one frame's array of boxes (x1, y1, x2, y2, cls, conf, source), static ones first."""
+    if dominant not in ("confidence", "static", "motion"):
+        raise ValueError(f"unknown dominant source {dominant!r}")
     kind = (
         "array<struct<x1:int,y1:int,x2:int,y2:int,cls:string,conf:double,source:string,combined_cls:string,combined_conf:double>>"
     )
@@ -111,8 +117,7 @@ def merge(
         )
         return F.when(at == 0, F.concat(acc, F.array(made(d, F.lit(""), F.lit(0.0))))).otherwise(replaced)
 
-    merged = F.aggregate("all", F.array().cast(kind), step)
-    return frames.select(*keys, F.posexplode(merged).alias("det", "m")).select(*keys, F.col("det").cast("bigint").alias("det"), "m.*")
+    return F.aggregate(boxes, F.array().cast(kind), step)
 
 
 def stream_columns(merged: DataFrame) -> DataFrame:

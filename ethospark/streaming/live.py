@@ -16,7 +16,8 @@ from pyspark.sql import types as T
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
-from ..operators import motion
+from ..functions import exprs as X
+from ..operators import detect, geometry, motion
 from ..operators.tracking import OUT, Tracker
 
 STATE = "next_id bigint, last_frame bigint, late bigint, ids array<bigint>, missed array<int>, numbers array<double>"
@@ -110,6 +111,21 @@ def track_stream(
     return typed.groupBy("video").applyInPandasWithState(run, schema, STATE, "append", GroupStateTimeout.NoTimeout)
 
 
+def live_detections(
+    frames: DataFrame, static: detect.Detector | None, moving: detect.Detector | None, threshold: float = 0.5,
+    dominant: str = "confidence", distance: float = 50.0, overlap: float = 0.95, **motion_options,
+) -> DataFrame:
+    """Merged detections of a stream of grey frames: video, frame, det, x, y, box, classes; frames without any have a row of nulls.
+
+    Motion images are made with keyed state, both detectors run on Arrow batches, and a frame's boxes are merged in its own
+    row, so what follows can track them (:func:`track_stream`).
+    """
+    found = detect.detect_both(motion_stream(frames, **motion_options), static, moving, threshold)
+    merged = geometry.merged_boxes(F.col("boxes"), dominant, distance, overlap)
+    each = found.select("video", "frame", F.posexplode_outer(merged).alias("det", "m")).select("video", "frame", F.col("det").cast("bigint").alias("det"), "m.*")
+    return geometry.stream_columns(each.withColumns({"x": X.centroid(F.col("x1"), F.col("x2")), "y": X.centroid(F.col("y1"), F.col("y2"))}))
+
+
 def detection_sessions(detections: DataFrame, gap: str = "3 seconds 1 microsecond", late: str = "10 seconds") -> DataFrame:
     """Recordings: a session of detections of a camera ends when more than the gap passes without one."""
     return (

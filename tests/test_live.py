@@ -9,7 +9,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from ethospark.operators import geometry, motion
+from ethospark.operators import detect, geometry, motion, tracking
 from ethospark.plans import views as V
 from ethospark.sources import frames as video_frames
 from ethospark.sources import readers
@@ -270,3 +270,29 @@ def test_gate_in_event_time(rocks, tmp_path, seed):
     table = live.gated(rocks.read.schema(kind).json(str(tmp_path / "rows")), rocks.read.schema(skind).json(str(tmp_path / "switches")))
     want = sorted(tuple(x) for x in table.filter("n >= 0").selectExpr("n", "x is null", "raw", "ts", "video").collect())
     assert got == want and 20 < len(got) < 150 and late(rows)
+
+
+def moving_spots(size):
+    """The box of the pixels that the red plane marks, a stand-in for a model on motion images."""
+
+    def run(pdf):
+        return detect.bright_spots(size, 150)(pdf.assign(px=pdf["red"])).assign(cls="move")
+
+    return run
+
+
+def test_live_loop_equals_table(rocks, tmp_path):
+    """Frames to tracks in one streaming query, cut anywhere, against the operators on the whole table."""
+    rows = V.grey(rocks, SF).filter("video < 2").orderBy("frame").toPandas()
+    parts = cut([{"video": str(v), "frame": f, "px": [int(x) for x in p]} for v, f, p in zip(rows["video"], rows["frame"], rows["px"])], [3, 40, 41, 77])
+    stream = rocks.readStream.schema("video string, frame long, px array<int>").option("maxFilesPerTrigger", 1).json(files(tmp_path / "in", parts))
+    static, moving, merge = detect.bright_spots(8, 150), moving_spots(8), {"dominant": "motion", "distance": 3.0, "overlap": 0.9}
+    colour = {"lum": 0.5, "multipliers": (2.0, 3.0, 4.0)}
+    found = live.live_detections(stream, static, moving, 0.5, **merge, **colour)
+    run(live.track_stream(found, 9.0), "live_loop", tmp_path / "ck")
+    got = sorted(tuple(r) for r in rocks.sql("select video, frame, det, track_id from live_loop").collect())
+    table = motion.false_colour(motion.sequential_walk(V.grey(rocks, SF).filter("video < 2").withColumn("video", F.col("video").cast("string"))), **colour)
+    both = detect.detect(table, static, "static").unionByName(detect.detect(table, moving, "motion")).withColumn("det", F.when(F.col("source") == "static", 0).otherwise(1))
+    here = geometry.merge(both, **merge).select("video", "frame", "det", ((F.col("x1") + F.col("x2")) / 2).cast("int").alias("x"), ((F.col("y1") + F.col("y2")) / 2).cast("int").alias("y"))
+    want = tracking.track(tracking.with_frame_axis(here, table), 9.0).select("video", "frame", "det", "track_id")
+    assert got == sorted(map(tuple, want.collect())) and len(got) > 100
