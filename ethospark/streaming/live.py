@@ -205,6 +205,53 @@ def with_classes(detections: DataFrame, classes: DataFrame, on: str = "cls") ->
     return detections.join(classes.dropDuplicates([on]), on, "left")
 
 
+class Recorder(StatefulProcessor):
+    """Whether a camera is recording: the number of its recording, when that began, its frames so far, and the last detection."""
+
+    def __init__(self, gap: int):
+        self.gap = gap
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.state = handle.getValueState("recorder", "last bigint, late bigint, recording bigint, active boolean, began bigint, place bigint, seen bigint")
+
+    def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:  # noqa: N802, N803
+        last, late, recording, active, began, place, seen = self.state.get() if self.state.exists() else (None, 0, 0, False, 0, 0, 0)
+        pdf = pd.concat(list(rows)).sort_values("frame")
+        out = []
+        for frame, at, detected in zip(pdf["frame"].astype("int64"), pdf["at"].astype("int64"), pdf["detected"].astype(bool)):
+            frame, at = int(frame), int(at)
+            if last is not None and frame <= last:
+                late += 1
+                continue
+            last = frame
+            if detected:
+                if not active:
+                    recording, active, began, place = recording + 1, True, at, 0
+                seen = at
+            elif active and at - seen > self.gap:
+                active = False
+            if active:
+                place += 1
+                out.append((key[0], frame, at, recording, began, place, late))
+        self.state.update((last, late, recording, active, began, place, seen))
+        yield pd.DataFrame(out, columns=["video", "frame", "at", "recording", "began", "place", "late"])
+
+    def close(self) -> None:
+        pass
+
+
+def recording_stream(frames: DataFrame, gap_seconds: float = 3.0) -> DataFrame:
+    """:func:`recordings` of a stream of frames (video, frame, ts, detected), frame by frame: the recorded ones with recording, started,
+    place, and ``late``, how many frames the camera had lost as they came after later ones."""
+    rows = frames.select(
+        F.col("video").cast("string").alias("video"), F.col("frame").cast("bigint").alias("frame"), F.unix_micros(F.col("ts").cast("timestamp")).alias("at"), F.coalesce("detected", F.lit(False)).alias("detected")
+    ).filter("video is not null and frame is not null and at is not null")
+    made = rows.groupBy("video").transformWithStateInPandas(
+        Recorder(round(gap_seconds * 1_000_000)), "video string, frame bigint, at bigint, recording bigint, began bigint, place bigint, late bigint", "append", "None"
+    )
+    return made.select("video", "frame", F.timestamp_micros("at").alias("ts"), "recording", F.timestamp_micros("began").alias("started"), "place", "late")
+
+
 def gated(rows: DataFrame, control: DataFrame) -> DataFrame:
     """Rows while recording is on: the last switch (video, ts, enabled) at or before a row decides, of equal times one that is on.
 

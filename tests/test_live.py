@@ -296,3 +296,18 @@ def test_live_loop_equals_table(rocks, tmp_path):
     here = geometry.merge(both, **merge).select("video", "frame", "det", ((F.col("x1") + F.col("x2")) / 2).cast("int").alias("x"), ((F.col("y1") + F.col("y2")) / 2).cast("int").alias("y"))
     want = tracking.track(tracking.with_frame_axis(here, table), 9.0).select("video", "frame", "det", "track_id")
     assert got == sorted(map(tuple, want.collect())) and len(got) > 100
+
+
+def test_recording_stream_equals_table(rocks, tmp_path):
+    r = random.Random(11)
+    rows, at = [], 0.0
+    for f in range(160):
+        at += r.choice([0.2, 0.5, 2.0, 3.5])
+        rows += [{"video": v, "frame": f, "ts": f"2024-01-01T00:{int(at) // 60:02}:{at % 60:09.6f}Z", "detected": r.random() < 0.2} for v in "ab"]
+    kind = "video string, frame long, ts timestamp, detected boolean"
+    stream = rocks.readStream.schema(kind).option("maxFilesPerTrigger", 1).json(files(tmp_path / "in", cut(rows, [1, 2, 100, 103, 250])))
+    run(live.recording_stream(stream, 3.0), "recorded", tmp_path / "ck")
+    got = sorted(tuple(x) for x in rocks.sql("select video, frame, ts, recording, started, place from recorded").collect())
+    table = rocks.read.schema(kind).json(str(tmp_path / "in"))
+    want = live.recordings(table.select("video", "frame", "ts"), table.filter("detected"), 3.0).select("video", "frame", "ts", "recording", "started", "place")
+    assert got == sorted(map(tuple, want.collect())) and 50 < len(got) < 300 and len({x[3] for x in got}) > 5
