@@ -58,7 +58,7 @@ def test_motion_stream_equals_table(rocks, tmp_path, exponential):
     run(live.motion_stream(stream, exponential, 0.3, 0.9, **colour), f"motion{exponential}".lower(), tmp_path / "ck")
     got = {(r["video"], r["frame"]): tuple(map(tuple, r[2:])) for r in rocks.sql(f"select video, frame, d0, d1, d2, blue, green, red from motion{exponential}".lower()).collect()}
     table = V.grey(rocks, SF).filter("video < 3")
-    made = motion.exponential_walk(table, 0.3, 0.9).join(table, ["video", "frame"]) if exponential else motion.sequential_differences(table)
+    made = motion.exponential_walk(table, 0.3, 0.9) if exponential else motion.sequential_differences(table)
     want = {(str(r["video"]), r["frame"]): tuple(map(tuple, r[2:])) for r in motion.false_colour(made, **colour).select("video", "frame", "d0", "d1", "d2", "blue", "green", "red").collect()}
     assert len(want) == 150 and got == want
 
