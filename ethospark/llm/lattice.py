@@ -5,10 +5,14 @@ over all paths, so a text's probability is the marginal one, not that of its bes
 also be spelt in byte pieces, so every text has a probability. Pieces never cross a word's start, which makes a
 text's probability the product of its words' and of one end.
 
-The vocabulary is an existing one; its pieces and their scores are not changed. A piece's log-weight is its score times
-one factor, normalised. The factor is 1 for a file whose scores are log-probabilities. A merge vocabulary's
-file gives negative ranks, of which only the scale is open: there the factor is fitted to the training words, by
-expectation-maximisation over the lattices with that one parameter. ``free`` fits every piece's weight instead.
+Each training word is one more arc, over the whole word. Its weight is its count less a discount, the same for all (Ney's
+estimate from the words seen once and twice); the discounts are the weight of the arcs of pieces, which thereby spell what
+was never seen. Probabilities of all words and of the end sum to 1 at most.
+
+The vocabulary is an existing one; its pieces are not changed. Their weights are fitted to the different training words, each
+once as its discount is, by expectation-maximisation over the lattices. Without ``free`` the file's scores are kept: a piece's
+log-weight is its score times one factor, normalised. The factor is 1 for a file whose scores are log-probabilities. A merge
+vocabulary's file gives negative ranks, of which only the scale is open: there the factor is fitted.
 
 Word counts are gathered in one pass with a bounded table per task and summed by key; lattices run once per
 distinct word. Texts meet the counts in blocks of about ``BLOCK_BYTES``, dealt by a hash of id and text; of rows equal in both one is scored: each block asks once for each of its
@@ -37,6 +41,8 @@ BLOCK_BYTES, TABLE = 24 << 20, 300_000
 RUN = 100_000
 #: Rounds of expectation-maximisation, and what every piece is credited with beyond its expected count.
 ROUNDS, CREDIT = 2, 0.1
+#: Bounds of a training word's discount, also where no word was seen once.
+DISCOUNTS = 0.1, 0.9
 #: Scores from here on are no log-probabilities of a piece, but mark one that is never used.
 NEVER = -1e8
 MARK = "▁"
@@ -264,10 +270,12 @@ def word_counts(docs: DataFrame) -> DataFrame:
 
 
 def fitted(words: DataFrame, ends: int, pieces: list[str], scores: np.ndarray, rounds: int, free: bool = False) -> np.ndarray:
-    """Weights of the pieces from their scores; ranks are scaled by the training words. ``free`` fits each weight."""
+    """Weights of the pieces from their scores; ranks are scaled by the training words, each once. ``free`` fits each weight."""
+    weight = weights(scores, 1.0)
     if not free and not are_ranks(scores):
-        return weights(scores, 1.0)
-    weight = weights(scores, 4 / max(1.0, float(-scores[scores > NEVER].min(initial=0))))
+        return weight
+    if are_ranks(scores):
+        weight = weights(scores, 4 / max(1.0, float(-scores[scores > NEVER].min(initial=0))))
     for _ in range(rounds):
         sent = words.sparkSession.sparkContext.broadcast((pieces, weight))
 
@@ -275,12 +283,11 @@ def fitted(words: DataFrame, ends: int, pieces: list[str], scores: np.ndarray, r
             lattice, total = Lattice(*sent.value), np.zeros(len(sent.value[0]))
             with np.errstate(over="ignore", divide="ignore", invalid="ignore"):
                 for batch in batches:
-                    words, counts = (c.to_pylist() for c in batch.columns)
-                    total += lattice.batch(list(map(text_of, words)), np.array(counts))[1]
+                    total += lattice.batch(list(map(text_of, batch.column(0).to_pylist())), np.ones(batch.num_rows))[1]
             at = np.flatnonzero(total)
             yield pa.RecordBatch.from_arrays([pa.array(at, pa.int64()), pa.array(total[at])], names=["piece", "n"])
 
-        made = words.filter("c > 0").select("word", "c").mapInArrow(run, "piece bigint, n double")
+        made = words.filter("c > 0").select("word").mapInArrow(run, "piece bigint, n double")
         counts = np.full(len(pieces), CREDIT if free else 0.0)
         for row in made.groupBy("piece").agg(F.sum("n").alias("n")).collect():  # a row for each piece at most
             counts[row["piece"]] += row["n"]
@@ -293,6 +300,17 @@ def fitted(words: DataFrame, ends: int, pieces: list[str], scores: np.ndarray, r
     return weight
 
 
+def discount(once: int, twice: int) -> float:
+    """What a training word's count is lessened by, from the numbers of words seen once and twice."""
+    low, high = DISCOUNTS
+    return min(high, max(low, once / max(1, once + 2 * twice)))
+
+
+def word_weights(counts: np.ndarray, spelt: np.ndarray, less: float, left: float, total: float) -> np.ndarray:
+    """Log-probabilities of words: the arc over the whole word and the arcs of pieces, which share the weight ``left``."""
+    return np.logaddexp(np.log(np.maximum(counts - less, 0)), np.log(left) + spelt) - np.log(total)
+
+
 def places(hashes: np.ndarray, wanted: np.ndarray) -> np.ndarray:
     """Where words are among the sorted ones of a block's answers; all of them must be."""
     at = np.searchsorted(hashes, wanted)
@@ -320,7 +338,7 @@ def score(
     text_col: str = "text",
     fold: int = 10,
     rounds: int = ROUNDS,
-    free: bool = False,
+    free: bool = True,
 ) -> DataFrame:
     """id, held_out, n_tokens, n_known, train_tokens, base_score, score (log10)."""
     spark, kind = docs.sparkSession, dict(docs.dtypes)[id_col]
@@ -329,10 +347,14 @@ def score(
     size = docs.agg(F.sum(F.octet_length("text")), F.count_if("trained")).first()
     ends = size[1]
     words = checkpointed(word_counts(docs))
-    total = words.agg(F.sum("c"), F.count_if(F.col("c") > 0)).first()
+    total = words.agg(F.sum("c"), *[F.count_if(x) for x in (F.col("c") > 0, F.col("c") == 1, F.col("c") == 2)]).first()
     n, v = (total[0] or 0) + ends, (total[1] or 0) + (ends > 0)
+    less = discount(total[2], total[3])
+    left, mass = less * total[1] + CREDIT, n + 2 * CREDIT
+    end_lp = float(np.log((ends + CREDIT) / mass))
     pieces, scores = vocabulary(path)
-    weight = fitted(words, ends, pieces, scores, rounds, free)
+    scores[pieces.index("</s>")] = -np.inf  # no word's piece
+    weight = fitted(words, 0, pieces, scores, rounds, free)
     sent = spark.sparkContext.broadcast((pieces, weight))
     token = new_token()
 
@@ -342,9 +364,9 @@ def score(
             for batch in batches:
                 raw = batch.column(0).to_pylist()
                 hashes = np.fromiter(map(xxhash.xxh3_64_intdigest, raw), np.uint64, len(raw)).astype(np.int64)
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(hashes), batch.column(1), pa.array(lattice.batch(list(map(text_of, raw)))[0])], names=["hash", "c", "lp"]
-                )
+                spelt = lattice.batch(list(map(text_of, raw)))[0]
+                lp = word_weights(batch.column(1).to_numpy(zero_copy_only=False), spelt, less, left, mass)
+                yield pa.RecordBatch.from_arrays([pa.array(hashes), batch.column(1), pa.array(lp)], names=["hash", "c", "lp"])
 
     weighed = words.mapInArrow(weigh, "hash bigint, c bigint, lp double")
     blocks = max(1, -(-(size[0] or 0) // BLOCK_BYTES))
@@ -368,7 +390,7 @@ def score(
 
     asked = dealt.groupBy("block").applyInArrow(ask, "block bigint, hash bigint")
     answers = asked.join(weighed, "hash").select("block", "hash", "c", "lp")
-    bottom, end_lp = n + 0.1 * (v + 1), float(weight[pieces.index("</s>")])
+    bottom = n + 0.1 * (v + 1)
 
     def add_up(texts: pa.Table, told: pa.Table) -> pa.Table:
         hashes = told.column("hash").to_numpy()

@@ -423,6 +423,44 @@ def test_op6_edges(docs, none):
     assert lattice.score(none, PIECES).count() == 0
 
 
+@pytest.mark.parametrize("sf, times", [("sf0.001", 1.25), ("sf0.01", 1.15)])
+def test_op6_held_out_scores_are_near_the_base(spark, sf, times):
+    rows = queries.op6_subword_lattice(spark, f"/root/testdata/{sf}").filter("held_out").collect()
+    assert rows and all(r["score"] is not None and math.isfinite(r["score"]) for r in rows)
+    assert sum(r["score"] for r in rows) > times * sum(r["base_score"] for r in rows)
+
+
+@pytest.mark.parametrize("free", [False, True])
+def test_op6_word_and_piece_arcs_by_hand(spark, free):
+    texts = ["the cat the dog", "the bird", None, "cat 中"]
+    texts += [f"w{i} w{i} twice" for i in range(2)]
+    kept = [i for i in range(99) if zlib.crc32(str(i).encode()) % 10][: len(texts)]
+    held = next(i for i in range(99) if not zlib.crc32(str(i).encode()) % 10)
+    rows = [*zip(kept, texts), (held, "the Unseen cat \ufffd")]
+    c = Counter(w for t in texts for w in words(t))
+    n1, n2 = (sum(k == n for k in c.values()) for n in (1, 2))
+    less, ends = n1 / (n1 + 2 * n2), len(texts)
+    total = sum(c.values()) + ends + 0.2
+    pieces, scores = lattice.vocabulary(PIECES)
+    scores[pieces.index("</s>")] = -np.inf
+    lat = lattice.Lattice(pieces, lattice.weights(scores, 4 / -scores[scores > lattice.NEVER].min()))
+    end = math.log((ends + 0.1) / total)
+    with np.errstate(all="ignore"):
+        lp = lambda w: math.log((max(c[w] - less, 0) + (less * len(c) + 0.1) * math.exp(lat.one(lattice.MARK + w, None, 0))) / total)
+        want = {i: (end + sum(map(lp, words((t or "").lower())))) / math.log(10) for i, t in rows}
+    got = lattice.score(spark.createDataFrame(rows, "doc_id long, text string"), PIECES, rounds=0, free=free)
+    assert {r["doc_id"]: r["score"] for r in got.collect()} == pytest.approx(want, rel=1e-9)
+
+
+def test_op6_no_word_seen_once_or_no_training_text(spark):
+    """Unseen words keep some probability."""
+    assert lattice.discount(0, 5) == lattice.DISCOUNTS[0] and lattice.discount(5, 0) == lattice.DISCOUNTS[1] and lattice.discount(2, 1) == 0.5
+    held = next(i for i in range(99) if not zlib.crc32(str(i).encode()) % 10)
+    for rows in ([(None, "a a b b"), (held, "c")], [(held, "c d")]):
+        got = lattice.score(spark.createDataFrame(rows, "doc_id long, text string"), PIECES).collect()
+        assert len(got) == len(rows) and all(math.isfinite(r["score"]) for r in got)
+
+
 # 7 packing
 
 
