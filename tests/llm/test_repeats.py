@@ -1,5 +1,6 @@
 """Ids that many rows share, and very long runs without white space."""
 
+import random
 import time
 
 import pytest
@@ -66,6 +67,33 @@ def test_no_product_of_rows_that_share_ids(spark):
     assert sorted(map(tuple, found)) == [(0, 0, n), (1, 0, n)] and sum(joined) <= 1.2 * n
 
 
+@pytest.mark.parametrize("width, percent", [(3, 85)])
+def test_near_copies_are_compared_a_few_times(spark, width, percent):
+    """Groups of 24 near copies and some of which only the next is linked: few comparisons a text, not one for each pair."""
+    r, rows = random.Random(width), []
+    for g in range(25):
+        base = [f"g{g}_{i}" for i in range(120)]
+        for _ in range(24):
+            own = base[:]
+            own[r.randrange(120)] = f"n{len(rows)}"
+            rows.append((len(rows), " ".join(own)))
+        for k in range(1, 4):  # each differs from the one before it by three words
+            rows.append((len(rows), " ".join([f"c{g}_{i}" if i < 3 * k else w for i, w in enumerate(base)])))
+    joined, real = [], dedup.compare
+
+    def counted(pairs, texts, *more):
+        joined.append(pairs.count())
+        return real(pairs, texts, *more)
+
+    dedup.compare = counted
+    try:
+        got = dedup.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string"), width=width, percent=percent).collect()
+    finally:
+        dedup.compare = real
+    assert sorted((x.doc_id, x.n_shingles, x.component_id) for x in got) == [(i, 121 - width, i - i % 27) for i in range(len(rows))]
+    assert sum(joined) <= 3 * len(rows)
+
+
 @pytest.mark.parametrize("piece", ["a", "abcdefgh", "the", "zq", "ab1é"])
 def test_long_runs_equal_the_library(piece):
     path = tokenizer_path("word_bpe_49k.json")
