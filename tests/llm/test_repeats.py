@@ -67,7 +67,7 @@ def test_no_product_of_rows_that_share_ids(spark):
     assert sorted(map(tuple, found)) == [(0, 0, n), (1, 0, n)] and sum(joined) <= 1.2 * n
 
 
-@pytest.mark.parametrize("width, percent", [(3, 85)])
+@pytest.mark.parametrize("width, percent", [(3, 85), (5, 80)])
 def test_near_copies_are_compared_a_few_times(spark, width, percent):
     """Groups of 24 near copies and some of which only the next is linked: few comparisons a text, not one for each pair."""
     r, rows = random.Random(width), []
