@@ -69,3 +69,45 @@ def test_plan_has_one_shuffle_of_the_rows(rows):
     tracks = budget.per_track(rows, ["walk"])
     plan = tracks._jdf.queryExecution().executedPlan().toString()
     assert plan.count("hashpartitioning(video_filename") >= 1 and "BatchEvalPython" not in plan and "MapIn" not in plan
+
+
+ODD = "video_filename string, track_id bigint, frame bigint, row_no bigint, x double, y double, behaviour string"
+
+
+@pytest.fixture(scope="module")
+def odd(spark):
+    """Null videos, row numbers and behaviours, a behaviour of a null video only, rows that come twice, a track of unknown states, a blank."""
+    one = [("a_b_c_d_e.MP4", t, f, f * 3 + t, 5.0 * t, 9.0 * f, b) for t in (1, 2, 3) for f, b in enumerate(("walk", "graze", "walk", "unknown", "walk", "rest")[t:], 1)]
+    more = [
+        (None, 1, 1, 1, 1.0, 1.0, "hidden"), (None, 1, 2, 2, 1.0, 1.0, "walk"), ("n.MP4", 1, 7, None, 2.0, 2.0, "walk"), ("n.MP4", 1, 8, None, 3.0, 3.0, None),
+        ("n.MP4", 1, 9, 4, 2.0, 2.0, "graze"), ("n.MP4", 2, 90, 5, 2.0, 2.0, ""), ("n.MP4", 3, 0, 6, 0.0, 0.0, "unknown"), ("z.MP4", 9, -4, 7, 1.0, 1.0, "graze"),
+    ]
+    return spark.createDataFrame(one + one + more, ODD)
+
+
+def test_sums_give_the_tracks_of_the_rows(odd):
+    domain, sums = budget.behaviours(odd), budget.by_behaviour(odd)
+    assert domain == budget.behaviours(sums) == ["graze", "hidden", "rest", "walk"]
+    direct, summed = (budget.per_track(odd, domain, s) for s in (None, sums))
+    columns = sorted(direct.columns)
+    assert sorted(summed.columns) == columns and dict(direct.dtypes) == dict(summed.dtypes)
+    assert sorted(map(str, direct.select(columns).collect())) == sorted(map(str, summed.select(columns).collect()))
+
+
+def test_budget_of_odd_rows(odd):
+    given = budget.individual_budget(odd, domain=["graze", "hidden", "rest", "walk"])
+    found = budget.individual_budget(odd)
+    assert found.dtypes == given.dtypes
+    assert sorted(map(str, found.collect())) == sorted(map(str, given.collect()))
+    got = {(r["video_filename"], r["track_id"]): r.asDict() for r in found.collect()}
+    assert set(got) == {("a_b_c_d_e.MP4", 1), ("a_b_c_d_e.MP4", 2), ("a_b_c_d_e.MP4", 3), ("n.MP4", 1), ("n.MP4", 2), ("n.MP4", 3), ("z.MP4", 9)}
+    one, blank = got["n.MP4", 1], got["n.MP4", 2]
+    assert (one["n_frames_present"], one["behavior_walk_n"], one["behavior_graze_n"], one["behavior_hidden_pct"]) == (3, 0, 0, 0.0)
+    assert (blank["n_frames_present"], blank["dominant_behavior_time"], blank["group_type"]) == (1, "graze", "unknown")
+    assert got["a_b_c_d_e.MP4", 1]["n_frames_present"] == 10
+
+
+def test_a_budget_reads_its_rows_once(rows):
+    plan = budget.individual_budget(rows)._jdf.queryExecution().optimizedPlan().toString()
+    assert "Window" not in plan and "primary_motion_class" not in plan  # all is read from the sums
+    assert "min_by" not in plan and "min_by" in budget.per_track(rows, [], budget.by_behaviour(rows))._jdf.queryExecution().optimizedPlan().toString()
