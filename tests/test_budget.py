@@ -4,6 +4,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from ethospark.operators import budget
+from ethospark.plans.queries import QUERIES
 
 ROWS = [
     ("1", "1", "", "0", "walk", ".9"), ("2", "1", "", "0", "walk", ".9"), ("3", "1", "graze", ".8", "walk", ".5"),
@@ -111,3 +112,21 @@ def test_a_budget_reads_its_rows_once(rows):
     plan = budget.individual_budget(rows)._jdf.queryExecution().optimizedPlan().toString()
     assert "Window" not in plan and "primary_motion_class" not in plan  # all is read from the sums
     assert "min_by" not in plan and "min_by" in budget.per_track(rows, [], budget.by_behaviour(rows))._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_dominant_behavior_reads_its_events_once(spark, tmp_path):
+    """Ties, a row that comes twice, tracks of unknown states, null types, properties and users; the result is computed from sums."""
+    view, click, signup = "view", "click", "signup"
+    events = [
+        (1, 3, view, 50), (2, 3, click, 50), (2, 3, click, 50), (3, 3, view, 50), (4, 3, "error", 50), (5, 4, "error", 50), (7, 5, None, 50),
+        (9, 6, "purchase", None), (11, None, "hidden", 50), (13, 7, signup, 99),
+    ]
+    rows = [(i, u, t, None if k is None else f'{{"k": {k}}}') for i, u, t, k in events]
+    made = spark.createDataFrame(rows, "event_id bigint, user_id bigint, event_type string, props string")
+    at = F.expr("timestamp_ntz'2024-01-01' + make_interval(0, 0, 0, 0, 0, 0, event_id)")
+    made.withColumn("ts", at).write.parquet(f"{tmp_path}/events.parquet")
+    got = QUERIES["dominant_behavior"](spark, str(tmp_path))
+    assert "Window" not in got._jdf.queryExecution().optimizedPlan().toString()
+    assert {r["track_id"]: (r["dominant_behavior_time"], r["dominant_behavior_count"]) for r in got.collect()} == {
+        3: (click, click), 4: (click, click), 5: (click, click), 6: (click, click), 7: (signup, click),
+    }
