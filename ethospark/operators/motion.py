@@ -18,6 +18,8 @@ from ..sources.frames import resized as resized_array
 
 #: Frames of a video that one walk takes, at least.
 STRETCH = 1000
+#: Windows to a bin of frames: a fourth of the frames is in two bins, and a target is compared with five windows of frames.
+BIN = 4
 
 
 def sampled(frames: DataFrame, skip: int = 0, frame: str = "frame") -> DataFrame:
@@ -26,11 +28,24 @@ def sampled(frames: DataFrame, skip: int = 0, frame: str = "frame") -> DataFrame
 
 
 def window_ending_at(frames: DataFrame, targets: DataFrame, window: int, skip: int = 0) -> DataFrame:
-    """The sampled frames of the window that ends exactly at each target (video, target); shorter at the video's start."""
-    step = skip + 1
-    start = F.greatest(F.col("target") - (window - 1) * step, F.col("target") % step).cast("bigint")
-    asked = targets.select("video", "target", F.explode(F.sequence(start, F.col("target"), F.lit(step).cast("bigint"))).alias("frame"))
-    return asked.join(frames, ["video", "frame"])
+    """The sampled frames of the window that ends exactly at each target (video, target); shorter at the video's start.
+
+    An equi-join on bins of ``BIN`` windows with a range condition: a target is shuffled once, not once for each frame of its
+    window, and a frame once, or twice if windows of the next bin hold it. A target before frame 0 is an error.
+    """
+    step, reach = skip + 1, (window - 1) * (skip + 1)
+    width = max(BIN * reach, step)
+    part = lambda c: F.floor(c / width)
+    both = F.array_distinct(F.array(part(F.col("frame")), part(F.try_add(F.col("frame").cast("bigint"), F.lit(reach)))))
+    start = F.greatest(F.col("t.target") - reach, F.col("t.target") % step)
+    early = F.raise_error(F.concat(F.lit("no window ends at frame "), F.col("t.target").cast("string"))).cast("boolean")
+    shown = frames.withColumn("_part", F.explode(both)).alias("f")
+    asked = targets.alias("t").filter(F.when(F.col("t.target") < start, early).otherwise(F.lit(True)))
+    same = (F.col("t.video") == F.col("f.video")) & (part(F.col("t.target")) == F.col("f._part"))
+    sampled_too = F.pmod("t.target", F.lit(step)) == F.pmod("f.frame", F.lit(step))
+    found = asked.join(shown, same & sampled_too & F.col("f.frame").between(start, F.col("t.target")))
+    rest = [f"f.`{c}`" for c in frames.columns if c not in ("video", "frame")]
+    return found.select("t.video", F.col("f.frame").cast("bigint").alias("frame"), "t.target", *rest)
 
 
 def difference(a: Column, b: Column) -> Column:

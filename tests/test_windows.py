@@ -1,0 +1,71 @@
+"""Windows that end at given frames, against plain Python."""
+
+import pytest
+
+from ethospark.operators import motion
+
+FRAMES = "video string, frame bigint, row_no bigint"
+#: Gaps, frames with several rows, rows that come twice, null videos and frames, frames before 0 and at the end of the type.
+ROWS = [
+    *[("a", f, f) for f in range(0, 90) if f % 13], *[("a", 7, k) for k in (100, 101, 101)], *[("b", f, None) for f in (1, 2, 3, 32, 33, 40, 1000, 1008)],
+    (None, 3, 1), ("b", None, 2), ("c", -1, 3), ("c", -9, 4), ("c", 0, 5), ("d", 2**63 - 1, 6), ("d", 2**63 - 5, 7),
+]
+TARGETS = [*{(v, f) for v, f, _ in ROWS if f is None or f >= 0}, ("a", 13), ("a", 40), ("a", 40), ("b", 34), ("c", 1), ("c", 8), ("missing", 4), (None, 4), ("d", None)]
+
+
+def plain(window, skip):
+    step = skip + 1
+    found = [
+        (v, f, t, n)
+        for v, t in TARGETS
+        for w, f, n in ROWS
+        if None not in (v, t, f) and v == w and (t - f) % step == 0 and max(t - (window - 1) * step, t % step) <= f <= t
+    ]
+    return sorted(map(str, found))
+
+
+@pytest.mark.parametrize(("window", "skip"), [(1, 0), (1, 2), (2, 0), (5, 1), (4, 2), (9, 3)])
+def test_windows_against_plain_python(spark, window, skip):
+    frames, targets = spark.createDataFrame(ROWS, FRAMES), spark.createDataFrame(TARGETS, "video string, target bigint")
+    made = motion.window_ending_at(frames, targets, window, skip)
+    assert made.dtypes == [("video", "string"), ("frame", "bigint"), ("target", "bigint"), ("row_no", "bigint")]
+    assert sorted(str(tuple(r)) for r in made.collect()) == plain(window, skip)
+
+
+def test_windows_of_narrow_numbers(spark):
+    frames = spark.createDataFrame([("a", 2**31 - 1 - k, k) for k in range(60)], "video string, frame int, row_no int")
+    made = motion.window_ending_at(frames, frames.selectExpr("video", "frame as target"), 5, 1)
+    assert made.dtypes == [("video", "string"), ("frame", "bigint"), ("target", "int"), ("row_no", "int")]
+    got = {(r["target"], r["frame"]) for r in made.collect()}
+    assert got == {(t, t - d) for t in range(2**31 - 60, 2**31) for d in (0, 2, 4, 6, 8) if t - d >= 2**31 - 60}
+
+
+def test_a_target_before_the_first_frame_is_an_error(spark):
+    frames = spark.createDataFrame(ROWS, FRAMES)
+    at = lambda f: motion.window_ending_at(frames, spark.createDataFrame([("c", f)], "video string, target bigint"), 5, 1).collect()
+    assert [(r["frame"], r["row_no"]) for r in at(-1)] == [(-1, 3)]
+    with pytest.raises(Exception, match="(?i)no window ends at frame -9|illegal sequence boundaries"):
+        at(-9)
+
+
+def test_no_rows(spark):
+    frames, none = spark.createDataFrame(ROWS, FRAMES), spark.createDataFrame([], "video string, target bigint")
+    assert motion.window_ending_at(frames, none, 5, 1).count() == 0
+    assert motion.window_ending_at(frames.filter("false"), frames.selectExpr("video", "frame as target").filter("frame >= 0"), 5, 1).count() == 0
+
+
+def test_a_target_is_shuffled_once(spark):
+    frames = spark.range(4000).selectExpr("id div 1000 as video", "id % 1000 as frame", "id as row_no")
+    made = motion.window_ending_at(frames.hint("merge"), frames.selectExpr("video", "frame as target"), 5, 1)
+    assert made.count() == 4 * (5 * 1000 - 2 * (4 + 3 + 2 + 1))
+    rows, todo = [], [made._jdf.queryExecution().executedPlan()]
+    made._jdf.queryExecution().executedPlan().execute().count()
+    while todo:
+        node = todo.pop()
+        kind = node.getClass().getSimpleName()
+        if kind == "ShuffleExchangeExec":
+            rows.append(node.metrics().apply("shuffleRecordsWritten").value())
+        below = [node.finalPhysicalPlan()] if kind == "AdaptiveSparkPlanExec" else [node.plan()] if kind.endswith("QueryStageExec") else []
+        children = node.children()
+        todo += below or [children.apply(i) for i in range(children.size())]
+    assert len(rows) == 2 and min(rows) == 4000 and max(rows) < 1.3 * 4000
